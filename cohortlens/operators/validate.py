@@ -44,7 +44,7 @@ def check_score_requests(df: DataFrame, fields=None) -> DataFrame:
     """
     fields = fields or S.REQUEST_FIELDS
     out = df.withColumn("missing", _missing(fields))
-    parsed = {f"_v_{c}": F.try_cast(F.col(c), "double") for c in fields}
+    parsed = {f"_v_{c}": F.col(c).try_cast("double") for c in fields}
     out = out.withColumns(parsed)
     kind, field = F.lit(None).cast("string"), F.lit(None).cast("string")
     for c in reversed(fields):
@@ -67,7 +67,7 @@ def check_progress_requests(df: DataFrame) -> DataFrame:
     fields = S.PROGRESS_FIELDS
     nums = ["attendance", "average_score"]
     out = df.withColumn("missing", _missing(fields))
-    out = out.withColumns({f"_v_{c}": F.try_cast(F.col(c), "double") for c in nums})
+    out = out.withColumns({f"_v_{c}": F.col(c).try_cast("double") for c in nums})
     bad = F.col("_v_attendance").isNull() | F.col("_v_average_score").isNull()
     out = out.withColumn("error_kind", F.when(F.size("missing") > 0, F.lit("missing"))
                          .when(bad, F.lit("not_numeric")))
