@@ -1 +1,43 @@
-"""placeholder"""
+"""Streaming queries: the batch inputs replayed as file streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortlens.plans import inputs
+from cohortlens.plans.q_io import prediction_updates, progress_requests, score_requests
+from cohortlens.plans.q_ml import trained
+from cohortlens.plans.registry import register
+from cohortlens.session import scratch_path
+from cohortlens.sources import files
+from cohortlens.sources.snapshot import SnapshotStore
+from cohortlens.streaming import streams
+
+
+@register("stream_progress")
+def stream_progress(spark, sf_dir):
+    src, sink = scratch_path(spark, "progress-in"), scratch_path(spark, "progress-out")
+    files.write_json(progress_requests(spark, sf_dir), src)
+    streams.run_progress_stream(spark, src, sink, scratch_path(spark, "progress-ckpt"))
+    return spark.read.parquet(sink).select("student_id", "attendance", "average_score", "risk_level", "seq")
+
+
+@register("stream_scoring")
+def stream_scoring(spark, sf_dir):
+    model = trained(spark, sf_dir).model
+    src, sink = scratch_path(spark, "score-in"), scratch_path(spark, "score-out")
+    files.write_json(score_requests(spark, sf_dir), src)
+    streams.run_scoring_stream(spark, src, sink, scratch_path(spark, "score-ckpt"), model)
+    return spark.read.parquet(sink)
+
+
+@register("stream_apply")
+def stream_apply(spark, sf_dir):
+    store = SnapshotStore(spark, scratch_path(spark, "snapshot-stream"))
+    store.replace(inputs.students(spark, sf_dir))
+    upd = prediction_updates(spark, sf_dir)
+    src = scratch_path(spark, "updates-in")
+    files.write_json(upd, src)
+    schema = upd.schema
+    streams.run_apply_stream(spark, src, store, scratch_path(spark, "apply-ckpt"), schema)
+    return store.read().drop("created_at").withColumn("confidence", F.col("confidence"))
