@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens import schema as S
+from cohortlens.functions.exact import exact_mean
 
 
 def _n():
@@ -26,8 +27,8 @@ def _n():
 def analytics_summary(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Count, mean attendance and mean score (2 digits, 0 when empty)."""
     aggs = [_n().alias("total_students"),
-            F.coalesce(F.round(F.avg("attendance"), 2), F.lit(0.0)).alias("avg_attendance"),
-            F.coalesce(F.round(F.avg("average_score"), 2), F.lit(0.0)).alias("avg_score")]
+            F.coalesce(F.round(exact_mean("attendance"), 2), F.lit(0.0)).alias("avg_attendance"),
+            F.coalesce(F.round(exact_mean("average_score"), 2), F.lit(0.0)).alias("avg_score")]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
@@ -57,7 +58,7 @@ def score_means_by_risk(df: DataFrame, cols=None, digits: int = 6) -> DataFrame:
     cols = cols or S.MEAN_COLS
     order = F.when(F.col("risk_level") == S.HIGH, 0).when(F.col("risk_level") == S.MEDIUM, 1) \
              .when(F.col("risk_level") == S.LOW, 2).otherwise(3)
-    out = df.groupBy("risk_level").agg(*[F.round(F.avg(c), digits).alias(f"mean_{c}") for c in cols])
+    out = df.groupBy("risk_level").agg(*[F.round(exact_mean(c), digits).alias(f"mean_{c}") for c in cols])
     return out.withColumn("label_order", order).orderBy("label_order")
 
 

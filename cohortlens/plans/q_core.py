@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlens.functions.exact import exact_mean
 from cohortlens.operators import features, risk
 from cohortlens.plans import inputs
 from cohortlens.plans.registry import register
-from cohortlens.plans.sqlbase import (RISK_INGEST, with_gen, with_progress, with_students)
+from cohortlens.plans.sqlbase import (RISK_INGEST, emean, sround, with_gen, with_progress,
+                                      with_students)
 
 _ALL = ("student_id, faculty_id, attendance, assignment_score, internal_marks, quiz_score, "
         "previous_semester_marks, average_score, attendance_ratio, performance_drop, "
@@ -18,13 +20,13 @@ def risk_by_class_df(spark, sf_dir):
     st = inputs.students(spark, sf_dir)
     return (st.groupBy("faculty_id", "risk_level")
               .agg(F.count(F.lit(1)).alias("n_students"),
-                   F.round(F.avg("average_score"), 4).alias("avg_score"),
-                   F.round(F.avg("attendance"), 4).alias("avg_attendance")))
+                   F.round(exact_mean("average_score"), 4).alias("avg_score"),
+                   F.round(exact_mean("attendance"), 4).alias("avg_attendance")))
 
 
-register("risk_by_class", with_students("""
+register("risk_by_class", with_students(f"""
 SELECT faculty_id, risk_level, count(*) AS n_students,
-       round(avg(average_score), 4) AS avg_score, round(avg(attendance), 4) AS avg_attendance
+       {sround(emean('average_score'), 4)} AS avg_score, {sround(emean('attendance'), 4)} AS avg_attendance
 FROM students GROUP BY faculty_id, risk_level"""))(risk_by_class_df)
 
 

@@ -9,22 +9,22 @@ from cohortlens.operators import stats, updates
 from cohortlens.plans import inputs
 from cohortlens.plans.q_views import _with_accounts
 from cohortlens.plans.registry import register
-from cohortlens.plans.sqlbase import sround, with_students
+from cohortlens.plans.sqlbase import emean, sround, with_students
 
 
-@register("analytics_summary", with_students("""
+@register("analytics_summary", with_students(f"""
 SELECT count(*) AS total_students,
-       coalesce(round(avg(attendance), 2), 0e0) AS avg_attendance,
-       coalesce(round(avg(average_score), 2), 0e0) AS avg_score
+       coalesce({sround(emean('attendance'), 2)}, 0e0) AS avg_attendance,
+       coalesce({sround(emean('average_score'), 2)}, 0e0) AS avg_score
 FROM students"""))
 def analytics_summary(spark, sf_dir):
     return stats.analytics_summary(inputs.students(spark, sf_dir))
 
 
-@register("analytics_by_class", with_students("""
+@register("analytics_by_class", with_students(f"""
 SELECT faculty_id, count(*) AS total_students,
-       coalesce(round(avg(attendance), 2), 0e0) AS avg_attendance,
-       coalesce(round(avg(average_score), 2), 0e0) AS avg_score
+       coalesce({sround(emean('attendance'), 2)}, 0e0) AS avg_attendance,
+       coalesce({sround(emean('average_score'), 2)}, 0e0) AS avg_score
 FROM students GROUP BY faculty_id"""))
 def analytics_by_class(spark, sf_dir):
     return stats.analytics_summary(inputs.students(spark, sf_dir), by=["faculty_id"])
@@ -67,7 +67,7 @@ def risk_cards(spark, sf_dir):
 
 @register("score_means_by_risk", with_students(
     "SELECT risk_level, "
-    + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in S.MEAN_COLS)
+    + ", ".join(f"{sround(emean(c), 6)} AS mean_{c}" for c in S.MEAN_COLS)
     + """, CASE risk_level WHEN 'High Risk' THEN 0 WHEN 'Medium Risk' THEN 1 WHEN 'Low Risk' THEN 2
               ELSE 3 END AS label_order
 FROM students GROUP BY risk_level"""))

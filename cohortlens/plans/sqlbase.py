@@ -32,6 +32,11 @@ def sround(expr: str, digits: int) -> str:
     return f"cast(round(cast(cast(({expr}) AS varchar) AS decimal(38, 20)), {digits}) AS double)"
 
 
+def emean(col: str) -> str:
+    """Mean from exact integer hundredths (matches ``functions.exact.exact_mean``)."""
+    return f"(cast(sum(cast(round({col} * 1e2) AS bigint)) AS double) / (count({col}) * 1e2))"
+
+
 _N = ("(CASE WHEN assignment_score IS NULL THEN 0 ELSE 1 END"
       " + CASE WHEN internal_marks IS NULL THEN 0 ELSE 1 END"
       " + CASE WHEN quiz_score IS NULL THEN 0 ELSE 1 END)")
