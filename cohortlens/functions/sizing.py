@@ -1,0 +1,20 @@
+"""Size-checked broadcast.
+
+A broadcast side must have a proven bound. Tables keyed by a fixed label set
+(risk levels, model classes) are bounded by construction; anything keyed by a
+caller-chosen column is counted first (at most ``max_rows + 1`` rows are
+read) and left to the planner — AQE picks broadcast or sort-merge from
+runtime sizes — when it is larger.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from cohortlens import schema as S
 from cohortlens.functions import rules
+from cohortlens.functions.sizing import bounded_broadcast
 from cohortlens.operators.features import generator_features
 from cohortlens.operators.ordering import rank_in_group
 
@@ -55,11 +56,12 @@ def with_feature_defaults(df: DataFrame) -> DataFrame:
 
 
 def class_weights(df: DataFrame, label: str = "risk_level") -> DataFrame:
-    """Balanced weights n / (k * n_c); the per-class table has k rows (broadcast)."""
+    """Balanced weights n / (k * n_c); the per-class table has k rows (size-checked broadcast)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).withColumn("_one", F.lit(1))
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k")).withColumn("_one", F.lit(1))
-    w = counts.join(F.broadcast(tot), "_one").select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
-    return df.join(F.broadcast(w), label)
+    w = counts.join(F.broadcast(tot), "_one").select(   # ``tot`` is a single row
+        label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
+    return df.join(bounded_broadcast(w), label)
 
 
 def stratified_assign(df: DataFrame, label: str = "risk_level", key: str = "student_id",

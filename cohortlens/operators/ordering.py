@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.sizing import bounded_broadcast
 from cohortlens.session import ensure_checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
@@ -63,11 +64,11 @@ def rank_in_group(df: DataFrame, group: str, order_cols: list[str],
 
     Equivalent to ``row_number() over (partitionBy(group) orderBy(order_cols)) - 1``
     without one task per group: global positions minus the group's first
-    position (one row per group, met by a broadcast join of that bounded table).
+    position (one row per group; broadcast only after its size is checked).
     """
     pos = global_positions(df, [group] + order_cols, num_partitions)
     starts = pos.groupBy(group).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("group_size"))
-    return (pos.join(F.broadcast(starts), group)
+    return (pos.join(bounded_broadcast(starts), group)
                .withColumn("rank_in_group", F.col("_pos") - F.col("_start"))
                .drop("_start", "_pid"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import schema as S
 from cohortlens.functions.exact import exact_mean
+from cohortlens.functions.sizing import bounded_broadcast
 
 
 def _n():
@@ -141,11 +142,11 @@ def box_outliers(df: DataFrame, value: str = "score_variance", by: str = "risk_l
                  key: str = "student_id") -> DataFrame:
     """Rows outside the fences of their group.
 
-    The fence table has one row per group label (a handful), so broadcasting
-    it is bounded; the big side is only filtered, never shuffled.
+    The fence table has one row per group; once its size is checked it is
+    broadcast, and the big side is only filtered, never shuffled.
     """
     fences = box_summary(df, value, by).select(by, "lower_fence", "upper_fence")
-    j = df.select(key, by, value).join(F.broadcast(fences), by)
+    j = df.select(key, by, value).join(bounded_broadcast(fences), by)
     return (j.filter((F.col(value) < F.col("lower_fence")) | (F.col(value) > F.col("upper_fence")))
              .select(key, by, value))
 
@@ -170,8 +171,7 @@ def density(df: DataFrame, value: str = "performance_drop", by: str = "risk_leve
                     F.min(value).alias("lo"), F.max(value).alias("hi"))
                .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))))
     vc = value_counts(df, value, by)
-    # One row per group label: broadcast size is bounded by the label set.
-    j = vc.join(F.broadcast(stats), by)
+    j = vc.join(bounded_broadcast(stats), by)
     g = j.select(by, "v", "w", "n", "h",
                  F.posexplode(_grid(F.col("lo"), F.col("hi"), points)).alias("gi", "g"))
     contrib = F.col("w") * F.exp(-0.5 * F.pow((F.col("g") - F.col("v")) / F.col("h"), 2))
@@ -197,7 +197,7 @@ def trend(df: DataFrame, x: str = "attendance", y: str = "average_score", by: st
     px = base.groupBy(by, F.col(x).alias("xv")).agg(_n().alias("c"), F.sum(y).alias("sy"))
     stats = (base.groupBy(by).agg(_n().alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
                  .withColumn("k", F.ceil(F.col("n") * frac)))
-    j = px.join(F.broadcast(stats), by)
+    j = px.join(bounded_broadcast(stats), by)
     g = j.select(by, "xv", "c", "sy", "k",
                  F.posexplode(_grid(F.col("lo"), F.col("hi"), points)).alias("gi", "g"))
     g = g.withColumn("d", F.abs(F.col("xv") - F.col("g")))

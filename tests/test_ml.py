@@ -45,3 +45,19 @@ def test_metrics_zero_division(spark):
     assert m["accuracy"] == 0.5
     cm = ml.confusion_matrix(pairs)
     assert cm.count() == 9 and cm.filter("count = 0").count() == 5
+
+
+def test_model_round_trip_and_missing_model(spark):
+    import pytest
+
+    from cohortlens.session import scratch_path
+    df = ml.training_frame(inputs.students_raw(spark, SF001))
+    r = ml.train_and_evaluate(df, SMALL, with_cv=False)
+    path = scratch_path(spark, "model-test")
+    assert ml.load_metrics(spark, path) is None
+    with pytest.raises(FileNotFoundError):
+        ml.load_model(spark, path)
+    ml.save(r, path)
+    m = ml.load_model(spark, path)
+    assert ml.labels_of(m) == ml.labels_of(r.model)
+    assert ml.load_metrics(spark, path).first()["accuracy"] == r.metrics["accuracy"]
