@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 
 from cohortlens import schema as S
 from cohortlens.functions import rules
-from cohortlens.functions.sizing import bounded_broadcast
 from cohortlens.operators.features import generator_features
 from cohortlens.operators.ordering import rank_in_group
 
@@ -55,13 +54,18 @@ def with_feature_defaults(df: DataFrame) -> DataFrame:
                                else F.lit(0.0)) for c in S.FEATURE_COLS})
 
 
+MAX_CLASSES = 10_000
+
+
 def class_weights(df: DataFrame, label: str = "risk_level") -> DataFrame:
-    """Balanced weights n / (k * n_c); the per-class table has k rows (size-checked broadcast)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).withColumn("_one", F.lit(1))
-    tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k")).withColumn("_one", F.lit(1))
-    w = counts.join(F.broadcast(tot), "_one").select(   # ``tot`` is a single row
-        label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
-    return df.join(bounded_broadcast(w), label)
+    """Balanced weights n / (k * n_c), added as a map literal over the (checked, small)
+    class counts: a narrow projection, no join and no second pass over the rows."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    n, k = sum(r["_nc"] for r in counts), len(counts)
+    wmap = F.create_map(*[x for r in counts for x in (F.lit(r[label]), F.lit(n / (k * r["_nc"])))])
+    return df.withColumn("weight", F.element_at(wmap, F.col(label)))
 
 
 def stratified_assign(df: DataFrame, label: str = "risk_level", key: str = "student_id",
@@ -152,8 +156,7 @@ def confusion_matrix(pairs: DataFrame, labels: list[str] | None = None) -> DataF
             .select("label", "prediction", F.coalesce("n", F.lit(0).cast("long")).alias("count")))
 
 
-def class_report(pairs: DataFrame) -> DataFrame:
-    """Per class: precision, recall, F1 (0 on zero division) and support."""
+def _report_counts(pairs: DataFrame) -> DataFrame:
     c = pair_counts(pairs)
     tp = c.filter(F.col("label") == F.col("prediction")).select(F.col("label").alias("cls"),
                                                                 F.col("n").alias("tp"))
@@ -167,21 +170,23 @@ def class_report(pairs: DataFrame) -> DataFrame:
     j = j.withColumns({"precision": prec, "recall": rec})
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
                                  F.col("precision") + F.col("recall")), F.lit(0.0))
-    return j.withColumn("f1", f1).select(F.col("cls").alias("label"), "precision", "recall", "f1",
-                                         F.col("support").cast("long").alias("support"))
+    return j.withColumn("f1", f1)
+
+
+def class_report(pairs: DataFrame) -> DataFrame:
+    """Per class: precision, recall, F1 (0 on zero division) and support."""
+    return _report_counts(pairs).select(F.col("cls").alias("label"), "precision", "recall", "f1",
+                                        F.col("support").cast("long").alias("support"))
 
 
 def eval_metrics(pairs: DataFrame) -> DataFrame:
-    """Accuracy and support-weighted precision, recall and F1 in one row."""
-    rep = class_report(pairs)
+    """Accuracy and support-weighted precision, recall and F1 in one row (one aggregate)."""
+    rep = _report_counts(pairs)
     tot = F.sum("support")
     w = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), tot), F.lit(0.0))
-    acc = pair_counts(pairs).agg(F.coalesce(F.try_divide(
-        F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).cast("double"),
-        F.sum("n")), F.lit(0.0)).alias("accuracy"), F.lit(1).alias("_one"))
-    wm = rep.agg(w("precision").alias("precision"), w("recall").alias("recall"),
-                 w("f1").alias("f1_score")).withColumn("_one", F.lit(1))
-    return acc.join(wm, "_one").drop("_one")
+    return rep.agg(F.coalesce(F.try_divide(F.sum("tp").cast("double"), tot), F.lit(0.0)).alias("accuracy"),
+                   w("precision").alias("precision"), w("recall").alias("recall"),
+                   w("f1").alias("f1_score"))
 
 
 # ------------------------------------------------------------------ training run

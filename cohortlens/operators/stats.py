@@ -184,17 +184,20 @@ def density(df: DataFrame, value: str = "performance_drop", by: str = "risk_leve
 
 
 def trend(df: DataFrame, x: str = "attendance", y: str = "average_score", by: str = "risk_level",
-          points: int = 51, frac: float = 2.0 / 3.0) -> DataFrame:
+          points: int = 51, frac: float = 2.0 / 3.0, precision: int = 2) -> DataFrame:
     """Locally weighted linear fit of y on x per group, evaluated on a grid.
 
     At each grid point g the window is the ceil(frac*n) nearest x values
     (tricube weights on distance / k-th distance); the weighted least-squares
     line is evaluated at g, or the weighted mean when x has no spread there.
     No robustness iterations. Rows are first reduced to distinct (group, x)
-    with count, sum y and sum y^2, which is what the weighted sums need.
+    with count and sum of y, which is all the weighted sums need; x is taken
+    at ``precision`` decimals (scores are entered with two), so per group at
+    most (max - min) * 10^precision + 1 values remain, whatever the row count.
     """
     base = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    px = base.groupBy(by, F.col(x).alias("xv")).agg(_n().alias("c"), F.sum(y).alias("sy"))
+    px = base.groupBy(by, F.round(F.col(x), precision).alias("xv")).agg(_n().alias("c"),
+                                                                         F.sum(y).alias("sy"))
     stats = (base.groupBy(by).agg(_n().alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
                  .withColumn("k", F.ceil(F.col("n") * frac)))
     j = px.join(bounded_broadcast(stats), by)

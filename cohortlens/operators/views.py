@@ -55,10 +55,9 @@ def scoped_counts(accounts: DataFrame, students: DataFrame) -> DataFrame:
     on the key (at most one row per key on the student side).
     """
     per_class = students.groupBy("faculty_id").agg(F.count(F.lit(1)).alias("n"))
-    # one-row global count, met on a constant key (a single row: broadcast is safe)
-    total = students.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
-    admins = (accounts.filter(F.col("role") == "admin").withColumn("_one", F.lit(1))
-              .join(F.broadcast(total), "_one").drop("_one"))
+    # the global row count is one scalar, computed once and used as a literal
+    total = students.count()
+    admins = accounts.filter(F.col("role") == "admin").withColumn("n", F.lit(total).cast("long"))
     faculty = (accounts.filter(F.col("role") == "faculty")
                .join(per_class, F.col("linked_faculty_id") == F.col("faculty_id"), "left")
                .drop("faculty_id"))

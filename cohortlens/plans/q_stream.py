@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from cohortlens.plans import inputs
-from cohortlens.plans.q_io import prediction_updates, progress_requests, score_requests
+from cohortlens.plans.q_io import (_UPDATES_SQL, prediction_updates, progress_requests,
+                                   score_requests)
+from cohortlens.plans.sqlbase import RISK_PROGRESS, with_progress, with_students
 from cohortlens.plans.q_ml import trained
 from cohortlens.plans.registry import register
 from cohortlens.session import scratch_path
@@ -14,7 +14,18 @@ from cohortlens.sources.snapshot import SnapshotStore
 from cohortlens.streaming import streams
 
 
-@register("stream_progress")
+@register("stream_progress", with_progress(f"""
+, pr AS (SELECT event_id AS seq,
+               CASE WHEN event_id % 37 <> 0 THEN concat('STU', lpad(cast(user_id AS varchar), 8, '0')) END
+                 AS student_id,
+               CASE WHEN event_id % 41 = 0 THEN 'x' ELSE cast(least(value, 1e2) AS varchar) END AS attendance,
+               json_extract_string(props, '$.k') AS average_score
+        FROM events),
+ok AS (SELECT seq, student_id, try_cast(attendance AS double) AS attendance,
+              try_cast(average_score AS double) AS average_score FROM pr
+       WHERE student_id IS NOT NULL AND try_cast(attendance AS double) IS NOT NULL
+         AND try_cast(average_score AS double) IS NOT NULL)
+SELECT student_id, attendance, average_score, {RISK_PROGRESS} AS risk_level, seq FROM ok"""))
 def stream_progress(spark, sf_dir):
     src, sink = scratch_path(spark, "progress-in"), scratch_path(spark, "progress-out")
     files.write_json(progress_requests(spark, sf_dir), src)
@@ -31,7 +42,7 @@ def stream_scoring(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
-@register("stream_apply")
+@register("stream_apply", with_students(_UPDATES_SQL, progress=True))
 def stream_apply(spark, sf_dir):
     store = SnapshotStore(spark, scratch_path(spark, "snapshot-stream"))
     store.replace(inputs.students(spark, sf_dir))
@@ -40,4 +51,4 @@ def stream_apply(spark, sf_dir):
     files.write_json(upd, src)
     schema = upd.schema
     streams.run_apply_stream(spark, src, store, scratch_path(spark, "apply-ckpt"), schema)
-    return store.read().drop("created_at").withColumn("confidence", F.col("confidence"))
+    return store.read().drop("created_at")
