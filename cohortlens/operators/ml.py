@@ -162,14 +162,18 @@ def confusion_matrix(pairs: DataFrame, labels: list[str] | None = None) -> DataF
 
 
 def _report_counts(pairs: DataFrame) -> DataFrame:
+    """Per class tp / support / predicted from the k x k count table in one pass:
+    each (label, prediction, n) cell counts once for its label and once for its
+    prediction (``inline`` of two structs), then one aggregate by class."""
     c = pair_counts(pairs)
-    tp = c.filter(F.col("label") == F.col("prediction")).select(F.col("label").alias("cls"),
-                                                                F.col("n").alias("tp"))
-    sup = c.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
-    pred = c.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    classes = sup.select("cls").union(pred.select("cls")).distinct()
-    j = (classes.join(sup, "cls", "left").join(pred, "cls", "left").join(tp, "cls", "left")
-                .fillna(0, ["support", "predicted", "tp"]))
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    hit = F.when(F.col("label") == F.col("prediction"), n).otherwise(zero)
+    roles = F.array(
+        F.struct(F.col("label").alias("cls"), n.alias("support"), hit.alias("tp"), zero.alias("predicted")),
+        F.struct(F.col("prediction").alias("cls"), zero.alias("support"), zero.alias("tp"),
+                 n.alias("predicted")))
+    j = (c.select(F.inline(roles)).groupBy("cls")
+          .agg(*[F.sum(x).alias(x) for x in ("support", "tp", "predicted")]))
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
     j = j.withColumns({"precision": prec, "recall": rec})

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import features, ml
+from cohortlens import schema as S
+from cohortlens.operators import features, ml, risk
 from cohortlens.plans import inputs
 from cohortlens.plans.registry import register
 from cohortlens.plans.sqlbase import GEN_FEATURES, with_gen, with_students
@@ -111,10 +112,12 @@ def model_metrics(spark, sf_dir):
 
 # Evaluation operators on a (label, prediction) table derived from the data:
 # the ingest rule's label against the points rule's label for every student.
+# Both labels are projections of the same rows, so there is no self-join.
 def eval_pairs(spark, sf_dir):
-    st = inputs.students(spark, sf_dir).select("student_id", F.col("risk_level").alias("label"))
-    pts = training_data(spark, sf_dir).select("student_id", F.col("risk_level").alias("prediction"))
-    return st.join(pts, "student_id")
+    raw = inputs.students_raw(spark, sf_dir)
+    lab = features.ingest_features(raw).select("student_id", F.col("risk_level").alias("label"),
+                                               *S.REQUEST_FIELDS)
+    return risk.label_points(lab, out="prediction").select("label", "prediction")
 
 
 _PAIRS = f"""
