@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens import schema as S
+from cohortlens.functions import rules
 from cohortlens.operators import features, ml, risk
 from cohortlens.plans import inputs
 from cohortlens.plans.registry import register
@@ -63,10 +64,13 @@ def train_eval(spark, sf_dir):
     """Hold-out accuracy and weighted precision / recall / F1 (CV in ``cv_scores``)."""
     r = trained(spark, sf_dir)
     m = r.metrics
-    return spark.createDataFrame([(m["accuracy"], m["precision"], m["recall"], m["f1_score"],
-                                   r.test_pairs.count())],
-                                 "accuracy double, precision double, recall double, f1_score double, "
-                                 "test_rows long")
+    out = spark.createDataFrame([(m["accuracy"], m["precision"], m["recall"], m["f1_score"],
+                                  r.test_pairs.count())],
+                                "accuracy double, precision double, recall double, f1_score double, "
+                                "test_rows long")
+    hi, mid = S.BANDS["model_metric"]
+    return out.withColumns({f"{c}_band": rules.band(c, hi, mid)
+                            for c in ["accuracy", "precision", "recall", "f1_score"]})
 
 
 @register("cv_scores")

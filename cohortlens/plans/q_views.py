@@ -80,6 +80,13 @@ def fixed_sample(spark, sf_dir):
     return views.fixed_sample(inputs.students(spark, sf_dir), S.SAMPLE_SIZE_ADMIN)
 
 
+@register("class_sample")
+def class_sample(spark, sf_dir):
+    """The class view's fixed sample: min(250, class size) rows of one class."""
+    cls = views.class_students(inputs.students(spark, sf_dir), CLASS_ID)
+    return views.fixed_sample(cls, S.SAMPLE_SIZE_CLASS)
+
+
 @register("accounts", _with_accounts(
     "SELECT username, role, linked_student_id, linked_faculty_id FROM accounts"))
 def accounts(spark, sf_dir):
