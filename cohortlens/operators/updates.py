@@ -24,15 +24,26 @@ def latest_per_key(df: DataFrame, key: str, order: str, cols: list[str]) -> Data
     return df.groupBy(key).agg(picked.alias("_v")).select(key, "_v.*")
 
 
-def apply_predictions(students: DataFrame, updates: DataFrame, seq: str = "seq") -> DataFrame:
-    """Write the prediction columns of matching ids; unmatched ids are ignored; latest wins."""
-    latest = latest_per_key(updates, "student_id", seq, PRED_COLS)
-    upd = latest.select(F.col("student_id").alias("_uid"),
+def apply_predictions(students: DataFrame, updates: DataFrame, seq: str = "seq",
+                      keep_seq: bool = False) -> DataFrame:
+    """Write the prediction columns of matching ids; unmatched ids are ignored; latest wins.
+
+    With ``keep_seq`` the table carries ``prediction_seq`` (the arrival number of
+    the update it holds) and an update only replaces an older one, so applying
+    updates in several batches, in any batch order, gives the one-batch result.
+    """
+    latest = latest_per_key(updates, "student_id", seq, PRED_COLS + [seq])
+    upd = latest.select(F.col("student_id").alias("_uid"), F.col(seq).alias("_new_seq"),
                         *[F.col(c).alias(f"_new_{c}") for c in PRED_COLS])
     j = students.join(upd, F.col("student_id") == F.col("_uid"), "left")
     matched = F.col("_uid").isNotNull()
+    if "prediction_seq" in students.columns:
+        matched = matched & (F.col("prediction_seq").isNull() | (F.col("_new_seq") > F.col("prediction_seq")))
     cols = [F.when(matched, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-            if c in PRED_COLS else F.col(c) for c in students.columns]
+            if c in PRED_COLS else F.col(c) for c in students.columns if c != "prediction_seq"]
+    if keep_seq:
+        old = F.col("prediction_seq") if "prediction_seq" in students.columns else F.lit(None).cast("long")
+        cols.append(F.when(matched, F.col("_new_seq")).otherwise(old).alias("prediction_seq"))
     return j.select(cols)
 
 

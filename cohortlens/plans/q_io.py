@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import schema as S
 from cohortlens.functions.rules import alert_tags
-from cohortlens.operators import features, updates, validate
+from cohortlens.operators import load, updates, validate
 from cohortlens.plans import inputs
 from cohortlens.plans.registry import register
 from cohortlens.plans.sqlbase import with_progress, with_students
@@ -27,8 +27,7 @@ def csv_scan(spark, sf_dir):
     """Six-column file -> declared-schema scan -> derived columns -> stored columns."""
     path = scratch_path(spark, "students-csv")
     files.write_csv(bridge_raw(spark, sf_dir), path)
-    raw = features.clean_nan(files.read_students_csv(spark, path))
-    return features.to_snapshot_columns(features.ingest_features(raw))
+    return load.prepare(files.read_students_csv(spark, path), on_duplicate="error")
 
 
 def bridge_raw(spark, sf_dir):
@@ -197,8 +196,7 @@ def apply_predictions(spark, sf_dir):
 def snapshot_replace(spark, sf_dir):
     """Load, then publish the updated table as a new version; read the current one."""
     store = SnapshotStore(spark, scratch_path(spark, "students-snapshot"))
-    st = inputs.students(spark, sf_dir)
-    store.replace(st)
+    load.load(store, inputs.students_raw(spark, sf_dir), on_duplicate="last", require=True)
     store.replace(updates.apply_predictions(store.read(), prediction_updates(spark, sf_dir)))
     return store.read().drop("created_at")
 

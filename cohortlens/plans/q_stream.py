@@ -48,7 +48,8 @@ def stream_apply(spark, sf_dir):
     store.replace(inputs.students(spark, sf_dir))
     upd = prediction_updates(spark, sf_dir)
     src = scratch_path(spark, "updates-in")
-    files.write_json(upd, src)
-    schema = upd.schema
-    streams.run_apply_stream(spark, src, store, scratch_path(spark, "apply-ckpt"), schema)
-    return store.read().drop("created_at")
+    # several files, read one per micro-batch, in whatever order the source lists them
+    files.write_json(upd.repartition(4, "student_id"), src)
+    streams.run_apply_stream(spark, src, store, scratch_path(spark, "apply-ckpt"), upd.schema,
+                             max_files=1)
+    return store.read().drop("created_at", "prediction_seq")

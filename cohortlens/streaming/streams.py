@@ -15,11 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import schema as S
+from cohortlens.functions.rules import risk_progress
 from cohortlens.operators import features, ml, recommend, updates, validate
 from cohortlens.sources.snapshot import SnapshotStore
 
+MAX_FILES_PER_TRIGGER = 1000
 
-def read_json_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+
+def read_json_stream(spark: SparkSession, path: str, schema,
+                     max_files: int | None = MAX_FILES_PER_TRIGGER) -> DataFrame:
+    """File stream with a bounded micro-batch (``maxFilesPerTrigger``)."""
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
@@ -41,7 +46,6 @@ def progress_stream(requests: DataFrame) -> DataFrame:
     v = validate.check_progress_requests(requests).filter("is_valid")
     out = v.select("student_id", F.current_timestamp().alias("timestamp"), "attendance", "average_score",
                    *([F.col("seq")] if "seq" in requests.columns else []))
-    from cohortlens.functions.rules import risk_progress
     return out.withColumn("risk_level", risk_progress()).withColumn("dt", F.to_date("timestamp"))
 
 
@@ -82,13 +86,13 @@ def apply_batch(store: SnapshotStore):
         if _exists(spark, marker):
             return
         current = store.read().drop("created_at")
-        store.replace(updates.apply_predictions(current, batch), reject_empty=False)
+        store.replace(updates.apply_predictions(current, batch, keep_seq=True), reject_empty=False)
         spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").json(marker)
     return fn
 
 
 def run_apply_stream(spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str,
-                     schema, max_files: int | None = None) -> None:
+                     schema, max_files: int | None = MAX_FILES_PER_TRIGGER) -> None:
     stream = read_json_stream(spark, source, schema, max_files)
     _run(stream.writeStream.foreachBatch(apply_batch(store)), checkpoint)
 

@@ -57,3 +57,23 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_load_policies(spark):
+    from cohortlens.operators import load, validate
+    store = SnapshotStore(spark, scratch_path(spark, "load-test"))
+    cols = "student_id string, attendance double, assignment_score double, internal_marks double, " \
+           "quiz_score double, previous_semester_marks double, seq long"
+    good = spark.createDataFrame([("A", 90.0, 80.0, 80.0, 80.0, 70.0, 1), ("B", 50.0, 40.0, 40.0, 40.0, 60.0, 2)],
+                                 cols)
+    v1 = load.load(store, good.drop("seq"), require=True)
+    dup = spark.createDataFrame([("A", 90.0, 80.0, 80.0, 80.0, 70.0, 1), ("A", 60.0, 50.0, 50.0, 50.0, 70.0, 5)],
+                                cols)
+    with pytest.raises(validate.ValidationError):
+        load.load(store, dup.drop("seq"), on_duplicate="error")
+    assert store.current_version() == v1                      # old snapshot stays
+    load.load(store, dup, on_duplicate="last", seq="seq")
+    rows = store.read().collect()
+    assert len(rows) == 1 and rows[0]["attendance"] == 60.0 and rows[0]["risk_level"] == "High Risk"
+    with pytest.raises(validate.ValidationError):
+        load.load(store, good.drop("quiz_score"), require=True)
