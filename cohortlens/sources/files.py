@@ -32,7 +32,7 @@ def schema_for_header(columns: list[str]) -> T.StructType:
 
 def read_students_csv(spark: SparkSession, path: str, keep_corrupt: bool = False) -> DataFrame:
     cols = csv_header(spark, path)
-    schema = schema_for_header(cols).add(T.StructField(CORRUPT, T.StringType()))
+    schema = T.StructType(schema_for_header(cols).fields + [T.StructField(CORRUPT, T.StringType())])
     df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
     return df if keep_corrupt else df.drop(CORRUPT)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens import schema as S
 from cohortlens.functions.rules import risk_progress
@@ -56,7 +57,8 @@ def run_progress_stream(spark: SparkSession, source: str, sink: str, checkpoint:
 
 
 def _progress_schema():
-    return S.PROGRESS_REQUEST.add("seq", "long")
+    # a new StructType: ``StructType.add`` would mutate the shared schema in place
+    return T.StructType(S.PROGRESS_REQUEST.fields + [T.StructField("seq", T.LongType())])
 
 
 def scoring_stream(requests: DataFrame, model: PipelineModel) -> DataFrame:
