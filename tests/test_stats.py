@@ -88,3 +88,31 @@ def test_correlation_constant_column_is_null_not_error(spark):
     df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.0, 5.0), (3.0, 7.0, 5.0)], "a double, b double, c double")
     r = {(x["x"], x["y"]): x["r"] for x in stats.correlation_matrix(df, ["a", "b", "c"]).collect()}
     assert r[("a", "c")] is None and r[("a", "a")] == 1.0 and len(r) == 9
+
+
+def test_empty_table_summary_is_zero(spark):
+    df = spark.createDataFrame([], "faculty_id string, attendance double, average_score double")
+    r = stats.analytics_summary(df).first()
+    assert (r["total_students"], r["avg_attendance"], r["avg_score"]) == (0, 0.0, 0.0)
+
+
+def test_null_label_group_kept_or_dropped(spark):
+    df = spark.createDataFrame([("High Risk",), (None,), (None,), ("Low Risk",)], "risk_level string")
+    keep = {r["risk_level"]: r["count"] for r in stats.risk_distribution(df, keep_null=True).collect()}
+    drop = [(r["risk_level"], r["count"]) for r in stats.risk_distribution(df, keep_null=False).collect()]
+    assert keep == {"High Risk": 1, "Low Risk": 1, None: 2}
+    assert drop == [("High Risk", 1), ("Low Risk", 1)]
+
+
+def test_risk_cards_fill_absent_labels(spark):
+    df = spark.createDataFrame([("F1", "High Risk"), ("F1", "High Risk"), ("F1", "Low Risk")],
+                               "faculty_id string, risk_level string")
+    r = stats.risk_cards(df, by=["faculty_id"]).first()
+    assert (r["n_high"], r["n_medium"], r["n_low"], r["pct_high"], r["pct_medium"]) == (2, 0, 1, 66.7, 0.0)
+
+
+def test_means_do_not_depend_on_partitioning(spark):
+    pdf = _fixture()
+    a = stats.score_means_by_risk(spark.createDataFrame(pdf).repartition(1), ["attendance", "average_score"])
+    b = stats.score_means_by_risk(spark.createDataFrame(pdf).repartition(13), ["attendance", "average_score"])
+    assert sorted(a.collect()) == sorted(b.collect())
