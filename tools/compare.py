@@ -83,6 +83,11 @@ def main():
         elif srows != orows:
             diff = [(a, b) for a, b in zip(srows, orows) if a != b]
             msg.append(f"{len(diff)} value diffs, first: {diff[:2]}")
+        fam = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+               "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+        tdiff = {c: (t, otypes.get(c)) for c, t in stypes.items() if fam.get(t, t) != otypes.get(c)}
+        if tdiff:
+            msg.append(f"type families differ: {tdiff}")
         if msg:
             bad += 1
             print(f"FAIL {name} ({dt:.1f}s): " + "; ".join(msg))
