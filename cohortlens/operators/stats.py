@@ -184,7 +184,7 @@ def density(df: DataFrame, value: str = "performance_drop", by: str = "risk_leve
 
 
 def trend(df: DataFrame, x: str = "attendance", y: str = "average_score", by: str = "risk_level",
-          points: int = 51, frac: float = 2.0 / 3.0, precision: int = 2) -> DataFrame:
+          points: int = 51, frac: float = 2.0 / 3.0, precision: int = 2, digits: int = 4) -> DataFrame:
     """Locally weighted linear fit of y on x per group, evaluated on a grid.
 
     At each grid point g the window is the ceil(frac*n) nearest x values
@@ -225,8 +225,8 @@ def trend(df: DataFrame, x: str = "attendance", y: str = "average_score", by: st
     sxy = F.col("swxy") - F.col("sw") * mx * my
     slope = F.try_divide(sxy, sxx)
     fit = F.when(F.abs(sxx) > 1e-12, my + slope * (F.col("g") - mx)).otherwise(my)
-    return agg.select(by, F.col("gi").cast("int").alias("grid_index"), F.col("g").alias("x"),
-                      fit.alias("y"))
+    return agg.select(by, F.col("gi").cast("int").alias("grid_index"), F.round("g", 6).alias("x"),
+                      F.round(fit, digits).alias("y"))
 
 
 def profile(df: DataFrame, cols=None, key: str = "student_id") -> DataFrame:

@@ -160,7 +160,30 @@ def drop_density(spark, sf_dir):
     return stats.density(inputs.students(spark, sf_dir))
 
 
-@register("trend_line")
+@register("trend_line", with_students("""
+, base AS (SELECT risk_level, attendance, average_score FROM students
+           WHERE attendance IS NOT NULL AND average_score IS NOT NULL),
+px AS (SELECT risk_level, round(attendance, 2) AS xv, count(*) AS c, sum(average_score) AS sy
+       FROM base GROUP BY 1, 2),
+st AS (SELECT risk_level, count(*) AS n, min(attendance) AS lo, max(attendance) AS hi,
+              ceil(count(*) * (2e0 / 3e0)) AS k FROM base GROUP BY 1),
+g AS (SELECT px.*, st.k, t.gi, st.lo + (st.hi - st.lo) / 5e1 * t.gi AS g
+      FROM px JOIN st USING (risk_level), range(0, 51) t(gi)),
+d AS (SELECT *, abs(xv - g) AS d FROM g),
+cum AS (SELECT *, sum(c) OVER (PARTITION BY risk_level, gi ORDER BY d
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d),
+h AS (SELECT risk_level, gi, min(d) AS h FROM cum WHERE cum >= k GROUP BY 1, 2),
+w AS (SELECT d.*, CASE WHEN h.h > 0 THEN (CASE WHEN d.d / h.h < 1 THEN pow(1 - pow(d.d / h.h, 3), 3)
+                                             ELSE 0e0 END)
+                       WHEN d.d = 0 THEN 1e0 ELSE 0e0 END AS wt
+      FROM d JOIN h USING (risk_level, gi)),
+a AS (SELECT risk_level, gi, g, sum(wt * c) AS sw, sum(wt * c * xv) AS swx, sum(wt * sy) AS swy,
+             sum(wt * c * xv * xv) AS swxx, sum(wt * sy * xv) AS swxy FROM w GROUP BY 1, 2, 3),
+m AS (SELECT *, swx / sw AS mx, swy / sw AS my FROM a)
+SELECT risk_level, cast(gi AS integer) AS grid_index, round(g, 6) AS x,
+       round(CASE WHEN abs(swxx - sw * mx * mx) > 1e-12
+                  THEN my + (swxy - sw * mx * my) / (swxx - sw * mx * mx) * (g - mx) ELSE my END, 4) AS y
+FROM m"""))
 def trend_line(spark, sf_dir):
     return stats.trend(inputs.students(spark, sf_dir))
 

@@ -75,7 +75,7 @@ def test_trend_matches_brute_force(spark):
         g = g.sort_values("grid_index")
         want = _lowess_brute(sub.attendance.to_numpy(), sub.average_score.to_numpy(),
                              g["x"].to_numpy(), 2.0 / 3.0)
-        assert np.allclose(g["y"].to_numpy(), want, rtol=1e-6, atol=1e-6)
+        assert np.allclose(g["y"].to_numpy(), want, rtol=0, atol=5.1e-5)   # output has 4 digits
 
 
 def test_histogram_top_edge_in_last_bin(spark):
