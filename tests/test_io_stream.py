@@ -77,3 +77,14 @@ def test_load_policies(spark):
     assert len(rows) == 1 and rows[0]["attendance"] == 60.0 and rows[0]["risk_level"] == "High Risk"
     with pytest.raises(validate.ValidationError):
         load.load(store, good.drop("quiz_score"), require=True)
+
+
+def test_fixed_sample_is_hash_rank_top_n(spark):
+    from pyspark.sql import functions as F
+
+    from cohortlens.operators import views
+    st = inputs.students(spark, SF001)
+    got = sorted(r["student_id"] for r in views.fixed_sample(st, 300, seed=42).collect())
+    allh = st.select("student_id", F.xxhash64("student_id", F.lit(42)).alias("h")).toPandas()
+    want = sorted(allh.sort_values(["h", "student_id"]).head(300)["student_id"])
+    assert got == want
