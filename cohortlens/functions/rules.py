@@ -63,7 +63,7 @@ def band(value, hi: float, mid: float) -> Column:
     return F.when(v >= hi, F.lit("good")).when(v >= mid, F.lit("watch")).otherwise(F.lit("poor"))
 
 
-def _rule_inputs(df_cols=None):
+def rule_inputs(df_cols=None):
     """Inputs of the recommendation rules with the defaults for missing values."""
     def pick(name, default):
         if df_cols is not None and name not in df_cols:
@@ -78,7 +78,7 @@ def _rule_inputs(df_cols=None):
 
 def difficulty_types(df_cols=None) -> Column:
     """Ordered array of difficulty tags, fallback tag when none applies."""
-    v = _rule_inputs(df_cols)
+    v = rule_inputs(df_cols)
     t1, t2, t3, t4 = S.DIFFICULTY_TAGS
     tags = F.array_compact(F.array(
         F.when(v["att"] < 60, F.lit(t1)),
@@ -91,7 +91,7 @@ def difficulty_types(df_cols=None) -> Column:
 
 def alert_tags(df_cols=None) -> Column:
     """Short tags of the class alert list (no quiz/variance test), joined by ', '."""
-    v = _rule_inputs(df_cols)
+    v = rule_inputs(df_cols)
     t1, t2, t3, t4 = S.ALERT_TAGS
     joined = F.concat_ws(", ",
                          F.when(v["att"] < 60, F.lit(t1)),

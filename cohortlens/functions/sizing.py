@@ -16,5 +16,12 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave it to the planner.
+
+    The side is persisted before it is counted, so the check does not compute
+    its upstream plan twice (once to count, once to join); it is small when it
+    passes, and it spills to disk when it does not.
+    """
+    small = df.persist()
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small

@@ -97,3 +97,20 @@ def test_nan_becomes_null_before_rules(spark):
     assert cleaned.first()["attendance"] is None
     assert cleaned.select(rules.risk_ingest().alias("r")).first()["r"] == S.HIGH
     assert math.isnan(df.first()["attendance"])
+
+
+def test_replaced_catalogue_is_used(spark):
+    from pyspark.sql import functions as F
+
+    from cohortlens.operators import recommend as R
+    cat = R.rule_catalogue(spark).withColumn(
+        "category", F.when(F.col("rule_id") == "plan_low", "Own plan").otherwise(F.col("category")))
+    df = spark.createDataFrame([("a", 90.0, 90.0, 90.0, 90.0, 0.0, 0.0, S.LOW)],
+                               "student_id string, attendance double, internal_marks double, "
+                               "assignment_score double, quiz_score double, score_variance double, "
+                               "performance_drop double, risk_level string")
+    rec = R.recommend(df, catalogue=cat).first()["recommendation"]
+    assert [x["category"] for x in rec["recommendations"]] == ["Own plan"]
+    assert rec["priority_action"] == "Own plan" and len(rec["innovative_methods"]) == 3
+    default = R.recommend(df).first()["recommendation"]
+    assert default["recommendations"][0]["category"] == "Excellence Enhancement"
