@@ -22,7 +22,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import schema as S
-from cohortlens.functions.rules import risk_progress
 from cohortlens.operators import load, ml, progress, stats, updates, validate, views
 from cohortlens.session import ensure_checkpoint_dir
 from cohortlens.sources import files, jdbc
@@ -93,8 +92,7 @@ def cmd_analytics(spark, a):
 def cmd_progress(spark, a):
     checked = validate.check_progress_requests(files.read_progress_requests_json(spark, a.requests))
     good, _ = validate.split_valid(checked)
-    rows = good.select("student_id", "attendance", "average_score")
-    progress.append(rows.withColumn("risk_level", risk_progress()), a.log)
+    progress.append(good.select("student_id", "attendance", "average_score", "risk_level"), a.log)
     return {"log": a.log}
 
 

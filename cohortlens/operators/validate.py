@@ -63,7 +63,8 @@ def check_score_requests(df: DataFrame, fields=None) -> DataFrame:
 
 
 def check_progress_requests(df: DataFrame) -> DataFrame:
-    """student_id, attendance and average_score required; numbers parsed, no range check."""
+    """student_id, attendance, average_score and risk_level required (the label is the
+    client's, stored as sent); the two numbers are parsed, with no range check."""
     fields = S.PROGRESS_FIELDS
     nums = ["attendance", "average_score"]
     out = df.withColumn("missing", _missing(fields))

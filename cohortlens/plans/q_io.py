@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import schema as S
-from cohortlens.functions.rules import alert_tags
+from cohortlens.functions.rules import alert_tags, risk_progress
 from cohortlens.operators import load, updates, validate
 from cohortlens.plans import inputs
 from cohortlens.plans.registry import register
-from cohortlens.plans.sqlbase import with_progress, with_students
+from cohortlens.plans.sqlbase import RISK_PROGRESS, with_progress, with_students
 from cohortlens.session import scratch_path
 from cohortlens.sources import files, generator
 from cohortlens.sources.bridge import table
@@ -118,33 +118,45 @@ def validate_requests(spark, sf_dir):
 
 
 def progress_requests(spark, sf_dir) -> DataFrame:
+    """Progress records as a client sends them (values as strings, the label computed by
+    the client with the progress rule), with missing and malformed fields on some keys."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "props")
     k = F.col("event_id")
     sid = F.concat(F.lit("STU"), F.lpad(F.col("user_id").cast("string"), 8, "0"))
+    att = F.least(F.col("value"), F.lit(100.0))
+    avg = F.get_json_object("props", "$.k")
     return ev.select(
         k.alias("seq"),
         F.when(k % 37 != 0, sid).alias("student_id"),
-        F.when(k % 41 == 0, F.lit("x")).otherwise(F.least(F.col("value"), F.lit(100.0)).cast("string"))
-         .alias("attendance"),
-        F.get_json_object("props", "$.k").alias("average_score"))
+        F.when(k % 41 == 0, F.lit("x")).otherwise(att.cast("string")).alias("attendance"),
+        avg.alias("average_score"),
+        F.when(k % 43 != 0, risk_progress(att, avg.cast("double"))).alias("risk_level"))
 
 
-@register("validate_progress", with_progress("""
+PROGRESS_REQUESTS_SQL = f"""
 , pr AS (SELECT event_id AS seq,
                CASE WHEN event_id % 37 <> 0 THEN concat('STU', lpad(cast(user_id AS varchar), 8, '0')) END
                  AS student_id,
                CASE WHEN event_id % 41 = 0 THEN 'x' ELSE cast(least(value, 1e2) AS varchar) END AS attendance,
-               json_extract_string(props, '$.k') AS average_score
-        FROM events)
+               json_extract_string(props, '$.k') AS average_score,
+               CASE WHEN event_id % 43 <> 0 THEN
+                 {RISK_PROGRESS.replace('attendance', 'least(value, 1e2)')
+                               .replace('average_score', "cast(json_extract_string(props, '$.k') AS double)")}
+               END AS risk_level
+        FROM events)"""
+
+
+@register("validate_progress", with_progress(PROGRESS_REQUESTS_SQL + """
 SELECT seq, student_id, try_cast(attendance AS double) AS attendance,
-       try_cast(average_score AS double) AS average_score,
-       CASE WHEN student_id IS NULL OR attendance IS NULL OR average_score IS NULL THEN 'missing'
+       try_cast(average_score AS double) AS average_score, risk_level,
+       CASE WHEN student_id IS NULL OR attendance IS NULL OR average_score IS NULL OR risk_level IS NULL
+            THEN 'missing'
             WHEN try_cast(attendance AS double) IS NULL OR try_cast(average_score AS double) IS NULL
             THEN 'not_numeric' END AS error_kind
 FROM pr"""))
 def validate_progress(spark, sf_dir):
     v = validate.check_progress_requests(progress_requests(spark, sf_dir))
-    return v.select("seq", "student_id", "attendance", "average_score", "error_kind")
+    return v.select("seq", "student_id", "attendance", "average_score", "risk_level", "error_kind")
 
 
 # ---------------------------------------------------------------- keys

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from cohortlens.plans import inputs
-from cohortlens.plans.q_io import (_UPDATES_SQL, prediction_updates, progress_requests,
-                                   score_requests)
-from cohortlens.plans.sqlbase import RISK_PROGRESS, with_progress, with_students
+from cohortlens.plans.q_io import (_UPDATES_SQL, PROGRESS_REQUESTS_SQL, prediction_updates,
+                                   progress_requests, score_requests)
+from cohortlens.plans.sqlbase import with_progress, with_students
 from cohortlens.plans.q_ml import trained
 from cohortlens.plans.registry import register
 from cohortlens.session import scratch_path
@@ -14,18 +14,11 @@ from cohortlens.sources.snapshot import SnapshotStore
 from cohortlens.streaming import streams
 
 
-@register("stream_progress", with_progress(f"""
-, pr AS (SELECT event_id AS seq,
-               CASE WHEN event_id % 37 <> 0 THEN concat('STU', lpad(cast(user_id AS varchar), 8, '0')) END
-                 AS student_id,
-               CASE WHEN event_id % 41 = 0 THEN 'x' ELSE cast(least(value, 1e2) AS varchar) END AS attendance,
-               json_extract_string(props, '$.k') AS average_score
-        FROM events),
-ok AS (SELECT seq, student_id, try_cast(attendance AS double) AS attendance,
-              try_cast(average_score AS double) AS average_score FROM pr
-       WHERE student_id IS NOT NULL AND try_cast(attendance AS double) IS NOT NULL
-         AND try_cast(average_score AS double) IS NOT NULL)
-SELECT student_id, attendance, average_score, {RISK_PROGRESS} AS risk_level, seq FROM ok"""))
+@register("stream_progress", with_progress(PROGRESS_REQUESTS_SQL + """
+SELECT student_id, try_cast(attendance AS double) AS attendance,
+       try_cast(average_score AS double) AS average_score, risk_level, seq FROM pr
+WHERE student_id IS NOT NULL AND risk_level IS NOT NULL AND try_cast(attendance AS double) IS NOT NULL
+  AND try_cast(average_score AS double) IS NOT NULL"""))
 def stream_progress(spark, sf_dir):
     src, sink = scratch_path(spark, "progress-in"), scratch_path(spark, "progress-out")
     files.write_json(progress_requests(spark, sf_dir), src)

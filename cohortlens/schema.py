@@ -32,7 +32,7 @@ REQUIRED_COLS = ["student_id", "attendance", "assignment_score", "internal_marks
                  "quiz_score", "previous_semester_marks"]
 REQUEST_FIELDS = ["attendance", "assignment_score", "internal_marks", "quiz_score",
                   "previous_semester_marks"]
-PROGRESS_FIELDS = ["student_id", "attendance", "average_score"]
+PROGRESS_FIELDS = ["student_id", "attendance", "average_score", "risk_level"]
 FEATURE_COLS = ["attendance", "assignment_score", "internal_marks", "quiz_score",
                 "previous_semester_marks", "average_score", "attendance_ratio",
                 "performance_drop", "score_variance"]

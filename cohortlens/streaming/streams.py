@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens import schema as S
-from cohortlens.functions.rules import risk_progress
 from cohortlens.operators import features, ml, recommend, updates, validate
 from cohortlens.sources.snapshot import SnapshotStore
 
@@ -46,8 +45,8 @@ def progress_stream(requests: DataFrame) -> DataFrame:
     """Validate progress records; valid ones become log rows with arrival time and date."""
     v = validate.check_progress_requests(requests).filter("is_valid")
     out = v.select("student_id", F.current_timestamp().alias("timestamp"), "attendance", "average_score",
-                   *([F.col("seq")] if "seq" in requests.columns else []))
-    return out.withColumn("risk_level", risk_progress()).withColumn("dt", F.to_date("timestamp"))
+                   "risk_level", *([F.col("seq")] if "seq" in requests.columns else []))
+    return out.withColumn("dt", F.to_date("timestamp"))
 
 
 def run_progress_stream(spark: SparkSession, source: str, sink: str, checkpoint: str) -> None:
