@@ -8,8 +8,8 @@ from cohortlens.functions.exact import exact_mean
 from cohortlens.operators import features, risk
 from cohortlens.plans import inputs
 from cohortlens.plans.registry import register
-from cohortlens.plans.sqlbase import (RISK_INGEST, emean, sround, with_gen, with_progress,
-                                      with_students)
+from cohortlens.plans.sqlbase import (RISK_INGEST, emean, points_label_sql, points_sql, sround,
+                                      with_gen, with_progress, with_students)
 
 _ALL = ("student_id, faculty_id, attendance, assignment_score, internal_marks, quiz_score, "
         "previous_semester_marks, average_score, attendance_ratio, performance_drop, "
@@ -55,10 +55,9 @@ SELECT student_id, faculty_id, attendance,
 FROM students_base"""
 
 
-@register("row_mean_nulls", with_students(f"""
-SELECT student_id, average_score, performance_drop, score_variance, risk_level FROM students""")
-          .replace("students_raw AS (", "students_base AS (", 1)
-          .replace("features AS (", f"students_raw AS ({_NULLS_SQL}),\nfeatures AS (", 1))
+@register("row_mean_nulls", with_students("""
+SELECT student_id, average_score, performance_drop, score_variance, risk_level FROM students""",
+                                          raw_from_base=_NULLS_SQL))
 def row_mean_nulls(spark, sf_dir):
     raw = _with_nulls(inputs.students_raw(spark, sf_dir))
     st = features.ingest_features(raw)
@@ -82,17 +81,8 @@ def risk_ingest(spark, sf_dir):
     return risk.label_ingest(st).select("student_id", "attendance", "average_score", "risk_level")
 
 
-_POINTS_SQL = """
-(CASE WHEN attendance < 60 THEN 3 WHEN attendance < 75 THEN 1 ELSE 0 END
- + CASE WHEN g_avg < 45 THEN 3 WHEN g_avg < 60 THEN 1 ELSE 0 END
- + CASE WHEN g_drop > 15 THEN 2 WHEN g_drop > 5 THEN 1 ELSE 0 END
- + CASE WHEN g_var > 300 THEN 1 ELSE 0 END)"""
-
-
 @register("risk_points", with_gen(f"""
-SELECT student_id, {_POINTS_SQL} AS risk_points,
-       CASE WHEN {_POINTS_SQL} >= 5 THEN 'High Risk' WHEN {_POINTS_SQL} >= 2 THEN 'Medium Risk'
-            ELSE 'Low Risk' END AS risk_level
+SELECT student_id, {points_sql()} AS risk_points, {points_label_sql()} AS risk_level
 FROM gen"""))
 def risk_points(spark, sf_dir):
     return risk.label_points(inputs.students_raw(spark, sf_dir)).select(

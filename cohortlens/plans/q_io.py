@@ -10,7 +10,7 @@ from cohortlens.functions.rules import alert_tags, risk_progress
 from cohortlens.operators import load, updates, validate
 from cohortlens.plans import inputs
 from cohortlens.plans.registry import register
-from cohortlens.plans.sqlbase import RISK_PROGRESS, with_progress, with_students
+from cohortlens.plans.sqlbase import risk_progress_sql, with_progress, with_students
 from cohortlens.session import scratch_path
 from cohortlens.sources import files, generator
 from cohortlens.sources.bridge import table
@@ -140,8 +140,7 @@ PROGRESS_REQUESTS_SQL = f"""
                CASE WHEN event_id % 41 = 0 THEN 'x' ELSE cast(least(value, 1e2) AS varchar) END AS attendance,
                json_extract_string(props, '$.k') AS average_score,
                CASE WHEN event_id % 43 <> 0 THEN
-                 {RISK_PROGRESS.replace('attendance', 'least(value, 1e2)')
-                               .replace('average_score', "cast(json_extract_string(props, '$.k') AS double)")}
+                 {risk_progress_sql("least(value, 1e2)", "cast(json_extract_string(props, '$.k') AS double)")}
                END AS risk_level
         FROM events)"""
 

@@ -13,7 +13,7 @@ from cohortlens.functions import rules
 from cohortlens.operators import features, ml, risk
 from cohortlens.plans import inputs
 from cohortlens.plans.registry import register
-from cohortlens.plans.sqlbase import GEN_FEATURES, with_gen, with_students
+from cohortlens.plans.sqlbase import GEN_FEATURES, points_label_sql, with_gen, with_students
 from cohortlens.session import scratch_path
 
 PARAMS = ml.ForestParams()
@@ -41,16 +41,8 @@ def stratified_split(spark, sf_dir):
     return a.select("student_id", "risk_level", "rank_in_group", "is_test", "fold")
 
 
-_POINTS = """(CASE WHEN attendance < 60 THEN 3 WHEN attendance < 75 THEN 1 ELSE 0 END
- + CASE WHEN g_avg < 45 THEN 3 WHEN g_avg < 60 THEN 1 ELSE 0 END
- + CASE WHEN g_drop > 15 THEN 2 WHEN g_drop > 5 THEN 1 ELSE 0 END
- + CASE WHEN g_var > 300 THEN 1 ELSE 0 END)"""
-_POINTS_LABEL = (f"CASE WHEN {_POINTS} >= 5 THEN 'High Risk' WHEN {_POINTS} >= 2 THEN 'Medium Risk' "
-                 "ELSE 'Low Risk' END")
-
-
 @register("class_weights", with_gen(f"""
-, c AS (SELECT {_POINTS_LABEL} AS risk_level, count(*) AS n FROM gen GROUP BY 1)
+, c AS (SELECT {points_label_sql()} AS risk_level, count(*) AS n FROM gen GROUP BY 1)
 SELECT risk_level, n, round(cast((SELECT sum(n) FROM c) AS double)
                             / ((SELECT count(*) FROM c) * n), 6) AS weight FROM c"""))
 def class_weights(spark, sf_dir):
@@ -125,7 +117,7 @@ def eval_pairs(spark, sf_dir):
 
 
 _PAIRS = f"""
-, pairs AS (SELECT s.risk_level AS label, {_POINTS_LABEL.replace('attendance', 'g.attendance')} AS prediction
+, pairs AS (SELECT s.risk_level AS label, {points_label_sql(att='g.attendance')} AS prediction
             FROM students s JOIN gen g USING (student_id)),
 pc AS (SELECT label, prediction, count(*) AS n FROM pairs GROUP BY 1, 2),
 cls AS (SELECT label AS cls FROM pc UNION SELECT prediction FROM pc),
@@ -145,9 +137,7 @@ rep3 AS (SELECT label, precision, recall,
 
 
 def _eval_sql(body: str) -> str:
-    sql = with_students("")
-    sql = sql.replace("features AS (", f"gen AS ({GEN_FEATURES}),\nfeatures AS (", 1)
-    return sql + _PAIRS + body
+    return with_students(_PAIRS + body, extra=(("gen", GEN_FEATURES),))
 
 
 @register("confusion_matrix", _eval_sql("""

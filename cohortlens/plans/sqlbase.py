@@ -91,9 +91,25 @@ SELECT concat('STU', lpad(cast(user_id AS varchar), 8, '0')) AS student_id,
 FROM events
 """
 
-RISK_PROGRESS = """CASE WHEN attendance < 60 OR average_score < 45 THEN 'High Risk'
-     WHEN attendance < 75 OR average_score < 60 THEN 'Medium Risk'
-     ELSE 'Low Risk' END"""
+def risk_progress_sql(att: str = "attendance", avg: str = "average_score") -> str:
+    return (f"CASE WHEN {att} < 60 OR {avg} < 45 THEN 'High Risk' "
+            f"WHEN {att} < 75 OR {avg} < 60 THEN 'Medium Risk' ELSE 'Low Risk' END")
+
+
+RISK_PROGRESS = risk_progress_sql()
+
+
+def points_sql(att: str = "attendance", avg: str = "g_avg", drop: str = "g_drop", var: str = "g_var") -> str:
+    """Points of the training-label rule over the generator's unrounded features."""
+    return (f"(CASE WHEN {att} < 60 THEN 3 WHEN {att} < 75 THEN 1 ELSE 0 END"
+            f" + CASE WHEN {avg} < 45 THEN 3 WHEN {avg} < 60 THEN 1 ELSE 0 END"
+            f" + CASE WHEN {drop} > 15 THEN 2 WHEN {drop} > 5 THEN 1 ELSE 0 END"
+            f" + CASE WHEN {var} > 300 THEN 1 ELSE 0 END)")
+
+
+def points_label_sql(**kw) -> str:
+    p = points_sql(**kw)
+    return f"CASE WHEN {p} >= 5 THEN 'High Risk' WHEN {p} >= 2 THEN 'Medium Risk' ELSE 'Low Risk' END"
 
 PROGRESS_LOG = f"""
 SELECT student_id, "timestamp", attendance, average_score, {RISK_PROGRESS} AS risk_level, seq
@@ -101,13 +117,19 @@ FROM progress_raw
 """
 
 
-def with_students(body: str, progress: bool = False) -> str:
-    """Prefix ``body`` with the CTE chain students_raw -> features -> students."""
-    ctes = [f"students_raw AS ({STUDENTS_RAW})", f"features AS ({INGEST_FEATURES})",
-            f"students AS ({STUDENTS})"]
+def with_students(body: str, progress: bool = False, raw_from_base: str | None = None,
+                  extra: tuple[tuple[str, str], ...] = ()) -> str:
+    """Prefix ``body`` with the CTE chain students_raw -> features -> students.
+
+    ``raw_from_base`` rewrites the raw rows (it reads ``students_base``, the plain
+    bridge); ``extra`` adds (name, sql) CTEs after the raw rows.
+    """
+    ctes = ([("students_base", STUDENTS_RAW), ("students_raw", raw_from_base)] if raw_from_base
+            else [("students_raw", STUDENTS_RAW)])
+    ctes += list(extra) + [("features", INGEST_FEATURES), ("students", STUDENTS)]
     if progress:
-        ctes += [f"progress_raw AS ({PROGRESS})", f"progress AS ({PROGRESS_LOG})"]
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+        ctes += [("progress_raw", PROGRESS), ("progress", PROGRESS_LOG)]
+    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in ctes) + "\n" + body
 
 
 def with_progress(body: str) -> str:
