@@ -14,6 +14,8 @@ Only per-partition summaries (one row per partition) ever reach the driver.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,7 @@ from cohortlens.functions.sizing import bounded_broadcast
 from cohortlens.session import ensure_checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
+_NULL_KEY = ("__null_key__",)   # stands for a NULL key inside the pandas pass
 
 
 def _num_partitions(df: DataFrame, n: int | None) -> int:
@@ -121,24 +124,31 @@ def ordered_changes(df: DataFrame, key: str, order_cols: list[str], value_cols:
                 continue
             if state is None:
                 c = carry.get(int(pdf["_pid"].iloc[0]))
-                state = (c["key"], c["prev"], c["first"]) if c else (None, None, None)
-            keys = pdf[key]
+                state = (_NULL_KEY if c["key"] is None else c["key"], c["prev"], c["first"]) if c \
+                    else (None, None, None)
+            keys = pdf[key].astype(object).where(pdf[key].notna(), _NULL_KEY)   # NULL keys: one group
             new_key = keys.ne(keys.shift(1))
             cont = state[0] is not None and keys.iloc[0] == state[0]
             new_key.iloc[0] = not cont
-            grp = new_key.cumsum()
+            # position of each row's group start (NULL values count: no null skipping)
+            pos = np.arange(len(pdf))
+            start = pd.Series(np.where(new_key.to_numpy(), pos, -1)).replace(-1, np.nan).ffill()
+            carried = start.isna().to_numpy()          # rows continuing the carried key
+            start_idx = start.fillna(0).astype(int).to_numpy()
+            last_vals = {}
             for v in value_cols:
-                prev = pdf[v].shift(1).astype(object)
+                vals = pdf[v].astype(object).where(pdf[v].notna(), None)
+                last_vals[v] = vals.iloc[-1]
+                prev = vals.shift(1)
                 if cont:
                     prev.iloc[0] = state[1][v]
                 prev[new_key] = None
-                first = pdf.groupby(grp)[v].transform("first").astype(object)
+                first = pd.Series(vals.to_numpy()[start_idx], index=pdf.index, dtype=object)
                 if cont:
-                    first[grp == 0] = state[2][v]
+                    first[carried] = state[2][v]
                 pdf[f"prev_{v}"] = prev
                 pdf[f"first_{v}"] = first
             tail = pdf.iloc[-1]
-            state = (tail[key], {v: tail[v] for v in value_cols},
-                     {v: tail[f"first_{v}"] for v in value_cols})
+            state = (keys.iloc[-1], last_vals, {v: tail[f"first_{v}"] for v in value_cols})
             yield pdf[names]
     return ck.mapInPandas(run, T.StructType(out_fields)).drop("_pid", "_idx")

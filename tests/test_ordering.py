@@ -42,3 +42,15 @@ def test_hot_key_spans_partitions(spark):
     ck = sorted_checkpoint(_data(spark), ["k", "t", "seq"], 8)
     parts = ck.filter(F.col("k") == "hot").select("_pid").distinct().count()
     assert parts > 1
+
+
+def test_ordered_changes_with_null_values_and_keys(spark):
+    rows = [(None if i % 50 == 0 else ("hot" if i % 2 else f"k{i % 7}"), i, i,
+             None if i % 9 == 0 else float(i % 11)) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, t long, seq long, a double")
+    got = ordered_changes(df, "k", ["t", "seq"], ["a"], num_partitions=6)
+    w = Window.partitionBy("k").orderBy("t", "seq")
+    want = df.select("k", "t", "seq", "a", F.lag("a").over(w).alias("prev_a"),
+                     F.first("a").over(w).alias("first_a"))
+    cols = ["k", "t", "seq", "a", "prev_a", "first_a"]
+    assert sorted(got.select(cols).collect(), key=str) == sorted(want.select(cols).collect(), key=str)
