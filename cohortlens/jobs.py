@@ -60,7 +60,8 @@ def cmd_train(spark, a):
 def cmd_score(spark, a):
     """Validate requests, score, recommend; write results and rejects; write predictions back."""
     model = ml.load_model(spark, a.model)
-    checked = validate.check_score_requests(files.read_score_requests_json(spark, a.requests))
+    requests = views.force_own_id(files.read_score_requests_json(spark, a.requests), a.role, a.student_id)
+    checked = validate.check_score_requests(requests)
     good, bad = validate.split_valid(checked)
     scored = streams.scoring_stream(good.select(*S.SCORE_REQUEST.fieldNames()), model)
     scored.write.mode("errorifexists").parquet(f"{a.out}/predictions")
@@ -92,8 +93,9 @@ def cmd_analytics(spark, a):
 def cmd_progress(spark, a):
     checked = validate.check_progress_requests(files.read_progress_requests_json(spark, a.requests))
     good, _ = validate.split_valid(checked)
-    progress.append(good.select("student_id", "attendance", "average_score", "risk_level"), a.log)
-    return {"log": a.log}
+    allowed, denied = views.split_own_rows(good, a.role, a.student_id)
+    progress.append(allowed.select("student_id", "attendance", "average_score", "risk_level"), a.log)
+    return {"log": a.log, "denied": denied.count()}
 
 
 def cmd_stream_score(spark, a):
@@ -118,10 +120,12 @@ def parser() -> argparse.ArgumentParser:
         ("--partition-column", {}), ("--lower", {"type": int}), ("--upper", {"type": int}),
         ("--num-partitions", {"type": int}))
     add("train", cmd_train, ("--store", req), ("--model", req), ("--trees", {"type": int, "default": 200}))
-    add("score", cmd_score, ("--store", req), ("--model", req), ("--requests", req), ("--out", req))
+    add("score", cmd_score, ("--store", req), ("--model", req), ("--requests", req), ("--out", req),
+        ("--role", {"default": "admin"}), ("--student-id", {}))
     add("analytics", cmd_analytics, ("--store", req), ("--out", req), ("--role", {"default": "admin"}),
         ("--student-id", {}), ("--faculty-id", {}))
-    add("progress", cmd_progress, ("--log", req), ("--requests", req))
+    add("progress", cmd_progress, ("--log", req), ("--requests", req), ("--role", {"default": "admin"}),
+        ("--student-id", {}))
     add("stream-score", cmd_stream_score, ("--store", req), ("--model", req), ("--requests", req),
         ("--out", req), ("--checkpoint", req))
     return ap

@@ -46,6 +46,21 @@ def scope(df: DataFrame, role: str, student_id: str | None = None,
     return df.filter(scope_predicate(role, student_id, faculty_id))
 
 
+def force_own_id(requests: DataFrame, role: str, student_id: str | None) -> DataFrame:
+    """A student's scoring requests are always about that student."""
+    if role == "student":
+        return requests.withColumn("student_id", F.lit(student_id).cast("string"))
+    return requests
+
+
+def split_own_rows(records: DataFrame, role: str, student_id: str | None) -> tuple[DataFrame, DataFrame]:
+    """(allowed, denied): a student may only write records about themself."""
+    if role != "student":
+        return records, records.limit(0)
+    own = F.col("student_id") == F.lit(student_id)
+    return records.filter(own), records.filter(~own | F.col("student_id").isNull())
+
+
 def scoped_counts(accounts: DataFrame, students: DataFrame) -> DataFrame:
     """Rows each account may read, for every account at once.
 

@@ -35,3 +35,17 @@ def test_jobs_round_trip(spark):
     files.write_json(progress_requests(spark, SF001).drop("seq"), preq)
     jobs.main(["progress", "--log", log, "--requests", preq], spark)
     assert spark.read.parquet(log).count() > 0
+
+
+def test_student_role_limits(spark):
+    from cohortlens.operators import views
+    req = spark.createDataFrame([("S9", "50", "50", "50", "50", "50")],
+                                "student_id string, attendance string, assignment_score string, "
+                                "internal_marks string, quiz_score string, previous_semester_marks string")
+    assert views.force_own_id(req, "student", "S1").first()["student_id"] == "S1"
+    assert views.force_own_id(req, "admin", None).first()["student_id"] == "S9"
+    recs = spark.createDataFrame([("S1",), ("S2",), (None,)], "student_id string")
+    ok, denied = views.split_own_rows(recs, "student", "S1")
+    assert [r[0] for r in ok.collect()] == ["S1"] and denied.count() == 2
+    ok, denied = views.split_own_rows(recs, "faculty", None)
+    assert ok.count() == 3 and denied.count() == 0
