@@ -34,7 +34,8 @@ def _store(spark, a) -> SnapshotStore:
 
 
 def cmd_load_csv(spark, a):
-    v = load.load(_store(spark, a), files.read_students_csv(spark, a.csv), on_duplicate="error")
+    v = load.load(_store(spark, a), files.read_students_csv(spark, a.csv), on_duplicate="error",
+                  cluster_by=load.CLUSTER_BY)
     return {"version": v}
 
 
@@ -44,7 +45,7 @@ def cmd_load_jdbc(spark, a):
         kw = dict(partition_column=a.partition_column, lower=a.lower, upper=a.upper,
                   num_partitions=a.num_partitions)
     src = jdbc.read_table(spark, a.url, a.table, **kw)
-    v = load.load(_store(spark, a), src, on_duplicate="last", require=True)
+    v = load.load(_store(spark, a), src, on_duplicate="last", require=True, cluster_by=load.CLUSTER_BY)
     return {"version": v}
 
 

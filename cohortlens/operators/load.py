@@ -39,7 +39,10 @@ def prepare(df: DataFrame, on_duplicate: str = "error", require: bool = False,
     return features.to_snapshot_columns(features.ingest_features(src))
 
 
+CLUSTER_BY = ("faculty_id", "student_id")
+
+
 def load(store: SnapshotStore, df: DataFrame, on_duplicate: str = "error", require: bool = False,
-         seq: str | None = None) -> int:
+         seq: str | None = None, cluster_by: tuple[str, ...] | None = None) -> int:
     """Publish the prepared rows as a new snapshot version; returns the version."""
-    return store.replace(prepare(df, on_duplicate, require, seq))
+    return store.replace(prepare(df, on_duplicate, require, seq), cluster_by=cluster_by)

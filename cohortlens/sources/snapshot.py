@@ -48,13 +48,25 @@ class SnapshotStore:
         return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(p)
                       if s.getPath().getName().startswith("v=") and s.getPath().getName()[2:].isdigit())
 
-    def replace(self, df: DataFrame, reject_empty: bool = True) -> int:
-        """Publish ``df`` as the new version; an empty source keeps the old one."""
+    def replace(self, df: DataFrame, reject_empty: bool = True,
+                cluster_by: tuple[str, ...] | None = None, num_files: int | None = None) -> int:
+        """Publish ``df`` as the new version; an empty source keeps the old one.
+
+        ``cluster_by`` (e.g. ``("faculty_id", "student_id")``) range-partitions and
+        sorts the rows before writing, so each file holds one contiguous key
+        range: Parquet min/max statistics then let a class filter or an id
+        lookup skip whole files and row groups. The range partitioner samples
+        the composite key, so a class holding a third of the rows still spreads
+        over many files.
+        """
         if reject_empty and df.isEmpty():
             raise ValueError("source has no rows; the current snapshot is kept")
         existing = self._all_versions()
         v = (existing[-1] + 1) if existing else 1
         out = df if "created_at" in df.columns else df.withColumn("created_at", F.current_timestamp())
+        if cluster_by:
+            n = num_files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            out = out.repartitionByRange(n, *cluster_by).sortWithinPartitions(*cluster_by)
         out.write.mode("errorifexists").parquet(f"{self.base}/v={v}")
         return v
 

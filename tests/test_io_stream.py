@@ -88,3 +88,17 @@ def test_fixed_sample_is_hash_rank_top_n(spark):
     allh = st.select("student_id", F.xxhash64("student_id", F.lit(42)).alias("h")).toPandas()
     want = sorted(allh.sort_values(["h", "student_id"]).head(300)["student_id"])
     assert got == want
+
+
+def test_clustered_snapshot_files_hold_key_ranges(spark):
+    from pyspark.sql import functions as F
+    store = SnapshotStore(spark, scratch_path(spark, "clustered"))
+    st = inputs.students(spark, SF001)
+    store.replace(st, cluster_by=("faculty_id", "student_id"), num_files=6)
+    files_ = store.read().withColumn("f", F.input_file_name())
+    per_file = files_.groupBy("f").agg(F.countDistinct("faculty_id").alias("k")).collect()
+    assert len(per_file) > 1
+    # contiguous ranges: the number of (file, class) pairs is at most classes + files - 1
+    classes = st.select("faculty_id").distinct().count()
+    assert sum(r["k"] for r in per_file) <= classes + len(per_file) - 1
+    assert sorted(store.read().drop("created_at").collect()) == sorted(st.collect())
