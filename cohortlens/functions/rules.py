@@ -63,6 +63,16 @@ def band(value, hi: float, mid: float) -> Column:
     return F.when(v >= hi, F.lit("good")).when(v >= mid, F.lit("watch")).otherwise(F.lit("poor"))
 
 
+def seeded_rank_key(key: str, seed: int) -> Column:
+    """Seeded pseudo-random order of ``key``: md5 of "<key>#<seed>" (hex text).
+
+    md5 gives the same digest in every engine, so samples and splits drawn
+    with it can be reproduced outside Spark; ties cannot change the result
+    because callers break them by the key itself.
+    """
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
+
+
 def rule_inputs(df_cols=None):
     """Inputs of the recommendation rules with the defaults for missing values."""
     def pick(name, default):

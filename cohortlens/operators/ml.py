@@ -71,7 +71,7 @@ def class_weights(df: DataFrame, label: str = "risk_level") -> DataFrame:
 def stratified_assign(df: DataFrame, label: str = "risk_level", key: str = "student_id",
                       seed: int = S.SEED, test_fraction: float = 0.2, folds: int = 5) -> DataFrame:
     """Adds ``is_test`` (exactly round(f * n_c) rows per class) and ``fold`` (rank mod folds)."""
-    h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    h = df.withColumn("_h", rules.seeded_rank_key(key, seed))
     r = rank_in_group(h, label, ["_h", key])
     n_test = F.round(F.col("group_size") * test_fraction)
     return (r.withColumn("is_test", F.col("rank_in_group") < n_test)

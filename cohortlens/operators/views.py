@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import schema as S
+from cohortlens.functions.rules import seeded_rank_key
 
 
 def all_students(df: DataFrame) -> DataFrame:
@@ -100,4 +101,4 @@ def fixed_sample(df: DataFrame, n: int, seed: int = S.SEED, key: str = "student_
     as TakeOrderedAndProject, i.e. a per-partition top-n then a merge of
     ``n x partitions`` rows, so it never sorts the table.
     """
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(seeded_rank_key(key, seed), F.col(key)).limit(n)

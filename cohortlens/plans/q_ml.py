@@ -34,7 +34,16 @@ def trained(spark, sf_dir, with_cv: bool = False) -> ml.TrainResult:
     return run
 
 
-@register("stratified_split")
+@register("stratified_split", with_gen(f"""
+, lab AS (SELECT student_id, {points_label_sql()} AS risk_level FROM gen),
+r AS (SELECT student_id, risk_level,
+             row_number() OVER (PARTITION BY risk_level ORDER BY md5(student_id || '#{PARAMS.seed}'),
+                                student_id) - 1 AS rank_in_group,
+             count(*) OVER (PARTITION BY risk_level) AS n_c FROM lab)
+SELECT student_id, risk_level, rank_in_group,
+       rank_in_group < round(n_c * {PARAMS.test_fraction}) AS is_test,
+       cast(rank_in_group % {PARAMS.folds} AS integer) AS fold
+FROM r"""))
 def stratified_split(spark, sf_dir):
     a = ml.stratified_assign(training_data(spark, sf_dir), "risk_level", "student_id",
                              PARAMS.seed, PARAMS.test_fraction, PARAMS.folds)

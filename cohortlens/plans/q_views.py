@@ -75,12 +75,16 @@ def high_risk_priority(spark, sf_dir):
         "student_id", "faculty_id", "average_score", "attendance")
 
 
-@register("fixed_sample")
+@register("fixed_sample", with_students(
+    f"SELECT {_SNAP} FROM students ORDER BY md5(student_id || '#{S.SEED}'), student_id "
+    f"LIMIT {S.SAMPLE_SIZE_ADMIN}"))
 def fixed_sample(spark, sf_dir):
     return views.fixed_sample(inputs.students(spark, sf_dir), S.SAMPLE_SIZE_ADMIN)
 
 
-@register("class_sample")
+@register("class_sample", with_students(
+    f"SELECT {_SNAP} FROM students WHERE faculty_id = '{CLASS_ID}' "
+    f"ORDER BY md5(student_id || '#{S.SEED}'), student_id LIMIT {S.SAMPLE_SIZE_CLASS}"))
 def class_sample(spark, sf_dir):
     """The class view's fixed sample: min(250, class size) rows of one class."""
     cls = views.class_students(inputs.students(spark, sf_dir), CLASS_ID)
