@@ -10,7 +10,8 @@ from cohortlens.functions.rules import alert_tags, risk_progress
 from cohortlens.operators import load, updates, validate
 from cohortlens.plans import inputs
 from cohortlens.plans.registry import register
-from cohortlens.plans.sqlbase import risk_progress_sql, with_progress, with_students
+from cohortlens.plans.sqlbase import (GEN_FEATURES, points_label_sql, risk_progress_sql, sround,
+                                      with_progress, with_students)
 from cohortlens.session import scratch_path
 from cohortlens.sources import files, generator
 from cohortlens.sources.bridge import table
@@ -213,7 +214,31 @@ def snapshot_replace(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- generator
-@register("generate_students")
+def _generator_sql() -> str:
+    seed = S.SEED
+    us = ", ".join(
+        f"((('0x' || substr(md5(cast(i AS varchar) || '#{seed}#{k}'), 1, 13))::BIGINT + 0.5e0)"
+        f" / 4503599627370496e0) AS u{k}" for k in range(2 * len(generator.SCORE_PARAMS)))
+    scores = ", ".join(
+        f"least(greatest(sqrt(-2e0 * ln(u{2 * k})) * cos(2e0 * pi() * u{2 * k + 1}) * {sd}e0 + {mean}e0, "
+        f"{lo}e0), {hi}e0) AS {c}"
+        for k, (c, (mean, sd, lo, hi)) in enumerate(generator.SCORE_PARAMS.items()))
+    cols = ", ".join(f"{sround(c, 1)} AS {c}" for c in generator.SCORE_PARAMS)
+    return f"""
+WITH cnt AS (SELECT count(*) AS n FROM orders),
+u AS (SELECT i, n, {us} FROM cnt, range(1, n + 1) t(i)),
+students_raw AS (SELECT i, n, {scores} FROM u),
+gen AS ({GEN_FEATURES})
+SELECT concat('STU', lpad(cast(i AS varchar), cast(greatest(4, length(cast(n AS varchar))) AS integer), '0')) AS student_id,
+       CASE WHEN i <= n // 2 THEN 'FAC001' ELSE 'FAC002' END AS faculty_id,
+       {cols},
+       {sround('g_avg', 2)} AS average_score, {sround('attendance / 1e2', 3)} AS attendance_ratio,
+       {sround('g_drop', 2)} AS performance_drop, {sround('g_var', 2)} AS score_variance,
+       {points_label_sql()} AS risk_level
+FROM gen"""
+
+
+@register("generate_students", _generator_sql())
 def generate_students(spark, sf_dir):
     """As many synthetic students as there are orders (so the work grows with the data)."""
     n = table(spark, sf_dir, "orders").count()

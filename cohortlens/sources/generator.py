@@ -2,9 +2,10 @@
 
 Seeded normal scores, clipped, two classes in halves, derived values from the
 unrounded scores and rounding last; labels by the points rule. Each value is
-a pure function of (student number, seed, stream): uniforms come from
-``xxhash64`` and normals from the Box-Muller transform, so the output is the
-same on any number of partitions (``randn`` depends on the partitioning).
+a pure function of (student number, seed, stream): a uniform is the first 52
+bits of md5("<number>#<seed>#<stream>") and normals come from the Box-Muller
+transform, so the output is the same on any number of partitions (``randn``
+depends on the partitioning) and can be recomputed by any SQL engine.
 """
 
 from __future__ import annotations
@@ -27,12 +28,11 @@ SCORE_PARAMS = {
     "previous_semester_marks": (63.0, 16.0, 0.0, 100.0),
 }
 
-_M52 = (1 << 52) - 1
-
 
 def _uniform(i: Column, seed: int, stream: int) -> Column:
-    h = F.xxhash64(i, F.lit(seed), F.lit(stream)).bitwiseAND(F.lit(_M52))
-    return (h.cast("double") + 0.5) / float(1 << 52)
+    digest = F.md5(F.concat(i.cast("string"), F.lit(f"#{seed}#{stream}")))
+    bits52 = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+    return (bits52.cast("double") + 0.5) / float(1 << 52)
 
 
 def _normal(i: Column, seed: int, stream: int) -> Column:

@@ -102,3 +102,14 @@ def test_clustered_snapshot_files_hold_key_ranges(spark):
     classes = st.select("faculty_id").distinct().count()
     assert sum(r["k"] for r in per_file) <= classes + len(per_file) - 1
     assert sorted(store.read().drop("created_at").collect()) == sorted(st.collect())
+
+
+def test_generator_distribution(spark):
+    from pyspark.sql import functions as F
+
+    from cohortlens.sources.generator import generate_students
+    g = generate_students(spark, 20000).agg(
+        F.avg("internal_marks").alias("m"), F.stddev("internal_marks").alias("s"),
+        F.min("attendance").alias("lo"), F.avg(F.col("risk_level").isin("High Risk").cast("int")).alias("h")
+    ).first()
+    assert 59.5 < g["m"] < 60.5 and 14.5 < g["s"] < 15.5 and g["lo"] >= 20.0 and 0 < g["h"] < 0.5
