@@ -174,7 +174,8 @@ def density(df: DataFrame, value: str = "performance_drop", by: str = "risk_leve
     j = vc.join(bounded_broadcast(stats), by)
     g = j.select(by, "v", "w", "n", "h",
                  F.posexplode(_grid(F.col("lo"), F.col("hi"), points)).alias("gi", "g"))
-    contrib = F.col("w") * F.exp(-0.5 * F.pow((F.col("g") - F.col("v")) / F.col("h"), 2))
+    # a constant group has bandwidth 0: its density is NULL instead of an ANSI error
+    contrib = F.col("w") * F.exp(-0.5 * F.pow(F.try_divide(F.col("g") - F.col("v"), F.col("h")), 2))
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
     out = (g.groupBy(by, "gi", "g", "n", "h")
             .agg(F.sum(contrib).alias("s"))

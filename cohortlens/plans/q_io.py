@@ -131,7 +131,7 @@ def progress_requests(spark, sf_dir) -> DataFrame:
         F.when(k % 37 != 0, sid).alias("student_id"),
         F.when(k % 41 == 0, F.lit("x")).otherwise(att.cast("string")).alias("attendance"),
         avg.alias("average_score"),
-        F.when(k % 43 != 0, risk_progress(att, avg.cast("double"))).alias("risk_level"))
+        F.when(k % 43 != 0, risk_progress(att, avg.try_cast("double"))).alias("risk_level"))
 
 
 PROGRESS_REQUESTS_SQL = f"""

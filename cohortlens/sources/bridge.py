@@ -59,7 +59,7 @@ def progress_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("STU"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("student_id"),
         F.col("ts").alias("timestamp"),
         F.least(F.col("value"), F.lit(100.0)).alias("attendance"),
-        F.get_json_object("props", "$.k").cast("double").alias("average_score"),
+        F.get_json_object("props", "$.k").try_cast("double").alias("average_score"),
         F.col("event_id").alias("seq"),
     )
 

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.operators import stats
 
@@ -116,3 +117,14 @@ def test_means_do_not_depend_on_partitioning(spark):
     a = stats.score_means_by_risk(spark.createDataFrame(pdf).repartition(1), ["attendance", "average_score"])
     b = stats.score_means_by_risk(spark.createDataFrame(pdf).repartition(13), ["attendance", "average_score"])
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_density_and_trend_survive_degenerate_groups(spark):
+    rows = [("const", 5.0, 50.0)] * 4 + [("single", 1.0, 10.0)] + \
+           [("ok", float(i), float(i * 2 % 17)) for i in range(30)]
+    df = spark.createDataFrame(rows, "risk_level string, performance_drop double, average_score double") \
+        .withColumn("attendance", F.col("performance_drop"))
+    d = {r["risk_level"]: r["density"] for r in stats.density(df, points=5).collect()}
+    assert d["const"] is None and d["single"] is None and d["ok"] is not None
+    t = {r["risk_level"]: r["y"] for r in stats.trend(df, points=5).collect()}
+    assert t["const"] == 50.0 and t["single"] == 10.0 and t["ok"] is not None
