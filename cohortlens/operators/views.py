@@ -62,26 +62,29 @@ def split_own_rows(records: DataFrame, role: str, student_id: str | None) -> tup
     return records.filter(own), records.filter(~own | F.col("student_id").isNull())
 
 
+_ALL = "\u0000all"   # key of the whole-table row (cannot collide with a class id)
+
+
 def scoped_counts(accounts: DataFrame, students: DataFrame) -> DataFrame:
-    """Rows each account may read, for every account at once.
+    """Rows each account may read, for every account at once, in one plan.
 
-    Students are pre-aggregated per class before meeting the faculty accounts,
-    so a class holding a third of all rows is one partial-aggregated count,
-    not a skewed join; student accounts meet their own row by an equi-join
-    on the key (at most one row per key on the student side).
+    Students are pre-aggregated per class, and the whole-table total is one more
+    row of that small table under its own key, so admin and faculty accounts
+    both meet it by an equi-join (a class holding a third of all rows is one
+    partial-aggregated count, not a skewed join). Student accounts meet their
+    own row by an equi-join on the key (at most one row per key there).
     """
     per_class = students.groupBy("faculty_id").agg(F.count(F.lit(1)).alias("n"))
-    # the global row count is one scalar, computed once and used as a literal
-    total = students.count()
-    admins = accounts.filter(F.col("role") == "admin").withColumn("n", F.lit(total).cast("long"))
-    faculty = (accounts.filter(F.col("role") == "faculty")
-               .join(per_class, F.col("linked_faculty_id") == F.col("faculty_id"), "left")
-               .drop("faculty_id"))
+    counts = per_class.unionByName(
+        per_class.agg(F.sum("n").alias("n")).select(F.lit(_ALL).alias("faculty_id"), "n"))
+    staff = accounts.filter(F.col("role").isin("admin", "faculty")).withColumn(
+        "_scope", F.when(F.col("role") == "admin", F.lit(_ALL)).otherwise(F.col("linked_faculty_id")))
+    staff = staff.join(counts, F.col("_scope") == F.col("faculty_id"), "left")
     own = students.select(F.col("student_id").alias("_sid")).withColumn("n", F.lit(1).cast("long"))
     studs = (accounts.filter(F.col("role") == "student")
-             .join(own, F.col("linked_student_id") == F.col("_sid"), "left").drop("_sid"))
+             .join(own, F.col("linked_student_id") == F.col("_sid"), "left"))
     cols = ["username", "role", F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n_visible")]
-    return admins.select(cols).unionByName(faculty.select(cols)).unionByName(studs.select(cols))
+    return staff.select(cols).unionByName(studs.select(cols))
 
 
 def high_risk(df: DataFrame) -> DataFrame:
