@@ -61,3 +61,12 @@ def test_model_round_trip_and_missing_model(spark):
     m = ml.load_model(spark, path)
     assert ml.labels_of(m) == ml.labels_of(r.model)
     assert ml.load_metrics(spark, path).first()["accuracy"] == r.metrics["accuracy"]
+
+
+def test_reference_setting_on_generated_students(spark):
+    """500 generated students, the reference's forest settings: its published hold-out
+    accuracy is 0.90 and 5-fold CV 0.92 +- 0.021; other random draws land nearby."""
+    from cohortlens.sources.generator import generate_students
+    r = ml.train_and_evaluate(generate_students(spark, 500), ml.ForestParams(), with_cv=True)
+    assert 0.82 < r.metrics["accuracy"] < 0.98
+    assert 0.85 < r.metrics["cv_mean"] < 0.97 and r.metrics["cv_std"] < 0.08
