@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from cohortlens import schema as S
 from cohortlens.functions.exact import exact_mean
 from cohortlens.functions.sizing import bounded_broadcast
+from cohortlens.operators.ordering import weighted_quantiles
 
 
 def _n():
@@ -121,21 +122,39 @@ def value_counts(df: DataFrame, value: str, by: str) -> DataFrame:
               .groupBy(by, F.col(value).alias("v")).agg(_n().alias("w")))
 
 
-def box_summary(df: DataFrame, value: str = "score_variance", by: str = "risk_level") -> DataFrame:
+MAX_PERCENTILE_VALUES = 1_000_000
+
+
+def box_summary(df: DataFrame, value: str = "score_variance", by: str = "risk_level",
+                max_map_values: int = MAX_PERCENTILE_VALUES) -> DataFrame:
     """Quartiles (linear interpolation, type 7), IQR and 1.5*IQR fences per group.
 
-    ``percentile`` with a frequency column keeps a value->count map per group;
-    feeding it the value counts bounds its state by distinct values.
+    Rows are first reduced to value counts. When every group has at most
+    ``max_map_values`` distinct values (2-decimal variances of 0-100 scores have
+    at most 333,334), ``percentile`` with a frequency column keeps that bounded
+    value->count map per group. Beyond it the quartiles come from
+    ``ordering.weighted_quantiles`` (range-partitioned ranks), which holds no
+    per-group state at all.
     """
-    vc = value_counts(df, value, by)
-    q = vc.groupBy(by).agg(
-        F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("w")).alias("qs"),
-        F.sum("w").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
-    return (q.select(by, "n", "min", "max", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
-                     F.col("qs")[2].alias("q3"))
-             .withColumn("iqr", F.col("q3") - F.col("q1"))
-             .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
-             .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
+    # value counts and per-group totals are bounded by distinct values; they are
+    # kept so that choosing the path does not recompute the input
+    vc = value_counts(df, value, by).persist()
+    base = vc.groupBy(by).agg(F.sum("w").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
+                              F.count(F.lit(1)).alias("_distinct")).persist()
+    widest = base.agg(F.max("_distinct")).first()[0] or 0
+    if widest <= max_map_values:
+        q = vc.groupBy(by).agg(
+            F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("w")).alias("qs"))
+        qs = q.select(by, F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
+                      F.col("qs")[2].alias("q3"))
+    else:
+        wq = weighted_quantiles(vc, by, [0.25, 0.5, 0.75])
+        qs = wq.groupBy(by).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(name)
+                                  for p, name in [(0.25, "q1"), (0.5, "median"), (0.75, "q3")]])
+    return (base.drop("_distinct").join(qs, by)
+                .withColumn("iqr", F.col("q3") - F.col("q1"))
+                .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
+                .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
 
 
 def box_outliers(df: DataFrame, value: str = "score_variance", by: str = "risk_level",

@@ -25,10 +25,12 @@ def _fixture(seed=7, n=600):
                          "performance_drop": drop})
 
 
-@pytest.mark.parametrize("parts", [1, 9])
-def test_box_summary_matches_duckdb(spark, parts):
+@pytest.mark.parametrize("parts,map_limit", [(1, 10**6), (9, 10**6), (1, 0), (9, 0)])
+def test_box_summary_matches_duckdb(spark, parts, map_limit):
+    """Both paths (bounded percentile map, and range-partitioned ranks) against DuckDB."""
     pdf = _fixture()
-    got = {r["risk_level"]: r for r in stats.box_summary(spark.createDataFrame(pdf).repartition(parts)).collect()}
+    df = spark.createDataFrame(pdf).repartition(parts)
+    got = {r["risk_level"]: r for r in stats.box_summary(df, max_map_values=map_limit).collect()}
     want = duckdb.sql("""SELECT risk_level, quantile_cont(score_variance, 0.25) q1,
                                 quantile_cont(score_variance, 0.5) med, quantile_cont(score_variance, 0.75) q3
                          FROM pdf GROUP BY 1""").df()
