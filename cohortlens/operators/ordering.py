@@ -154,34 +154,44 @@ def ordered_changes(df: DataFrame, key: str, order_cols: list[str], value_cols:
     return ck.mapInPandas(run, T.StructType(out_fields)).drop("_pid", "_idx")
 
 
-def weighted_quantiles(vc: DataFrame, group: str, probs: list[float],
-                       num_partitions: int | None = None) -> DataFrame:
-    """Exact quantiles (linear interpolation, type 7) from ``(group, v, w)`` value counts,
-    for any number of distinct values per group.
-
-    Rows are range-partitioned on (group, v) and checkpointed; a running weight
-    per partition (a window over one balanced range partition) plus the
-    partition offsets (one number per partition, from the driver) gives each
-    value the rank interval [start, end) it covers. The two ranks each
-    quantile needs are matched to the rows covering them through an array of
-    target ranks per group, met by an equi-join on the group and exploded:
-    no group is ever gathered in one task or on the driver.
-    Output: ``group, p, q``.
-    """
-    ck = sorted_checkpoint(vc.select(group, "v", "w"), [group, "v"], num_partitions)
-    sums = sorted(ck.groupBy("_pid").agg(F.sum("w").alias("s")).collect(), key=lambda r: r["_pid"])
+def _rank_intervals(df: DataFrame, group: str, value: str, weight: str,
+                    num_partitions: int | None) -> DataFrame:
+    """Each row's rank interval [_ls, _le) inside its group under (group, value) order,
+    counting each row ``weight`` times. Range-partitioned and checkpointed; a
+    running sum per (balanced) partition plus per-partition offsets from the
+    driver (one number per partition); group starts via a size-checked broadcast."""
+    ck = sorted_checkpoint(df, [group, value], num_partitions)
+    sums = sorted(ck.groupBy("_pid").agg(F.sum(weight).alias("s")).collect(), key=lambda r: r["_pid"])
     offsets, acc = {}, 0
-    for r in sums:                                        # one row per partition
+    for r in sums:
         offsets[r["_pid"]] = acc
         acc += r["s"]
     if not offsets:
-        return ck.sparkSession.createDataFrame([], f"{group} string, p double, q double")
+        return ck.withColumns({"_ls": F.lit(None).cast("long"), "_le": F.lit(None).cast("long"),
+                               "_n": F.lit(None).cast("long")})
     omap = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-    run = F.sum("w").over(Window.partitionBy("_pid").orderBy("_idx")
-                          .rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(weight).over(Window.partitionBy("_pid").orderBy("_idx")
+                             .rowsBetween(Window.unboundedPreceding, 0))
     cov = (ck.withColumn("_end", F.element_at(omap, F.col("_pid")) + run)
-             .withColumn("_start", F.col("_end") - F.col("w")))
-    groups = cov.groupBy(group).agg(F.min("_start").alias("_g0"), F.sum("w").alias("_n"))
+             .withColumn("_start", F.col("_end") - F.col(weight)))
+    starts = cov.groupBy(group).agg(F.min("_start").alias("_g0"), F.sum(weight).alias("_n"))
+    return (cov.join(bounded_broadcast(starts), group)
+               .withColumn("_ls", F.col("_start") - F.col("_g0"))
+               .withColumn("_le", F.col("_end") - F.col("_g0"))
+               .drop("_start", "_end", "_g0", "_pid", "_idx"))
+
+
+def weighted_quantiles(vc: DataFrame, group: str, probs: list[float],
+                       num_partitions: int | None = None) -> DataFrame:
+    """Exact quantiles (linear interpolation, type 7) from ``(group, v, w)`` value counts,
+    for any number of distinct values per group.
+
+    The two ranks each quantile needs are matched to the rows whose rank
+    interval covers them, through an array of target ranks per row exploded
+    after the interval pass: no group is ever gathered in one task or on the
+    driver. Output: ``group, p, q``.
+    """
+    iv = _rank_intervals(vc.select(group, "v", "w"), group, "v", "w", num_partitions)
     targets = []
     for p in probs:
         h = F.lit(float(p)) * (F.col("_n") - 1)
@@ -189,14 +199,22 @@ def weighted_quantiles(vc: DataFrame, group: str, probs: list[float],
                              F.lit(0).alias("side"), h.alias("h")),
                     F.struct(F.lit(float(p)).alias("p"), F.ceil(h).cast("long").alias("r"),
                              F.lit(1).alias("side"), h.alias("h"))]
-    groups = groups.withColumn("_t", F.array(*targets))
-    hit = (cov.join(bounded_broadcast(groups), group)
-              .withColumn("_ls", F.col("_start") - F.col("_g0"))
-              .withColumn("_le", F.col("_end") - F.col("_g0"))
-              .withColumn("_t", F.filter("_t", lambda t: (t["r"] >= F.col("_ls")) & (t["r"] < F.col("_le"))))
-              .select(group, "v", F.explode("_t").alias("t")))
+    hit = (iv.withColumn("_t", F.filter(F.array(*targets),
+                                        lambda t: (t["r"] >= F.col("_ls")) & (t["r"] < F.col("_le"))))
+             .select(group, "v", F.explode("_t").alias("t")))
     pairs = hit.groupBy(group, F.col("t.p").alias("p"), F.col("t.h").alias("h")).agg(
         F.max(F.when(F.col("t.side") == 0, F.col("v"))).alias("lo"),
         F.max(F.when(F.col("t.side") == 1, F.col("v"))).alias("hi"))
     frac = F.col("h") - F.floor("h")
     return pairs.select(group, "p", (F.col("lo") + frac * (F.col("hi") - F.col("lo"))).alias("q"))
+
+
+def weighted_kth(df: DataFrame, group: str, value: str, weight: str, k: str,
+                 num_partitions: int | None = None) -> DataFrame:
+    """Per group, the smallest ``value`` whose cumulative ``weight`` (in value order)
+    reaches the group's ``k`` (1-based): the weighted k-th order statistic.
+    ``k`` is a column constant within each group. Output: ``group, kth``."""
+    iv = _rank_intervals(df.select(group, value, weight, k), group, value, weight, num_partitions)
+    rank = F.col(k) - 1
+    return (iv.filter((rank >= F.col("_ls")) & (rank < F.col("_le")))
+              .groupBy(group).agg(F.min(value).alias("kth")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cohortlens import schema as S
 from cohortlens.functions.exact import exact_mean
 from cohortlens.functions.sizing import bounded_broadcast
-from cohortlens.operators.ordering import weighted_quantiles
+from cohortlens.operators.ordering import weighted_kth, weighted_quantiles
 
 
 def _n():
@@ -204,31 +204,42 @@ def density(df: DataFrame, value: str = "performance_drop", by: str = "risk_leve
 
 
 def trend(df: DataFrame, x: str = "attendance", y: str = "average_score", by: str = "risk_level",
-          points: int = 51, frac: float = 2.0 / 3.0, precision: int = 2, digits: int = 4) -> DataFrame:
+          points: int = 51, frac: float = 2.0 / 3.0, precision: int = 2, digits: int = 4,
+          max_window_values: int = 1_000_000) -> DataFrame:
     """Locally weighted linear fit of y on x per group, evaluated on a grid.
 
     At each grid point g the window is the ceil(frac*n) nearest x values
     (tricube weights on distance / k-th distance); the weighted least-squares
     line is evaluated at g, or the weighted mean when x has no spread there.
     No robustness iterations. Rows are first reduced to distinct (group, x)
-    with count and sum of y, which is all the weighted sums need; x is taken
-    at ``precision`` decimals (scores are entered with two), so per group at
-    most (max - min) * 10^precision + 1 values remain, whatever the row count.
+    with count and sum of y, which is all the weighted sums need (x is taken
+    at ``precision`` decimals, the scores' precision). The k-th distance is a
+    running sum over a window per (group, grid point) while each group has at
+    most ``max_window_values`` distinct x values (a proven per-task bound);
+    beyond that it comes from ``ordering.weighted_kth`` (range-partitioned
+    ranks), which gathers nothing per (group, grid point).
     """
     base = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     px = base.groupBy(by, F.round(F.col(x), precision).alias("xv")).agg(_n().alias("c"),
-                                                                         F.sum(y).alias("sy"))
+                                                                         F.sum(y).alias("sy")).persist()
+    widest = px.groupBy(by).count().agg(F.max("count")).first()[0] or 0
     stats = (base.groupBy(by).agg(_n().alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
                  .withColumn("k", F.ceil(F.col("n") * frac)))
     j = px.join(bounded_broadcast(stats), by)
     g = j.select(by, "xv", "c", "sy", "k",
                  F.posexplode(_grid(F.col("lo"), F.col("hi"), points)).alias("gi", "g"))
     g = g.withColumn("d", F.abs(F.col("xv") - F.col("g")))
-    # Distinct x values per (group, grid point): bounded by the x domain.
-    w = Window.partitionBy(by, "gi").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("cum", F.sum("c").over(w))
-    h = (g.filter(F.col("cum") >= F.col("k")).groupBy(by, "gi").agg(F.min("d").alias("h")))
-    g = g.join(h, [by, "gi"])
+    if widest <= max_window_values:
+        # each (group, grid point) window holds at most ``widest`` distinct x values
+        w = Window.partitionBy(by, "gi").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+        cum = g.withColumn("cum", F.sum("c").over(w))
+        h = cum.filter(F.col("cum") >= F.col("k")).groupBy(by, "gi").agg(F.min("d").alias("h"))
+        g = g.join(h, [by, "gi"])
+    else:
+        # k-th distance by range-partitioned ranks: nothing gathered per (group, grid point)
+        g = g.withColumn("_grp", F.struct(by, "gi"))
+        h = weighted_kth(g, "_grp", "d", "c", "k").withColumnRenamed("kth", "h")
+        g = g.join(bounded_broadcast(h), "_grp").drop("_grp")
     u = F.try_divide(F.col("d"), F.col("h"))
     wt = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
     g = g.withColumn("wt", F.when(F.col("h") > 0, wt).otherwise(

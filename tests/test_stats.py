@@ -70,9 +70,11 @@ def _lowess_brute(x, y, grid, frac):
     return np.array(out)
 
 
-def test_trend_matches_brute_force(spark):
+@pytest.mark.parametrize("window_limit", [10**6, 0])
+def test_trend_matches_brute_force(spark, window_limit):
+    """Both bandwidth paths (bounded window, range-partitioned ranks) against numpy."""
     pdf = _fixture()
-    got = stats.trend(spark.createDataFrame(pdf), points=21).toPandas()
+    got = stats.trend(spark.createDataFrame(pdf), points=21, max_window_values=window_limit).toPandas()
     for grp, g in got.groupby("risk_level"):
         sub = pdf[pdf.risk_level == grp]
         g = g.sort_values("grid_index")
