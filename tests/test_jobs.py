@@ -49,3 +49,19 @@ def test_student_role_limits(spark):
     assert [r[0] for r in ok.collect()] == ["S1"] and denied.count() == 2
     ok, denied = views.split_own_rows(recs, "faculty", None)
     assert ok.count() == 3 and denied.count() == 0
+
+
+def test_stream_score_job(spark):
+    from cohortlens.operators import ml
+    model = scratch_path(spark, "job-model-2")
+    r = ml.train_and_evaluate(ml.training_frame(inputs.students_raw(spark, SF001)),
+                              ml.ForestParams(num_trees=5, max_depth=4), with_cv=False)
+    ml.save(r, model)
+    req, out, ck = (scratch_path(spark, n) for n in ("s-req", "s-out", "s-ck"))
+    files.write_json(score_requests(spark, SF001), req)
+    jobs.main(["stream-score", "--store", "unused", "--model", model, "--requests", req, "--out", out,
+               "--checkpoint", ck], spark)
+    got = spark.read.parquet(out)
+    from cohortlens.operators.validate import check_score_requests
+    want = check_score_requests(files.read_score_requests_json(spark, req)).filter("is_valid").count()
+    assert got.count() == want and got.filter(F.col("predicted_risk").isNull()).count() == 0

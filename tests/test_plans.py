@@ -38,3 +38,21 @@ def test_lookup_filter_is_pushed_down(spark):
     plan = _plan(views.student_lookup(progress_log(spark, SF001), "STU00000001"))
     assert "PushedFilters" in plan and "user_id" in plan.split("PushedFilters")[1][:300] or \
         "PushedFilters: [IsNotNull" in plan
+
+
+_ALLOWED_WINDOW_KEYS = ({"_pid"}, {"risk_level", "gi"})
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_windows_never_partition_by_a_hot_key(spark, name):
+    """A Window puts each partition key's rows in one task. The only windows allowed are over
+    one balanced range partition (``_pid``) or the (risk level, grid point) cells of the trend
+    bandwidth, whose size is bounded by the distinct x values of a group."""
+    import re
+    plan = _plan(registry.QUERIES[name](spark, SF001))
+    for line in plan.splitlines():
+        if "Window [" not in line:
+            continue
+        m = re.search(r"\], \[([^\]]*)\], \[", line)
+        keys = {k.split("#")[0].strip() for k in m.group(1).split(",")} if m and m.group(1) else set()
+        assert keys in _ALLOWED_WINDOW_KEYS, f"{name}: window partitioned by {keys}"
