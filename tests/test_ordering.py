@@ -54,3 +54,19 @@ def test_ordered_changes_with_null_values_and_keys(spark):
                      F.first("a").over(w).alias("first_a"))
     cols = ["k", "t", "seq", "a", "prev_a", "first_a"]
     assert sorted(got.select(cols).collect(), key=str) == sorted(want.select(cols).collect(), key=str)
+
+
+def test_ordered_changes_across_tiny_arrow_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        df = _data(spark, 900)
+        got = ordered_changes(df, "k", ["t", "seq"], ["a"], num_partitions=5)
+        w = Window.partitionBy("k").orderBy("t", "seq")
+        want = df.select("k", "t", "seq", "a", F.lag("a").over(w).alias("prev_a"),
+                         F.first("a").over(w).alias("first_a"))
+        cols = ["k", "t", "seq", "a", "prev_a", "first_a"]
+        assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
+    finally:
+        spark.conf.set(key, old)
