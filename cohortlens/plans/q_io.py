@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import schema as S
 from cohortlens.functions.rules import alert_tags, risk_progress
-from cohortlens.operators import load, updates, validate
+from cohortlens.operators import load, updates, validate, views
 from cohortlens.plans import inputs
 from cohortlens.plans.registry import register
 from cohortlens.plans.sqlbase import (GEN_FEATURES, points_label_sql, risk_progress_sql, sround,
@@ -43,6 +43,22 @@ def export_csv(spark, sf_dir):
     return files.read_students_csv(spark, path)
 
 
+@register("export_all_csv", with_students(f"SELECT {_SNAP} FROM students"))
+def export_all_csv(spark, sf_dir):
+    """Admin export: every row of the snapshot, read back with the declared schema."""
+    path = scratch_path(spark, "all-export")
+    files.write_csv(inputs.students(spark, sf_dir), path)
+    return files.read_students_csv(spark, path)
+
+
+@register("export_class_csv", with_students(f"SELECT {_SNAP} FROM students WHERE faculty_id = 'FAC001'"))
+def export_class_csv(spark, sf_dir):
+    """Faculty export: the scoped rows of one class."""
+    path = scratch_path(spark, "class-export")
+    files.write_csv(views.scope(inputs.students(spark, sf_dir), "faculty", faculty_id="FAC001"), path)
+    return files.read_students_csv(spark, path)
+
+
 # ---------------------------------------------------------------- requests
 def _key():
     return F.substring("student_id", 4, 8).cast("bigint")
