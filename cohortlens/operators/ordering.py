@@ -80,7 +80,9 @@ def ordered_changes(df: DataFrame, key: str, order_cols: list[str], value_cols:
                     num_partitions: int | None = None) -> DataFrame:
     """Per key in ``order_cols`` order: previous and first value of each ``value_cols``.
 
-    Adds ``prev_<v>`` (NULL on a key's first row) and ``first_<v>``. Within a
+    Adds ``prev_<v>`` (NULL on a key's first row) and ``first_<v>``; ``order_cols``
+    should end in a unique column (e.g. an arrival number) so that ties cannot
+    make the order, and the result, depend on the partitioning. Within a
     partition the values come from a vectorised sequential pass over Arrow
     batches (``mapInPandas``); a key that began in an earlier partition gets
     its previous and first row from a carry computed on the driver out of
