@@ -65,6 +65,13 @@ def risk_cards(spark, sf_dir):
     return stats.risk_cards(inputs.students(spark, sf_dir), by=["faculty_id"])
 
 
+@register("risk_cards_all", with_students(f"""
+SELECT *, {', '.join(_SH)} FROM (SELECT count(*) AS total, {', '.join(_P)} FROM students) c"""))
+def risk_cards_all(spark, sf_dir):
+    """Admin view: the same cards over every row."""
+    return stats.risk_cards(inputs.students(spark, sf_dir))
+
+
 @register("score_means_by_risk", with_students(
     "SELECT risk_level, "
     + ", ".join(f"{sround(emean(c), 6)} AS mean_{c}" for c in S.MEAN_COLS)
