@@ -3,7 +3,8 @@
     spark-submit cohortlens/jobs.py load-csv   --store S --csv PATH
     spark-submit cohortlens/jobs.py load-jdbc  --store S --url URL --table T [--partition-column C ...]
     spark-submit cohortlens/jobs.py train      --store S --model M [--trees 200]
-    spark-submit cohortlens/jobs.py score      --store S --model M --requests JSON_DIR --out DIR
+    spark-submit cohortlens/jobs.py score      --store S --model M --requests JSON_DIR --out DIR [--log L]
+    spark-submit cohortlens/jobs.py compact    --store S --log L
     spark-submit cohortlens/jobs.py analytics  --store S --out DIR [--role faculty --faculty-id FAC001]
     spark-submit cohortlens/jobs.py progress   --log L --requests JSON_DIR
     spark-submit cohortlens/jobs.py stream-score --store S --model M --requests DIR --out DIR --checkpoint C
@@ -25,6 +26,8 @@ from cohortlens import schema as S
 from cohortlens.operators import load, ml, progress, stats, updates, validate, views
 from cohortlens.session import ensure_checkpoint_dir
 from cohortlens.sources import files, jdbc
+from cohortlens.sources import prediction_log
+from cohortlens.sources.prediction_log import PredictionLog
 from cohortlens.sources.snapshot import SnapshotStore
 from cohortlens.streaming import streams
 
@@ -71,10 +74,20 @@ def cmd_score(spark, a):
     written = spark.read.parquet(f"{a.out}/predictions").filter(F.col("student_id").isNotNull())
     upd = written.select("student_id", "predicted_risk", "confidence", "difficulty_type",
                          F.monotonically_increasing_id().alias("seq"))
+    if a.log:   # merge on read: this run costs its own rows; `compact` folds the log in later
+        log = PredictionLog(spark, a.log)
+        batch = max(log.batch_ids(), default=-1) + 1
+        # later runs win: run number in the high bits, arrival position (< 2^48) below
+        log.append_batch(upd.withColumn("seq", F.col("seq") + F.lit(batch << 48)), batch)
+        return {"log_batch": batch}
     v = store.replace(updates.apply_predictions(store.read().drop("created_at"), upd))
     return {"version": v}
 
 
+def cmd_compact(spark, a):
+    return {"version": prediction_log.compact(_store(spark, a), PredictionLog(spark, a.log))}
+
+
 def cmd_analytics(spark, a):
     snap = views.scope(_store(spark, a).read(), a.role, a.student_id, a.faculty_id)
     outs = {"summary": stats.analytics_summary(snap),
@@ -122,7 +135,8 @@ def parser() -> argparse.ArgumentParser:
         ("--num-partitions", {"type": int}))
     add("train", cmd_train, ("--store", req), ("--model", req), ("--trees", {"type": int, "default": 200}))
     add("score", cmd_score, ("--store", req), ("--model", req), ("--requests", req), ("--out", req),
-        ("--role", {"default": "admin"}), ("--student-id", {}))
+        ("--role", {"default": "admin"}), ("--student-id", {}), ("--log", {}))
+    add("compact", cmd_compact, ("--store", req), ("--log", req))
     add("analytics", cmd_analytics, ("--store", req), ("--out", req), ("--role", {"default": "admin"}),
         ("--student-id", {}), ("--faculty-id", {}))
     add("progress", cmd_progress, ("--log", req), ("--requests", req), ("--role", {"default": "admin"}),

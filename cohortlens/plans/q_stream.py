@@ -10,6 +10,8 @@ from cohortlens.plans.q_ml import trained
 from cohortlens.plans.registry import register
 from cohortlens.session import scratch_path
 from cohortlens.sources import files
+from cohortlens.sources import prediction_log
+from cohortlens.sources.prediction_log import PredictionLog
 from cohortlens.sources.snapshot import SnapshotStore
 from cohortlens.streaming import streams
 
@@ -37,12 +39,16 @@ def stream_scoring(spark, sf_dir):
 
 @register("stream_apply", with_students(_UPDATES_SQL, progress=True))
 def stream_apply(spark, sf_dir):
+    """Updates streamed into the prediction log one file per micro-batch, compacted into
+    a new snapshot version, then read merged (nothing left to merge after compaction)."""
     store = SnapshotStore(spark, scratch_path(spark, "snapshot-stream"))
     store.replace(inputs.students(spark, sf_dir))
+    log = PredictionLog(spark, scratch_path(spark, "prediction-log"))
     upd = prediction_updates(spark, sf_dir)
     src = scratch_path(spark, "updates-in")
     # several files, read one per micro-batch, in whatever order the source lists them
     files.write_json(upd.repartition(4, "student_id"), src)
-    streams.run_apply_stream(spark, src, store, scratch_path(spark, "apply-ckpt"), upd.schema,
+    streams.run_apply_stream(spark, src, log, scratch_path(spark, "apply-ckpt"), upd.schema,
                              max_files=1)
-    return store.read().drop("created_at", "prediction_seq")
+    prediction_log.compact(store, log)
+    return prediction_log.current(store, log).drop("prediction_seq")

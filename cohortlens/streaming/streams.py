@@ -2,10 +2,11 @@
 
 The streaming jobs call the same DataFrame functions as the batch path, so a
 stream and a batch over the same records give the same rows. All are
-stateless per record except the write-back, which uses ``foreachBatch`` to
-publish a new snapshot version per micro-batch; a replayed batch id is
-skipped, so a restart after a lost executor or driver does not apply a batch
-twice. Checkpoints live under the shared checkpoint folder.
+stateless per record except the write-back, whose ``foreachBatch`` appends
+each micro-batch to a prediction log (merge on read, periodic compaction; see
+``sources/prediction_log.py``); a replayed batch id overwrites its own folder,
+so a restart after a lost executor or driver applies every batch exactly once.
+Checkpoints live under the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens import schema as S
-from cohortlens.operators import features, ml, recommend, updates, validate
-from cohortlens.sources.snapshot import SnapshotStore
+from cohortlens.operators import features, ml, recommend, validate
+from cohortlens.sources.prediction_log import PredictionLog
 
 MAX_FILES_PER_TRIGGER = 1000
 
@@ -78,24 +79,21 @@ def run_scoring_stream(spark: SparkSession, source: str, sink: str, checkpoint:
     _run(stream.writeStream.format("parquet").option("path", sink).outputMode("append"), checkpoint)
 
 
-def apply_batch(store: SnapshotStore):
-    """foreachBatch body: latest update per id in the batch, joined onto the current
-    snapshot, published as a new version; replays of a committed batch are skipped."""
+def apply_batch(log: PredictionLog):
+    """foreachBatch body: append the micro-batch of prediction updates to the log.
+
+    The cost is the batch's, not the table's; a replayed batch id (after a
+    restart) overwrites its own folder, so it is applied exactly once.
+    """
     def fn(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        marker = f"{store.base}/_batches/{batch_id}"
-        if _exists(spark, marker):
-            return
-        current = store.read().drop("created_at")
-        store.replace(updates.apply_predictions(current, batch, keep_seq=True), reject_empty=False)
-        spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("overwrite").json(marker)
+        log.append_batch(batch, batch_id)
     return fn
 
 
-def run_apply_stream(spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str,
+def run_apply_stream(spark: SparkSession, source: str, log: PredictionLog, checkpoint: str,
                      schema, max_files: int | None = MAX_FILES_PER_TRIGGER) -> None:
     stream = read_json_stream(spark, source, schema, max_files)
-    _run(stream.writeStream.foreachBatch(apply_batch(store)), checkpoint)
+    _run(stream.writeStream.foreachBatch(apply_batch(log)), checkpoint)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -117,20 +117,28 @@ def test_generator_distribution(spark):
 
 def test_apply_stream_restart_is_idempotent(spark):
     """A restarted write-back stream (same checkpoint) neither re-applies nor loses batches,
-    and replaying an already committed batch id is skipped."""
+    a replayed batch id overwrites its own log folder, and compaction changes nothing."""
+    from cohortlens.operators import updates
     from cohortlens.plans.q_io import prediction_updates
-    from cohortlens.sources import files
+    from cohortlens.sources import files, prediction_log
     from cohortlens.streaming import streams
     store = SnapshotStore(spark, scratch_path(spark, "restart-store"))
     store.replace(inputs.students(spark, SF001))
+    log = prediction_log.PredictionLog(spark, scratch_path(spark, "restart-log"))
     upd = prediction_updates(spark, SF001)
     src, ck = scratch_path(spark, "restart-src"), scratch_path(spark, "restart-ck")
     files.write_json(upd.repartition(3, "student_id"), src)
-    streams.run_apply_stream(spark, src, store, ck, upd.schema, max_files=1)
-    versions = store.versions()
-    first = sorted(store.read().drop("created_at").collect())
-    streams.run_apply_stream(spark, src, store, ck, upd.schema, max_files=1)    # restart: nothing new
-    assert store.versions() == versions
-    streams.apply_batch(store)(spark.read.schema(upd.schema).json(src), 0)       # replay of batch 0
-    assert store.versions() == versions
-    assert sorted(store.read().drop("created_at").collect()) == first
+    streams.run_apply_stream(spark, src, log, ck, upd.schema, max_files=1)
+    batches = log.batch_ids()
+    merged = sorted(prediction_log.current(store, log).drop("prediction_seq").collect())
+    streams.run_apply_stream(spark, src, log, ck, upd.schema, max_files=1)    # restart: nothing new
+    assert log.batch_ids() == batches
+    b0 = spark.read.parquet(f"{log.base}/batch_id=0")
+    again = spark.createDataFrame(b0.collect(), b0.schema)               # the replayed batch's rows
+    streams.apply_batch(log)(again, 0)                                   # replay of batch 0
+    assert sorted(prediction_log.current(store, log).drop("prediction_seq").collect()) == merged
+    batch = updates.apply_predictions(inputs.students(spark, SF001), upd)
+    assert merged == sorted(batch.collect())
+    prediction_log.compact(store, log)
+    assert log.compacted_through(store) == max(batches)
+    assert sorted(prediction_log.current(store, log).drop("prediction_seq").collect()) == merged

@@ -65,3 +65,24 @@ def test_stream_score_job(spark):
     from cohortlens.operators.validate import check_score_requests
     want = check_score_requests(files.read_score_requests_json(spark, req)).filter("is_valid").count()
     assert got.count() == want and got.filter(F.col("predicted_risk").isNull()).count() == 0
+
+
+def test_score_into_log_then_compact(spark):
+    from cohortlens.operators import ml
+    store, model, log = (scratch_path(spark, n) for n in ("lg-store", "lg-model", "lg-log"))
+    csv = scratch_path(spark, "lg-csv")
+    files.write_csv(inputs.students_raw(spark, SF001), csv)
+    jobs.main(["load-csv", "--store", store, "--csv", csv], spark)
+    r = ml.train_and_evaluate(ml.training_frame(inputs.students_raw(spark, SF001)),
+                              ml.ForestParams(num_trees=5, max_depth=4), with_cv=False)
+    ml.save(r, model)
+    req = scratch_path(spark, "lg-req")
+    files.write_json(score_requests(spark, SF001), req)
+    for i in range(2):
+        out = scratch_path(spark, f"lg-out{i}")
+        assert jobs.main(["score", "--store", store, "--model", model, "--requests", req, "--out", out,
+                          "--log", log], spark) == {"log_batch": i}
+    assert SnapshotStore(spark, store).versions() == [1]          # scoring did not rewrite the table
+    v = jobs.main(["compact", "--store", store, "--log", log], spark)["version"]
+    snap = SnapshotStore(spark, store).read(v)
+    assert snap.filter(F.col("predicted_risk").isNotNull()).count() > 0
