@@ -27,14 +27,10 @@ _SNAP = ("student_id, faculty_id, attendance, assignment_score, internal_marks,
 def csv_scan(spark, sf_dir):
     """Six-column file -> declared-schema scan -> derived columns -> stored columns."""
     path = scratch_path(spark, "students-csv")
-    files.write_csv(bridge_raw(spark, sf_dir), path)
+    files.write_csv(inputs.students_raw(spark, sf_dir), path)
     return load.prepare(files.read_students_csv(spark, path), on_duplicate="error")
 
 
-def bridge_raw(spark, sf_dir):
-    return inputs.students_raw(spark, sf_dir)
-
-
 @register("export_csv", with_students(f"SELECT {_SNAP} FROM students WHERE risk_level = 'High Risk'"))
 def export_csv(spark, sf_dir):
     path = scratch_path(spark, "high-risk-export")
