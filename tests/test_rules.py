@@ -114,3 +114,25 @@ def test_replaced_catalogue_is_used(spark):
     assert rec["priority_action"] == "Own plan" and len(rec["innovative_methods"]) == 3
     default = R.recommend(df).first()["recommendation"]
     assert default["recommendations"][0]["category"] == "Excellence Enhancement"
+
+
+@pytest.mark.parametrize("vals,risk,want", [
+    ((59.9, 100.0, 100.0, 100.0, 0.0, 0.0), S.LOW, ["attendance_critical", "plan_low"]),
+    ((60.0, 100.0, 100.0, 100.0, 0.0, 0.0), S.LOW, ["attendance_high", "plan_low"]),
+    ((74.9, 100.0, 100.0, 100.0, 0.0, 0.0), S.LOW, ["attendance_high", "plan_low"]),
+    ((75.0, 100.0, 100.0, 100.0, 0.0, 0.0), S.LOW, ["plan_low"]),
+    ((90.0, 49.9, 100.0, 100.0, 0.0, 0.0), S.MEDIUM, ["concept_critical", "plan_medium"]),
+    ((90.0, 64.9, 100.0, 100.0, 0.0, 0.0), S.MEDIUM, ["concept_medium", "plan_medium"]),
+    ((90.0, 65.0, 100.0, 49.9, 0.0, 0.0), S.MEDIUM, ["concept_critical", "plan_medium"]),
+    ((90.0, 65.0, 49.9, 100.0, 0.0, 0.0), S.HIGH, ["practice_high", "plan_high"]),
+    ((90.0, 65.0, 50.0, 100.0, 300.01, 0.0), S.HIGH, ["stability_high", "plan_high"]),
+    ((90.0, 65.0, 50.0, 100.0, 300.0, -15.01), S.HIGH, ["stability_high", "plan_high"]),
+    ((90.0, 65.0, 50.0, 100.0, 300.0, 15.0), None, ["plan_low"]),
+])
+def test_recommendation_rule_boundaries(spark, vals, risk, want):
+    from cohortlens.operators import recommend as R
+    df = spark.createDataFrame([vals + (risk,)],
+                               "attendance double, internal_marks double, assignment_score double, "
+                               "quiz_score double, score_variance double, performance_drop double, "
+                               "risk_level string")
+    assert df.select(R.fired_rules(df.columns).alias("r")).first()["r"] == want
