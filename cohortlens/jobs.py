@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import schema as S
 from cohortlens.operators import load, ml, progress, stats, updates, validate, views
-from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.session import apply_scale_conf, ensure_checkpoint_dir
 from cohortlens.sources import files, jdbc
 from cohortlens.sources import prediction_log
 from cohortlens.sources.prediction_log import PredictionLog
@@ -119,6 +119,8 @@ def cmd_stream_score(spark, a):
 
 def parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="cohortlens.jobs")
+    ap.add_argument("--input-bytes", type=int, default=None,
+                    help="size of the input; sizes scan splits and shuffle partitions (session.scale_conf)")
     sub = ap.add_subparsers(dest="cmd", required=True)
 
     def add(name, fn, *args):
@@ -150,6 +152,8 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"cohortlens-{a.cmd}").getOrCreate()
     ensure_checkpoint_dir(spark)
+    if a.input_bytes:
+        apply_scale_conf(spark, a.input_bytes)
     out = a.fn(spark, a)
     print(json.dumps(out, default=str))
     return out

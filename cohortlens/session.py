@@ -45,6 +45,29 @@ def build_session(master: str | None = None, app: str = "cohortlens",
     return spark
 
 
+def scale_conf(input_bytes: int, task_bytes: int = 256 << 20,
+               max_partitions: int = 200_000) -> dict[str, str]:
+    """SQL settings sized to the input so that each scan split and each shuffle
+    partition is about ``task_bytes`` (fits an executor core's share of memory
+    without spilling much). AQE then coalesces small post-shuffle partitions
+    towards half that size and splits skewed ones in joins."""
+    parts = max(200, min(max_partitions, -(-int(input_bytes) // task_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(task_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(task_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(task_bytes),
+    }
+
+
+def apply_scale_conf(spark: SparkSession, input_bytes: int, **kw) -> None:
+    for k, v in scale_conf(input_bytes, **kw).items():
+        spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering it with the context.
 

@@ -26,3 +26,12 @@ def test_jdbc_options():
 def test_decimals_become_double(spark):
     df = spark.sql("SELECT cast(12.5 AS decimal(5,2)) AS attendance, 'a' AS student_id")
     assert jdbc.decimals_to_double(df).schema["attendance"].dataType.typeName() == "double"
+
+
+def test_scale_conf_sizes_partitions():
+    from cohortlens.session import scale_conf
+    c = scale_conf(100 * 10**12)                      # 100 TB
+    assert int(c["spark.sql.shuffle.partitions"]) == 200_000   # capped
+    assert int(scale_conf(10 * 2**30)["spark.sql.shuffle.partitions"]) == 200   # floor
+    assert int(scale_conf(1000 * 2**30)["spark.sql.shuffle.partitions"]) == 4000
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
