@@ -51,14 +51,22 @@ def global_positions(df: DataFrame, order_cols: list[str], num_partitions: int |
     """
     ck = sorted_checkpoint(df, order_cols, num_partitions)
     counts = ck.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()   # <= #partitions
-    offsets, acc = {}, 0
-    for r in sorted(counts, key=lambda r: r["_pid"]):
-        offsets[r["_pid"]] = acc
-        acc += r["n"]
-    if not offsets:
-        return ck.withColumn("_pos", F.lit(None).cast("long")).drop("_pid", "_idx")
-    omap = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-    return ck.withColumn("_pos", F.element_at(omap, F.col("_pid")) + F.col("_idx")).drop("_idx")
+    offsets = _offsets_table(ck, [(r["_pid"], r["n"]) for r in counts])
+    return ck.join(offsets, "_pid").withColumn("_pos", F.col("_off") + F.col("_idx")).drop("_idx", "_off")
+
+
+def _offsets_table(ck: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+    """(``_pid``, ``_off``): rows (or weight) before each partition in partition order.
+
+    One row per partition, so its size is bounded by the partition count; it is
+    broadcast (shipped once per executor) rather than inlined into every task.
+    """
+    rows, acc = [], 0
+    for pid, n in sorted(sizes):
+        rows.append((pid, acc))
+        acc += n
+    offsets = ck.sparkSession.createDataFrame(rows, "_pid int, _off long")
+    return F.broadcast(offsets)
 
 
 def rank_in_group(df: DataFrame, group: str, order_cols: list[str],
@@ -118,14 +126,17 @@ def ordered_changes(df: DataFrame, key: str, order_cols: list[str], value_cols:
     out_fields = list(ck.schema.fields) + [
         T.StructField(f"{p}_{v}", ck.schema[v].dataType) for p in ("prev", "first") for v in value_cols]
     names = [f.name for f in out_fields]
+    # at most one entry per partition; shipped once per executor, not with every task
+    carry_bc = spark.sparkContext.broadcast(carry)
 
     def run(batches):
+        carry_map = carry_bc.value
         state = None                         # (key, last row values, first values of that key)
         for pdf in batches:
             if pdf.empty:
                 continue
             if state is None:
-                c = carry.get(int(pdf["_pid"].iloc[0]))
+                c = carry_map.get(int(pdf["_pid"].iloc[0]))
                 state = (_NULL_KEY if c["key"] is None else c["key"], c["prev"], c["first"]) if c \
                     else (None, None, None)
             keys = pdf[key].astype(object).where(pdf[key].notna(), _NULL_KEY)   # NULL keys: one group
@@ -163,19 +174,14 @@ def _rank_intervals(df: DataFrame, group: str, value: str, weight: str,
     running sum per (balanced) partition plus per-partition offsets from the
     driver (one number per partition); group starts via a size-checked broadcast."""
     ck = sorted_checkpoint(df, [group, value], num_partitions)
-    sums = sorted(ck.groupBy("_pid").agg(F.sum(weight).alias("s")).collect(), key=lambda r: r["_pid"])
-    offsets, acc = {}, 0
-    for r in sums:
-        offsets[r["_pid"]] = acc
-        acc += r["s"]
-    if not offsets:
-        return ck.withColumns({"_ls": F.lit(None).cast("long"), "_le": F.lit(None).cast("long"),
-                               "_n": F.lit(None).cast("long")})
-    omap = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    sums = ck.groupBy("_pid").agg(F.sum(weight).alias("s")).collect()      # <= #partitions
+    offsets = _offsets_table(ck, [(r["_pid"], r["s"]) for r in sums])
     run = F.sum(weight).over(Window.partitionBy("_pid").orderBy("_idx")
                              .rowsBetween(Window.unboundedPreceding, 0))
-    cov = (ck.withColumn("_end", F.element_at(omap, F.col("_pid")) + run)
-             .withColumn("_start", F.col("_end") - F.col(weight)))
+    cov = (ck.join(offsets, "_pid")
+             .withColumn("_end", F.col("_off") + run)
+             .withColumn("_start", F.col("_end") - F.col(weight))
+             .drop("_off"))
     starts = cov.groupBy(group).agg(F.min("_start").alias("_g0"), F.sum(weight).alias("_n"))
     return (cov.join(bounded_broadcast(starts), group)
                .withColumn("_ls", F.col("_start") - F.col("_g0"))
