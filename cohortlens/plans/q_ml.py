@@ -25,7 +25,7 @@ def training_data(spark, sf_dir):
 
 
 def trained(spark, sf_dir, with_cv: bool = False) -> ml.TrainResult:
-    key = (sf_dir, PARAMS)
+    key = (spark.sparkContext.applicationId, sf_dir, PARAMS)   # per application: no stale models
     if key not in _RUNS:
         _RUNS[key] = ml.train_and_evaluate(training_data(spark, sf_dir), PARAMS, with_cv=False)
     run = _RUNS[key]
