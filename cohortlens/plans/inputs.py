@@ -8,9 +8,10 @@ from cohortlens.operators.features import clean_nan, ingest_features, to_snapsho
 from cohortlens.sources import bridge
 
 
-def students(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored snapshot as a fresh ingest would produce it (prediction columns NULL)."""
-    raw = clean_nan(bridge.students_raw(spark, sf_dir))
+def students(spark: SparkSession, sf_dir: str, student_ids=None) -> DataFrame:
+    """The stored snapshot as a fresh ingest would produce it (prediction columns NULL);
+    ``student_ids`` pushes a lookup down to the source scans."""
+    raw = clean_nan(bridge.students_raw(spark, sf_dir, student_ids))
     return to_snapshot_columns(ingest_features(raw))
 
 
@@ -18,5 +19,5 @@ def students_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_nan(bridge.students_raw(spark, sf_dir))
 
 
-def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.progress_log(spark, sf_dir)
+def progress(spark: SparkSession, sf_dir: str, student_ids=None) -> DataFrame:
+    return bridge.progress_log(spark, sf_dir, student_ids)

@@ -16,7 +16,7 @@ _LOG = 'student_id, "timestamp", attendance, average_score, risk_level, seq'
 
 @register("progress_history", with_progress(f"SELECT {_LOG} FROM progress WHERE student_id = '{LOOKUP_ID}'"))
 def progress_history(spark, sf_dir):
-    return P.history(inputs.progress(spark, sf_dir), LOOKUP_ID)
+    return P.history(inputs.progress(spark, sf_dir, student_ids=[LOOKUP_ID]), LOOKUP_ID)
 
 
 @register("progress_timeline", with_progress("""

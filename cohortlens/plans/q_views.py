@@ -40,7 +40,7 @@ def all_students(spark, sf_dir):
 
 @register("student_lookup", with_students(f"SELECT {_SNAP} FROM students WHERE student_id = '{LOOKUP_ID}'"))
 def student_lookup(spark, sf_dir):
-    return views.student_lookup(inputs.students(spark, sf_dir), LOOKUP_ID)
+    return views.student_lookup(inputs.students(spark, sf_dir, student_ids=[LOOKUP_ID]), LOOKUP_ID)
 
 
 @register("class_students", with_students(f"SELECT {_SNAP} FROM students WHERE faculty_id = '{CLASS_ID}'"))

@@ -28,9 +28,23 @@ def _pct_int(c: str):
     return F.round(F.col(c) * 100).cast("int")
 
 
-def students_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six score columns plus ``faculty_id`` per student (no derived columns)."""
+def source_keys(student_ids) -> list[int]:
+    """Order / user keys behind student ids ("STU" + zero-padded key)."""
+    return sorted({int(s[3:]) for s in student_ids if s and s.startswith("STU") and s[3:].isdigit()})
+
+
+def students_raw(spark: SparkSession, sf_dir: str, student_ids=None) -> DataFrame:
+    """Six score columns plus ``faculty_id`` per student (no derived columns).
+
+    ``student_ids`` restricts the derivation to those students by a key predicate
+    on both scans (pushed into the Parquet readers, so a lookup skips row
+    groups instead of aggregating all of ``lineitem``)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    if student_ids is not None:
+        keys = source_keys(student_ids)
+        li = li.filter(F.col("l_orderkey").isin(keys))
+        orders = orders.filter(F.col("o_orderkey").isin(keys))
     n = F.count(F.lit(1))
     scores = li.groupBy("l_orderkey").agg(
         (F.lit(2.0) * F.max("l_quantity")).alias("attendance"),
@@ -41,7 +55,6 @@ def students_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.lit(30.0) + F.lit(70.0) * F.sum(_pct_int("l_discount"))
                 / (F.lit(10.0) * n), 1).alias("previous_semester_marks"),
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     joined = (orders.join(scores, orders.o_orderkey == scores.l_orderkey)
               .join(customer, orders.o_custkey == customer.c_custkey))
@@ -52,9 +65,11 @@ def students_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def progress_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def progress_raw(spark: SparkSession, sf_dir: str, student_ids=None) -> DataFrame:
     """Progress log rows: student, time, attendance, average score, arrival seq."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "props")
+    if student_ids is not None:
+        ev = ev.filter(F.col("user_id").isin(source_keys(student_ids)))
     return ev.select(
         F.concat(F.lit("STU"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("student_id"),
         F.col("ts").alias("timestamp"),
@@ -64,7 +79,7 @@ def progress_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = progress_raw(spark, sf_dir)
+def progress_log(spark: SparkSession, sf_dir: str, student_ids=None) -> DataFrame:
+    raw = progress_raw(spark, sf_dir, student_ids)
     return raw.select("student_id", "timestamp", "attendance", "average_score",
                       risk_progress().alias("risk_level"), "seq")

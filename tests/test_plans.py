@@ -33,11 +33,11 @@ def test_bridge_prunes_lineitem_columns(spark):
 
 
 def test_lookup_filter_is_pushed_down(spark):
-    from cohortlens.operators import views
-    from cohortlens.sources.bridge import progress_log
-    plan = _plan(views.student_lookup(progress_log(spark, SF001), "STU00000001"))
-    assert "PushedFilters" in plan and "user_id" in plan.split("PushedFilters")[1][:300] or \
-        "PushedFilters: [IsNotNull" in plan
+    """A one-student lookup reaches the Parquet scans as a key predicate."""
+    plan = _plan(registry.QUERIES["student_lookup"](spark, SF001))
+    assert "EqualTo(l_orderkey,1)" in plan and "EqualTo(o_orderkey,1)" in plan
+    plan = _plan(registry.QUERIES["progress_history"](spark, SF001))
+    assert "EqualTo(user_id,1)" in plan
 
 
 _ALLOWED_WINDOW_KEYS = ({"_pid"}, {"risk_level", "gi"})
