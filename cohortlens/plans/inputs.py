@@ -8,10 +8,10 @@ from cohortlens.operators.features import clean_nan, ingest_features, to_snapsho
 from cohortlens.sources import bridge
 
 
-def students(spark: SparkSession, sf_dir: str, student_ids=None) -> DataFrame:
+def students(spark: SparkSession, sf_dir: str, student_ids=None, faculty_ids=None) -> DataFrame:
     """The stored snapshot as a fresh ingest would produce it (prediction columns NULL);
-    ``student_ids`` pushes a lookup down to the source scans."""
-    raw = clean_nan(bridge.students_raw(spark, sf_dir, student_ids))
+    ``student_ids`` / ``faculty_ids`` push a lookup down to the source scans."""
+    raw = clean_nan(bridge.students_raw(spark, sf_dir, student_ids, faculty_ids))
     return to_snapshot_columns(ingest_features(raw))
 
 

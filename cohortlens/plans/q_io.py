@@ -51,7 +51,8 @@ def export_all_csv(spark, sf_dir):
 def export_class_csv(spark, sf_dir):
     """Faculty export: the scoped rows of one class."""
     path = scratch_path(spark, "class-export")
-    files.write_csv(views.scope(inputs.students(spark, sf_dir), "faculty", faculty_id="FAC001"), path)
+    st = inputs.students(spark, sf_dir, faculty_ids=["FAC001"])
+    files.write_csv(views.scope(st, "faculty", faculty_id="FAC001"), path)
     return files.read_students_csv(spark, path)
 
 

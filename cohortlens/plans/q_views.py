@@ -45,12 +45,12 @@ def student_lookup(spark, sf_dir):
 
 @register("class_students", with_students(f"SELECT {_SNAP} FROM students WHERE faculty_id = '{CLASS_ID}'"))
 def class_students(spark, sf_dir):
-    return views.class_students(inputs.students(spark, sf_dir), CLASS_ID)
+    return views.class_students(inputs.students(spark, sf_dir, faculty_ids=[CLASS_ID]), CLASS_ID)
 
 
 @register("class_ids", with_students(f"SELECT student_id FROM students WHERE faculty_id = '{CLASS_ID}'"))
 def class_ids(spark, sf_dir):
-    return views.class_ids(inputs.students(spark, sf_dir), CLASS_ID)
+    return views.class_ids(inputs.students(spark, sf_dir, faculty_ids=[CLASS_ID]), CLASS_ID)
 
 
 # Display list with one column that does not exist: it is skipped, order kept.
@@ -87,7 +87,7 @@ def fixed_sample(spark, sf_dir):
     f"ORDER BY md5(student_id || '#{S.SEED}'), student_id LIMIT {S.SAMPLE_SIZE_CLASS}"))
 def class_sample(spark, sf_dir):
     """The class view's fixed sample: min(250, class size) rows of one class."""
-    cls = views.class_students(inputs.students(spark, sf_dir), CLASS_ID)
+    cls = views.class_students(inputs.students(spark, sf_dir, faculty_ids=[CLASS_ID]), CLASS_ID)
     return views.fixed_sample(cls, S.SAMPLE_SIZE_CLASS)
 
 

@@ -33,12 +33,18 @@ def source_keys(student_ids) -> list[int]:
     return sorted({int(s[3:]) for s in student_ids if s and s.startswith("STU") and s[3:].isdigit()})
 
 
-def students_raw(spark: SparkSession, sf_dir: str, student_ids=None) -> DataFrame:
+def class_keys(faculty_ids) -> list[int]:
+    """Nation keys behind class ids ("FAC" + zero-padded nation key + 1)."""
+    return sorted({int(f[3:]) - 1 for f in faculty_ids if f and f.startswith("FAC") and f[3:].isdigit()})
+
+
+def students_raw(spark: SparkSession, sf_dir: str, student_ids=None, faculty_ids=None) -> DataFrame:
     """Six score columns plus ``faculty_id`` per student (no derived columns).
 
     ``student_ids`` restricts the derivation to those students by a key predicate
     on both scans (pushed into the Parquet readers, so a lookup skips row
-    groups instead of aggregating all of ``lineitem``)."""
+    groups instead of aggregating all of ``lineitem``); ``faculty_ids`` does the
+    same for classes on the ``customer`` scan."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     if student_ids is not None:
@@ -56,6 +62,8 @@ def students_raw(spark: SparkSession, sf_dir: str, student_ids=None) -> DataFram
                 / (F.lit(10.0) * n), 1).alias("previous_semester_marks"),
     )
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    if faculty_ids is not None:
+        customer = customer.filter(F.col("c_nationkey").isin(class_keys(faculty_ids)))
     joined = (orders.join(scores, orders.o_orderkey == scores.l_orderkey)
               .join(customer, orders.o_custkey == customer.c_custkey))
     return joined.select(
