@@ -47,14 +47,20 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", app="cohortlens-bench", shuffle_partitions=cpus * 2)
     for _ in range(2):                                # warm-up, not reported
         run(spark, "class_counts", sf_dir)
-    times = {}
+    times, failed = {}, {}
     for n in names:
-        times[n] = round(run(spark, n, sf_dir), 3)
-        print(f"{n}: {times[n]}s", file=sys.stderr)
+        try:
+            times[n] = round(run(spark, n, sf_dir), 3)
+            print(f"{n}: {times[n]}s", file=sys.stderr)
+        except Exception as e:  # noqa: BLE001 - report, keep timing the others
+            failed[n] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"{n}: FAILED {failed[n]}", file=sys.stderr)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": float(sf) if sf else None,
-                      "cpus": cpus}))
+    out = {"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
+           "unit": "sec", "queries": times, "sf": float(sf) if sf else None, "cpus": cpus}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
