@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, near_dedup, packing, secrets, token_files, toxicity
+from cohortlens.llm import decontaminate, line_dedup, near_dedup, packing, secrets, token_files, toxicity
 from cohortlens.llm.common import table
 from cohortlens.session import scratch_path
 
@@ -70,3 +70,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines after deduplication: counts, size and digest of its new text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedupe(docs, counts="n").select(
+        "doc_id", "n.lines", "n.exact", "n.near", "n.links", F.char_length("text").alias("n_chars"),
+        F.sha2("text", 256).alias("text_sha256"))
