@@ -10,6 +10,7 @@ what is found is verified by a banded bit-parallel edit distance.
 from __future__ import annotations
 
 import functools
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ MAX_EDITS = 1
 NEAR_CHARS = 20                               # shorter lines only count as copies when equal
 BLOCKS = 8                                    # of a line's two block signatures
 BLOCK_BITS = 7
+NO_DOC = Decimal(-(1 << 63) - 1)              # stands for a null doc_id
 GRID = 2 * BLOCKS                             # lengths are rounded down to this for the signatures
 
 
@@ -34,14 +36,14 @@ def _key(line: Column, t: Column, i: int, start: Column, size: Column) -> Column
     return F.xxhash64(F.lit(i), t, F.substring(line, start + 1, size))
 
 
-def _signatures(line: Column, n: Column, grid: Column) -> Column:
+def _signatures(line: Column, n: Column, grid: Column) -> list[Column]:
     """Hashes of BLOCKS blocks of grid / BLOCKS characters, counted from the line's start and from its end."""
     size, front, back = (grid / BLOCKS).cast("int"), [], []
     for j in range(BLOCKS):
         low = lambda s: F.shiftleft(F.xxhash64(s).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)), BLOCK_BITS * j)  # noqa: E731, B023
         front.append(low(F.substring(line, size * j + 1, size)))
         back.append(low(F.substring(line, n - size * (j + 1) + 1, size)))
-    return F.struct(functools.reduce(Column.bitwiseOR, front).alias("f"), functools.reduce(Column.bitwiseOR, back).alias("b"))
+    return [functools.reduce(Column.bitwiseOR, x) for x in (front, back)]
 
 
 def _equal_blocks(x: Column, y: Column) -> Column:
@@ -51,38 +53,48 @@ def _equal_blocks(x: Column, y: Column) -> Column:
     return F.when(d == 0, BLOCKS).otherwise(F.floor(F.bit_count(below) / BLOCK_BITS))
 
 
-def keys(line: Column, k: int) -> Column:
-    """What a line is found by and looks up: ``own``, the keys of its segments; ``probes``, for each
-    difference of lengths, the keys of the substrings; and, for one edit, its block signatures on
-    the grid of its own length (``s0``) and on that of a line shorter by one (``s1``)."""
-    n = F.char_length(line)
-    own, probes = [], []
+def keys(line: Column, n: Column, k: int) -> dict[str, Column]:
+    """What a line of n characters is found by and looks up, all as longs: ``own_i``, the keys of its
+    segments; ``probe_s_j``, those of the substrings to look up in lines shorter by s; and, for one
+    edit, its block signatures on the grid of its own length (``f0``, ``b0``) and of a line shorter
+    by one (``f1``, ``b1``)."""
+    out = {}
     for shift in range(k + 1):
-        t = n - shift
+        t, count = n - shift, 0
         for i in range(k + 1):
             start, size = _segment(t, i, k)
             if not shift:
-                own.append(_key(line, t, i, start, size))
+                out[f"own_{i}"] = _key(line, t, i, start, size)
             for at in range(max(-i, shift - (k - i)), min(i, shift + (k - i)) + 1):
-                probes.append(F.struct(_key(line, t, i, start + at, size).alias("key"), F.lit(shift).alias("shift")))
-    none = F.struct(F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("b"))
-    s0 = _signatures(line, n, n - n % GRID) if k == 1 else none
-    s1 = F.when(n % GRID == 0, _signatures(line, n, n - GRID)) if k == 1 else none
-    return F.struct(F.array(*own).alias("own"), F.array(*probes).alias("probes"), s0.alias("s0"), s1.alias("s1"))
+                out[f"probe_{shift}_{count}"] = _key(line, t, i, start + at, size)
+                count += 1
+    if k == 1:
+        out["f0"], out["b0"] = _signatures(line, n, n - n % GRID)
+        other = _signatures(line, n, n - GRID)
+        out["f1"], out["b1"] = (F.when(n % GRID == 0, o).otherwise(out[x]) for o, x in zip(other, ("f0", "b0"), strict=True))
+    return out
+
+
+def _common_start(x: Column, y: Column) -> Column:
+    """Number of equal characters at the start, by bisection."""
+    longer = lambda at, bit: at + F.when(F.substring(x, F.lit(1), at + bit) == F.substring(y, F.lit(1), at + bit), bit).otherwise(0)
+    least = F.least(F.char_length(x), F.char_length(y))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.call_function("shiftleft", F.lit(1), 30 - i))
+    return F.aggregate(F.filter(bits, lambda b: b <= least), F.lit(0), lambda at, b: F.when(at + b <= least, longer(at, b)).otherwise(at))
 
 
 def within(x: Column, y: Column, k: int) -> Column:
     """Whether the edit distance of x and y is at most k; both are longer than k characters and
     differ by at most k in length.
 
-    One bit for each of the 2k + 1 cells of x around the diagonal holds the vertical
-    differences of the table; a character of y advances them all with a few word
-    operations. The last cell is followed down the diagonal to the end of x, then along it.
+    What both begin with is left out, but for k + 1 characters. One bit for each of the 2k + 1
+    cells of x around the diagonal holds the vertical differences of the table; a character of
+    y advances them all with a few word operations. The last cell is followed down the diagonal
+    to the end of x, then along it; from over 3k it can't come back to k, and is left alone.
     """
     w, ones = 2 * k + 1, (1 << (2 * k + 1)) - 1
     not_ = lambda c: F.lit(ones).cast("long") - c.bitwiseAND(F.lit(ones))
-    a, b = F.split(x, ""), F.split(y, "")
-    state = F.struct(a.alias("a"), b.alias("b"), F.char_length(x).alias("m"),
+    state = F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b"), F.char_length(x).alias("m"),
                      F.lit(((1 << (k + 1)) - 1) << k).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"),
                      F.lit(k).alias("d"))
 
@@ -118,29 +130,47 @@ def within(x: Column, y: Column, k: int) -> Column:
         return F.element_at(F.transform(F.array(value), fn), 1)
 
     def move(s: Column, j: Column) -> Column:
-        return once(once(step(s, j), advance), settle)
+        return F.when(s["d"] > 3 * k, s).otherwise(once(once(step(s, j), advance), settle))
 
     end = F.aggregate(F.sequence(F.lit(0), F.char_length(y) - 1), state, move)
     return end["d"] <= k
 
 
+def _place(doc_id: Column, pos: Column) -> Column:
+    """Order of a line in the corpus as one number; lines of a null doc_id come first."""
+    return (F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(NO_DOC).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)")
+            + pos.cast("decimal(11,0)")).cast("decimal(38,0)")
+
+
+def _unplace(place: Column) -> list[Column]:
+    pos = F.pmod(place, F.lit(1 << 31).cast("decimal(11,0)"))
+    doc = ((place - pos) / F.lit(1 << 31).cast("decimal(11,0)")).cast("decimal(20,0)")
+    return [F.when(doc != F.lit(NO_DOC).cast("decimal(20,0)"), doc.cast("long")).alias("d"), pos.cast("int").alias("pos")]
+
+
 def links(lines: DataFrame, texts, k: int) -> DataFrame:
-    """(a, b): ids of distinct lines within k edits; ``lines``: id, near (see keys);
+    """(a, b): ids of distinct lines within k edits; ``lines``: id and keys;
     ``texts``: from a table of ids to (id, line)."""
-    own = lines.select(F.explode("near.own").alias("key"), F.col("id").alias("a"), F.col("near.s0.f").alias("fa"), F.col("near.s0.b").alias("ba"))
-    sent = lines.select(F.explode("near.probes").alias("p"), F.col("id").alias("b"), "near.s0",
-                        F.coalesce("near.s1", "near.s0").alias("s1"))
-    side = F.when(F.col("p.shift") == 0, F.col("s0")).otherwise(F.col("s1"))
-    probes = sent.select("p.key", "b", side["f"].alias("fb"), side["b"].alias("bb"))
+    named = lambda start: [c for c in lines.columns if c.startswith(start)]
+    sign = lambda c, s: F.col(f"{c}{s}") if k == 1 else F.lit(0).cast("long")
+    own = lines.select(F.explode(F.array(*named("own_"))).alias("key"), F.col("id").alias("a"),
+                       sign("f", 0).alias("fa"), sign("b", 0).alias("ba"))
+    probes = lines.select(F.explode(F.array(*[
+        F.struct(F.array(*named(f"probe_{s}_")).alias("keys"), sign("f", min(s, 1)).alias("f"), sign("b", min(s, 1)).alias("b"))
+        for s in range(k + 1)])).alias("p"), F.col("id").alias("b")).select(
+        F.explode("p.keys").alias("key"), "b", F.col("p.f").alias("fb"), F.col("p.b").alias("bb"))
     meet = (own["key"] == probes["key"]) & (F.col("a") != F.col("b"))
     if k == 1:                                # all blocks before and all behind the edit are equal
         meet = meet & (_equal_blocks(F.col("fa"), F.col("fb")) + _equal_blocks(F.col("ba"), F.col("bb")) >= BLOCKS - 2)
     found = staged(own.join(probes, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     line = staged(texts(found.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "line-texts")
+    tail = lambda c: F.col(c).substr(F.greatest(F.lit(1), F.col("same") - k), F.char_length(c))
     both = (found.join(line.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
             .join(line.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b"))
     near = F.abs(F.char_length("la") - F.char_length("lb")) <= k
-    return both.where(near & within(F.col("la"), F.col("lb"), k)).select("a", "b")
+    # cut first, so that each line's rest is made once, and not for every character
+    cut = both.where(near).withColumn("same", _common_start(F.col("la"), F.col("lb"))).select("a", "b", tail("la").alias("la"), tail("lb").alias("lb"))
+    return cut.where(within(F.col("la"), F.col("lb"), k)).select("a", "b")
 
 
 def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_edits: int = MAX_EDITS,
@@ -159,34 +189,36 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_edit
         raise ValueError(f"near_chars must be at least {GRID} and more than max_edits")
     cols = docs.columns
     lines_of = F.split(F.coalesce(docs[text].cast("string"), F.lit("")), "\n")
-    body = docs.select(docs[doc_id].alias("d"), lines_of.alias("ls"))
-    occ = body.select("d", F.posexplode("ls").alias("pos", "line")).where(F.trim("line") != "")
-    long_line = F.char_length("line") >= near_chars
-    occ = occ.select("d", "pos", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("id2"),
-                     F.when(long_line, keys(F.col("line"), max_edits)).alias("near"))
-    distinct = staged(occ.groupBy("id", "id2").agg(
-        F.min(F.struct("d", "pos")).alias("first"), F.any_value("near").alias("near")), "lines")
+    body = docs.select(docs[doc_id].cast("long").alias("d"), lines_of.alias("ls"))
+    occ = body.select("d", F.posexplode("ls").alias("pos", "line")).where(F.trim("line") != "").select(
+        "d", "pos", "line", F.char_length("line").alias("n"))
+    key = keys(F.col("line"), F.col("n"), max_edits)
+    occ = occ.select(_place(F.col("d"), F.col("pos")).alias("place"), "n", F.xxhash64("line").alias("id"),
+                     F.xxhash64(F.lit(7), "line").alias("id2"), *[c.alias(x) for x, c in key.items()])
+    # fixed-width values only, so that the aggregation hashes and does not sort
+    distinct = staged(occ.groupBy("id", "id2").agg(F.min("place").alias("first"), F.any_value("n").alias("n"),
+                                                   *[F.any_value(x).alias(x) for x in key]), "lines")
+    place = distinct.select("id", "id2", "first", *_unplace(F.col("first")))
 
     def texts(ids: DataFrame) -> DataFrame:
         """The candidates' lines, cut out of the documents that have them first."""
-        wanted = (ids.join(distinct.select("id", "id2", "first"), "id").groupBy("first.d")
-                  .agg(F.collect_set(F.struct("first.pos", "id", "id2")).alias("at")))
-        found = body.join(wanted, body["d"].eqNullSafe(wanted["d"])).select(
+        wanted = (ids.join(place, "id").groupBy("d")
+                  .agg(F.collect_set(F.struct("pos", "id", "id2")).alias("at")).withColumnRenamed("d", "wd"))
+        found = body.join(wanted, body["d"].eqNullSafe(wanted["wd"])).select(
             F.explode(F.transform("at", lambda a: F.struct(a["id"].alias("id"), a["id2"].alias("id2"),
                                                           F.get("ls", a["pos"]).alias("line")))).alias("x")).select("x.*")
         return found.where((F.xxhash64("line") == F.col("id")) & (F.xxhash64(F.lit(7), "line") == F.col("id2"))).select("id", "line").distinct()
 
-    pairs = staged(links(distinct.where(F.col("near").isNotNull()).select("id", "near"), texts, max_edits), "line-links")
-    place = distinct.select("id", "first")
-    ordered = (pairs.join(place.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a")
-               .join(place.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b"))
+    long_lines = distinct.where(F.col("n") >= near_chars).select("id", *key)
+    pairs = staged(links(long_lines, texts, max_edits), "line-links")
+    ordered = (pairs.join(distinct.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a")
+               .join(distinct.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b"))
     later = ordered.select(F.explode(F.array(
         F.struct(F.col("a").alias("id"), (F.col("fa") > F.col("fb")).cast("int").alias("late")),
         F.struct(F.col("b").alias("id"), (F.col("fb") > F.col("fa")).cast("int").alias("late")))).alias("x")).select("x.*")
     linked = later.groupBy("id").agg(F.max("late").alias("late"), F.count("*").alias("n"))
-    firsts = distinct.select("id", "first").join(linked, "id", "left")
-    kept = firsts.groupBy(F.col("first.d").alias("kd")).agg(
-        F.collect_set(F.when(F.coalesce("late", F.lit(0)) == 0, F.col("first.pos"))).alias("kp"),
+    kept = place.join(linked, "id", "left").groupBy(F.col("d").alias("kd")).agg(
+        F.collect_set(F.when(F.coalesce("late", F.lit(0)) == 0, F.col("pos"))).alias("kp"),
         F.sum(F.coalesce("late", F.lit(0))).alias("kn"), F.sum(F.coalesce("n", F.lit(0))).alias("kl"))
     out = docs.join(kept, docs[doc_id].eqNullSafe(kept["kd"]), "left")
     # positions of blank lines and of the lines that stay, in order

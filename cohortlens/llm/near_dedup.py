@@ -19,6 +19,7 @@ BANDS, ROWS = 16, 4                           # a pair at 0.8 meets with probabi
 SAMPLES = BANDS * ROWS
 SIMILARITY = 0.8
 DF_BITS = 20                                  # cells of the document-frequency sketch
+SPREAD = 0.1                                  # of the weights by IDF
 POOL_BITS = 15                                # rows of random draws, picked by shingle hash
 MAX_DIFFERENT = 27                            # of 64 samples: five deviations from 0.8 similarity
 
@@ -28,8 +29,11 @@ SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("c1"
 
 
 class Idf(NamedTuple):
-    """Weights by cell of the document-frequency sketch: 1 + ln((1+N)/(1+df)) / ln(1+N), so
-    between 1 (in every document) and 2 (in none). 2^DF_BITS floats (4 MB) at any corpus size."""
+    """Weights by cell of the document-frequency sketch: 1 + SPREAD ln((1+N)/(1+df)) / ln(1+N), so
+    from 1 (in every document) to 1 + SPREAD (in none). 2^DF_BITS floats (4 MB) at any corpus
+    size. The spread is small because copies lower the IDF of what they share: with the
+    plain formula a text with 18 % of its shingles changed, copied thousands of times, falls
+    from 0.82 to 0.5, and the largest groups are those that are missed."""
 
     weight: np.ndarray
 
@@ -83,7 +87,7 @@ def document_frequency(texts: DataFrame) -> Idf:
     df, n = np.zeros((n_blocks, size // n_blocks)), 0
     for r in rows:
         df[r["block"]], n = np.frombuffer(r["counts"], np.int64), r["n"]
-    return Idf((1 + np.log((1 + n) / (1 + df.ravel())) / np.log(max(1 + n, 2))).astype(np.float32))
+    return Idf((1 + SPREAD * np.log((1 + n) / (1 + df.ravel())) / np.log(max(1 + n, 2))).astype(np.float32))
 
 
 class Sampler:
@@ -191,7 +195,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, least: float) -
                 h, row, w = weighted(*shingles(*words(tb[lo:hi])), idf.value)
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1))
                 for i in range(lo, hi):
-                    if a_id[i] not in last:                       # pairs come grouped by a
+                    if a_id[i] not in last:                       # runs of one a are sketched once
                         ha, _, wa = weighted(*shingles(*words(ta[i:i + 1])), idf.value)
                         last = {a_id[i]: (ha, wa, float(wa.sum(dtype=np.float64)))}
                     ha, wa, total = last[a_id[i]]
@@ -216,7 +220,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     Texts with equal shingles (case, white space and punctuation aside) form one group at once,
     texts without words another; only a group's representative is compared. Every bucket of a
     band is searched in two rounds, so that it never gives rise to all its pairs: first each
-    member against the bucket's least member; then, in buckets that still hold more than one
+    member against the bucket's centre; then, in buckets that still hold more than one
     class, members of different classes. So every pair that meets in a bucket is either
     verified or already in one class. Rows with one doc_id count as one document, whose least
     sketch stands for it; null doc_ids have no row. An empty table gives no rows.
@@ -230,11 +234,15 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     groups = staged(sketch.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "bands", "s0", "s1", "s2", "s3")).alias("m"))
                     .select("c1", "c2", "m.*"), "sketch-groups")
     member = groups.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), "s0", "s1", "s2", "s3")
-    least_of = member.groupBy("key").agg(F.min(F.struct("rep", "s0", "s1", "s2", "s3")).alias("m"), F.count("*").alias("n"))
-    least_of = least_of.where("n > 1").select("key", F.col("m.rep").alias("a"), *[F.col(f"m.s{i}").alias(f"as{i}") for i in range(4)])
-    bucketed = staged(member.join(least_of, "key"), "buckets")
+    shared = staged(member.join(member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared-buckets")
+    # a bucket's centre is its member with the most company in all bands: in a group of copies, the original
+    company = shared.groupBy("rep").agg(F.sum("n").alias("company"))
+    centre = (shared.join(company, "rep").groupBy("key")
+              .agg(F.min(F.struct(-F.col("company"), "rep", "s0", "s1", "s2", "s3")).alias("m"))
+              .select("key", F.col("m.rep").alias("a"), *[F.col(f"m.s{i}").alias(f"as{i}") for i in range(4)]))
+    bucketed = staged(shared.drop("n").join(centre, "key"), "buckets")
     stars = staged(bucketed.where((F.col("a") != F.col("rep")) & similar_enough("a", ""))
-                   .select("a", F.col("rep").alias("b")).distinct(), "pairs")
+                   .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
     edges = staged(verified(stars, rows, idf, least).select("a", "b").distinct(), "edges")
     found = components(edges)
 
