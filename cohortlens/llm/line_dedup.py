@@ -66,7 +66,7 @@ def keys(line: Column, n: Column, k: int) -> dict[str, Column]:
             if not shift:
                 out[f"own_{i}"] = _key(line, t, i, start, size)
             for at in range(max(-i, shift - (k - i)), min(i, shift + (k - i)) + 1):
-                out[f"probe_{shift}_{count}"] = _key(line, t, i, start + at, size)
+                out[f"probe_{shift}_{count}"] = _key(line, t, i, start + at if at else start, size)
                 count += 1
     if k == 1:
         out["f0"], out["b0"] = _signatures(line, n, n - n % GRID)
@@ -94,46 +94,42 @@ def within(x: Column, y: Column, k: int) -> Column:
     """
     w, ones = 2 * k + 1, (1 << (2 * k + 1)) - 1
     not_ = lambda c: F.lit(ones).cast("long") - c.bitwiseAND(F.lit(ones))
-    state = F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b"), F.char_length(x).alias("m"),
-                     F.lit(((1 << (k + 1)) - 1) << k).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"),
+    # a state is copied at every step: it has three numbers, and the characters stay outside
+    state = F.struct(F.lit(((1 << (k + 1)) - 1) << k).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"),
                      F.lit(k).alias("d"))
 
-    def step(s: Column, j: Column) -> Column:
-        own = F.get(s["b"], j)
+    def step(v: Column, s: Column, j: Column) -> Column:
+        own = F.get(v["b"], j)
         match = F.lit(0).cast("long")
         for i in range(w):
             # the index of get may not be negative
-            same = (j - k + i >= 0) & F.coalesce(F.get(s["a"], F.greatest(j - k + i, F.lit(0))) == own, F.lit(False))
+            same = (j - k + i >= 0) & F.coalesce(F.get(v["a"], F.greatest(j - k + i, F.lit(0))) == own, F.lit(False))
             match = match + F.when(same, 1 << i).otherwise(0)
-        return F.struct(s["a"].alias("a"), s["b"].alias("b"), s["m"].alias("m"), s["vp"].alias("vp"),
-                        s["vn"].alias("vn"), s["d"].alias("d"), match.alias("x"), j.alias("j"))
+        return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), match.alias("x"), j.alias("j"))
 
     def advance(s: Column) -> Column:
         vp, vn, x_ = s["vp"], s["vn"], s["x"]
         d0 = ((x_.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x_).bitwiseOR(vn).bitwiseAND(F.lit(ones))
-        return F.struct(s["a"].alias("a"), s["b"].alias("b"), s["m"].alias("m"), s["j"].alias("j"),
-                        vp.alias("vp"), d0.alias("d0"), vn.bitwiseOR(not_(d0.bitwiseOR(vp))).alias("hp"),
+        return F.struct(s["j"].alias("j"), vp.alias("vp"), d0.alias("d0"), vn.bitwiseOR(not_(d0.bitwiseOR(vp))).alias("hp"),
                         d0.bitwiseAND(vp).alias("hn"), s["d"].alias("d"))
 
-    def settle(s: Column) -> Column:
-        down = s["j"] < s["m"] - k
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), s["m"] - 1 - s["j"] + k).cast("int"))
+    def settle(v: Column, s: Column) -> Column:
+        down = s["j"] < v["m"] - k
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), v["m"] - 1 - s["j"] + k).cast("int"))
         has = lambda c: F.when(c.bitwiseAND(bit) != 0, 1).otherwise(0)
         d = s["d"] + F.when(down, F.when(s["d0"].bitwiseAND(F.lit(1 << (w - 1))) != 0, 0).otherwise(1)).otherwise(has(s["hp"]) - has(s["hn"]))
         half = F.shiftright(s["d0"], 1)
-        return F.struct(s["a"].alias("a"), s["b"].alias("b"), s["m"].alias("m"),
-                        s["hn"].bitwiseOR(not_(half.bitwiseOR(s["hp"]))).alias("vp"),
-                        half.bitwiseAND(s["hp"]).alias("vn"), d.alias("d"))
+        return F.struct(s["hn"].bitwiseOR(not_(half.bitwiseOR(s["hp"]))).alias("vp"), half.bitwiseAND(s["hp"]).alias("vn"), d.alias("d"))
 
-    # a lambda's argument is bound once, so a one-element transform names each step's intermediate values
+    # a lambda's argument is bound once, so a one-element transform names intermediate values
     def once(value: Column, fn) -> Column:
         return F.element_at(F.transform(F.array(value), fn), 1)
 
-    def move(s: Column, j: Column) -> Column:
-        return F.when(s["d"] > 3 * k, s).otherwise(once(once(step(s, j), advance), settle))
+    def move(v: Column, s: Column, j: Column) -> Column:
+        return F.when(s["d"] > 3 * k, s).otherwise(once(once(step(v, s, j), advance), lambda t: settle(v, t)))
 
-    end = F.aggregate(F.sequence(F.lit(0), F.char_length(y) - 1), state, move)
-    return end["d"] <= k
+    chars = F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b"), F.char_length(x).alias("m"))
+    return once(chars, lambda v: F.aggregate(F.sequence(F.lit(0), F.size(v["b"]) - 1), state, lambda s, j: move(v, s, j))["d"]) <= k
 
 
 def _place(doc_id: Column, pos: Column) -> Column:

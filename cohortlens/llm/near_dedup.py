@@ -182,6 +182,9 @@ def similar_enough(a: str, b: str) -> F.Column:
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose weighted Jaccard similarity is ``least`` or more."""
+    # the texts in question are picked once; a pair's two joins then move only those
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = staged(texts.join(wanted, "doc_id"), "pair-texts")
     left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
@@ -218,11 +221,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     similar pairs connect; ``representative`` the least doc_id with the same weighted shingles.
 
     Texts with equal shingles (case, white space and punctuation aside) form one group at once,
-    texts without words another; only a group's representative is compared. Every bucket of a
-    band is searched in two rounds, so that it never gives rise to all its pairs: first each
-    member against the bucket's centre; then, in buckets that still hold more than one
-    class, members of different classes. So every pair that meets in a bucket is either
-    verified or already in one class. Rows with one doc_id count as one document, whose least
+    texts without words another; only a group's representative is compared. A bucket of a band
+    never gives rise to all its pairs: each member is compared with the bucket's centre, then
+    those that are not in its class with another centre, drawn from them, and so on until a
+    round over all buckets finds no link. A bucket of two is so compared in full; in a larger
+    one a link is passed over if neither of its documents is in the class of a centre of the
+    buckets they share, or becomes one. Rows with one doc_id count as one document, whose least
     sketch stands for it; null doc_ids have no row. An empty table gives no rows.
     """
     importable(docs.sparkSession)
@@ -246,18 +250,24 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     edges = staged(verified(stars, rows, idf, least).select("a", "b").distinct(), "edges")
     found = components(edges)
 
-    named = bucketed.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("c"), "s0", "s1", "s2", "s3")
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_rows = staged(named.join(mixed, "key"), "open-buckets")
-    other = open_rows.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), *[F.col(f"s{i}").alias(f"bs{i}") for i in range(4)])
-    mine = open_rows.select("key", F.col("rep").alias("a"), "c", *[F.col(f"s{i}").alias(f"as{i}") for i in range(4)])
-    rest = (mine.join(other, (mine["key"] == other["key"]) & (F.col("c") < F.col("cb")) & similar_enough("a", "b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
-    more = staged(verified(staged(rest, "more-pairs"), rows, idf, least).select("a", "b").distinct(), "more-edges")
-    if not more.isEmpty():
-        found = components(edges.union(more))
+    left, tested = bucketed, stars
+    while True:
+        of = lambda node, c: found.select(F.col("node").alias(node), F.col("component").alias(c))
+        apart = (left.join(of("rep", "c"), "rep", "left").join(of("a", "ca"), "a", "left")
+                 .where(F.coalesce("c", "rep") != F.coalesce("ca", "a")).select("key", "rep", "s0", "s1", "s2", "s3"))
+        left = staged(apart, "open-buckets")
+        centre = (left.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep", "s0", "s1", "s2", "s3")).alias("m"),
+                                          F.count("*").alias("n")).where("n > 1")
+                  .select("key", F.col("m.rep").alias("a"), *[F.col(f"m.s{i}").alias(f"as{i}") for i in range(4)]))
+        left = staged(left.join(centre, "key"), "buckets")
+        pairs = staged(left.where((F.col("a") != F.col("rep")) & similar_enough("a", ""))
+                       .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+                       .join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = staged(verified(pairs, rows, idf, least).select("a", "b").distinct(), "edges")
+        if more.isEmpty():
+            break
+        tested, edges = tested.union(pairs), edges.union(more)
+        found = components(edges)
     of_group = groups.select("c1", "c2", F.col("doc_id").alias("representative")).join(
         found, F.col("representative") == F.col("node"), "left").select(
         "c1", "c2", "representative", F.coalesce("component", "representative").alias("class_id"))

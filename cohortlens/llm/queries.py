@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, line_dedup, near_dedup, packing, secrets, token_files, toxicity
+from cohortlens.llm import decontaminate, licenses, line_dedup, near_dedup, packing, secrets, token_files, toxicity
 from cohortlens.llm.common import table
+from cohortlens.llm.license_texts import NOTICES
 from cohortlens.session import scratch_path
 
 QUERIES = {}
@@ -66,6 +67,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document: one row per document and notice."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), NOTICES)
+    return found.select("doc_id", F.explode("licenses").alias("l")).select(
+        "doc_id", F.col("l.name").alias("license"), F.round("l.containment", 6).alias("containment"))
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
