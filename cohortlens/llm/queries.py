@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, licenses, line_dedup, near_dedup, packing, secrets, token_files, toxicity
+from cohortlens.llm import decontaminate, licenses, line_dedup, near_dedup, packing, secrets, token_files, top_k, toxicity, warc
 from cohortlens.llm.common import table
 from cohortlens.llm.license_texts import NOTICES
 from cohortlens.session import scratch_path
@@ -67,6 +67,54 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def page_records(pages: DataFrame) -> DataFrame:
+    """A crawl log made of ``pages``: each page is captured in full at time page_id, and asked for
+    again 500 units later (every 11th: already one unit before) with the validator of that
+    capture (every 7th: with an old one). So a revisit meets a changed page where another capture
+    of the canonical URL came in between."""
+    entry = lambda k, v: (F.lit(k), v.cast("string"))
+    at = F.col("page_id") + F.when(F.col("page_id") % 11 == 0, -1).otherwise(500)
+    old = F.when(F.col("page_id") % 7 == 0, F.md5("url")).otherwise(F.col("digest"))
+    seen = pages.select("page_id", "url", F.md5("html").alias("digest"), F.octet_length("html").alias("size"))
+    full = F.struct((F.col("page_id") * 2).alias("record_id"), F.col("page_id").alias("ts"), F.lit("response").alias("kind"),
+                    F.col("digest").alias("etag"), F.create_map(
+                        *entry("content-length", F.col("size")), *entry("content-type", F.lit("text/html")),
+                        *entry("cache-control", F.lit("max-age=60")), *entry("x-capture", F.col("page_id"))).alias("headers"))
+    again = F.struct((F.col("page_id") * 2 + 1).alias("record_id"), at.alias("ts"), F.lit("revisit").alias("kind"),
+                     old.alias("etag"), F.create_map(
+                         *entry("content-length", F.lit(0)), *entry("cache-control", F.lit("max-age=120")),
+                         *entry("date", at)).alias("headers"))
+    return seen.select("url", F.explode(F.array(full, again)).alias("r")).select(
+        "r.*", "url", F.lit(None).cast("long").alias("last_modified"))
+
+
+@query
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response that each not-modified revisit of the crawl log stands for, and its headers."""
+    found = warc.resolve(page_records(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    return found.withColumn("headers", headers)
+
+
+_URL = "lower(url)"
+for _pattern, _new in warc.CANONICAL:
+    _URL = f"regexp_replace({_URL}, '{_pattern}', '{_new}', 'g')"
+ORACLE["op6_revisits"] = f"""
+WITH pg AS (SELECT page_id, {_URL} AS url_key, md5(html) AS digest, md5(url) AS u, strlen(html) AS size FROM pages),
+full_ AS (SELECT page_id * 2 AS rid, url_key, page_id AS ts, digest, size FROM pg),
+again AS (SELECT page_id * 2 + 1 AS record_id, url_key, page_id + CASE WHEN page_id % 11 = 0 THEN -1 ELSE 500 END AS ts,
+                 CASE WHEN page_id % 7 = 0 THEN u ELSE digest END AS etag FROM pg),
+found AS (SELECT a.*, f.rid, f.ts AS fts, f.digest, f.size, row_number() OVER (PARTITION BY a.record_id ORDER BY f.ts DESC, f.rid DESC) AS n
+          FROM again a LEFT JOIN full_ f ON a.url_key = f.url_key AND (f.ts < a.ts OR f.ts = a.ts AND f.rid < a.record_id))
+SELECT record_id, url_key, ts,
+       CASE WHEN rid IS NULL THEN 'no_earlier_response' WHEN etag = digest THEN 'resolved' ELSE 'validator_mismatch' END AS status,
+       rid AS response_id, fts AS response_ts,
+       CASE WHEN rid IS NOT NULL AND etag = digest
+            THEN 'cache-control=max-age=120;content-length=' || size || ';content-type=text/html;date=' || ts || ';x-capture=' || fts
+            ELSE 'cache-control=max-age=120;content-length=0;date=' || ts END AS headers
+FROM found WHERE n = 1"""
+
+
 @query
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document: one row per document and notice."""
@@ -88,3 +136,20 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedupe(docs, counts="n").select(
         "doc_id", "n.lines", "n.exact", "n.near", "n.links", F.char_length("text").alias("n_chars"),
         F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors with the largest inner products, for every 20th vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+ORACLE["op10_top_k"] = """
+WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0 AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
