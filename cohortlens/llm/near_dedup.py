@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from cohortlens.llm.common import importable, mix, row_blocks, shingles, staged, text_array, words
 from cohortlens.llm.graph import components
 
+ROUNDS = 3                                    # centres that a bucket's members are compared with, at most
 BANDS, ROWS = 16, 4                           # a pair at 0.8 meets with probability 0.9998
 SAMPLES = BANDS * ROWS
 SIMILARITY = 0.8
@@ -223,10 +224,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     Texts with equal shingles (case, white space and punctuation aside) form one group at once,
     texts without words another; only a group's representative is compared. A bucket of a band
     never gives rise to all its pairs: each member is compared with the bucket's centre, then
-    those that are not in its class with another centre, drawn from them, and so on until a
-    round over all buckets finds no link. A bucket of two is so compared in full; in a larger
-    one a link is passed over if neither of its documents is in the class of a centre of the
-    buckets they share, or becomes one. Rows with one doc_id count as one document, whose least
+    those that are not in its class with another centre, drawn from them, for ROUNDS centres in
+    all or until a round finds no link. A bucket that holds at most that many classes is so
+    searched in full. A link is passed over only if, in every bucket that its documents share, it
+    is between two of more classes than that (two documents at 0.8 share six or seven buckets, and
+    those whose samples are not all from one common passage are their own). Rows with one doc_id count as one document, whose least
     sketch stands for it; null doc_ids have no row. An empty table gives no rows.
     """
     importable(docs.sparkSession)
@@ -251,7 +253,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     found = components(edges)
 
     left, tested = bucketed, stars
-    while True:
+    for _ in range(ROUNDS - 1):
         of = lambda node, c: found.select(F.col("node").alias(node), F.col("component").alias(c))
         apart = (left.join(of("rep", "c"), "rep", "left").join(of("a", "ca"), "a", "left")
                  .where(F.coalesce("c", "rep") != F.coalesce("ca", "a")).select("key", "rep", "s0", "s1", "s2", "s3"))
@@ -266,8 +268,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
         more = staged(verified(pairs, rows, idf, least).select("a", "b").distinct(), "edges")
         if more.isEmpty():
             break
-        tested, edges = tested.union(pairs), edges.union(more)
-        found = components(edges)
+        tested = tested.union(pairs)
+        found = components(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of_group = groups.select("c1", "c2", F.col("doc_id").alias("representative")).join(
         found, F.col("representative") == F.col("node"), "left").select(
         "c1", "c2", "representative", F.coalesce("component", "representative").alias("class_id"))
