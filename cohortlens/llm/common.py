@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -25,6 +27,16 @@ def importable(spark: SparkSession) -> None:
     cluster it is installed or shipped with --py-files)."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    # a batch is bounded by its bytes, so that long texts don't make it large
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def give_back() -> None:
+    """Return freed memory to the machine at a task's end: a worker is kept for later tasks, also of
+    queries that need the room elsewhere."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):       # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +64,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField],
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays(list(batch.columns) + fn(batch), names=names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

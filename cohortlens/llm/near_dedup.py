@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import importable, mix, row_blocks, shingles, staged, text_array, words
+from cohortlens.llm.common import give_back, importable, mix, row_blocks, shingles, staged, text_array, words
 from cohortlens.llm.graph import components
 
 ROUNDS = 3                                    # centres that a bucket's members are compared with, at most
@@ -73,6 +73,7 @@ def document_frequency(texts: DataFrame) -> Idf:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(n_blocks, dtype=np.int32)), pa.array(np.full(n_blocks, n, np.int64)),
                  pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "n", "counts"])
+        give_back()
 
     def add(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(size // n_blocks, np.int64), 0
@@ -164,6 +165,7 @@ def sketches(docs: DataFrame, idf: Broadcast) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(c[0].view(np.int64)), pa.array(c[1].view(np.int64)), pa.array(bands, pa.list_(pa.int64()))] +
                     [pa.array(np.ascontiguousarray(low[:, i]).view(np.int64)) for i in range(4)], names=SKETCH.names)
+        give_back()
 
     return docs.mapInArrow(sketch, SKETCH)
 
@@ -212,6 +214,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, least: float) -
                     score[i] = common / (total + float(wb.sum(dtype=np.float64)) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score)],
                                              names=["a", "b", "similarity"])
+        give_back()
 
     scored = both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, similarity double")
     return scored.where(F.col("similarity") >= least)

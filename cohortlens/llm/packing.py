@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import importable, text_array
+from cohortlens.llm.common import give_back, importable, text_array
 from cohortlens.llm.tokens import encoder
 
 CAPACITY = 4096
@@ -138,6 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
         rows += packer.close()
         if rows:
             yield batch_of(rows)
+        give_back()
 
     importable(docs.sparkSession)
     return docs.select(docs[doc_id].cast("long"), docs[text].cast("string")).mapInArrow(run, PIECES)

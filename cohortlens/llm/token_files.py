@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import importable, staged, text_array
+from cohortlens.llm.common import give_back, importable, staged, text_array
 from cohortlens.llm.tokens import encoder
 
 LENGTH = 2048
@@ -112,6 +112,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", doc_
                 n = len(bounds) - 1
                 writer.add(keys[at:at + n], ids, bounds)
                 at += n
+        give_back()
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays(

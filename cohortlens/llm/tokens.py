@@ -10,7 +10,7 @@ import pyarrow as pa
 from cohortlens.llm.common import row_blocks
 
 END_ID = 2
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 

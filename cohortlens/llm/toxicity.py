@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import append_columns, importable, mix, row_blocks, text_array, words
+from cohortlens.llm.common import append_columns, give_back, importable, mix, row_blocks, text_array, words
 
 HASH_BITS = 20
 MAX_TRAINING_ROWS = 20_000                    # bound of the labelled sample that is learned from
@@ -113,11 +113,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 found += [np.append(own[cuts[i]:cuts[i + 1]], np.int32(BIAS)) for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array(found, pa.list_(pa.int32()))],
                                              names=["k", "y", "index"])
+        give_back()
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["h", "k"])
         w = fit_rows(list(rows["index"]), rows["y"].to_numpy(float), params)
         at = np.flatnonzero(w)
+        give_back()
         return pd.DataFrame({"index": [at.astype(np.int64)], "weight": [w[at]]})
 
     fitted = (rows.select("k", "y", "t").mapInArrow(extract, "k long, y int, index array<int>")
