@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
@@ -10,64 +11,86 @@ import pyarrow as pa
 from cohortlens.llm.common import row_blocks
 
 END_ID = 2
-CACHE_WORDS = 400_000
-_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+CACHE_WORDS = 600_000
 
 
 class WordEncoder:
-    """Ids of whole texts, put together from ids of their space-separated pieces.
-
-    Both kinds of tokenizer cut a text at white space before they merge, so a
-    piece that starts at a single space between two other characters has the
-    same ids alone as within its text. Each distinct piece is encoded once by
-    the library and kept; the store is emptied when it holds ``CACHE_WORDS``
-    pieces. A text with any other white-space pattern (double, leading or
-    trailing spaces, a space beside a newline) is encoded whole.
+    """Ids of whole texts, put together from ids of their pieces.
+
+    Both kinds of tokenizer cut a text before they merge: at white space, and between a letter or
+    digit and punctuation. So a piece has the same ids alone as within its text if it begins at a
+    single space or newline between two other characters, or is a comma or full stop that ends
+    such a piece behind a letter or digit. Each distinct piece is encoded once by the library and
+    kept; when more than ``CACHE_WORDS`` are held, those that were met once are dropped. A text
+    with any other pattern (double, leading or trailing spaces, a space beside a newline, runs of
+    punctuation before a space) is encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.safe = np.zeros(0, bool)
-        self.start = np.zeros(1, np.int64)
+        self.safe, self.alnum, self.mark = (np.zeros(0, bool) for _ in range(3))
+        self.start, self.uses = np.zeros(1, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
+    def _trim(self) -> None:
+        """Keep the pieces met more than once, if they leave room, else none."""
+        keep = self.uses > 1
+        if keep.sum() > CACHE_WORDS // 2:
+            keep[:] = False
+        length = np.diff(self.start)
+        self.ids = self.ids[np.repeat(keep, length)]
+        self.start = np.concatenate([[0], np.cumsum(length[keep])])
+        place = (np.cumsum(keep) - 1).tolist()
+        self.number = {p: place[i] for p, i in self.number.items() if keep[i]}
+        self.safe, self.alnum, self.mark = (x[keep] for x in (self.safe, self.alnum, self.mark))
+        self.uses = np.ones(len(self.safe), np.int64)
+
     def _learn(self, pieces: list[str]) -> None:
         coded = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
-        body = [p[1:] if p[:1] == " " else p for p in pieces]
-        self.safe = np.concatenate([self.safe, np.array(
-            [b != "" and b[0] not in _SPACES and b[-1] not in _SPACES for b in body], bool)])
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        flat = np.fromiter((i for c in coded for i in c), np.int32, int(sizes.sum()))
-        self.ids = np.concatenate([self.ids, flat])
+        n = len(pieces)
+        # a piece but for the space it may begin with: not empty, no white space at either end
+        self.safe = np.append(self.safe, np.fromiter(
+            (p == "\n" or (q := p[1:] if p[:1] == " " else p) != "" and not q[0].isspace() and not q[-1].isspace() for p in pieces), bool, n))
+        self.alnum = np.append(self.alnum, np.fromiter((p[-1:].isalnum() for p in pieces), bool, n))
+        self.mark = np.append(self.mark, np.fromiter((p in (",", ".") for p in pieces), bool, n))
+        self.uses = np.append(self.uses, np.zeros(n, np.int64))
+        sizes = np.fromiter(map(len, coded), np.int64, n)
+        self.start = np.append(self.start, self.start[-1] + np.cumsum(sizes))
+        self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(coded), np.int32, int(sizes.sum())))
 
     def encode(self, texts: pa.Array):
         """(ids, bounds) of each block of texts: int32 ids of all its texts, each with
         END_ID behind it, and the n + 1 bounds of the texts in them."""
-        for a, b in row_blocks(texts, 4 << 20):
+        for a, b in row_blocks(texts, 2 << 20):
             if len(self.number) > CACHE_WORDS:
-                self.clear()
+                self._trim()
             rows = texts[a:b].to_pylist()
             pieces: list[str] = []
             sizes = np.zeros(len(rows), np.int64)
             for i, t in enumerate(rows):
                 if t:
-                    own = t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t]
+                    own = [t] if "\0" in t else (t.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",\0", "\0,\0")
+                                                 .replace(".\0", "\0.\0").split("\0"))
                     pieces += own
                     sizes[i] = len(own)
-            new = list({p for p in set(pieces) if p not in self.number})
+            new = [p for p in set(pieces) if p not in self.number]
             if new:
                 self._learn(new)
             index = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+            self.uses += np.bincount(index, minlength=len(self.uses))
             bounds = np.concatenate([[0], np.cumsum(sizes)])
-            unsafe = np.concatenate([[0], np.cumsum(~self.safe[index])])
+            wrong = ~self.safe[index]
+            first = np.zeros(len(index), bool)
+            first[bounds[:-1][sizes > 0]] = True
+            wrong |= self.mark[index] & (first | ~np.append(False, self.alnum[index[:-1]]))
+            last = bounds[1:][sizes > 0] - 1
+            edge = np.fromiter((pieces[i] in ("\n", "") for i in np.concatenate([bounds[:-1][sizes > 0], last]).tolist()), bool, 2 * len(last))
+            wrong[np.concatenate([bounds[:-1][sizes > 0], last])[edge]] = True
+            unsafe = np.concatenate([[0], np.cumsum(wrong)])
             whole = (unsafe[bounds[1:]] - unsafe[bounds[:-1]] > 0) & (sizes > 1)
             length = self.start[index + 1] - self.start[index]
             if whole.any():
