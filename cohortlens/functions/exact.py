@@ -1,9 +1,9 @@
-"""Order-independent aggregates for fixed-precision measures.
+"""Order-independent aggregates.
 
-Scores are entered with at most two decimals. Summing them as scaled
-integers is exact, so the mean is the same whatever the partitioning and
-whatever order the partial sums are combined in (a floating-point sum is
-not, and a rounded mean near a tie can then flip between runs).
+Each value is summed as a wide decimal, which is exact, so the mean is the same
+whatever the partitioning and whatever order the partial sums are combined in
+(a floating-point sum is not, and a rounded mean near a tie can then flip
+between runs).
 """
 
 from __future__ import annotations
@@ -12,11 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def scaled_sum(col: str, scale: int = 2) -> Column:
-    return F.sum(F.round(F.col(col) * float(10 ** scale)).cast("long"))
-
-
-def exact_mean(col: str, scale: int = 2) -> Column:
-    """Mean of a column whose values carry at most ``scale`` decimals (NULLs skipped)."""
-    return F.try_divide(scaled_sum(col, scale).cast("double"),
-                        F.count(F.col(col)) * float(10 ** scale))
+def exact_mean(col: str) -> Column:
+    """Mean of a numeric column at 15 decimals a value (NULLs skipped)."""
+    return F.try_divide(F.sum(F.col(col).cast("decimal(28,15)")).cast("double"), F.count(F.col(col)).cast("double"))

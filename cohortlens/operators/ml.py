@@ -18,14 +18,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens import schema as S
 from cohortlens.functions import rules
 from cohortlens.operators.features import generator_features
-from cohortlens.operators.ordering import rank_in_group
+from cohortlens.operators.ordering import join_group, rank_in_group
 
 
 @dataclass(frozen=True)
@@ -56,18 +56,12 @@ def with_feature_defaults(df: DataFrame) -> DataFrame:
                                else F.lit(0.0)) for c in S.FEATURE_COLS})
 
 
-MAX_CLASSES = 10_000
-
-
 def class_weights(df: DataFrame, label: str = "risk_level") -> DataFrame:
-    """Balanced weights n / (k * n_c), added as a map literal over the (checked, small)
-    class counts: a narrow projection, no join and no second pass over the rows."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).limit(MAX_CLASSES + 1).collect()
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    n, k = sum(r["_nc"] for r in counts), len(counts)
-    wmap = F.create_map(*[x for r in counts for x in (F.lit(r[label]), F.lit(n / (k * r["_nc"])))])
-    return df.withColumn("weight", F.element_at(wmap, F.col(label)))
+    """Balanced weights n / (k * n_c) from the joined class counts. A NULL label is a class."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    every = Window.partitionBy(F.lit(1))                  # over one row per class
+    weights = counts.select(label, (F.sum("_nc").over(every) / (F.count(F.lit(1)).over(every) * F.col("_nc"))).alias("weight"))
+    return join_group(df, weights, label)
 
 
 def stratified_assign(df: DataFrame, label: str = "risk_level", key: str = "student_id",

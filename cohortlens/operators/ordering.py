@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.sizing import bounded_broadcast
 from cohortlens.session import ensure_checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
@@ -69,17 +68,24 @@ def _offsets_table(ck: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
     return F.broadcast(offsets)
 
 
+def join_group(rows: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """``rows`` with the columns of the one row per group; a NULL group finds its own. Whether
+    ``groups`` is broadcast is decided from its size at run time."""
+    named = groups.withColumnRenamed(group, "_of_group")
+    return rows.join(named, rows[group].eqNullSafe(named["_of_group"])).drop("_of_group")
+
+
 def rank_in_group(df: DataFrame, group: str, order_cols: list[str],
                   num_partitions: int | None = None) -> DataFrame:
     """0-based rank of each row inside its group under ``order_cols`` (total order).
 
     Equivalent to ``row_number() over (partitionBy(group) orderBy(order_cols)) - 1``
     without one task per group: global positions minus the group's first
-    position (one row per group; broadcast only after its size is checked).
+    position (one row per group). Rows of a NULL group are ranked among themselves.
     """
     pos = global_positions(df, [group] + order_cols, num_partitions)
     starts = pos.groupBy(group).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("group_size"))
-    return (pos.join(bounded_broadcast(starts), group)
+    return (join_group(pos, starts, group)
                .withColumn("rank_in_group", F.col("_pos") - F.col("_start"))
                .drop("_start", "_pid"))
 
@@ -183,7 +189,7 @@ def _rank_intervals(df: DataFrame, group: str, value: str, weight: str,
              .withColumn("_start", F.col("_end") - F.col(weight))
              .drop("_off"))
     starts = cov.groupBy(group).agg(F.min("_start").alias("_g0"), F.sum(weight).alias("_n"))
-    return (cov.join(bounded_broadcast(starts), group)
+    return (join_group(cov, starts, group)
                .withColumn("_ls", F.col("_start") - F.col("_g0"))
                .withColumn("_le", F.col("_end") - F.col("_g0"))
                .drop("_start", "_end", "_g0", "_pid", "_idx"))

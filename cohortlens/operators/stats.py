@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import schema as S
 from cohortlens.functions.exact import exact_mean
-from cohortlens.functions.sizing import bounded_broadcast
-from cohortlens.operators.ordering import weighted_kth, weighted_quantiles
+from cohortlens.operators.ordering import join_group, weighted_kth, weighted_quantiles
 
 
 def _n():
@@ -122,36 +121,19 @@ def value_counts(df: DataFrame, value: str, by: str) -> DataFrame:
               .groupBy(by, F.col(value).alias("v")).agg(_n().alias("w")))
 
 
-MAX_PERCENTILE_VALUES = 1_000_000
-
-
-def box_summary(df: DataFrame, value: str = "score_variance", by: str = "risk_level",
-                max_map_values: int = MAX_PERCENTILE_VALUES) -> DataFrame:
+def box_summary(df: DataFrame, value: str = "score_variance", by: str = "risk_level") -> DataFrame:
     """Quartiles (linear interpolation, type 7), IQR and 1.5*IQR fences per group.
 
-    Rows are first reduced to value counts. When every group has at most
-    ``max_map_values`` distinct values (2-decimal variances of 0-100 scores have
-    at most 333,334), ``percentile`` with a frequency column keeps that bounded
-    value->count map per group. Beyond it the quartiles come from
-    ``ordering.weighted_quantiles`` (range-partitioned ranks), which holds no
-    per-group state at all.
+    Rows are first reduced to value counts, whose range-partitioned ranks give the
+    quartiles (``ordering.weighted_quantiles``): no task holds a group. A NULL
+    group is one of the groups; a NULL value is left out.
     """
-    # value counts and per-group totals are bounded by distinct values; they are
-    # kept so that choosing the path does not recompute the input
-    vc = value_counts(df, value, by).persist()
-    base = vc.groupBy(by).agg(F.sum("w").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
-                              F.count(F.lit(1)).alias("_distinct")).persist()
-    widest = base.agg(F.max("_distinct")).first()[0] or 0
-    if widest <= max_map_values:
-        q = vc.groupBy(by).agg(
-            F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("w")).alias("qs"))
-        qs = q.select(by, F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
-                      F.col("qs")[2].alias("q3"))
-    else:
-        wq = weighted_quantiles(vc, by, [0.25, 0.5, 0.75])
-        qs = wq.groupBy(by).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(name)
-                                  for p, name in [(0.25, "q1"), (0.5, "median"), (0.75, "q3")]])
-    return (base.drop("_distinct").join(qs, by)
+    vc = value_counts(df, value, by)
+    base = vc.groupBy(by).agg(F.sum("w").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
+    wq = weighted_quantiles(vc, by, [0.25, 0.5, 0.75])
+    qs = wq.groupBy(by).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(name)
+                              for p, name in [(0.25, "q1"), (0.5, "median"), (0.75, "q3")]])
+    return (join_group(base, qs, by)
                 .withColumn("iqr", F.col("q3") - F.col("q1"))
                 .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
                 .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
@@ -161,11 +143,11 @@ def box_outliers(df: DataFrame, value: str = "score_variance", by: str = "risk_l
                  key: str = "student_id") -> DataFrame:
     """Rows outside the fences of their group.
 
-    The fence table has one row per group; once its size is checked it is
-    broadcast, and the big side is only filtered, never shuffled.
+    The fence table has one row per group; the planner broadcasts it when it is
+    small, and the big side is then only filtered, not shuffled.
     """
     fences = box_summary(df, value, by).select(by, "lower_fence", "upper_fence")
-    j = df.select(key, by, value).join(bounded_broadcast(fences), by)
+    j = join_group(df.select(key, by, value), fences, by)
     return (j.filter((F.col(value) < F.col("lower_fence")) | (F.col(value) > F.col("upper_fence")))
              .select(key, by, value))
 
@@ -190,7 +172,7 @@ def density(df: DataFrame, value: str = "performance_drop", by: str = "risk_leve
                     F.min(value).alias("lo"), F.max(value).alias("hi"))
                .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))))
     vc = value_counts(df, value, by)
-    j = vc.join(bounded_broadcast(stats), by)
+    j = join_group(vc, stats, by)
     g = j.select(by, "v", "w", "n", "h",
                  F.posexplode(_grid(F.col("lo"), F.col("hi"), points)).alias("gi", "g"))
     # a constant group has bandwidth 0: its density is NULL instead of an ANSI error
@@ -204,42 +186,27 @@ def density(df: DataFrame, value: str = "performance_drop", by: str = "risk_leve
 
 
 def trend(df: DataFrame, x: str = "attendance", y: str = "average_score", by: str = "risk_level",
-          points: int = 51, frac: float = 2.0 / 3.0, precision: int = 2, digits: int = 4,
-          max_window_values: int = 1_000_000) -> DataFrame:
+          points: int = 51, frac: float = 2.0 / 3.0, digits: int = 4) -> DataFrame:
     """Locally weighted linear fit of y on x per group, evaluated on a grid.
 
     At each grid point g the window is the ceil(frac*n) nearest x values
     (tricube weights on distance / k-th distance); the weighted least-squares
     line is evaluated at g, or the weighted mean when x has no spread there.
     No robustness iterations. Rows are first reduced to distinct (group, x)
-    with count and sum of y, which is all the weighted sums need (x is taken
-    at ``precision`` decimals, the scores' precision). The k-th distance is a
-    running sum over a window per (group, grid point) while each group has at
-    most ``max_window_values`` distinct x values (a proven per-task bound);
-    beyond that it comes from ``ordering.weighted_kth`` (range-partitioned
-    ranks), which gathers nothing per (group, grid point).
+    with count and sum of y, which is all the weighted sums need. The k-th
+    distance comes from ``ordering.weighted_kth`` (range-partitioned ranks),
+    which gathers nothing per (group, grid point). A NULL group is one of the groups.
     """
     base = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    px = base.groupBy(by, F.round(F.col(x), precision).alias("xv")).agg(_n().alias("c"),
-                                                                         F.sum(y).alias("sy")).persist()
-    widest = px.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-    stats = (base.groupBy(by).agg(_n().alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-                 .withColumn("k", F.ceil(F.col("n") * frac)))
-    j = px.join(bounded_broadcast(stats), by)
+    px = base.groupBy(by, F.col(x).alias("xv")).agg(_n().alias("c"), F.sum(y).alias("sy"))
+    stats = (px.groupBy(by).agg(F.sum("c").alias("n"), F.min("xv").alias("lo"), F.max("xv").alias("hi"))
+               .withColumn("k", F.ceil(F.col("n") * frac)))
+    j = join_group(px, stats, by)
     g = j.select(by, "xv", "c", "sy", "k",
                  F.posexplode(_grid(F.col("lo"), F.col("hi"), points)).alias("gi", "g"))
-    g = g.withColumn("d", F.abs(F.col("xv") - F.col("g")))
-    if widest <= max_window_values:
-        # each (group, grid point) window holds at most ``widest`` distinct x values
-        w = Window.partitionBy(by, "gi").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-        cum = g.withColumn("cum", F.sum("c").over(w))
-        h = cum.filter(F.col("cum") >= F.col("k")).groupBy(by, "gi").agg(F.min("d").alias("h"))
-        g = g.join(h, [by, "gi"])
-    else:
-        # k-th distance by range-partitioned ranks: nothing gathered per (group, grid point)
-        g = g.withColumn("_grp", F.struct(by, "gi"))
-        h = weighted_kth(g, "_grp", "d", "c", "k").withColumnRenamed("kth", "h")
-        g = g.join(bounded_broadcast(h), "_grp").drop("_grp")
+    g = g.withColumn("d", F.abs(F.col("xv") - F.col("g"))).withColumn("_grp", F.struct(by, "gi"))
+    h = weighted_kth(g, "_grp", "d", "c", "k").withColumnRenamed("kth", "h")
+    g = join_group(g, h, "_grp").drop("_grp")
     u = F.try_divide(F.col("d"), F.col("h"))
     wt = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
     g = g.withColumn("wt", F.when(F.col("h") > 0, wt).otherwise(

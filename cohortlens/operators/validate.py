@@ -32,6 +32,14 @@ def require_non_empty(df: DataFrame) -> DataFrame:
     return df
 
 
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
+
+
+def parsed_number(col: str) -> Column:
+    """The column as a double, NULL if its text is no number (suffixes such as ``12d`` are none)."""
+    return F.when(F.col(col).cast("string").rlike(NUMBER), F.col(col).try_cast("double"))
+
+
 def _missing(fields) -> Column:
     return F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in fields]))
 
@@ -44,7 +52,7 @@ def check_score_requests(df: DataFrame, fields=None) -> DataFrame:
     """
     fields = fields or S.REQUEST_FIELDS
     out = df.withColumn("missing", _missing(fields))
-    parsed = {f"_v_{c}": F.col(c).try_cast("double") for c in fields}
+    parsed = {f"_v_{c}": parsed_number(c) for c in fields}
     out = out.withColumns(parsed)
     kind, field = F.lit(None).cast("string"), F.lit(None).cast("string")
     for c in reversed(fields):
@@ -68,7 +76,7 @@ def check_progress_requests(df: DataFrame) -> DataFrame:
     fields = S.PROGRESS_FIELDS
     nums = ["attendance", "average_score"]
     out = df.withColumn("missing", _missing(fields))
-    out = out.withColumns({f"_v_{c}": F.col(c).try_cast("double") for c in nums})
+    out = out.withColumns({f"_v_{c}": parsed_number(c) for c in nums})
     bad = F.col("_v_attendance").isNull() | F.col("_v_average_score").isNull()
     out = out.withColumn("error_kind", F.when(F.size("missing") > 0, F.lit("missing"))
                          .when(bad, F.lit("not_numeric")))

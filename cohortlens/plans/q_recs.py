@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.operators import recommend as R
-from cohortlens.plans import inputs
+from cohortlens.plans import example_catalogue, inputs
 from cohortlens.plans.registry import register
 from cohortlens.plans.sqlbase import with_students
 
@@ -29,7 +29,7 @@ e AS (SELECT student_id, unnest(generate_series(1, len(items))) AS pos, unnest(i
 
 
 def _recs(spark, sf_dir):
-    return R.recommend(inputs.students(spark, sf_dir))
+    return R.recommend(inputs.students(spark, sf_dir), example_catalogue.rules(spark), example_catalogue.methods(spark))
 
 
 @register("recommendations", with_students(_ITEMS + """

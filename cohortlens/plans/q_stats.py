@@ -170,7 +170,7 @@ def drop_density(spark, sf_dir):
 @register("trend_line", with_students("""
 , base AS (SELECT risk_level, attendance, average_score FROM students
            WHERE attendance IS NOT NULL AND average_score IS NOT NULL),
-px AS (SELECT risk_level, round(attendance, 2) AS xv, count(*) AS c, sum(average_score) AS sy
+px AS (SELECT risk_level, attendance AS xv, count(*) AS c, sum(average_score) AS sy
        FROM base GROUP BY 1, 2),
 st AS (SELECT risk_level, count(*) AS n, min(attendance) AS lo, max(attendance) AS hi,
               ceil(count(*) * (2e0 / 3e0)) AS k FROM base GROUP BY 1),

@@ -47,7 +47,7 @@ def stream_apply(spark, sf_dir):
     upd = prediction_updates(spark, sf_dir)
     src = scratch_path(spark, "updates-in")
     # several files, read one per micro-batch, in whatever order the source lists them
-    files.write_json(upd.repartition(4, "student_id"), src)
+    files.write_json(upd.repartition("student_id"), src)
     streams.run_apply_stream(spark, src, log, scratch_path(spark, "apply-ckpt"), upd.schema,
                              max_files=1)
     prediction_log.compact(store, log)

@@ -33,8 +33,8 @@ def sround(expr: str, digits: int) -> str:
 
 
 def emean(col: str) -> str:
-    """Mean from exact integer hundredths (matches ``functions.exact.exact_mean``)."""
-    return f"(cast(sum(cast(round({col} * 1e2) AS bigint)) AS double) / (count({col}) * 1e2))"
+    """Mean of the plain values, summed exactly so that a tie rounds alike on both sides."""
+    return f"(cast(sum(cast({col} AS decimal(28, 15))) AS double) / count({col}))"
 
 
 _N = ("(CASE WHEN assignment_score IS NULL THEN 0 ELSE 1 END"

@@ -45,13 +45,12 @@ def build_session(master: str | None = None, app: str = "cohortlens",
     return spark
 
 
-def scale_conf(input_bytes: int, task_bytes: int = 256 << 20,
-               max_partitions: int = 200_000) -> dict[str, str]:
+def scale_conf(input_bytes: int, task_bytes: int = 256 << 20) -> dict[str, str]:
     """SQL settings sized to the input so that each scan split and each shuffle
     partition is about ``task_bytes`` (fits an executor core's share of memory
     without spilling much). AQE then coalesces small post-shuffle partitions
     towards half that size and splits skewed ones in joins."""
-    parts = max(200, min(max_partitions, -(-int(input_bytes) // task_bytes)))
+    parts = max(200, -(-int(input_bytes) // task_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(task_bytes),
         "spark.sql.shuffle.partitions": str(parts),

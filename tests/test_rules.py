@@ -103,7 +103,8 @@ def test_replaced_catalogue_is_used(spark):
     from pyspark.sql import functions as F
 
     from cohortlens.operators import recommend as R
-    cat = R.rule_catalogue(spark).withColumn(
+    from cohortlens.plans import example_catalogue
+    cat = example_catalogue.rules(spark).withColumn(
         "category", F.when(F.col("rule_id") == "plan_low", "Own plan").otherwise(F.col("category")))
     df = spark.createDataFrame([("a", 90.0, 90.0, 90.0, 90.0, 0.0, 0.0, S.LOW)],
                                "student_id string, attendance double, internal_marks double, "
@@ -114,6 +115,9 @@ def test_replaced_catalogue_is_used(spark):
     assert rec["priority_action"] == "Own plan" and len(rec["innovative_methods"]) == 3
     default = R.recommend(df).first()["recommendation"]
     assert default["recommendations"][0]["category"] == "Excellence Enhancement"
+    assert default["recommendations"][0]["strategies"] == []
+    with pytest.raises(ValueError, match="attendance_high"):
+        R.recommend(df, catalogue=cat.filter("rule_id <> 'attendance_high'"))
 
 
 @pytest.mark.parametrize("vals,risk,want", [

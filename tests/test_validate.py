@@ -46,3 +46,8 @@ def test_duplicate_keys(spark):
     assert got == {"a": 3.0, "b": 2.0}
     with pytest.raises(validate.ValidationError):
         validate.assert_unique_key(df)
+
+
+def test_number_suffixes_are_not_numbers(spark):
+    df = spark.createDataFrame([("12d",), ("12f",), ("1e1",), (" 12. ",), (".5",), ("inf",), ("",)], "x string")
+    assert [r[0] for r in df.select(validate.parsed_number("x")).collect()] == [None, None, 10.0, 12.0, 0.5, float("inf"), None]
