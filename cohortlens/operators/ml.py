@@ -18,7 +18,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,8 +59,11 @@ def with_feature_defaults(df: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame, label: str = "risk_level") -> DataFrame:
     """Balanced weights n / (k * n_c) from the joined class counts. A NULL label is a class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    every = Window.partitionBy(F.lit(1))                  # over one row per class
-    weights = counts.select(label, (F.sum("_nc").over(every) / (F.count(F.lit(1)).over(every) * F.col("_nc"))).alias("weight"))
+    # one row per class: gathered into one array, and dealt out again with each share
+    every = F.collect_list(F.struct(F.col(label).alias("c"), F.col("_nc").alias("n")))
+    shares = counts.agg(every.alias("a")).select(F.explode("a").alias("x"), F.size("a").alias("k"),
+                                                 F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n"))
+    weights = shares.select(F.col("x.c").alias(label), (F.col("n") / (F.col("k") * F.col("x.n"))).alias("weight"))
     return join_group(df, weights, label)
 
 
