@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from cohortlens.llm.common import row_blocks
 
 END_ID = 2
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 
 
 class WordEncoder:
@@ -68,6 +69,7 @@ class WordEncoder:
         for a, b in row_blocks(texts, 2 << 20):
             if len(self.number) > CACHE_WORDS:
                 self._trim()
+            gc.disable()                        # many lists of strings and numbers, no cycles
             rows = texts[a:b].to_pylist()
             pieces: list[str] = []
             sizes = np.zeros(len(rows), np.int64)
@@ -116,6 +118,7 @@ class WordEncoder:
                 out[ends[i] - 1 - len(p):ends[i] - 1] = p
                 fill[ends[i] - 1 - len(p):ends[i] - 1] = False
             out[fill] = flat
+            gc.enable()
             yield out, np.concatenate([[0], ends])
 
 
