@@ -160,7 +160,7 @@ def read_file(sequences, index, base: int, n_ids: int) -> Iterator[pa.RecordBatc
             raise ValueError(f"{n_ids} ids expected, {seen} found")
 
     source = chunks()
-    have, at = np.zeros(0, np.uint16), 0
+    have, at = np.zeros(0, np.uint32), 0
     for i in range(index.num_record_batches):
         part = index.get_batch(i)
         sums = []
@@ -168,9 +168,9 @@ def read_file(sequences, index, base: int, n_ids: int) -> Iterator[pa.RecordBatc
             crc = 0
             while n:
                 if at == len(have):
-                    have, at = next(source), 0
+                    have, at = next(source).astype("<u4"), 0
                 piece = have[at:at + n]
-                crc = zlib.crc32(piece.astype("<u4").tobytes(), crc)
+                crc = zlib.crc32(piece, crc)
                 at += len(piece)
                 n -= len(piece)
             sums.append(crc)
