@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from cohortlens.llm.common import give_back, importable, mix, row_blocks, shingles, staged, text_array, words
 from cohortlens.llm.graph import components
 
-ROUNDS = 3                                    # centres that a bucket's members are compared with, at most
 BANDS, ROWS = 16, 4                           # a pair at 0.8 meets with probability 0.9998
 SAMPLES = BANDS * ROWS
 SIMILARITY = 0.8
@@ -220,18 +219,93 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, least: float) -
     return scored.where(F.col("similarity") >= least)
 
 
+def named_classes(bucketed: DataFrame, found: DataFrame) -> DataFrame:
+    """``bucketed`` with the classes ``c`` of each member and ``ca`` of its bucket's centre."""
+    of = lambda node, c: found.select(F.col("node").alias(node), F.col("component").alias(c))
+    return (bucketed.join(of("rep", "c"), "rep", "left").join(of("a", "ca"), "a", "left")
+            .withColumns({"c": F.coalesce("c", "rep"), "ca": F.coalesce("ca", "a")}))
+
+
+BITS = 16                                     # longs of a document's bitmap of shingles
+RARE = T.StructType([T.StructField("rep", T.LongType()), T.StructField("weight", T.DoubleType())] +
+                    [T.StructField(f"m{i}", T.LongType()) for i in range(BITS)] +
+                    [T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("n_short", T.IntegerType())])
+
+
+def rarest(texts: DataFrame, idf: Broadcast, least: float) -> DataFrame:
+    """RARE rows of texts with words: total weight W, a bitmap of all shingles, and the rarest shingles,
+    those from which on the weights add up to at least ``least`` W. Two texts with a similarity of
+    ``least`` have a common weight of at least ``least`` W, so the rarest shingle they have in common
+    is among these for both. The lighter one has it among its first ``n_short``, from which on it has
+    2 least / (1 + least) of its W."""
+    strict = 2 * least / (1 + least)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_array(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b in row_blocks(texts):
+                h, row, w = weighted(*shingles(*words(texts[a:b])), idf.value)
+                by = np.lexsort((h, -idf.value.weight[cell(h)], row))
+                h, row, w = h[by], row[by], w[by].astype(np.float64)
+                total = np.bincount(row, w, minlength=b - a)
+                onward = (np.cumsum(total)[row] - np.cumsum(w) + w) / total[row] + 1e-9
+                rows = np.unique(row)
+                bits = np.zeros((b - a, BITS * 64), np.uint8)
+                bits[row, (mix(h) & np.uint64(BITS * 64 - 1)).astype(np.int64)] = 1
+                bits = np.packbits(bits[rows], axis=1, bitorder="little").view(np.int64)
+                keep = onward >= least
+                sizes = np.bincount(row[keep], minlength=b - a)[rows]
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+                                                pa.array(h[keep].view(np.int64)))
+                short = np.bincount(row[onward >= strict], minlength=b - a)[rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[a + rows], pa.int64()), pa.array(total[rows])] +
+                    [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(BITS)] + [rare, pa.array(short.astype(np.int32))],
+                    names=RARE.names)
+        give_back()
+
+    return texts.mapInArrow(pick, RARE)
+
+
+def rest(open_rows: DataFrame, texts: DataFrame, idf: Broadcast, least: float) -> DataFrame:
+    """Pairs (a, b) in different classes that may be similar, of the documents of ``open_rows``: one of
+    them is not in its bucket's centre's class, and both have a rare shingle in common. No pair at
+    ``least`` is lost by that or by the bitmaps: every shingle weighs at least 1, so as many bits as
+    differ is what the total weights differ by at least, and that is W1 + W2 times (1 - least) / (1 + least)
+    at most."""
+    docs = staged(open_rows.groupBy("rep").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("ca")).alias("apart"),
+                                               *[F.first(f"s{i}").alias(f"s{i}") for i in range(4)]), "open-documents")
+    rare = rarest(texts.join(docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text"), idf, least)
+    rare = (rare.select("*", F.posexplode("rare").alias("at", "shingle"))
+            .withColumn("short", F.col("at") < F.col("n_short")).drop("rare", "n_short", "at").join(docs, "rep"))
+    rare = staged(rare, "rare-shingles")
+    met = (rare.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("apart").alias("apart"))
+           .where("lo < hi and apart").select("shingle"))
+    rare = staged(rare.join(met, "shingle", "left_semi"), "shared-shingles")
+    light = rare.where("short").select(*[F.col(c).alias(f"l_{c}") for c in rare.columns])
+    differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"l_m{i}"))) for i in range(1, BITS)),
+                 F.bit_count(F.col("m0").bitwiseXOR(F.col("l_m0"))))
+    both = ((F.col("shingle") == F.col("l_shingle")) & (F.col("c") != F.col("l_c")) & (F.col("apart") | F.col("l_apart"))
+            & ((F.col("l_weight") < F.col("weight")) | ((F.col("l_weight") == F.col("weight")) & (F.col("l_rep") < F.col("rep"))))
+            & (F.col("l_weight") >= F.col("weight") * (least - 1e-6))
+            & (differ <= (F.col("weight") + F.col("l_weight")) * ((1 - least) / (1 + least) + 1e-6))
+            & similar_enough("", "l_"))
+    return rare.join(light, both).select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, representative): ``class_id`` is the least doc_id of all documents that
     similar pairs connect; ``representative`` the least doc_id with the same weighted shingles.
 
     Texts with equal shingles (case, white space and punctuation aside) form one group at once,
     texts without words another; only a group's representative is compared. A bucket of a band
-    never gives rise to all its pairs: each member is compared with the bucket's centre, then
-    those that are not in its class with another centre, drawn from them, for ROUNDS centres in
-    all or until a round finds no link. A bucket that holds at most that many classes is so
-    searched in full. A link is passed over only if, in every bucket that its documents share, it
-    is between two of more classes than that (two documents at 0.8 share six or seven buckets, and
-    those whose samples are not all from one common passage are their own). Rows with one doc_id count as one document, whose least
+    never gives rise to all its pairs. Each member is compared with the bucket's centre, then with
+    another centre, drawn from those that are not in the first one's class. What still lies in
+    different classes of one bucket is searched in full: for each document outside its centre's class
+    by the rare shingles that similar texts must have in common (``rest``). So every pair that
+    meets in a bucket is compared, in one class, or too different by an exact bound (or, with
+    a probability of 10^-6 at 0.8, by its samples). Rows with one doc_id count as one document, whose least
     sketch stands for it; null doc_ids have no row. An empty table gives no rows.
     """
     importable(docs.sparkSession)
@@ -255,24 +329,23 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     edges = staged(verified(stars, rows, idf, least).select("a", "b").distinct(), "edges")
     found = components(edges)
 
-    left, tested = bucketed, stars
-    for _ in range(ROUNDS - 1):
-        of = lambda node, c: found.select(F.col("node").alias(node), F.col("component").alias(c))
-        apart = (left.join(of("rep", "c"), "rep", "left").join(of("a", "ca"), "a", "left")
-                 .where(F.coalesce("c", "rep") != F.coalesce("ca", "a")).select("key", "rep", "s0", "s1", "s2", "s3"))
-        left = staged(apart, "open-buckets")
-        centre = (left.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep", "s0", "s1", "s2", "s3")).alias("m"),
-                                          F.count("*").alias("n")).where("n > 1")
-                  .select("key", F.col("m.rep").alias("a"), *[F.col(f"m.s{i}").alias(f"as{i}") for i in range(4)]))
-        left = staged(left.join(centre, "key"), "buckets")
-        pairs = staged(left.where((F.col("a") != F.col("rep")) & similar_enough("a", ""))
-                       .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-                       .join(tested, ["a", "b"], "left_anti"), "pairs")
+    for last in (False, True):
+        named = named_classes(bucketed, found)
+        # members of buckets that more than one class meets in; ``apart`` are those not in their centre's class
+        mixed = named.where("c <> ca").select("key").distinct()
+        open_rows = staged(named.join(mixed, "key", "left_semi").select("key", "rep", "c", "ca", "s0", "s1", "s2", "s3"), "open-buckets")
+        if last:
+            pairs = rest(open_rows, rows, idf, least)
+        else:
+            apart = open_rows.where("c <> ca")
+            centre = (apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep", "s0", "s1", "s2", "s3")).alias("m"))
+                      .select("key", F.col("m.rep").alias("a"), *[F.col(f"m.s{i}").alias(f"as{i}") for i in range(4)]))
+            pairs = (open_rows.join(centre, "key").where((F.col("a") != F.col("rep")) & similar_enough("a", ""))
+                     .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
+        pairs = staged(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
         more = staged(verified(pairs, rows, idf, least).select("a", "b").distinct(), "edges")
-        if more.isEmpty():
-            break
-        tested = tested.union(pairs)
-        found = components(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        stars, edges = stars.union(pairs), edges.union(more)
+        found = components(edges)
     of_group = groups.select("c1", "c2", F.col("doc_id").alias("representative")).join(
         found, F.col("representative") == F.col("node"), "left").select(
         "c1", "c2", "representative", F.coalesce("component", "representative").alias("class_id"))

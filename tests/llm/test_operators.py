@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,43 @@ def test_near_duplicates(spark):
     assert near_dedup.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_dedup_finds_every_link_in_a_bucket_of_many_classes(spark):
+    """Documents that share most of a passage, so that many classes meet in a bucket: classes and links
+    as a brute-force search over all pairs gives them, chains that pass by the centre among them."""
+    gen = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in gen.integers(0, 10**9, n)]
+    passage, texts = word(150), []
+    for _ in range(40):
+        own = word(60)
+        texts.append(passage + own)
+        for _ in range(int(gen.integers(0, 4))):              # each changes a little of the one before
+            own = own[:-6] + word(6) if gen.random() < 0.5 else word(9) + own[9:]
+            texts.append(passage + own)
+    rows = [(i * 3, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    idf = near_dedup.document_frequency(docs.select("text"))
+    sets = []
+    for _, t in rows:
+        h, _, w = near_dedup.weighted(*near_dedup.shingles(*near_dedup.words(pa.array([t]))), idf)
+        sets.append(dict(zip(h.tolist(), w.tolist(), strict=True)))
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = sum(min(w, sets[j][h]) for h, w in sets[i].items() if h in sets[j])
+            if common / (sum(sets[i].values()) + sum(sets[j].values()) - common) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    assert got == {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
+    assert 10 < len(set(got.values())) < len(rows)
+
+
 def test_sample_agreement_estimates_weighted_jaccard():
     sampler, gen = near_dedup.Sampler(), np.random.default_rng(1)
     h = np.sort(gen.integers(0, 1 << 63, 900).astype(np.uint64))
