@@ -31,12 +31,17 @@ def trend(log: DataFrame, num_partitions: int | None = None) -> DataFrame:
 
 
 def with_arrival(records: DataFrame) -> DataFrame:
-    """Stamp records with the arrival time when they carry none, and a date partition."""
+    """Stamp records with the arrival time and number when they carry none, and a date partition.
+    The number is the position in the batch, which breaks ties of its one arrival time."""
     if "timestamp" not in records.columns:
         records = records.withColumn("timestamp", F.current_timestamp())
+    if "seq" not in records.columns:
+        records = records.withColumn("seq", F.monotonically_increasing_id())
     return records.withColumn("dt", F.to_date("timestamp"))
 
 
 def append(records: DataFrame, path: str) -> None:
-    """Append records to the log, partitioned by date (existing files are never rewritten)."""
-    with_arrival(records).write.mode("append").partitionBy("dt").parquet(path)
+    """Append records to the log, partitioned by date (existing files are never rewritten). The
+    rows of a date are brought together in files of the size that AQE aims at: a small date
+    is one file, a large one is split."""
+    with_arrival(records).hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)

@@ -79,28 +79,24 @@ def correlation_matrix(df: DataFrame, cols=None, by: list[str] | None = None,
                        digits: int = 6) -> DataFrame:
     """Pearson r for every ordered pair (diagonal included), pairwise-complete, long form.
 
-    One aggregation pass computes all pairs; ``try_divide`` gives NULL where a
+    One aggregation computes all pairs, each a group of the rows' exploded pairs, so the
+    aggregate is small enough for code generation; no rows, no pairs. ``try_divide`` gives NULL where a
     column is constant instead of ANSI's divide-by-zero error of ``corr``.
     """
     cols = [c for c in (cols or S.CORRELATION_COLS) if c in df.columns]
     if len(cols) <= 2:
         raise ValueError("correlation needs more than two numeric columns")
-    aggs, pairs = [], []
-    for i, x in enumerate(cols):
-        for y in cols[i:]:
-            both = F.col(x).isNotNull() & F.col(y).isNotNull()
-            xx, yy = F.when(both, F.col(x)), F.when(both, F.col(y))
-            name = f"r__{x}__{y}"
-            aggs.append(F.try_divide(F.covar_samp(xx, yy),
-                                     F.stddev_samp(xx) * F.stddev_samp(yy)).alias(name))
-            pairs.append((x, y, name))
-    wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    entries = []
-    for x, y, name in pairs:
-        entries.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(name).alias("r")))
-        if x != y:
-            entries.append(F.struct(F.lit(y).alias("x"), F.lit(x).alias("y"), F.col(name).alias("r")))
-    long = wide.select(*(by or []), F.inline(F.array(*entries)))
+    pairs = [(x, y) for i, x in enumerate(cols) for y in cols[i:]]
+    rows = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).cast("double").alias("a"),
+                              F.col(y).cast("double").alias("b")) for x, y in pairs])
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    a, b = F.when(both, F.col("a")), F.when(both, F.col("b"))
+    half = (df.select(*(by or []), F.inline(rows)).groupBy(*(by or []), "x", "y")
+            .agg(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)).alias("r")))
+    there = F.struct(F.col("x").alias("x"), F.col("y").alias("y"))
+    back = F.struct(F.col("y").alias("x"), F.col("x").alias("y"))
+    ways = F.when(F.col("x") == F.col("y"), F.array(there)).otherwise(F.array(there, back))
+    long = half.select(*(by or []), "r", F.inline(ways)).select(*(by or []), "x", "y", "r")
     return long.withColumn("r", F.round("r", digits))
 
 

@@ -28,8 +28,8 @@ def apply_predictions(students: DataFrame, updates: DataFrame, seq: str = "seq",
                       keep_seq: bool = False) -> DataFrame:
     """Write the prediction columns of matching ids; unmatched ids are ignored; latest wins.
 
-    With ``keep_seq`` the table carries ``prediction_seq`` (the arrival number of
-    the update it holds) and an update only replaces an older one, so applying
+    With ``keep_seq`` the table carries ``prediction_seq`` (the arrival number, or struct of
+    numbers, of the update it holds) and an update only replaces an older one, so applying
     updates in several batches, in any batch order, gives the one-batch result.
     """
     latest = latest_per_key(updates, "student_id", seq, PRED_COLS + [seq])
@@ -42,7 +42,7 @@ def apply_predictions(students: DataFrame, updates: DataFrame, seq: str = "seq",
     cols = [F.when(matched, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
             if c in PRED_COLS else F.col(c) for c in students.columns if c != "prediction_seq"]
     if keep_seq:
-        old = F.col("prediction_seq") if "prediction_seq" in students.columns else F.lit(None).cast("long")
+        old = F.col("prediction_seq") if "prediction_seq" in students.columns else F.lit(None).cast(updates.schema[seq].dataType)
         cols.append(F.when(matched, F.col("_new_seq")).otherwise(old).alias("prediction_seq"))
     return j.select(cols)
 

@@ -221,7 +221,7 @@ def apply_predictions(spark, sf_dir):
 def snapshot_replace(spark, sf_dir):
     """Load, then publish the updated table as a new version; read the current one."""
     store = SnapshotStore(spark, scratch_path(spark, "students-snapshot"))
-    load.load(store, inputs.students_raw(spark, sf_dir), on_duplicate="last", require=True)
+    load.load(store, inputs.students_raw(spark, sf_dir), on_duplicate="last", require=True, seq="student_id")
     store.replace(updates.apply_predictions(store.read(), prediction_updates(spark, sf_dir)))
     return store.read().drop("created_at")
 

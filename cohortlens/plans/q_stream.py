@@ -46,9 +46,8 @@ def stream_apply(spark, sf_dir):
     log = PredictionLog(spark, scratch_path(spark, "prediction-log"))
     upd = prediction_updates(spark, sf_dir)
     src = scratch_path(spark, "updates-in")
-    # several files, read one per micro-batch, in whatever order the source lists them
-    files.write_json(upd.repartition("student_id"), src)
-    streams.run_apply_stream(spark, src, log, scratch_path(spark, "apply-ckpt"), upd.schema,
-                             max_files=1)
+    # several files, read in whatever order the source lists them: ``seq`` orders their rows
+    files.write_json(upd, src)
+    streams.run_apply_stream(spark, src, log, scratch_path(spark, "apply-ckpt"), upd.schema, ordered=True)
     prediction_log.compact(store, log)
     return prediction_log.current(store, log).drop("prediction_seq")

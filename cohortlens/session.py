@@ -32,8 +32,9 @@ def build_session(master: str | None = None, app: str = "cohortlens",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": os.environ.get("COHORTLENS_DRIVER_MEMORY", "16g"),
     }
+    if master and master.startswith("local"):              # there the driver is the executor, too
+        conf["spark.driver.memory"] = os.environ.get("COHORTLENS_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

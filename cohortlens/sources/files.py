@@ -2,9 +2,10 @@
 
 CSV input is read with a declared schema (no inference pass over the data,
 and one bad value cannot turn a whole column into strings). The schema is
-built from the header line, so the ingest rule "derive a column only when it
-is absent" sees exactly the columns the file has. Malformed rows are kept and
-flagged in ``_corrupt_record`` (PERMISSIVE mode) instead of failing the load.
+built from each file's own header line, so files may order their columns
+differently, and the ingest rule "derive a column only when it is absent" sees
+the columns the files have. Malformed rows are kept and flagged in
+``_corrupt_record`` (PERMISSIVE mode) instead of failing the load.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ from pyspark.sql import types as T
 from cohortlens import schema as S
 
 CORRUPT = "_corrupt_record"
+ARRIVAL = "_arrival"                    # file by name, position in the file
 
 _KNOWN = {f.name: f.dataType for f in S.STUDENTS.fields}
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the header line (reads only the first line of the input)."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(header, file) of every non-empty file: its first line, from the task that reads its start."""
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0")
+    return (lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.first("value").alias("header"))
+            .select("header", "file"))
 
 
 def schema_for_header(columns: list[str]) -> T.StructType:
@@ -30,12 +34,30 @@ def schema_for_header(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, _KNOWN.get(c, T.StringType())) for c in columns])
 
 
-def read_students_csv(spark: SparkSession, path: str, keep_corrupt: bool = False) -> DataFrame:
-    cols = csv_header(spark, path)
-    schema = T.StructType(schema_for_header(cols).fields + [T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    return df if keep_corrupt else df.drop(CORRUPT)
+def _read_csv(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
+    schema = T.StructType(schema_for_header(columns).fields + [T.StructField(CORRUPT, T.StringType())])
+    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+          .option("columnNameOfCorruptRecord", CORRUPT).csv(paths))
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                  F.monotonically_increasing_id().alias("row"))
+    return df.withColumn(ARRIVAL, at)
+
+
+def read_students_csv(spark: SparkSession, path: str, keep_corrupt: bool = False, arrival: bool = False) -> DataFrame:
+    """Rows of all files under ``path``, columns found by name in each file's header. A column that only
+    some files have is NULL for the others. ``keep_corrupt`` keeps the flag of malformed rows,
+    ``arrival`` the order of rows (files by name, then position) for "last wins"."""
+    headers = csv_headers(spark, path)
+    kinds = sorted(r["header"] for r in headers.select("header").distinct().collect())    # one per column order
+    if len(kinds) <= 1:
+        df = _read_csv(spark, path, spark.read.option("header", True).csv(path).columns)
+    else:
+        df = None
+        for kind in kinds:        # the files of one header are listed here, as Spark itself lists its input
+            of_kind = [r["file"] for r in headers.where(F.col("header") == kind).select("file").collect()]
+            part = _read_csv(spark, of_kind, spark.read.option("header", True).csv(of_kind).columns)
+            df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    return df.drop(*([] if keep_corrupt else [CORRUPT]), *([] if arrival else [ARRIVAL]))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -2,19 +2,22 @@
 
 A load replaces the whole student table. Spark refuses to overwrite a path
 it is reading, and a half-written overwrite would leave readers with nothing,
-so every load writes a new ``v=<n>`` folder; the current version is the
-highest one whose ``_SUCCESS`` marker exists (Spark writes it when the job
-commits). A failed load therefore leaves the previous version current.
+so every load writes a staging folder, which is renamed to ``v=<n>`` once it has
+passed its checks; the current version is the highest one with a ``_SUCCESS``
+marker. A failed load therefore leaves the previous version current.
 Paths go through the Hadoop FileSystem API, so any shared file system works.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
@@ -25,7 +28,7 @@ class SnapshotStore:
         self.spark, self.base = spark, base.rstrip("/")
 
     def versions(self) -> list[int]:
-        fs, p, jvm = _fs(self.spark, self.base)
+        fs, p, jvm = file_system(self.spark, self.base)
         if not fs.exists(p):
             return []
         out = []
@@ -42,14 +45,16 @@ class SnapshotStore:
         return v[-1] if v else None
 
     def _all_versions(self) -> list[int]:
-        fs, p, _ = _fs(self.spark, self.base)
+        fs, p, _ = file_system(self.spark, self.base)
         if not fs.exists(p):
             return []
         return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(p)
                       if s.getPath().getName().startswith("v=") and s.getPath().getName()[2:].isdigit())
 
     def replace(self, df: DataFrame, reject_empty: bool = True,
-                cluster_by: tuple[str, ...] | None = None, num_files: int | None = None) -> int:
+                cluster_by: tuple[str, ...] | None = None, num_files: int | None = None,
+                before_commit: Callable[[int], None] | None = None,
+                check: Callable[[DataFrame], None] | None = None) -> int:
         """Publish ``df`` as the new version; an empty source keeps the old one.
 
         ``cluster_by`` (e.g. ``("faculty_id", "student_id")``) range-partitions and
@@ -58,16 +63,39 @@ class SnapshotStore:
         lookup skip whole files and row groups. The range partitioner samples
         the composite key, so a class holding a third of the rows still spreads
         over many files.
+
+        The rows are computed once, into a staging folder that no reader looks at. Row count and
+        ``check`` (raises to reject) look at what was written; then ``before_commit`` is told the
+        version, and renaming the folder publishes it. ``rows_written`` holds the row count.
         """
-        if reject_empty and df.isEmpty():
-            raise ValueError("source has no rows; the current snapshot is kept")
         existing = self._all_versions()
         v = (existing[-1] + 1) if existing else 1
+        staging = f"{self.base}/staging-{uuid.uuid4().hex}"
         out = df if "created_at" in df.columns else df.withColumn("created_at", F.current_timestamp())
         if cluster_by:
             n = num_files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            # written plainly first: the range sample then reads this copy, not the input again
+            raw = f"{staging}-raw"
+            out.write.parquet(raw)
+            out = self.spark.read.schema(out.schema).parquet(raw)
             out = out.repartitionByRange(n, *cluster_by).sortWithinPartitions(*cluster_by)
-        out.write.mode("errorifexists").parquet(f"{self.base}/v={v}")
+        counted = Observation()
+        out.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(staging)
+        fs, _, jvm = file_system(self.spark, self.base)
+        path = jvm.org.apache.hadoop.fs.Path
+        try:
+            self.rows_written = counted.get["n"]
+            if reject_empty and not self.rows_written:
+                raise ValueError("source has no rows; the current snapshot is kept")
+            if check:
+                check(self.spark.read.parquet(staging))
+            if before_commit:
+                before_commit(v)
+            if not fs.rename(path(staging), path(f"{self.base}/v={v}")):
+                raise OSError(f"could not publish version {v} under {self.base}")
+        finally:
+            fs.delete(path(staging), True)
+            fs.delete(path(f"{staging}-raw"), True)
         return v
 
     def read(self, version: int | None = None) -> DataFrame:

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens import schema as S
-from cohortlens.operators import features, ml, recommend, validate
+from cohortlens.operators import features, ml, progress, recommend, validate
 from cohortlens.sources.prediction_log import PredictionLog
 
 MAX_FILES_PER_TRIGGER = 1000
+ENGINEERED = ["average_score", "attendance_ratio", "performance_drop", "score_variance"]
 
 
 def read_json_stream(spark: SparkSession, path: str, schema,
@@ -43,17 +44,29 @@ def _run(query_builder, checkpoint: str, available_now: bool = True):
 
 
 def progress_stream(requests: DataFrame) -> DataFrame:
-    """Validate progress records; valid ones become log rows with arrival time and date."""
+    """Validate progress records; valid ones become log rows with arrival time, number and date."""
     v = validate.check_progress_requests(requests).filter("is_valid")
-    out = v.select("student_id", F.current_timestamp().alias("timestamp"), "attendance", "average_score",
-                   "risk_level", *([F.col("seq")] if "seq" in requests.columns else []))
-    return out.withColumn("dt", F.to_date("timestamp"))
+    return progress.with_arrival(v.select("student_id", F.current_timestamp().alias("timestamp"), "attendance",
+                                          "average_score", "risk_level",
+                                          *([F.col("seq")] if "seq" in requests.columns else [])))
 
 
-def run_progress_stream(spark: SparkSession, source: str, sink: str, checkpoint: str) -> None:
-    stream = progress_stream(read_json_stream(spark, source, _progress_schema()))
-    _run(stream.writeStream.format("parquet").option("path", sink).partitionBy("dt")
+def _reject(spark: SparkSession, requests: DataFrame, checked: DataFrame, rejects: str, checkpoint: str) -> None:
+    """Invalid requests as they were sent, with the reason, as JSON lines."""
+    reason = [c for c in ("missing", "error_kind", "error_field") if c in checked.columns]
+    sent = [c for c in requests.columns if c in checked.columns]
+    bad = checked.filter(~F.col("is_valid")).select(*sent, *reason)
+    _run(bad.writeStream.format("json").option("path", rejects).outputMode("append"), checkpoint)
+
+
+def run_progress_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
+                        rejects: str | None = None) -> None:
+    """Accepted records go to ``sink``, rejected ones with their reason to ``rejects``."""
+    requests = read_json_stream(spark, source, _progress_schema())
+    _run(progress_stream(requests).writeStream.format("parquet").option("path", sink).partitionBy("dt")
          .outputMode("append"), checkpoint)
+    if rejects:
+        _reject(spark, requests, validate.check_progress_requests(requests), rejects, f"{checkpoint}-rejects")
 
 
 def _progress_schema():
@@ -70,33 +83,33 @@ def scoring_stream(requests: DataFrame, model: PipelineModel) -> DataFrame:
     recs = recommend.recommend(scored, risk_col="predicted_risk")
     return recs.select("student_id", "predicted_risk", "confidence", "class_probabilities",
                        F.concat_ws(", ", F.col("recommendation.difficulty_types")).alias("difficulty_type"),
-                       "recommendation")
+                       F.struct(*ENGINEERED).alias("engineered_features"), "recommendation")
 
 
 def run_scoring_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                       model: PipelineModel) -> None:
-    stream = scoring_stream(read_json_stream(spark, source, S.SCORE_REQUEST), model)
-    _run(stream.writeStream.format("parquet").option("path", sink).outputMode("append"), checkpoint)
+                       model: PipelineModel, rejects: str | None = None) -> None:
+    """Scored requests go to ``sink``, rejected ones with their reason to ``rejects``."""
+    requests = read_json_stream(spark, source, S.SCORE_REQUEST)
+    _run(scoring_stream(requests, model).writeStream.format("parquet").option("path", sink).outputMode("append"), checkpoint)
+    if rejects:
+        _reject(spark, requests, validate.check_score_requests(requests), rejects, f"{checkpoint}-rejects")
 
 
-def apply_batch(log: PredictionLog):
+def apply_batch(log: PredictionLog, writer: str = "stream", ordered: bool = False):
     """foreachBatch body: append the micro-batch of prediction updates to the log.
 
     The cost is the batch's, not the table's; a replayed batch id (after a
-    restart) overwrites its own folder, so it is applied exactly once.
+    restart) overwrites its own folder, so it is applied exactly once. ``writer`` names the
+    stream: one with a fresh checkpoint counts from 0 again and needs a new name.
     """
     def fn(batch: DataFrame, batch_id: int) -> None:
-        log.append_batch(batch, batch_id)
+        log.append_batch(batch, batch_id, writer, ordered)
     return fn
 
 
 def run_apply_stream(spark: SparkSession, source: str, log: PredictionLog, checkpoint: str,
-                     schema, max_files: int | None = MAX_FILES_PER_TRIGGER) -> None:
+                     schema, max_files: int | None = MAX_FILES_PER_TRIGGER,
+                     writer: str = "stream", ordered: bool = False) -> None:
+    """``ordered``: the updates' ``seq`` numbers all arrivals, so files may be read in any order."""
     stream = read_json_stream(spark, source, schema, max_files)
-    _run(stream.writeStream.foreachBatch(apply_batch(log)), checkpoint)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    _run(stream.writeStream.foreachBatch(apply_batch(log, writer, ordered)), checkpoint)

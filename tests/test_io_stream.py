@@ -128,17 +128,80 @@ def test_apply_stream_restart_is_idempotent(spark):
     upd = prediction_updates(spark, SF001)
     src, ck = scratch_path(spark, "restart-src"), scratch_path(spark, "restart-ck")
     files.write_json(upd.repartition(3, "student_id"), src)
-    streams.run_apply_stream(spark, src, log, ck, upd.schema, max_files=1)
-    batches = log.batch_ids()
+    streams.run_apply_stream(spark, src, log, ck, upd.schema, max_files=1, ordered=True)
+    batches = log.batches()
     merged = sorted(prediction_log.current(store, log).drop("prediction_seq").collect())
-    streams.run_apply_stream(spark, src, log, ck, upd.schema, max_files=1)    # restart: nothing new
-    assert log.batch_ids() == batches
-    b0 = spark.read.parquet(f"{log.base}/batch_id=0")
+    streams.run_apply_stream(spark, src, log, ck, upd.schema, max_files=1, ordered=True)    # restart: nothing new
+    assert log.batches() == batches
+    b0 = spark.read.parquet(f"{log.base}/stream-0").drop("arrival")
     again = spark.createDataFrame(b0.collect(), b0.schema)               # the replayed batch's rows
-    streams.apply_batch(log)(again, 0)                                   # replay of batch 0
+    streams.apply_batch(log, ordered=True)(again, 0)                     # replay of batch 0
     assert sorted(prediction_log.current(store, log).drop("prediction_seq").collect()) == merged
     batch = updates.apply_predictions(inputs.students(spark, SF001), upd)
     assert merged == sorted(batch.collect())
     prediction_log.compact(store, log)
-    assert log.compacted_through(store) == max(batches)
+    assert log.folded(store) == set(batches)
     assert sorted(prediction_log.current(store, log).drop("prediction_seq").collect()) == merged
+
+
+def _log_fixture(spark, name):
+    from cohortlens.sources.prediction_log import PredictionLog
+    store = SnapshotStore(spark, scratch_path(spark, f"{name}-store"))
+    store.replace(inputs.students(spark, SF001))
+    ids = [r[0] for r in store.read().select("student_id").orderBy("student_id").limit(3).collect()]
+    batch = lambda i, risk, seq=0: spark.createDataFrame([(ids[i], risk, 0.5, "General", seq)], (
+        "student_id string, predicted_risk string, confidence double, difficulty_type string, seq long"))
+    predicted = lambda df: {r["student_id"]: r["predicted_risk"] for r in df.where("predicted_risk is not null").collect()}
+    return store, PredictionLog(spark, scratch_path(spark, f"{name}-log")), ids, batch, predicted
+
+
+def test_log_reads_committed_batches_only_and_later_those_that_were_open(spark):
+    from cohortlens.sources import prediction_log as pl
+    from cohortlens.sources.snapshot import file_system
+    store, log, ids, batch, predicted = _log_fixture(spark, "open")
+    log.append_batch(batch(0, "Low Risk"), 0)
+    log.append_batch(batch(1, "High Risk"), 7)
+    fs, mark, _ = file_system(spark, f"{log.base}/batch-7/_SUCCESS")
+    fs.delete(mark, False)                                              # batch 7 is still being written
+    assert predicted(pl.current(store, log)) == {ids[0]: "Low Risk"}
+    pl.compact(store, log)
+    assert log.folded(store) == {"batch-0"} and log.next_batch() == 8
+    fs.create(mark).close()                                             # now it is committed
+    assert predicted(pl.current(store, log)) == {ids[0]: "Low Risk", ids[1]: "High Risk"}
+
+
+def test_log_writers_do_not_meet_and_later_batches_win(spark):
+    from cohortlens.sources import prediction_log as pl
+    store, log, ids, batch, predicted = _log_fixture(spark, "writers")
+    log.append_batch(batch(0, "Low Risk", 1 << 50), 40_000, "run")
+    pl.compact(store, log)
+    log.append_batch(batch(0, "High Risk", 0), 0, "other")              # a fresh checkpoint counts from 0 again
+    assert predicted(pl.current(store, log)) == {ids[0]: "High Risk"}
+    pl.compact(store, log, cluster_by=("faculty_id", "student_id"))
+    assert predicted(pl.current(store, log)) == {ids[0]: "High Risk"}
+    log.append_batch(batch(0, "Medium Risk", 0), 40_001, "run")
+    assert predicted(pl.current(store, log)) == {ids[0]: "Medium Risk"}
+
+
+def test_reload_clears_logged_predictions(spark):
+    from cohortlens.operators import load
+    from cohortlens.sources import prediction_log as pl
+    store, log, ids, batch, predicted = _log_fixture(spark, "reload")
+    log.append_batch(batch(0, "Low Risk"), 0)
+    load.load(store, inputs.students_raw(spark, SF001), before_commit=pl.cleared(log))
+    assert predicted(pl.current(store, log)) == {}
+    log.append_batch(batch(1, "High Risk"), 1)
+    assert predicted(pl.current(store, log)) == {ids[1]: "High Risk"}
+
+
+def test_streams_return_accepted_and_rejected(spark):
+    from cohortlens.plans.q_io import progress_requests
+    from cohortlens.sources import files
+    from cohortlens.streaming import streams
+    src, sink, bad, ck = (scratch_path(spark, n) for n in ("rj-in", "rj-out", "rj-bad", "rj-ck"))
+    requests = progress_requests(spark, SF001)
+    files.write_json(requests, src)
+    streams.run_progress_stream(spark, src, sink, ck, rejects=bad)
+    rejected = spark.read.json(bad)
+    assert rejected.count() > 0 and rejected.where("error_kind is null").count() == 0
+    assert spark.read.parquet(sink).count() + rejected.count() == requests.count()

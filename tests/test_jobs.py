@@ -86,3 +86,27 @@ def test_score_into_log_then_compact(spark):
     v = jobs.main(["compact", "--store", store, "--log", log], spark)["version"]
     snap = SnapshotStore(spark, store).read(v)
     assert snap.filter(F.col("predicted_risk").isNotNull()).count() > 0
+
+
+def test_progress_job_batches_read_back_in_order(spark):
+    cols = "student_id string, attendance string, average_score string, risk_level string"
+    log, out = scratch_path(spark, "pj-log"), scratch_path(spark, "pj-out")
+    for i, rows in enumerate([[("S1", "50", "60", "High Risk"), ("S1", "55", "60", "High Risk"), ("S2", "bad", "1", "Low Risk")],
+                              [("S1", "70", "60", "Medium Risk"), ("S1", "75", "60", "Low Risk")]]):
+        req, bad = scratch_path(spark, f"pj-req{i}"), scratch_path(spark, f"pj-bad{i}")
+        files.write_json(spark.createDataFrame(rows, cols).coalesce(1), req)
+        got = jobs.main(["progress", "--log", log, "--requests", req, "--rejects", bad], spark)
+        assert got["rejected"] == (1 if i == 0 else 0)
+    jobs.main(["history", "--log", log, "--student-id", "S1", "--out", out], spark)
+    assert [r["attendance"] for r in spark.read.json(out).orderBy("timestamp", "seq").collect()] == [50.0, 55.0, 70.0, 75.0]
+
+
+def test_export_and_accounts_jobs(spark):
+    csv, store, out, acc = (scratch_path(spark, n) for n in ("ex-csv", "ex-store", "ex-out", "ex-acc"))
+    files.write_csv(inputs.students_raw(spark, SF001), csv)
+    rows = jobs.main(["load-csv", "--store", store, "--csv", csv], spark)["rows"]
+    jobs.main(["export", "--store", store, "--out", out, "--high-risk"], spark)
+    snap = SnapshotStore(spark, store).read()
+    assert spark.read.option("header", True).csv(out).count() == snap.where("risk_level = 'High Risk'").count() > 0
+    jobs.main(["accounts", "--store", store, "--out", acc], spark)
+    assert spark.read.parquet(acc).count() == rows + 3
