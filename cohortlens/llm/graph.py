@@ -20,15 +20,16 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u")
         small = hung.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             hung.select("u", F.col("m").alias("v"))).distinct()
         now = staged(small, "links")
         # done when all that is left are stars: a node hangs on one other, which hangs on none
-        wrong = (now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-                 .union(now.select("u").join(now.select(F.col("v").alias("u")), "u", "left_semi")))
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("n")),
+                                            F.struct(F.col("v").alias("node"), F.lit(0).alias("n")))).alias("e")).select("e.*")
+        wrong = ends.groupBy("node").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 or n = 1 and least = 0")
         if wrong.isEmpty():
             break
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

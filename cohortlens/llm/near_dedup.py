@@ -300,10 +300,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
 
     Texts with equal shingles (case, white space and punctuation aside) form one group at once,
     texts without words another; only a group's representative is compared. A bucket of a band
-    never gives rise to all its pairs. Each member is compared with the bucket's centre, then with
-    another centre, drawn from those that are not in the first one's class. What still lies in
-    different classes of one bucket is searched in full: for each document outside its centre's class
-    by the rare shingles that similar texts must have in common (``rest``). So every pair that
+    never gives rise to all its pairs. Each member is compared with the bucket's centre. What then
+    lies in different classes of one bucket is searched in full: for each document outside its centre's
+    class by the rare shingles that similar texts must have in common (``rest``). So every pair that
     meets in a bucket is compared, in one class, or too different by an exact bound (or, with
     a probability of 10^-6 at 0.8, by its samples). Rows with one doc_id count as one document, whose least
     sketch stands for it; null doc_ids have no row. An empty table gives no rows.
@@ -326,26 +325,14 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     bucketed = staged(shared.drop("n").join(centre, "key"), "buckets")
     stars = staged(bucketed.where((F.col("a") != F.col("rep")) & similar_enough("a", ""))
                    .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
-    edges = staged(verified(stars, rows, idf, least).select("a", "b").distinct(), "edges")
-    found = components(edges)
-
-    for last in (False, True):
-        named = named_classes(bucketed, found)
-        # members of buckets that more than one class meets in; ``apart`` are those not in their centre's class
-        mixed = named.where("c <> ca").select("key").distinct()
-        open_rows = staged(named.join(mixed, "key", "left_semi").select("key", "rep", "c", "ca", "s0", "s1", "s2", "s3"), "open-buckets")
-        if last:
-            pairs = rest(open_rows, rows, idf, least)
-        else:
-            apart = open_rows.where("c <> ca")
-            centre = (apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep", "s0", "s1", "s2", "s3")).alias("m"))
-                      .select("key", F.col("m.rep").alias("a"), *[F.col(f"m.s{i}").alias(f"as{i}") for i in range(4)]))
-            pairs = (open_rows.join(centre, "key").where((F.col("a") != F.col("rep")) & similar_enough("a", ""))
-                     .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
-        pairs = staged(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-        more = staged(verified(pairs, rows, idf, least).select("a", "b").distinct(), "edges")
-        stars, edges = stars.union(pairs), edges.union(more)
-        found = components(edges)
+    found = components(verified(stars, rows, idf, least).select("a", "b"))
+    named = named_classes(bucketed, found)
+    # members of buckets that more than one class meets in
+    mixed = named.where("c <> ca").select("key").distinct()
+    open_rows = named.join(mixed, "key", "left_semi")
+    pairs = staged(rest(open_rows, rows, idf, least).join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = verified(pairs, rows, idf, least).select("a", "b")
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of_group = groups.select("c1", "c2", F.col("doc_id").alias("representative")).join(
         found, F.col("representative") == F.col("node"), "left").select(
         "c1", "c2", "representative", F.coalesce("component", "representative").alias("class_id"))
