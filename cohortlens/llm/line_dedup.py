@@ -1,15 +1,16 @@
-"""Line deduplication: exact copies by hash, near copies by a segment-partition edit join.
-
-DataFrame functions only. For at most k edits, every line of length t is cut into
-k + 1 segments; a line within k edits of it holds one of them unchanged, at a place
-that the difference of the lengths and the segment's number allow. So segments are
-looked up among the substrings at those places in lines of t to t + k characters, and
-what is found is verified by a banded bit-parallel edit distance.
+"""Line deduplication: exact copies by hash, near copies by an edit join on word pairs and segments.
+
+DataFrame functions only. How many edits k a near copy may have follows the length of the
+shorter line. One edit touches at most two neighbouring words, so at most three neighbouring
+word pairs. In one order of all word pairs, a line's first ones that no k edits can touch all
+are its keys: of two lines within k edits, one's keys hold a pair that is a key of the other
+too. Where both have too few words for that, segments serve: every line of length t is cut
+into k + 1, and a line within k edits of it holds one unchanged, at a place that the difference
+of the lengths and the segment's number allow. What is found is verified by edit distance.
 """
 
 from __future__ import annotations
 
-import functools
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -17,12 +18,27 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
 
-MAX_EDITS = 1
+# (least length of the shorter line, edits): about a tenth of it, up to a word with its space
+MAX_EDITS = ((20, 2), (40, 4), (100, 6), (200, 8))
 NEAR_CHARS = 20                               # shorter lines only count as copies when equal
-BLOCKS = 8                                    # of a line's two block signatures
-BLOCK_BITS = 7
 NO_DOC = Decimal(-(1 << 63) - 1)              # stands for a null doc_id
-GRID = 2 * BLOCKS                             # lengths are rounded down to this for the signatures
+SLOTS = 48                                    # places of word pairs are told apart modulo this
+LENGTHS = 50                                  # word pairs only meet in lines of one class of so many lengths, or the next
+FOUND, LOOKED_UP = 1, 2                       # what a key is for
+
+
+def _bands(max_edits, near_chars: int) -> list[tuple[int, int]]:
+    """(least length, edits), ascending; a number stands for all lengths."""
+    return [(near_chars, max_edits)] if isinstance(max_edits, int) else sorted(
+        {max(least, near_chars): k for least, k in sorted(max_edits)}.items())
+
+
+def _edits(n: Column, bands: list[tuple[int, int]]) -> Column:
+    """Edits that a line of n characters may differ by from a longer one; -1 below the first band."""
+    out = F.lit(-1)
+    for least, k in bands:
+        out = F.when(n >= least, k).otherwise(out)
+    return out
 
 
 def _segment(t: Column, i: int, k: int) -> tuple[Column, Column]:
@@ -36,43 +52,73 @@ def _key(line: Column, t: Column, i: int, start: Column, size: Column) -> Column
     return F.xxhash64(F.lit(i), t, F.substring(line, start + 1, size))
 
 
-def _signatures(line: Column, n: Column, grid: Column) -> list[Column]:
-    """Hashes of BLOCKS blocks of grid / BLOCKS characters, counted from the line's start and from its end."""
-    size, front, back = (grid / BLOCKS).cast("int"), [], []
-    for j in range(BLOCKS):
-        low = lambda s: F.shiftleft(F.xxhash64(s).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)), BLOCK_BITS * j)  # noqa: E731, B023
-        front.append(low(F.substring(line, size * j + 1, size)))
-        back.append(low(F.substring(line, n - size * (j + 1) + 1, size)))
-    return [functools.reduce(Column.bitwiseOR, x) for x in (front, back)]
-
-
-def _equal_blocks(x: Column, y: Column) -> Column:
-    """Number of blocks that are equal before the first unequal one."""
-    d = x.bitwiseXOR(y)
-    below = (d - 1).bitwiseAND(F.bitwise_not(d))                 # ones up to the first difference
-    return F.when(d == 0, BLOCKS).otherwise(F.floor(F.bit_count(below) / BLOCK_BITS))
-
-
-def keys(line: Column, n: Column, k: int) -> dict[str, Column]:
-    """What a line of n characters is found by and looks up, all as longs: ``own_i``, the keys of its
-    segments; ``probe_s_j``, those of the substrings to look up in lines shorter by s; and, for one
-    edit, its block signatures on the grid of its own length (``f0``, ``b0``) and of a line shorter
-    by one (``f1``, ``b1``)."""
-    out = {}
-    for shift in range(k + 1):
-        t, count = n - shift, 0
-        for i in range(k + 1):
-            start, size = _segment(t, i, k)
-            if not shift:
-                out[f"own_{i}"] = _key(line, t, i, start, size)
-            for at in range(max(-i, shift - (k - i)), min(i, shift + (k - i)) + 1):
-                out[f"probe_{shift}_{count}"] = _key(line, t, i, start + at if at else start, size)
-                count += 1
-    if k == 1:
-        out["f0"], out["b0"] = _signatures(line, n, n - n % GRID)
-        other = _signatures(line, n, n - GRID)
-        out["f1"], out["b1"] = (F.when(n % GRID == 0, o).otherwise(out[x]) for o, x in zip(other, ("f0", "b0"), strict=True))
-    return out
+def _once(value: Column, fn) -> Column:
+    """``fn(value)``; a lambda's argument is computed once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _word_pairs(line: Column, k: Column) -> Column:
+    """(pairs, poor): a line's first word pairs, as longs in one order (longer ones, which are
+    rarer, first), that k edits can't all touch; or all of them. ``poor``: k edits can touch all.
+
+    Pairs three or more places apart need an edit each, so k + 1 such are enough. Places are
+    compared modulo SLOTS, by which at most some more pairs are taken.
+    """
+    low, none = 63, F.array().cast("array<bigint>")                    # the low bits hold the place
+    rank = lambda x, y: F.shiftleft(127 - F.least(F.lit(127), F.char_length(x) + F.char_length(y)).cast("long"), 56).bitwiseOR(
+        F.shiftrightunsigned(F.xxhash64(x, y), 8)).bitwiseAND(F.lit(~low))
+    pair = lambda w, i: rank(F.get(w, i), F.get(w, i + 1)).bitwiseOR(i % SLOTS)
+    pairs = _once(F.split(line, " "), lambda w: F.when(F.size(w) > 1, F.sort_array(
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: pair(w, i)))).otherwise(none))
+    bit = F.array(*[F.lit(1 << i).cast("long") for i in range(SLOTS)])
+    near = F.array(*[F.lit(sum(1 << (i + j) % SLOTS for j in range(-2, 3))).cast("long") for i in range(SLOTS)])
+    taken = lambda s: F.bit_count(s.bitwiseAND(F.lit((1 << SLOTS) - 1)))
+
+    # the state: the places taken, and above them the number of pairs looked at
+    def step(s: Column, x: Column) -> Column:
+        at = x.bitwiseAND(F.lit(low)).cast("int")
+        new = F.when(s.bitwiseAND(F.get(near, at)) == 0, F.get(bit, at)).otherwise(F.lit(0).cast("long"))
+        return F.when(taken(s) > k, s).otherwise(s + F.lit(1 << SLOTS) + new)
+
+    def cut(xs: Column) -> Column:
+        state = F.aggregate(F.slice(xs, 1, 64), F.lit(0).cast("long"), step)
+        first = lambda s: F.when(taken(s) > k, F.slice(xs, 1, F.shiftright(s, SLOTS).cast("int"))).otherwise(xs)
+        return _once(state, lambda s: F.struct(F.array_distinct(F.transform(first(s), lambda x: x.bitwiseAND(F.lit(~low)))).alias("pairs"),
+                                               (F.size(xs) <= 3 * k).alias("poor")))
+
+    return _once(pairs, cut)
+
+
+def signature(line: Column) -> Column:
+    """Parity of the number of words in each of 64 classes: one edit takes and gives three words at most."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
+
+
+def keys(line: Column, n: Column, bands: list[tuple[int, int]]) -> Column:
+    """(both, own, probe), all longs: what a line of n characters is found by (both, own), and looks
+    up to find lines that are as long or shorter (both, probe)."""
+    none = F.array().cast("array<bigint>")
+    class_of = lambda m: F.floor(m / LENGTHS)
+    k_of, below = _edits(n, bands), n - _edits(n, bands)
+    own, probe = [], []
+    for k in sorted({k for _, k in bands}):
+        for shift in range(k + 1):
+            t, looked = n - shift, []
+            for i in range(k + 1):
+                start, size = _segment(t, i, k)
+                for at in range(max(-i, shift - (k - i)), min(i, shift + (k - i)) + 1):
+                    looked.append(_key(line, t, i, start + at if at else start, size))
+            probe.append(F.when(_edits(t, bands) == k, F.array(*looked)).otherwise(none))
+        own.append(F.when(k_of == k, F.array(*[_key(line, n, i, *_segment(n, i, k)) for i in range(k + 1)])).otherwise(none))
+
+    def of(x: Column) -> Column:
+        named = lambda m: F.transform(x["pairs"], lambda v: F.xxhash64(class_of(m), v))
+        other = F.when(class_of(below) != class_of(n), named(below)).otherwise(none)
+        return F.struct(named(n).alias("both"), F.when(x["poor"], F.concat(*own)).otherwise(none).alias("own"),
+                        F.when(x["poor"], F.concat(other, *probe)).otherwise(other).alias("probe"))
+
+    return _once(_word_pairs(line, k_of), of)
 
 
 def _common_start(x: Column, y: Column) -> Column:
@@ -83,55 +129,6 @@ def _common_start(x: Column, y: Column) -> Column:
     return F.aggregate(F.filter(bits, lambda b: b <= least), F.lit(0), lambda at, b: F.when(at + b <= least, longer(at, b)).otherwise(at))
 
 
-def within(x: Column, y: Column, k: int) -> Column:
-    """Whether the edit distance of x and y is at most k; both are longer than k characters and
-    differ by at most k in length.
-
-    What both begin with is left out, but for k + 1 characters. One bit for each of the 2k + 1
-    cells of x around the diagonal holds the vertical differences of the table; a character of
-    y advances them all with a few word operations. The last cell is followed down the diagonal
-    to the end of x, then along it; from over 3k it can't come back to k, and is left alone.
-    """
-    w, ones = 2 * k + 1, (1 << (2 * k + 1)) - 1
-    not_ = lambda c: F.lit(ones).cast("long") - c.bitwiseAND(F.lit(ones))
-    # a state is copied at every step: it has three numbers, and the characters stay outside
-    state = F.struct(F.lit(((1 << (k + 1)) - 1) << k).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"),
-                     F.lit(k).alias("d"))
-
-    def step(v: Column, s: Column, j: Column) -> Column:
-        own = F.get(v["b"], j)
-        match = F.lit(0).cast("long")
-        for i in range(w):
-            # the index of get may not be negative
-            same = (j - k + i >= 0) & F.coalesce(F.get(v["a"], F.greatest(j - k + i, F.lit(0))) == own, F.lit(False))
-            match = match + F.when(same, 1 << i).otherwise(0)
-        return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), match.alias("x"), j.alias("j"))
-
-    def advance(s: Column) -> Column:
-        vp, vn, x_ = s["vp"], s["vn"], s["x"]
-        d0 = ((x_.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x_).bitwiseOR(vn).bitwiseAND(F.lit(ones))
-        return F.struct(s["j"].alias("j"), vp.alias("vp"), d0.alias("d0"), vn.bitwiseOR(not_(d0.bitwiseOR(vp))).alias("hp"),
-                        d0.bitwiseAND(vp).alias("hn"), s["d"].alias("d"))
-
-    def settle(v: Column, s: Column) -> Column:
-        down = s["j"] < v["m"] - k
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), v["m"] - 1 - s["j"] + k).cast("int"))
-        has = lambda c: F.when(c.bitwiseAND(bit) != 0, 1).otherwise(0)
-        d = s["d"] + F.when(down, F.when(s["d0"].bitwiseAND(F.lit(1 << (w - 1))) != 0, 0).otherwise(1)).otherwise(has(s["hp"]) - has(s["hn"]))
-        half = F.shiftright(s["d0"], 1)
-        return F.struct(s["hn"].bitwiseOR(not_(half.bitwiseOR(s["hp"]))).alias("vp"), half.bitwiseAND(s["hp"]).alias("vn"), d.alias("d"))
-
-    # a lambda's argument is bound once, so a one-element transform names intermediate values
-    def once(value: Column, fn) -> Column:
-        return F.element_at(F.transform(F.array(value), fn), 1)
-
-    def move(v: Column, s: Column, j: Column) -> Column:
-        return F.when(s["d"] > 3 * k, s).otherwise(once(once(step(v, s, j), advance), lambda t: settle(v, t)))
-
-    chars = F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b"), F.char_length(x).alias("m"))
-    return once(chars, lambda v: F.aggregate(F.sequence(F.lit(0), F.size(v["b"]) - 1), state, lambda s, j: move(v, s, j))["d"]) <= k
-
-
 def _place(doc_id: Column, pos: Column) -> Column:
     """Order of a line in the corpus as one number; lines of a null doc_id come first."""
     return (F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(NO_DOC).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)")
@@ -144,56 +141,58 @@ def _unplace(place: Column) -> list[Column]:
     return [F.when(doc != F.lit(NO_DOC).cast("decimal(20,0)"), doc.cast("long")).alias("d"), pos.cast("int").alias("pos")]
 
 
-def links(lines: DataFrame, texts, k: int) -> DataFrame:
-    """(a, b): ids of distinct lines within k edits; ``lines``: id and keys;
-    ``texts``: from a table of ids to (id, line)."""
-    named = lambda start: [c for c in lines.columns if c.startswith(start)]
-    sign = lambda c, s: F.col(f"{c}{s}") if k == 1 else F.lit(0).cast("long")
-    own = lines.select(F.explode(F.array(*named("own_"))).alias("key"), F.col("id").alias("a"),
-                       sign("f", 0).alias("fa"), sign("b", 0).alias("ba"))
-    probes = lines.select(F.explode(F.array(*[
-        F.struct(F.array(*named(f"probe_{s}_")).alias("keys"), sign("f", min(s, 1)).alias("f"), sign("b", min(s, 1)).alias("b"))
-        for s in range(k + 1)])).alias("p"), F.col("id").alias("b")).select(
-        F.explode("p.keys").alias("key"), "b", F.col("p.f").alias("fb"), F.col("p.b").alias("bb"))
-    meet = (own["key"] == probes["key"]) & (F.col("a") != F.col("b"))
-    if k == 1:                                # all blocks before and all behind the edit are equal
-        meet = meet & (_equal_blocks(F.col("fa"), F.col("fb")) + _equal_blocks(F.col("ba"), F.col("bb")) >= BLOCKS - 2)
-    found = staged(own.join(probes, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+def links(lines: DataFrame, texts, bands: list[tuple[int, int]]) -> DataFrame:
+    """(a, b): ids of distinct lines within the edits that their lengths allow; ``lines``: id, n,
+    sig and keys; ``texts``: from a table of ids to (id, line)."""
+    role = lambda c, r: F.transform(c, lambda x: F.struct(x.alias("key"), F.lit(r).alias("role")))
+    rows = lines.select(F.explode(F.concat(role("both", FOUND | LOOKED_UP), role("own", FOUND), role("probe", LOOKED_UP))).alias("x"),
+                        "id", "n", "sig")
+
+    # both sides are dealt out alike, so that it is done once
+    def side(c: str) -> DataFrame:
+        return rows.select(F.col("x.key").alias(f"key{c}"), F.col("id").alias(c), F.col("n").alias(f"n{c}"),
+                           F.col("sig").alias(f"s{c}"), F.col("x.role").alias(f"r{c}"))
+
+    k = _edits(F.col("na"), bands)
+    roles = (F.col("ra") + 4 * F.col("rb")).isin([a + 4 * b for a in (1, 3) for b in (2, 3)])
+    meet = ((F.col("keya") == F.col("keyb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & roles
+            & (F.col("nb") - F.col("na") <= k) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 3 * k))
+    found = staged(side("a").join(side("b"), meet).select("a", "b", k.alias("k")).distinct(), "line-pairs")
     line = staged(texts(found.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "line-texts")
-    tail = lambda c: F.col(c).substr(F.greatest(F.lit(1), F.col("same") - k), F.char_length(c))
     both = (found.join(line.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
             .join(line.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b"))
-    near = F.abs(F.char_length("la") - F.char_length("lb")) <= k
-    # cut first, so that each line's rest is made once, and not for every character
-    cut = both.where(near).withColumn("same", _common_start(F.col("la"), F.col("lb"))).select("a", "b", tail("la").alias("la"), tail("lb").alias("lb"))
-    return cut.where(within(F.col("la"), F.col("lb"), k)).select("a", "b")
+    tail = lambda c: F.col(c).substr(F.col("same") + 1, F.char_length(c))
+    # what both begin with is left out
+    cut = both.withColumn("same", _common_start(F.col("la"), F.col("lb"))).select("a", "b", "k", tail("la").alias("la"), tail("lb").alias("lb"))
+    return cut.where(F.call_function("levenshtein", F.col("la"), F.col("lb"), F.col("k")) >= 0).select("a", "b")
 
 
-def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_edits: int = MAX_EDITS,
+def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_edits: int | tuple = MAX_EDITS,
            near_chars: int = NEAR_CHARS, counts: str | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, over all documents.
 
     Of equal lines only the first stays, in the order of doc_id and line number; a line of
     ``near_chars`` or more that is within ``max_edits`` characters of an earlier one goes
-    too. Blank lines stay. A text that loses all lines stays as an empty one; a null text
+    too (a number, or the number by the shorter one's length, see MAX_EDITS). Blank lines stay. A text that loses all lines stays as an empty one; a null text
     stays null. Rows with one doc_id (null counts as one) are one document: they lose
     the same lines. Other columns pass through; an empty table stays empty.
     ``counts``: add a struct column of this name with the numbers of lines, of exact and
     of near copies removed, and of links of the first lines found here.
     """
-    if near_chars < max(GRID, max_edits + 1):
-        raise ValueError(f"near_chars must be at least {GRID} and more than max_edits")
+    bands = _bands(max_edits, near_chars)
+    if any(not 0 <= k < min(least, 16) for least, k in bands) or [k for _, k in bands] != sorted(k for _, k in bands):
+        raise ValueError("max_edits must be less than the lengths and than 16, and not fall with the length")
     cols = docs.columns
     lines_of = F.split(F.coalesce(docs[text].cast("string"), F.lit("")), "\n")
     body = docs.select(docs[doc_id].cast("long").alias("d"), lines_of.alias("ls"))
     occ = body.select("d", F.posexplode("ls").alias("pos", "line")).where(F.trim("line") != "").select(
         "d", "pos", "line", F.char_length("line").alias("n"))
-    key = keys(F.col("line"), F.col("n"), max_edits)
+    near_line = F.col("n") >= bands[0][0]
     occ = occ.select(_place(F.col("d"), F.col("pos")).alias("place"), "n", F.xxhash64("line").alias("id"),
-                     F.xxhash64(F.lit(7), "line").alias("id2"), *[c.alias(x) for x, c in key.items()])
-    # fixed-width values only, so that the aggregation hashes and does not sort
+                     F.xxhash64(F.lit(7), "line").alias("id2"), F.when(near_line, signature(F.col("line"))).alias("sig"),
+                     F.when(near_line, keys(F.col("line"), F.col("n"), bands)).alias("key"))
     distinct = staged(occ.groupBy("id", "id2").agg(F.min("place").alias("first"), F.any_value("n").alias("n"),
-                                                   *[F.any_value(x).alias(x) for x in key]), "lines")
+                                                   F.any_value("sig").alias("sig"), F.any_value("key").alias("key")), "lines")
     place = distinct.select("id", "id2", "first", *_unplace(F.col("first")))
 
     def texts(ids: DataFrame) -> DataFrame:
@@ -205,8 +204,8 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_edit
                                                           F.get("ls", a["pos"]).alias("line")))).alias("x")).select("x.*")
         return found.where((F.xxhash64("line") == F.col("id")) & (F.xxhash64(F.lit(7), "line") == F.col("id2"))).select("id", "line").distinct()
 
-    long_lines = distinct.where(F.col("n") >= near_chars).select("id", *key)
-    pairs = staged(links(long_lines, texts, max_edits), "line-links")
+    long_lines = distinct.where(near_line).select("id", "n", "sig", "key.both", "key.own", "key.probe")
+    pairs = staged(links(long_lines, texts, bands), "line-links")
     ordered = (pairs.join(distinct.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a")
                .join(distinct.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b"))
     later = ordered.select(F.explode(F.array(

@@ -295,6 +295,43 @@ def test_lines_match_brute_force(spark, k):
     assert line_dedup.dedupe(empty(docs)).count() == 0
 
 
+def test_near_lines_by_length_match_brute_force(spark):
+    gen = np.random.default_rng(8)
+    bands = line_dedup.MAX_EDITS
+    lines = []
+    for i in range(60):
+        w = prose(int(gen.integers(4, 60)), 900 + i).split()
+        if i % 5 == 0:
+            w = ["".join(w)]                                         # no words: segments only
+        lines.append(" ".join(w))
+        for _ in range(3):
+            v, at = list(w), int(gen.integers(0, len(w)))
+            change = gen.integers(0, 4)
+            if change == 0:
+                v[at:at] = [v[at]]
+            elif change == 1:
+                v[at] = str(gen.choice(VOCABULARY))
+            elif change == 2 and len(v) > 1:
+                del v[at]
+            c = list(" ".join(v))
+            for _ in range(gen.integers(0, 9) if change == 3 or i % 5 == 0 else gen.integers(0, 2)):
+                at = int(gen.integers(0, len(c)))
+                c[at:at + int(gen.integers(0, 2))] = list(gen.choice(list("z é"), int(gen.integers(0, 2))))
+            lines.append("".join(c))
+    lines += ["the cat sat on the mat and then the dog came in and sat too", "the cat sat on on the mat and then the dog came in and sat too"]
+    lines = list(dict.fromkeys(x for x in lines if x.strip()))
+
+    def near(x, y):
+        k = max([e for least, e in bands if min(len(x), len(y)) >= least], default=-1)
+        return abs(len(x) - len(y)) <= k and distance(x, y) <= k
+
+    want = [x for i, x in enumerate(lines) if not any(near(x, y) for y in lines[:i])]
+    assert len(want) < len(lines) - 60 and lines[-1] not in want
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = [r["text"] for r in line_dedup.dedupe(rows).orderBy("doc_id").collect()]
+    assert got == [x if x in want else "" for x in lines]
+
+
 def test_lines_of_null_and_repeated_ids(spark):
     rows = [(None, "the same old line of text here"), (1, "the same old line of text here\nnew words that stay in the text"), (1, "the same old line of text here\nnew words that stay in the text")]
     got = line_dedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()
