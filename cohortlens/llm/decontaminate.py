@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -12,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import append_columns, importable, row_blocks, shingles, text_array, words
+from cohortlens.llm.common import SHINGLE_WORDS, append_columns, importable, row_blocks, shingles, text_array, words
 
 PASSAGE_WORDS, STRIDE = 128, 64
 BLOCK_ITEMS = 16
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6                               # of the score that an item has against itself
-OVERLAP = 0.8                                 # of the five-word shingles of question and answer
+OVERLAP = 0.8                                 # of the shingles of question and answer
+WORD = re.compile("[0-9A-Za-z_\x80-\U0010ffff]+")  # as in common.words
 SHARD_BYTES = 16 << 20                        # of item text in one index
 
 HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()),
@@ -43,6 +45,7 @@ class Index(NamedTuple):
     shingle: np.ndarray                       # ascending (hash) with the item and part it is of
     shingle_part: np.ndarray                  # item * 2 + part (0 question, 1 answer)
     part_size: np.ndarray
+    grams: tuple[int, ...]                    # lengths of the shingles, in words
 
 
 def build(item_id: np.ndarray, texts: pa.Array, df: dict[int, int], n_items: int, mean_words: float) -> Index:
@@ -72,11 +75,16 @@ def build(item_id: np.ndarray, texts: pa.Array, df: dict[int, int], n_items: int
     seen = np.zeros(1 << 16, bool)
     seen[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
     parts = [p for t in texts.to_pylist() for p in halves(t)]
-    s, part = shingles(*words(pa.array(parts, pa.string())))
+    h, part = words(pa.array(parts, pa.string()))
+    # five words each; a part of fewer words is one shingle of its own length
+    length = np.minimum(np.bincount(part, minlength=2 * len(texts)), SHINGLE_WORDS)
+    grams = tuple(int(n) for n in np.unique(length[length > 0]))
+    found = [shingles(h[own], part[own], n) for n in grams for own in [length[part] == n]]
+    s, part = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (h, part)
     own = np.unique(np.stack([s, part.astype(np.uint64)]), axis=1) if len(s) else np.zeros((2, 0), np.uint64)
     return Index(item_id, item_of, terms, seen, top_of(impact, start[:-1]), start, item, impact,
                  np.searchsorted(number[first], bounds), item[first] // BLOCK_ITEMS, top_of(impact, first),
-                 own[0], own[1].astype(np.int64), np.bincount(own[1].astype(np.int64), minlength=2 * len(texts)))
+                 own[0], own[1].astype(np.int64), np.bincount(own[1].astype(np.int64), minlength=2 * len(texts)), grams)
 
 
 def halves(text: str) -> tuple[str, str]:
@@ -84,11 +92,13 @@ def halves(text: str) -> tuple[str, str]:
     follows the last sentence end that leaves words on both sides, if those are five
     or more; else the last third of the words."""
     cut = max(text.rfind(e, 0, len(text.rstrip()) - 1) for e in (".", "?", "!", "\n")) + 1
-    if cut and len(text[cut:].split()) >= 5 and len(text[:cut].split()) >= 5:
+    if cut and len(WORD.findall(text[cut:])) >= 5 and len(WORD.findall(text[:cut])) >= 5:
         return text[:cut], text[cut:]
-    own = text.split()
-    at = len(own) - len(own) // 3
-    return " ".join(own[:at]), " ".join(own[at:])
+    own = [m.start() for m in WORD.finditer(text)]
+    if len(own) < 3:
+        return text, ""
+    at = own[len(own) - len(own) // 3]
+    return text[:at], text[at:]
 
 
 def expand(start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +177,7 @@ def verify(x: Index, h: np.ndarray, row: np.ndarray, pairs: dict[tuple[int, int]
     out = []
     for r in sorted({r for r, _ in pairs}):
         a, b = np.searchsorted(row, [r, r + 1])
-        s = np.unique(shingles(h[a:b], row[a:b])[0])
+        s = np.unique(np.concatenate([shingles(h[a:b], row[a:b], n)[0] for n in x.grams]))
         lo, hi = np.searchsorted(x.shingle, s), np.searchsorted(x.shingle, s, side="right")
         hit = np.concatenate([np.arange(i, j) for i, j in zip(lo, hi, strict=True) if j > i] or [np.zeros(0, np.int64)])
         share = np.bincount(x.shingle_part[hit], minlength=len(x.part_size))

@@ -147,6 +147,31 @@ def test_decontamination_finds_what_overlaps(spark, docs):
     assert none.columns == docs.columns + ["hits"] and {len(r["hits"]) for r in none.collect()} == {0}
 
 
+def test_short_items_match_brute_force(spark):
+    gen = np.random.default_rng(11)
+    items = [(n * 10 + j, " ".join(gen.choice(VOCABULARY, n, replace=False))) for n in range(1, 15) for j in range(3)]
+    items += [(200, "What is the capital of France? Paris."), (201, "x = 7 - 3 = 4"), (202, "f(x)!")]
+    tokens = lambda t: re.findall(r"\w+", t.lower())
+    texts = [f"{prose(30, 500 + i)} {t.upper()}, {prose(20, 600 + i)}" for i, (_, t) in enumerate(items)]
+    texts += ["What is the capital of Spain? Madrid.", "x = 7 - 3", items[-1][1]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.matches(rows, spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], h["item_id"]) for r in got for h in r["hits"]}
+    grams = lambda w, n: {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+    def held(t, item):
+        parts = [tokens(p) for p in decontaminate.halves(item)]
+        own = [grams(p, min(5, len(p))) if p else set() for p in parts]
+        hit = [len(o & grams(tokens(t), min(5, len(p)))) if p else 0 for o, p in zip(own, parts, strict=True)]
+        n = sum(map(len, own))
+        return max(x / max(len(o), 1) for x, o in zip(hit, own, strict=True)) >= 0.8 and sum(hit) >= 0.8 * n
+
+    verbatim = {(d, i) for d, t in enumerate(texts) for i, x in items if f" {' '.join(tokens(x))} " in f" {' '.join(tokens(t))} "}
+    assert {(i, k) for i, (k, _) in enumerate(items)} <= verbatim <= found
+    assert found == {(d, i) for d, t in enumerate(texts) for i, x in items if held(t, x)}
+    assert len(texts) - 3 not in {d for d, i in found if i == 200} and len(texts) - 2 not in {d for d, i in found if i == 201}
+
+
 def test_index_shards_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(i, prose(30, 1000 + i)) for i in range(30)], "item_id long, text string")
     rows = spark.createDataFrame([(i, prose(20, i) + " " + prose(30, 1000 + i)) for i in range(12)], "doc_id long, text string")
