@@ -1,8 +1,39 @@
 """Public license notices, as templates of the license scan.
 
-Fixed values: wordings that license authors prescribe.
+Fixed values: the notices that license authors prescribe, whole bodies of the short licenses, and
+usual short forms ("-line", "-spdx"), which are wordings in common use and not prescribed. Bodies of
+several pages (Apache, GPL, LGPL, AGPL, MPL, Creative Commons) are not among them.
 """
 
+_NO_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_BSD_1 = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer. ")
+_BSD_2 = (
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+    "disclaimer in the documentation and/or other materials provided with the distribution. ")
+_BSD_3 = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission. ")
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: ")
+
+
+def _gnu(name: str, version: str, program: str = "This program") -> str:
+    return (f"{program} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as "
+            f"published by the Free Software Foundation, either version {version} of the License, or (at your option) any "
+            f"later version. {program} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+            f"even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.")
+
+
 NOTICES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "mit-line": "Released under the MIT License.",
@@ -24,4 +55,67 @@ NOTICES = {
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met"),
+    "mit-body": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the Software. THE "
+        'SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS "
+        "OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "bsd-2-clause": _BSD + _BSD_1 + _BSD_2 + _NO_WARRANTY,
+    "bsd-3-clause": _BSD + _BSD_1 + _BSD_2 + _BSD_3 + _NO_WARRANTY,
+    "bsd-3-clause-names": _BSD_3,
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+        'PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, "
+        "OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION "
+        "OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE."),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+        "for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    "gpl-2.0": _gnu("General Public License", "2").replace("software: you", "software; you"),
+    "gpl-3.0-notice": _gnu("General Public License", "3"),
+    "lgpl-2.1": _gnu("Lesser General Public License", "2.1", "This library").replace("software: you", "software; you"),
+    "lgpl-3.0": _gnu("Lesser General Public License", "3"),
+    "agpl-3.0": _gnu("Affero General Public License", "3"),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "cc0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "mit-line-licensed": "Licensed under the MIT License.",
+    "mit-line-terms": "under the terms of the MIT License.",
+    "bsd-line": "Licensed under the BSD License.",
+    "bsd-2-clause-line": "Licensed under the BSD 2-Clause License.",
+    "bsd-3-clause-line": "Licensed under the BSD 3-Clause License.",
+    "gpl-2.0-line": "Licensed under the GNU General Public License, version 2.",
+    "gpl-3.0-line-licensed": "Licensed under the GNU General Public License, version 3.",
+    "lgpl-line": "Licensed under the GNU Lesser General Public License.",
+    "agpl-line": "Licensed under the GNU Affero General Public License.",
+    "mpl-2.0-line": "Licensed under the Mozilla Public License, version 2.0.",
+    "isc-line": "Licensed under the ISC License.",
+    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "cc0-1.0-line": "Licensed under CC0 1.0 Universal.",
+    "apache-2.0-spdx": "SPDX-License-Identifier: Apache-2.0",
+    "gpl-2.0-spdx": "SPDX-License-Identifier: GPL-2.0",
+    "gpl-3.0-spdx": "SPDX-License-Identifier: GPL-3.0",
+    "mpl-2.0-spdx": "SPDX-License-Identifier: MPL-2.0",
+    "bsd-3-clause-spdx": "SPDX-License-Identifier: BSD-3-Clause",
 }

@@ -381,6 +381,17 @@ def test_licenses_match_brute_force(spark, docs):
     assert licenses.scan(docs, NOTICES).columns == docs.columns + ["licenses"] and licenses.scan(empty(docs), NOTICES).count() == 0
 
 
+def test_licenses_of_the_common_families(spark):
+    said = {"mit-line-licensed": "licensed under the MIT license", "cc-by-4.0-line": "Licensed under CC BY 4.0", "cc-by-sa-4.0-line": "licensed under CC-BY-SA 4.0",
+            "mpl-2.0": NOTICES["mpl-2.0"], "isc": NOTICES["isc"], "unlicense": NOTICES["unlicense"], "agpl-3.0": NOTICES["agpl-3.0"],
+            "lgpl-2.1": NOTICES["lgpl-2.1"], "gpl-2.0": NOTICES["gpl-2.0"], "cc0-1.0": NOTICES["cc0-1.0"], "bsd-3-clause": NOTICES["bsd-3-clause"],
+            "bsd-2-clause": NOTICES["bsd-2-clause"], "gpl-2.0-spdx": "// SPDX-License-Identifier: GPL-2.0"}
+    rows = spark.createDataFrame([(n, prose(20, 1) + " " + t + " " + prose(20, 2)) for n, t in said.items()], "doc_id string, text string")
+    got = {r["doc_id"]: {x["name"] for x in r["licenses"]} for r in licenses.scan(rows, NOTICES).collect()}
+    assert all(n in got[n] for n in said)
+    assert "bsd-3-clause-names" in got["bsd-3-clause"] and "bsd-3-clause-names" not in got["bsd-2-clause"]
+
+
 # 6 ------------------------------------------------------------------ revisits
 def test_revisits(spark):
     head = {"content-length": "9", "etag": "a"}
