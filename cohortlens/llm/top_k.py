@@ -72,12 +72,13 @@ def search(tree: dict, block: dict, k: int) -> Iterator[tuple[int, list]]:
     doubles while no sum can pass 2^53, else in whole numbers of any size."""
     dim = block["dim"]
     load = lambda name: np.frombuffer(tree[name], np.int64)
-    ids, v = load("ids"), load("vectors").reshape(-1, dim)
-    low, high = load("low").reshape(-1, dim), load("high").reshape(-1, dim)
-    head = load("child")
+    ids, head = load("ids"), load("child")
+    n_nodes = len(head) - 1 - head[0]                  # rows are counted: vectors may have no components
+    v, low, high = load("vectors").reshape(len(ids), dim), load("low").reshape(n_nodes, dim), load("high").reshape(n_nodes, dim)
     starts = np.concatenate([[0], np.cumsum(head[1:1 + head[0]])])
     child = head[1 + head[0]:]
-    q_ids, q = np.frombuffer(block["qids"], np.int64), np.frombuffer(block["qs"], np.int64).reshape(-1, dim)
+    q_ids, q = np.frombuffer(block["qids"], np.int64), np.frombuffer(block["qs"], np.int64)
+    q = q.reshape(len(q_ids), dim)
     known = np.frombuffer(block["kth"], np.float64) if block.get("kth") is not None else np.full(len(q_ids), -np.inf)
     largest = lambda a: float(np.abs(a.astype(float)).max(initial=0))
     kind = np.float64 if largest(v) * largest(q) * dim < 2 ** 52 else object
@@ -116,8 +117,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
           factor: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of ``vectors`` with the largest inner products
     with each row of ``queries`` (whole numbers, see ``scaled``), ties to the smaller vec_id; fewer if
-    there are fewer. A row never finds its own vec_id, and only vectors of its own length. A
-    repeated row counts once. An empty table on either side gives no rows.
+    there are fewer. A row never finds its own vec_id, and only vectors of its own length
+    (empty ones score 0 with each other). A repeated row counts once. An empty table on either side gives no rows.
 
     Rows are dealt by hash into shards of about SHARD_ROWS, queries into blocks of QUERY_ROWS.
     A block is first searched in one shard, and takes the k-th score found there along to all

@@ -444,6 +444,14 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert top_k.top_k(df.where("1 = 0"), df, 3).count() == 0 and top_k.top_k(df, df.where("1 = 0"), 3).count() == 0
 
 
+def test_top_k_of_empty_vectors(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "LEAF_ROWS", 4)
+    rows = [(20, []), (40, [])] + [(i, []) for i in range(1, 12)] + [(60, [1.0]), (61, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k.top_k(df, df.where("vec_id % 20 = 0"), 3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(q, i, 0) for q in (20, 40) for i in (1, 2, 3)] + [(60, 61, 64 * 128)]
+
+
 # all ---------------------------------------------------------------- queries
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
