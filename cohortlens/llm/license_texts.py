@@ -1,7 +1,7 @@
 """Public license notices, as templates of the license scan.
 
-Fixed values: the notices that license authors prescribe, whole bodies of the short licenses, and
-usual short forms ("-line", "-spdx"), which are wordings in common use and not prescribed. Bodies of
+Fixed values: the notices that license authors prescribe, whole bodies of MIT, BSD and ISC, the
+beginnings of Unlicense and zlib, and usual short forms ("-line", "-spdx"), which are wordings in common use and not prescribed. Bodies of
 several pages (Apache, GPL, LGPL, AGPL, MPL, Creative Commons) are not among them.
 """
 
