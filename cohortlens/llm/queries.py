@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, licenses, line_dedup, near_dedup, packing, secrets, token_files, top_k, toxicity, warc
+from cohortlens.llm import conversations, decontaminate, licenses, line_dedup, near_dedup, packing, secrets, token_files, top_k, toxicity, warc
 from cohortlens.llm.common import table
 from cohortlens.llm.license_texts import NOTICES
 from cohortlens.session import scratch_path
@@ -156,3 +156,77 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGIN
       FROM e q JOIN e c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0 AND len(q.v) = len(c.v)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return conversations.repair(conversations.faulty(table(spark, sf_dir, "conversations"))).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string: for each byte one exclusive or, then eight shifts."""
+    ops = f"flatten(list_transform(string_split({text}, ''), lambda x: [ord(x), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_transform({ops}, lambda x: x::BIGINT), lambda c, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+# least (cost c, audit a, text t) by state: s0 no row yet, ss system, su user, sa assistant
+def _edit(p: str, e: str, cost: str, line: str = "''") -> str:
+    return f"struct_pack(c := {p}.c + {cost}, a := {p}.a || '{e}', t := {p}.t || {line})"
+
+
+def _insert(p: str, role: str) -> str:
+    return _edit(p, "I", "2", f"chr(10) || '{role}:'")
+
+
+def _keep(p: str, initial: str) -> str:
+    return _edit(p, "K", f"CASE WHEN stays AND left(role, 1) = '{initial}' THEN late ELSE 1000000000 END", "chr(10) || role || ':' || text")
+
+
+def _change(p: str, role: str) -> str:
+    return _edit(p, "R", "CASE WHEN stays THEN 2 + late ELSE 1000000000 END", f"chr(10) || '{role}:' || text")
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+_DROP = {p: _edit(p, "D", "3") for p in ("s0", "ss", "su", "sa")}
+_STATE = "struct_pack(c := {}::BIGINT, a := '{}', t := '{}')"
+ORACLE["op12_conversation_repair"] = f"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")} % 20 AS code FROM conversations),
+there AS (
+  SELECT cid, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM coded WHERE code <> 0),
+placed AS (
+  SELECT *, row_number() OVER o AS i, rtrim(text, concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))) AS bare,
+         lag(left(role, 1)) OVER o || left(role, 1) AS met, row_number() OVER (PARTITION BY cid, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+  FROM there WINDOW o AS (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, copy)),
+r AS (
+  SELECT *, bare <> '' AND NOT again AS stays, (bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?'))::INT AS late FROM placed),
+st AS (
+  SELECT DISTINCT cid, 1::BIGINT AS i, {_STATE.format(0, '', '')} AS s0, {_STATE.format(1000000000, '', '')} AS ss,
+         struct_pack(c := 2::BIGINT, a := 'I', t := chr(10) || 'user:') AS su,
+         struct_pack(c := 4::BIGINT, a := 'II', t := chr(10) || 'user:' || chr(10) || 'assistant:') AS sa FROM coded
+  UNION ALL
+  SELECT cid, i + 1, s0, ss, su, {_least("sa", _insert("su", "assistant"))} AS sa FROM (
+    SELECT cid, i, s0, ss, sa, {_least("su", *[_insert(p, "user") for p in ("s0", "ss", "sa")])} AS su FROM (
+      SELECT st.cid, st.i, {_DROP["s0"]} AS s0, {_least(_DROP["ss"], _keep("s0", "s"))} AS ss,
+             {_least(_DROP["su"], *[f(p, x) for p in ("s0", "ss", "sa") for f, x in ((_keep, "u"), (_change, "user"))])} AS su,
+             {_least(_DROP["sa"], _keep("su", "a"), _change("su", "assistant"))} AS sa
+      FROM st JOIN r ON r.cid = st.cid AND r.i = st.i))),
+best AS (SELECT cid, max_by({_least("s0", "sa")}, i) AS x FROM st GROUP BY cid),
+counts AS (
+  SELECT cid, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (bare = '') AS blank,
+         count(*) FILTER (bare <> '' AND again) AS duplicate, sum(late) AS truncated, count(*) FILTER (met NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY cid)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, x.c::BIGINT AS cost, x.a AS audit,
+       sha256(substr(x.t, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, cid FROM coded) JOIN best USING (cid) LEFT JOIN counts USING (cid)"""
