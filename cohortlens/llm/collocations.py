@@ -36,17 +36,18 @@ _LOWER[65:91] += 32
 
 
 class Words:
-    """Words of texts in order: their bounds in ``data``, text number, piece number and hash."""
+    """Words of texts in order: their bounds in ``data``, text number, piece number and hash. ``gap`` says
+    which bytes part words, ``piece_end`` which part pieces; a line end must be among them."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, gap: np.ndarray = _GAP, piece_end: np.ndarray = _PIECE_END):
         raw, bounds = joined_bytes(texts, b"\n")
         self.data = _LOWER[raw]
-        inside = ~_GAP[self.data]
+        inside = ~gap[self.data]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         edge = np.concatenate([[0], edge]) if len(inside) and inside[0] else edge
         self.starts, self.ends = edge[0::2], edge[1::2]           # the last byte is a newline
         self.row = np.searchsorted(bounds, self.starts, side="right") - 1
-        self.piece = np.cumsum(_PIECE_END[self.data], dtype=np.int64)[self.starts] if len(self.starts) else self.starts
+        self.piece = np.cumsum(piece_end[self.data], dtype=np.int64)[self.starts] if len(self.starts) else self.starts
         self.hash = np.zeros(len(self.starts), np.uint64)
         at = 0
         while at < len(self.starts):
