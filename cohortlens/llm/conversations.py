@@ -382,6 +382,7 @@ def repair(rows: DataFrame, turns: bool = False, block_rows: int = BLOCK_ROWS) -
             return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in found], t) for c, t in zip(names, kinds, strict=True)], names=names)
 
         held, last, at_border = [], [], True
+        n_held = n_last = 0                                  # bytes
         # the first conversation may begin in an earlier range: its rows go on; so do the last one's, or one that fills the buffer
         for batch in batches:
             if kinds is None:
@@ -391,6 +392,7 @@ def repair(rows: DataFrame, turns: bool = False, block_rows: int = BLOCK_ROWS) -
                     {"turns": pa.list_(pa.struct([("edit", pa.string()), ("role", pa.string()), ("text", pa.string())]))} if turns else {})
                 kinds = [of[c] for c in names]
             ids = batch.column("conv_id").to_pylist()
+            row_bytes = batch.nbytes / max(batch.num_rows, 1)
             cuts = [0] + [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]] + [len(ids)]
             for a, b in zip(cuts, cuts[1:]):
                 part = batch.slice(a, b - a)
@@ -399,17 +401,19 @@ def repair(rows: DataFrame, turns: bool = False, block_rows: int = BLOCK_ROWS) -
                         at_border = False
                     else:
                         held.extend(last[1])
-                        if sum(x.nbytes for x in held) > BUFFER_BYTES or sum(x.num_rows for x in held) > 20_000:
+                        n_held += n_last
+                        if n_held > BUFFER_BYTES or len(held) > 5_000:
                             yield results(held)
-                            held = []
+                            held, n_held = [], 0
                     last = []
                 if not last:
-                    last = [ids[a], []]
+                    last, n_last = [ids[a], []], 0
                 if at_border:
                     yield raw(part)
                     continue
                 last[1].append(part)
-                if sum(x.nbytes for x in last[1]) > BUFFER_BYTES:
+                n_last += row_bytes * (b - a)
+                if n_last > BUFFER_BYTES:
                     for x in last[1]:
                         yield raw(x)
                     last[1], at_border = [], True
