@@ -22,8 +22,9 @@ from cohortlens.llm.common import _powers, give_back, importable, joined_bytes,
 THRESHOLD = 10                                # least number of occurrences
 MAX_WORDS = 3
 PART_BYTES = 16 << 20                         # text for each hash partition of the summaries
+SLACK = 4                                     # a capacity so many times mass / threshold: counts are at most threshold / SLACK too low
 MAP_BITS = 28                                 # of the bitmap of survivors: 32 MB
-TASK_PHRASES = 1 << 22                        # occurrences that a task holds before it hands counts on
+TASK_PHRASES = 1 << 21                        # occurrences that a task holds before it hands counts on
 LOW_BITS, COUNT_BITS = 36, 28                 # of a summary's entries; phrases that share the bits of their hash survive together
 MOST = (1 << COUNT_BITS - 1) - 1
 
@@ -182,7 +183,7 @@ def survivors(rows: DataFrame, threshold: int, max_words: int, parts: int) -> np
         summary, held = None, []
         for batch in batches:
             if summary is None:
-                summary = Summary(batch.column("total")[0].as_py() // threshold + 1)
+                summary = Summary(SLACK * batch.column("total")[0].as_py() // threshold + 1)
             for c in batch.column("counts"):
                 held.append(unpacked(c.as_py()))
                 if sum(map(len, held)) > max(summary.capacity, 1 << 18):
@@ -229,7 +230,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", thres
             texts = text_array(batch.column(0))
             names = batch.column(1).to_pylist()
             langs = lang_hashes(names)
-            for a, b in row_blocks(texts, 4 << 20):
+            for a, b in row_blocks(texts, 2 << 20):
                 words = Words(texts[a:b])
                 raw = words.data.tobytes()
                 per_lang: dict = {}
@@ -247,7 +248,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", thres
                     for k, c in enumerate(many.tolist()):
                         key = (names[a + row[k]], b" ".join([raw[x[k]:y[k]] for x, y in edges]), n)
                         known[key] = known.get(key, 0) + c
-                if len(known) > 1 << 18:
+                if len(known) > 1 << 17:
                     yield handed()
                     known.clear()
         if known:
