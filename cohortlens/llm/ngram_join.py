@@ -28,7 +28,7 @@ WORDS = 4
 DF_BITS = 20                                  # cells of the frequency sketch
 CLASS_FROM = (64, 4096)                       # documents from which on tokens are taken by two, by three, above the cells' noise
 SMALL = 64                                    # sets below this size are indexed by single tokens
-MEET_BITS = 26                                # cells of the sketch of keys that more than one set has
+MEET_BITS = 28                                # cells of the sketch of keys that more than one set has
 BITS = 16                                     # longs of a set's bitmap
 
 _SPACE = np.zeros(256, bool)
@@ -188,17 +188,20 @@ def indexed(docs: DataFrame, order: Broadcast, n_words: int, percent: int) -> Da
 
 
 def met_twice(sets: DataFrame) -> np.ndarray:
-    """Bitmap of cells of keys that two sets or more fall into, added up in blocks: 8 MB at any size."""
+    """Bitmap of cells of keys that two sets or more fall into, added up in blocks: 32 MB at any size."""
     size, n_blocks = 1 << MEET_BITS, 64
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, np.uint8)
+        once, twice = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
         for batch in batches:
             at, n = np.unique(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - MEET_BITS), return_counts=True)
             at = at.astype(np.int64)
-            seen[at] = np.minimum(seen[at] + np.minimum(n, 2), 2)
-        if seen.any():
-            once, twice = (np.packbits(seen >= k).reshape(n_blocks, -1) for k in (1, 2))
+            byte, bit = at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8)
+            again = (n > 1) | (once[byte] & bit > 0)
+            np.bitwise_or.at(twice, byte[again], bit[again])
+            np.bitwise_or.at(once, byte, bit)
+        if once.any():
+            once, twice = once.reshape(n_blocks, -1), twice.reshape(n_blocks, -1)
             yield pa.RecordBatch.from_pydict({"block": pa.array(range(n_blocks), pa.int32()), "once": pa.array([x.tobytes() for x in once], pa.binary()),
                                               "twice": pa.array([x.tobytes() for x in twice], pa.binary())})
         give_back()
