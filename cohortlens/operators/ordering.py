@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.session import ensure_checkpoint_dir, stored
 
 _LOW33 = (1 << 33) - 1
 _NULL_KEY = ("__null_key__",)   # stands for a NULL key inside the pandas pass
@@ -173,62 +173,40 @@ def ordered_changes(df: DataFrame, key: str, order_cols: list[str], value_cols:
     return ck.mapInPandas(run, T.StructType(out_fields)).drop("_pid", "_idx")
 
 
-def _rank_intervals(df: DataFrame, group: str, value: str, weight: str,
-                    num_partitions: int | None) -> DataFrame:
-    """Each row's rank interval [_ls, _le) inside its group under (group, value) order,
-    counting each row ``weight`` times. Range-partitioned and checkpointed; a
-    running sum per (balanced) partition plus per-partition offsets from the
-    driver (one number per partition); group starts via a size-checked broadcast."""
-    ck = sorted_checkpoint(df, [group, value], num_partitions)
-    sums = ck.groupBy("_pid").agg(F.sum(weight).alias("s")).collect()      # <= #partitions
-    offsets = _offsets_table(ck, [(r["_pid"], r["s"]) for r in sums])
-    run = F.sum(weight).over(Window.partitionBy("_pid").orderBy("_idx")
-                             .rowsBetween(Window.unboundedPreceding, 0))
-    cov = (ck.join(offsets, "_pid")
-             .withColumn("_end", F.col("_off") + run)
-             .withColumn("_start", F.col("_end") - F.col(weight))
-             .drop("_off"))
-    starts = cov.groupBy(group).agg(F.min("_start").alias("_g0"), F.sum(weight).alias("_n"))
-    return (join_group(cov, starts, group)
-               .withColumn("_ls", F.col("_start") - F.col("_g0"))
-               .withColumn("_le", F.col("_end") - F.col("_g0"))
-               .drop("_start", "_end", "_g0", "_pid", "_idx"))
-
-
-def weighted_quantiles(vc: DataFrame, group: str, probs: list[float],
-                       num_partitions: int | None = None) -> DataFrame:
-    """Exact quantiles (linear interpolation, type 7) from ``(group, v, w)`` value counts,
-    for any number of distinct values per group.
-
-    The two ranks each quantile needs are matched to the rows whose rank
-    interval covers them, through an array of target ranks per row exploded
-    after the interval pass: no group is ever gathered in one task or on the
-    driver. Output: ``group, p, q``.
+BINS = 4096                                   # parts that a range is cut into by a round of selection
+
+
+def selected_quantiles(rows: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
+    """Exact quantiles (linear interpolation, type 7) of a double column: ``group, p, q, n, min, max``.
+
+    ``rows`` are read once a round, so they should be stored. A quantile lies between the values of
+    two ranks. For each rank a range that holds its value is kept, with the number of values below
+    it. A round counts a range's values in BINS parts and goes on with the part that the rank
+    falls into, from its least to its largest value, until these are the same: two or three rounds for scores.
+    Only counts are shuffled, at most BINS for each range and task; the state is a few rows per group, in a
+    stored table. NULL and NaN values are left out.
     """
-    iv = _rank_intervals(vc.select(group, "v", "w"), group, "v", "w", num_partitions)
-    targets = []
-    for p in probs:
-        h = F.lit(float(p)) * (F.col("_n") - 1)
-        targets += [F.struct(F.lit(float(p)).alias("p"), F.floor(h).cast("long").alias("r"),
-                             F.lit(0).alias("side"), h.alias("h")),
-                    F.struct(F.lit(float(p)).alias("p"), F.ceil(h).cast("long").alias("r"),
-                             F.lit(1).alias("side"), h.alias("h"))]
-    hit = (iv.withColumn("_t", F.filter(F.array(*targets),
-                                        lambda t: (t["r"] >= F.col("_ls")) & (t["r"] < F.col("_le"))))
-             .select(group, "v", F.explode("_t").alias("t")))
-    pairs = hit.groupBy(group, F.col("t.p").alias("p"), F.col("t.h").alias("h")).agg(
-        F.max(F.when(F.col("t.side") == 0, F.col("v"))).alias("lo"),
-        F.max(F.when(F.col("t.side") == 1, F.col("v"))).alias("hi"))
-    frac = F.col("h") - F.floor("h")
-    return pairs.select(group, "p", (F.col("lo") + frac * (F.col("hi") - F.col("lo"))).alias("q"))
-
-
-def weighted_kth(df: DataFrame, group: str, value: str, weight: str, k: str,
-                 num_partitions: int | None = None) -> DataFrame:
-    """Per group, the smallest ``value`` whose cumulative ``weight`` (in value order)
-    reaches the group's ``k`` (1-based): the weighted k-th order statistic.
-    ``k`` is a column constant within each group. Output: ``group, kth``."""
-    iv = _rank_intervals(df.select(group, value, weight, k), group, value, weight, num_partitions)
-    rank = F.col(k) - 1
-    return (iv.filter((rank >= F.col("_ls")) & (rank < F.col("_le")))
-              .groupBy(group).agg(F.min(value).alias("kth")))
+    v = F.col(value)
+    rows = rows.where(v.isNotNull() & ~F.isnan(v)).select(F.col(group).alias("_g"), v.alias("_v"))
+    base = stored(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max")), "quantile-groups")
+    at = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(h).cast("long") for h in at for f in (F.floor, F.ceil)]))
+    state = base.select("_g", F.col("min").alias("lo"), F.col("max").alias("hi"), F.lit(0).cast("long").alias("below"), ranks.alias("ranks"))
+    while not state.where("lo < hi").isEmpty():
+        open_ranges = state.where("lo < hi").withColumnRenamed("_g", "_of")
+        inside = rows.join(open_ranges, rows["_g"].eqNullSafe(open_ranges["_of"]) & F.col("_v").between(F.col("lo"), F.col("hi")))
+        # halves, so that the width of any range is finite
+        share = (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        parts = inside.groupBy("_g", "lo", "hi", "below", "ranks", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(
+            F.count(F.lit(1)).alias("m"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+        upto = F.sum("m").over(Window.partitionBy("_g", "lo", "hi").orderBy("bin"))
+        hit = parts.withColumn("end", F.col("below") + upto).withColumn("start", F.col("end") - F.col("m")).withColumn(
+            "ranks", F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("end")))).where(F.size("ranks") > 0)
+        narrowed = hit.select("_g", F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("start").alias("below"), "ranks")
+        state = stored(narrowed.union(state.where("lo = hi")), "quantile-ranges")
+    found = state.select(F.col("_g").alias("_of"), "lo", F.explode("ranks").alias("r"))
+    wanted = base.select("*", F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), h.alias("h")) for p, h in zip(probs, at, strict=True)])).alias("t"))
+    pairs = wanted.join(found, wanted["_g"].eqNullSafe(found["_of"]) & ((F.col("r") == F.floor("t.h")) | (F.col("r") == F.ceil("t.h"))))
+    ends = pairs.groupBy("_g", "t", "n", "min", "max").agg(F.min("lo").alias("a"), F.max("lo").alias("b"))
+    return ends.select(F.col("_g").alias(group), F.col("t.p").alias("p"),
+                       (F.col("a") + (F.col("t.h") - F.floor("t.h")) * (F.col("b") - F.col("a"))).alias("q"), "n", "min", "max")

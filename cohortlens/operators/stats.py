@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import schema as S
 from cohortlens.functions.exact import exact_mean
-from cohortlens.operators.ordering import join_group, weighted_kth, weighted_quantiles
+from cohortlens.operators import local_fit
+from cohortlens.operators.ordering import join_group, selected_quantiles
+from cohortlens.session import stored
 
 
 def _n():
@@ -120,65 +122,72 @@ def value_counts(df: DataFrame, value: str, by: str) -> DataFrame:
 def box_summary(df: DataFrame, value: str = "score_variance", by: str = "risk_level") -> DataFrame:
     """Quartiles (linear interpolation, type 7), IQR and 1.5*IQR fences per group.
 
-    Rows are first reduced to value counts, whose range-partitioned ranks give the
-    quartiles (``ordering.weighted_quantiles``): no task holds a group. A NULL
-    group is one of the groups; a NULL value is left out.
+    The rows' groups and values are stored once; ranges around the quartiles' ranks are then
+    narrowed from counts (``ordering.selected_quantiles``): nothing is sorted, and no task holds a group. A NULL
+    group is one of the groups; a NULL or NaN value is left out.
     """
-    vc = value_counts(df, value, by)
-    base = vc.groupBy(by).agg(F.sum("w").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"))
-    wq = weighted_quantiles(vc, by, [0.25, 0.5, 0.75])
-    qs = wq.groupBy(by).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(name)
-                              for p, name in [(0.25, "q1"), (0.5, "median"), (0.75, "q3")]])
-    return (join_group(base, qs, by)
-                .withColumn("iqr", F.col("q3") - F.col("q1"))
-                .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
-                .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
+    return _box(stored(df.select(by, F.col(value).cast("double").alias("v")), "box-values"), by)
+
+
+def _box(rows: DataFrame, by: str) -> DataFrame:
+    wq = selected_quantiles(rows, by, "v", [0.25, 0.5, 0.75])
+    quartile = lambda p: F.max(F.when(F.col("p") == p, F.col("q")))
+    return (wq.groupBy(by).agg(F.max("n").alias("n"), F.max("min").alias("min"), F.max("max").alias("max"),
+                               quartile(0.25).alias("q1"), quartile(0.5).alias("median"), quartile(0.75).alias("q3"))
+              .withColumn("iqr", F.col("q3") - F.col("q1"))
+              .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
+              .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
 
 
 def box_outliers(df: DataFrame, value: str = "score_variance", by: str = "risk_level",
                  key: str = "student_id") -> DataFrame:
     """Rows outside the fences of their group.
 
-    The fence table has one row per group; the planner broadcasts it when it is
+    Fences and rows come from the same stored (key, group, value) rows, so the input is read once. The
+    fence table has one row per group; the planner broadcasts it when it is
     small, and the big side is then only filtered, not shuffled.
     """
-    fences = box_summary(df, value, by).select(by, "lower_fence", "upper_fence")
-    j = join_group(df.select(key, by, value), fences, by)
-    return (j.filter((F.col(value) < F.col("lower_fence")) | (F.col(value) > F.col("upper_fence")))
-             .select(key, by, value))
-
-
-def _grid(lo, hi, points: int):
-    """Array column of ``points`` evenly spaced values from lo to hi."""
-    step = (hi - lo) / F.lit(points - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: lo + step * i)
+    rows = stored(df.select(key, by, F.col(value).alias("value"), F.col(value).cast("double").alias("v")), "box-rows")
+    j = join_group(rows, _box(rows, by).select(by, "lower_fence", "upper_fence"), by)
+    return (j.filter((F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence")))
+             .select(key, by, F.col("value").alias(value)))
 
 
 def density(df: DataFrame, value: str = "performance_drop", by: str = "risk_level",
             points: int = 101, digits: int = 6) -> DataFrame:
     """Gaussian kernel density per group on an evenly spaced grid from min to max.
 
-    Bandwidth: Scott's rule, ``stddev_samp * n^(-1/5)``. The data is reduced to
-    (group, value, count) first; each distinct value then contributes to every
-    grid point through an array of ``points`` entries that is exploded and
-    re-aggregated with a partial aggregate, so no group is gathered in one task.
+    Bandwidth h: Scott's rule, ``stddev_samp * n^(-1/5)``. The data is reduced to stored (group, value, count)
+    rows, from which the group statistics come, too. A value only reaches the grid points within
+    R h of it, where R^2 = 2 ln(1 / (e h sqrt(2 pi))) and e = 10^-(digits + 6): what all values beyond that add
+    to a density is less than e, a millionth of the last digit. So the rows that are added up per
+    (group, grid point), with a partial aggregate, are as many as the kernel's support has grid
+    points, which shrinks with n. A constant group has bandwidth 0 and NULL densities.
     """
-    stats = (df.filter(F.col(value).isNotNull()).groupBy(by)
-               .agg(_n().alias("n"), F.stddev_samp(value).alias("sd"),
-                    F.min(value).alias("lo"), F.max(value).alias("hi"))
-               .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))))
-    vc = value_counts(df, value, by)
-    j = join_group(vc, stats, by)
-    g = j.select(by, "v", "w", "n", "h",
-                 F.posexplode(_grid(F.col("lo"), F.col("hi"), points)).alias("gi", "g"))
-    # a constant group has bandwidth 0: its density is NULL instead of an ANSI error
-    contrib = F.col("w") * F.exp(-0.5 * F.pow(F.try_divide(F.col("g") - F.col("v"), F.col("h")), 2))
-    norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
-    out = (g.groupBy(by, "gi", "g", "n", "h")
-            .agg(F.sum(contrib).alias("s"))
-            .select(by, F.col("gi").cast("int").alias("grid_index"), F.round("g", digits).alias("x"),
-                    F.round(F.try_divide(F.col("s"), norm), digits).alias("density")))
-    return out
+    vc = stored(value_counts(df, value, by).withColumn("v", F.col("v").cast("double")), "value-counts")
+    w, v = F.col("w"), F.col("v")
+    means = vc.groupBy(by).agg(F.sum(w).alias("n"), (F.sum(w * v) / F.sum(w)).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    squares = join_group(vc, means.select(by, "mean"), by).groupBy(by).agg(F.sum(w * F.pow(v - F.col("mean"), 2)).alias("ss"))
+    sd = F.sqrt(F.try_divide(F.col("ss"), F.col("n") - 1))
+    root = math.sqrt(2 * math.pi)
+    stats = join_group(means, squares, by).select(
+        by, "n", "lo", "hi", (sd * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
+        ((F.col("hi") - F.col("lo")) / F.lit(points - 1)).alias("step"))
+    # few rows, but made from two passes: stored, so that the two uses below don't repeat these
+    stats = stored(stats, "density-groups")
+    h, lo, step = F.col("h"), F.col("lo"), F.col("step")
+    reach = h * F.sqrt(F.greatest(F.lit(0.0), -2 * F.log(F.lit(10.0 ** -(digits + 6) * root) * h)))
+    first = F.greatest(F.lit(0.0), F.ceil((v - reach - lo) / step)).cast("int")
+    last = F.least(F.lit(float(points - 1)), F.floor((v + reach - lo) / step)).cast("int")
+    near = (join_group(vc, stats.where("h > 0"), by).withColumns({"first": first, "last": last}).where("first <= last")
+            .select(by, "v", "w", "h", "lo", "step", F.explode(F.sequence("first", "last")).alias("gi")))
+    u = (lo + step * F.col("gi") - v) / h
+    sums = near.groupBy(by, "gi").agg(F.sum(w * F.exp(-0.5 * u * u)).alias("s"))
+    sums = sums.select(F.col(by).alias("_by"), F.col("gi").alias("_gi"), "s")
+    grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("gi"))
+    out = grid.join(sums, grid[by].eqNullSafe(sums["_by"]) & (F.col("gi") == F.col("_gi")), "left")
+    return out.select(by, F.col("gi").alias("grid_index"), F.round(lo + step * F.col("gi"), digits).alias("x"),
+                      F.when(h > 0, F.round(F.coalesce("s", F.lit(0.0)) / (F.col("n") * h * root), digits)).alias("density"))
 
 
 def trend(df: DataFrame, x: str = "attendance", y: str = "average_score", by: str = "risk_level",
@@ -188,39 +197,15 @@ def trend(df: DataFrame, x: str = "attendance", y: str = "average_score", by: st
     At each grid point g the window is the ceil(frac*n) nearest x values
     (tricube weights on distance / k-th distance); the weighted least-squares
     line is evaluated at g, or the weighted mean when x has no spread there.
-    No robustness iterations. Rows are first reduced to distinct (group, x)
-    with count and sum of y, which is all the weighted sums need. The k-th
-    distance comes from ``ordering.weighted_kth`` (range-partitioned ranks),
-    which gathers nothing per (group, grid point). A NULL group is one of the groups.
+    No robustness iterations. Rows are first reduced to stored distinct (group, x)
+    with count and sum of y; the k-th distances and the weighted sums come from a few scans of
+    these (``local_fit``), so what is shuffled is in proportion to the distinct x. A NULL
+    group is one of the groups.
     """
     base = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    px = base.groupBy(by, F.col(x).alias("xv")).agg(_n().alias("c"), F.sum(y).alias("sy"))
-    stats = (px.groupBy(by).agg(F.sum("c").alias("n"), F.min("xv").alias("lo"), F.max("xv").alias("hi"))
-               .withColumn("k", F.ceil(F.col("n") * frac)))
-    j = join_group(px, stats, by)
-    g = j.select(by, "xv", "c", "sy", "k",
-                 F.posexplode(_grid(F.col("lo"), F.col("hi"), points)).alias("gi", "g"))
-    g = g.withColumn("d", F.abs(F.col("xv") - F.col("g"))).withColumn("_grp", F.struct(by, "gi"))
-    h = weighted_kth(g, "_grp", "d", "c", "k").withColumnRenamed("kth", "h")
-    g = join_group(g, h, "_grp").drop("_grp")
-    u = F.try_divide(F.col("d"), F.col("h"))
-    wt = F.when(u < 1, F.pow(1 - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
-    g = g.withColumn("wt", F.when(F.col("h") > 0, wt).otherwise(
-        F.when(F.col("d") == 0, F.lit(1.0)).otherwise(F.lit(0.0))))
-    agg = g.groupBy(by, "gi", "g").agg(
-        F.sum(F.col("wt") * F.col("c")).alias("sw"),
-        F.sum(F.col("wt") * F.col("c") * F.col("xv")).alias("swx"),
-        F.sum(F.col("wt") * F.col("sy")).alias("swy"),
-        F.sum(F.col("wt") * F.col("c") * F.col("xv") * F.col("xv")).alias("swxx"),
-        F.sum(F.col("wt") * F.col("sy") * F.col("xv")).alias("swxy"))
-    mx = F.try_divide(F.col("swx"), F.col("sw"))
-    my = F.try_divide(F.col("swy"), F.col("sw"))
-    sxx = F.col("swxx") - F.col("sw") * mx * mx
-    sxy = F.col("swxy") - F.col("sw") * mx * my
-    slope = F.try_divide(sxy, sxx)
-    fit = F.when(F.abs(sxx) > 1e-12, my + slope * (F.col("g") - mx)).otherwise(my)
-    return agg.select(by, F.col("gi").cast("int").alias("grid_index"), F.round("g", 6).alias("x"),
-                      F.round(fit, digits).alias("y"))
+    px = stored(base.groupBy(by, F.col(x).cast("double").alias("x")).agg(_n().alias("c"), F.sum(F.col(y).cast("double")).alias("sy")), "trend-values")
+    fitted = local_fit.lines(px, by, points, frac)
+    return fitted.select(by, "grid_index", F.round("x", 6).alias("x"), F.round("y", digits).alias("y"))
 
 
 def profile(df: DataFrame, cols=None, key: str = "student_id") -> DataFrame:

@@ -136,3 +136,44 @@ def test_density_and_trend_survive_degenerate_groups(spark):
 def test_mean_keeps_all_decimals(spark):
     df = spark.createDataFrame([("a", 33.3333, 33.3333), ("a", 33.3338, 33.3338)], "risk_level string, attendance double, average_score double")
     assert stats.score_means_by_risk(df, ["attendance"]).first()["mean_attendance"] == 33.33355
+
+
+@pytest.mark.parametrize("bins", [4, 4096])
+def test_trend_and_box_over_many_distinct_values(spark, monkeypatch, bins):
+    """Full-precision values in a narrow and a wide range: the first counts don't settle ranks and distances."""
+    from cohortlens.operators import local_fit, ordering
+    monkeypatch.setattr(local_fit, "BINS", bins)
+    monkeypatch.setattr(ordering, "BINS", bins)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(50, 1e-7, 400), rng.uniform(0, 100, 300), np.full(100, 61.25)])
+    pdf = pd.DataFrame({"student_id": [str(i) for i in range(800)], "risk_level": np.where(rng.random(800) < 0.4, "a", "hot"), "attendance": x,
+                        "average_score": 3 + 0.2 * x + rng.normal(0, 1, 800), "score_variance": x * 1e200})
+    df = spark.createDataFrame(pdf)
+    for grp, g in stats.trend(df, points=11, frac=0.25).toPandas().groupby("risk_level"):
+        sub, g = pdf[pdf.risk_level == grp], g.sort_values("grid_index")
+        lo, hi = sub.attendance.min(), sub.attendance.max()
+        want = _lowess_brute(sub.attendance.to_numpy(), sub.average_score.to_numpy(), lo + (hi - lo) / 10 * np.arange(11), 0.25)
+        assert np.allclose(g["y"].to_numpy(), want, rtol=0, atol=6e-5)
+    for r in stats.box_summary(df).collect():
+        want = np.quantile(pdf[pdf.risk_level == r["risk_level"]].score_variance, [0.25, 0.5, 0.75])
+        assert np.allclose([r["q1"], r["median"], r["q3"]], want, rtol=1e-15, atol=0)
+
+
+def test_density_matches_the_whole_kernel(spark):
+    pdf = _fixture()
+    for grp, g in stats.density(spark.createDataFrame(pdf), points=41).toPandas().groupby("risk_level"):
+        v = pdf[pdf.risk_level == grp].performance_drop.to_numpy()
+        h, grid = v.std(ddof=1) * len(v) ** -0.2, np.linspace(v.min(), v.max(), 41)
+        want = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * math.sqrt(2 * math.pi))
+        assert np.allclose(g.sort_values("grid_index")["density"].to_numpy(), want, rtol=0, atol=5.1e-7)
+
+
+def test_statistics_read_their_input_once(spark):
+    """What the statistics derive from is scanned for the stored rows alone."""
+    pdf = _fixture(n=60)
+    calls = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(pdf).mapInPandas(lambda it: (calls.add(len(p)) or p for p in it), spark.createDataFrame(pdf).schema)
+    for run in (stats.box_summary, stats.box_outliers, stats.density, stats.trend):
+        before = calls.value
+        run(df).collect()
+        assert calls.value - before == 60, run.__name__
