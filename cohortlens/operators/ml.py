@@ -4,19 +4,22 @@ The random forest is Spark's (level-wise, distributed over the training
 partitions). Splits and folds are stratified and exact, and they depend only
 on (label, seeded hash of the id, id), so they are the same on any
 partitioning; the per-stratum ranks come from ``ordering.rank_in_group``
-instead of a window over the label (three labels would mean three tasks).
-Metrics are aggregates of the small (label, prediction) count table.
+instead of a window over the label (three labels would mean three tasks). A training run stores its
+assigned rows once; the model and every fold are fitted on these, with class
+weights from one table of counts. Metrics are aggregates of the small (label, prediction) count table.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from cohortlens import schema as S
 from cohortlens.functions import rules
 from cohortlens.operators.features import generator_features
 from cohortlens.operators.ordering import join_group, rank_in_group
+from cohortlens.session import stored
+from cohortlens.sources.snapshot import file_system
 
 
 @dataclass(frozen=True)
@@ -39,7 +44,7 @@ class ForestParams:
     balanced: bool = True
     test_fraction: float = 0.2
     folds: int = 5
-    parallelism: int = 5          # concurrent CV fits
+    parallelism: int = 1          # concurrent CV fits; one fit's jobs already fill the executors
 
 
 def training_frame(raw: DataFrame) -> DataFrame:
@@ -92,18 +97,64 @@ def _forest(p: ForestParams) -> RandomForestClassifier:
     return rf
 
 
-def make_pipeline(p: ForestParams) -> Pipeline:
-    indexer = StringIndexer(inputCol="risk_level", outputCol="label", stringOrderType="alphabetAsc",
-                            handleInvalid="error")
+def make_pipeline(p: ForestParams, labels: list[str]) -> Pipeline:
+    """``labels``: all classes, in the order of their indexes."""
+    indexer = StringIndexerModel.from_labels(labels, inputCol="risk_level", outputCol="label", handleInvalid="error")
     assembler = VectorAssembler(inputCols=S.FEATURE_COLS, outputCol="features")
     return Pipeline(stages=[indexer, assembler, _forest(p)])
 
 
 def fit(train: DataFrame, p: ForestParams = ForestParams()) -> PipelineModel:
-    data = with_feature_defaults(train)
-    if p.balanced:
-        data = class_weights(data)
-    return make_pipeline(p).fit(data)
+    """A model of ``train``; rows without a label are left out. The rows are stored once."""
+    return training_set(train.withColumns({"is_test": F.lit(False), "fold": F.lit(0)})).fit(p)
+
+
+@dataclass
+class TrainingSet:
+    """Stored rows (label, features, ``is_test``, ``fold``) and how many each label, part and fold has.
+
+    A fit reads the rows it needs from the stored ones (a filter on two columns), rather than all rows with a
+    weight of 0 outside its part: Spark's trees count rows of weight 0 towards the least leaf size, so
+    held-out rows would shape the model that they are to test."""
+    rows: DataFrame
+    counts: dict[tuple[str, bool, int], int]
+    unlabelled: int = 0
+
+    def chosen(self, fold: int | None) -> Callable[[bool, int], bool]:
+        """Which rows (is_test, fold) train: all outside ``fold``, or for None those of the training part."""
+        return (lambda test, k: not test) if fold is None else (lambda test, k: k != fold)
+
+    def weights(self, fold: int | None = None) -> dict[str, float]:
+        """Balanced weights n / (k n_c) of the classes that the rows of a fit have."""
+        own: dict[str, int] = {}
+        for (label, test, k), n in self.counts.items():
+            if self.chosen(fold)(test, k):
+                own[label] = own.get(label, 0) + n
+        total = sum(own.values())
+        return {label: total / (len(own) * n) for label, n in sorted(own.items())}
+
+    def fit(self, p: ForestParams, fold: int | None = None) -> PipelineModel:
+        weights = self.weights(fold)
+        rows = self.rows.where(~F.col("is_test") if fold is None else F.col("fold") != fold)
+        if p.balanced:
+            each = F.lit(None).cast("double")
+            for label, w in weights.items():
+                each = F.when(F.col("risk_level") == label, F.lit(w)).otherwise(each)
+            rows = rows.withColumn("weight", each)
+        return make_pipeline(p, list(weights)).fit(rows)
+
+    def held_out(self, fold: int | None = None) -> DataFrame:
+        return self.rows.where(F.col("is_test") if fold is None else F.col("fold") == fold)
+
+
+def training_set(assigned: DataFrame) -> TrainingSet:
+    """The rows of ``assigned`` that have a label, stored once: label, features with defaults, part and fold."""
+    rows = stored(with_feature_defaults(assigned).select("risk_level", *S.FEATURE_COLS, "is_test", "fold"), "training-set")
+    # a model has each class in it, so the classes are few
+    counts = {(r["risk_level"], r["is_test"], r["fold"]): r["n"]
+              for r in rows.groupBy("risk_level", "is_test", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    unlabelled = sum(n for (label, _, _), n in counts.items() if label is None)
+    return TrainingSet(rows.where(F.col("risk_level").isNotNull()), {k: n for k, n in counts.items() if k[0] is not None}, unlabelled)
 
 
 def labels_of(model: PipelineModel) -> list[str]:
@@ -204,7 +255,7 @@ class TrainResult:
     metrics: dict
     cv_scores: list[float] = field(default_factory=list)
     test_pairs: DataFrame | None = None
-    assigned: DataFrame | None = None
+    data: TrainingSet | None = None
 
 
 def _pairs(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -214,40 +265,32 @@ def _pairs(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def train_and_evaluate(df: DataFrame, p: ForestParams = ForestParams(), with_cv: bool = True,
                        key: str = "student_id") -> TrainResult:
-    """Stratified split, fit, hold-out metrics, stratified k-fold CV accuracy over all rows."""
-    assigned = stratified_assign(df, "risk_level", key, p.seed, p.test_fraction, p.folds)
-    train, test = assigned.filter(~F.col("is_test")), assigned.filter(F.col("is_test"))
-    model = fit(train, p)
-    test_pairs = _pairs(model, test).checkpoint(eager=True)
+    """Stratified split, fit, hold-out metrics, stratified k-fold CV accuracy over all rows.
+    Rows without a label take no part; ``data.unlabelled`` says how many there were."""
+    data = training_set(stratified_assign(df, "risk_level", key, p.seed, p.test_fraction, p.folds))
+    model = data.fit(p)
+    test_pairs = stored(_pairs(model, data.held_out()), "test-pairs")
     m = eval_metrics(test_pairs).first().asDict()
     m["classes"] = labels_of(model)
     m["feature_names"] = list(S.FEATURE_COLS)
-    result = TrainResult(model, m, [], test_pairs)
-    result.assigned = assigned
+    result = TrainResult(model, m, [], test_pairs, data)
     if with_cv:
         add_cross_validation(result, p)
     return result
 
 
-def cross_validate(assigned: DataFrame, p: ForestParams = ForestParams()) -> list[float]:
+def cross_validate(data: TrainingSet, p: ForestParams = ForestParams()) -> list[float]:
     """Accuracy of each stratified fold (fold = rank in class mod k), trained on the rest.
-
-    Folds are fitted concurrently (``p.parallelism`` driver threads submitting
-    independent Spark jobs, as ``CrossValidator(parallelism=...)`` does):
-    forest training runs many short jobs per tree level, so concurrent fits keep
-    the executors busy. Each fold's result does not depend on the others.
-    """
+    ``p.parallelism`` folds are fitted at a time; a fold's result does not depend on the others."""
     def one(k: int) -> float:
-        fm = fit(assigned.filter(F.col("fold") != k), p)
-        fp = _pairs(fm, assigned.filter(F.col("fold") == k))
-        return eval_metrics(fp).first()["accuracy"]
+        return eval_metrics(_pairs(data.fit(p, k), data.held_out(k))).first()["accuracy"]
 
     with ThreadPoolExecutor(max_workers=max(1, min(p.parallelism, p.folds))) as pool:
         return list(pool.map(one, range(p.folds)))
 
 
 def add_cross_validation(result: TrainResult, p: ForestParams = ForestParams()) -> TrainResult:
-    scores = cross_validate(result.assigned, p)
+    scores = cross_validate(result.data, p)
     mean = sum(scores) / len(scores)
     result.cv_scores = scores
     result.metrics["cv_mean"] = mean
@@ -270,27 +313,48 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("feature_names", T.ArrayType(T.StringType()))])
 
 
-def save(result: TrainResult, path: str) -> None:
-    result.model.write().overwrite().save(f"{path}/model")
-    spark = SparkSession.getActiveSession()
-    row = {k: result.metrics.get(k) for k in METRICS_SCHEMA.fieldNames()}
-    spark.createDataFrame([row], METRICS_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Published versions under ``path``, oldest first."""
+    fs, p, _ = file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
 
 
-def load_model(spark: SparkSession, path: str) -> PipelineModel:
-    if not _exists(spark, f"{path}/model"):
-        raise FileNotFoundError(f"no trained model at {path}/model; train one first")
-    return PipelineModel.load(f"{path}/model")
+def save(result: TrainResult, path: str) -> int:
+    """Publish model and metrics together as a new version under ``path``; its number.
 
-
-def load_metrics(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored metrics row, or None when no model has been trained."""
-    if not _exists(spark, f"{path}/metrics"):
-        return None
-    return spark.read.schema(METRICS_SCHEMA).json(f"{path}/metrics")
+    Both are written to a staging folder that no reader looks at, and one rename publishes them. A save that
+    dies before that leaves the pair in use as it was; a job that has loaded it goes on with it. Of two
+    saves at a time the rename of one finds its number taken and takes the next."""
+    spark = SparkSession.getActiveSession()
+    staging = f"{path.rstrip('/')}/staging-{uuid.uuid4().hex}"
+    result.model.write().save(f"{staging}/model")
+    row = {k: result.metrics.get(k) for k in METRICS_SCHEMA.fieldNames()}
+    spark.createDataFrame([row], METRICS_SCHEMA).coalesce(1).write.json(f"{staging}/metrics")
+    fs, _, jvm = file_system(spark, path)
+    at = jvm.org.apache.hadoop.fs.Path
+    for _ in range(100):
+        v = (versions(spark, path) or [0])[-1] + 1
+        if not fs.exists(at(f"{path}/v={v}")) and fs.rename(at(staging), at(f"{path}/v={v}")):
+            return v
+    raise OSError(f"could not publish a version under {path}")
+
+
+def _version(spark: SparkSession, path: str, version: int | None) -> str | None:
+    found = versions(spark, path)
+    v = version if version is not None else found[-1] if found else None
+    return f"{path}/v={v}" if v in found else None
+
+
+def load_model(spark: SparkSession, path: str, version: int | None = None) -> PipelineModel:
+    """The newest model under ``path``, or that of ``version``."""
+    at = _version(spark, path, version)
+    if at is None:
+        raise FileNotFoundError(f"no trained model at {path}; train one first")
+    return PipelineModel.load(f"{at}/model")
+
+
+def load_metrics(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The metrics row that was saved with the model, or None when no model has been trained."""
+    at = _version(spark, path, version)
+    return None if at is None else spark.read.schema(METRICS_SCHEMA).json(f"{at}/metrics")

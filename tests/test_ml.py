@@ -70,3 +70,36 @@ def test_reference_setting_on_generated_students(spark):
     r = ml.train_and_evaluate(generate_students(spark, 500), ml.ForestParams(), with_cv=True)
     assert 0.82 < r.metrics["accuracy"] < 0.98
     assert 0.85 < r.metrics["cv_mean"] < 0.97 and r.metrics["cv_std"] < 0.08
+
+
+def test_folds_read_one_stored_set_and_weights_balance(spark):
+    df = ml.training_frame(inputs.students_raw(spark, SF001)).withColumn(
+        "risk_level", F.when(F.crc32("student_id") % 50 == 0, None).otherwise(F.col("risk_level")))
+    data = ml.training_set(ml.stratified_assign(df))
+    assert data.unlabelled == df.filter("risk_level is null").count() > 0
+    assert "lineitem" not in data.rows._jdf.queryExecution().executedPlan().toString()
+    for fold in (None, 0, 3):
+        rows = data.rows.where(~F.col("is_test") if fold is None else F.col("fold") != fold)
+        n = {r["risk_level"]: r["count"] for r in rows.groupBy("risk_level").count().collect()}
+        want = {k: sum(n.values()) / (len(n) * v) for k, v in n.items()}
+        assert data.weights(fold) == want
+        assert data.held_out(fold).count() == data.rows.count() - sum(n.values())
+
+
+def test_a_failed_save_leaves_the_pair_in_use(spark, monkeypatch):
+    from cohortlens.session import scratch_path
+    path = scratch_path(spark, "registry")
+    r = ml.train_and_evaluate(ml.training_frame(inputs.students_raw(spark, SF001)), SMALL, with_cv=False)
+    assert ml.save(r, path) == 1
+    broken = ml.TrainResult(r.model, {"accuracy": "not a number"})
+    try:
+        ml.save(broken, path)                       # dies between the model and its metrics
+        raise AssertionError("saved")
+    except Exception as e:
+        assert "saved" not in str(e)
+    assert ml.versions(spark, path) == [1]
+    assert ml.labels_of(ml.load_model(spark, path)) == ml.labels_of(r.model)
+    assert ml.load_metrics(spark, path).first()["accuracy"] == r.metrics["accuracy"]
+    r.metrics["accuracy"] = 0.25
+    assert ml.save(r, path) == 2
+    assert ml.load_metrics(spark, path).first()["accuracy"] == 0.25 != ml.load_metrics(spark, path, 1).first()["accuracy"]
