@@ -9,7 +9,7 @@
     spark-submit cohortlens/jobs.py export     --store S --out DIR [--role faculty --faculty-id FAC001] [--high-risk]
     spark-submit cohortlens/jobs.py accounts   --store S --out DIR
     spark-submit cohortlens/jobs.py progress   --log L --requests JSON_DIR [--rejects DIR]
-    spark-submit cohortlens/jobs.py history    --log L --student-id ID --out DIR
+    spark-submit cohortlens/jobs.py history    --log L --student-id ID --out DIR [--role student --own-id ID]
     spark-submit cohortlens/jobs.py stream-progress --log L --requests DIR --checkpoint C [--rejects DIR]
     spark-submit cohortlens/jobs.py stream-score --store S --model M --requests DIR --out DIR --checkpoint C [--rejects DIR]
     spark-submit cohortlens/jobs.py stream-apply --log L --updates DIR --checkpoint C --writer NAME
@@ -77,9 +77,10 @@ def cmd_train(spark, a):
     """Retrain on the current snapshot (its stored labels) and save model + metrics."""
     snap = _store(spark, a).read()
     p = ml.ForestParams(num_trees=a.trees)
-    result = ml.train_and_evaluate(snap.filter(F.col("risk_level").isNotNull()), p, with_cv=True)
-    ml.save(result, a.model)
-    return {k: v for k, v in result.metrics.items() if k not in ("classes", "feature_names")}
+    result = ml.train_and_evaluate(snap, p, with_cv=True)
+    version = ml.save(result, a.model)
+    return {k: v for k, v in result.metrics.items() if k not in ("classes", "feature_names")} | {
+        "version": version, "unlabelled": result.data.unlabelled}
 
 
 def cmd_score(spark, a):
@@ -148,7 +149,8 @@ def cmd_progress(spark, a):
 
 
 def cmd_history(spark, a):
-    """One student's records in time order."""
+    """One student's records in time order, for those who may read them."""
+    views.check_history(a.role, a.student_id, a.own_id)
     progress.history(spark.read.parquet(a.log), a.student_id).write.mode("errorifexists").json(a.out)
     return {"written": a.out}
 
@@ -198,7 +200,7 @@ def parser() -> argparse.ArgumentParser:
     add("accounts", cmd_accounts, ("--store", req), ("--out", req))
     add("progress", cmd_progress, ("--log", req), ("--requests", req), ("--role", {"default": "admin"}),
         ("--student-id", {}), ("--rejects", {}))
-    add("history", cmd_history, ("--log", req), ("--student-id", req), ("--out", req))
+    add("history", cmd_history, ("--log", req), ("--student-id", req), ("--out", req), ("--role", {"default": "admin"}), ("--own-id", {}))
     add("stream-progress", cmd_stream_progress, ("--log", req), ("--requests", req), ("--checkpoint", req), ("--rejects", {}))
     add("stream-score", cmd_stream_score, ("--store", req), ("--model", req), ("--requests", req),
         ("--out", req), ("--checkpoint", req), ("--rejects", {}))

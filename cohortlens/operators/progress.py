@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordering import ordered_changes
+from cohortlens.operators.ordering import global_positions, ordered_changes
 
 SERIES = ["attendance", "average_score"]
 
@@ -41,7 +43,27 @@ def with_arrival(records: DataFrame) -> DataFrame:
 
 
 def append(records: DataFrame, path: str) -> None:
-    """Append records to the log, partitioned by date (existing files are never rewritten). The
+    """Append records to the log, partitioned by date and batch (existing files are never rewritten). The
     rows of a date are brought together in files of the size that AQE aims at: a small date
     is one file, a large one is split."""
-    with_arrival(records).hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
+    write_batch(with_arrival(records), path, uuid.uuid4().hex)
+
+
+def write_batch(records: DataFrame, path: str, batch: str) -> None:
+    """Write ``records`` (with ``dt``) as the folders ``dt=.../batch=<batch>``, which a replay of the batch replaces."""
+    named = records.withColumn("batch", F.lit(batch))
+    named.hint("rebalance", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").parquet(path)
+
+
+ARRIVED = ["file_modification_time", "file_path", "file_block_start"]
+
+
+def numbered(records: DataFrame, batch_id: int) -> DataFrame:
+    """``records`` with ``seq`` filled where it is NULL: the batch's number, then the record's place in it.
+
+    Places follow the files' time and name (columns ARRIVED) and the line in the file, however the files were
+    split. So a replayed batch gets the same numbers, and they rise from batch to batch."""
+    order = [*ARRIVED, "_line"]
+    placed = global_positions(records.withColumn("_line", F.monotonically_increasing_id()), order)
+    number = F.lit(batch_id << 40) + F.col("_pos")
+    return placed.withColumn("seq", F.coalesce(F.col("seq").cast("long"), number)).drop(*order, "_pos", "_pid")

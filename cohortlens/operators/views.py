@@ -62,6 +62,12 @@ def split_own_rows(records: DataFrame, role: str, student_id: str | None) -> tup
     return records.filter(own), records.filter(~own | F.col("student_id").isNull())
 
 
+def check_history(role: str, student_id: str, own_id: str | None) -> None:
+    """A student may only read their own history; staff may read any. Anything else is refused."""
+    if role not in ("admin", "faculty") and not (role == "student" and own_id == student_id):
+        raise PermissionError(f"{role} may not read the history of {student_id}")
+
+
 _ALL = "\u0000all"   # key of the whole-table row (cannot collide with a class id)
 
 

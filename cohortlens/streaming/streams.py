@@ -11,6 +11,8 @@ Checkpoints live under the shared checkpoint folder.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +46,12 @@ def _run(query_builder, checkpoint: str, available_now: bool = True):
 
 
 def progress_stream(requests: DataFrame) -> DataFrame:
-    """Validate progress records; valid ones become log rows with arrival time, number and date."""
+    """Validate progress records; valid ones become log rows with their batch's time, number (if they bring one) and date."""
     v = validate.check_progress_requests(requests).filter("is_valid")
-    return progress.with_arrival(v.select("student_id", F.current_timestamp().alias("timestamp"), "attendance",
-                                          "average_score", "risk_level",
-                                          *([F.col("seq")] if "seq" in requests.columns else [])))
+    arrived = [c for c in progress.ARRIVED if c in requests.columns]
+    seq = F.col("seq") if "seq" in requests.columns else F.lit(None).cast("long")
+    return v.select("student_id", F.current_timestamp().alias("timestamp"), "attendance", "average_score", "risk_level",
+                    seq.alias("seq"), *arrived).withColumn("dt", F.to_date("timestamp"))
 
 
 def _reject(spark: SparkSession, requests: DataFrame, checked: DataFrame, rejects: str, checkpoint: str) -> None:
@@ -61,10 +64,18 @@ def _reject(spark: SparkSession, requests: DataFrame, checked: DataFrame, reject
 
 def run_progress_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
                         rejects: str | None = None) -> None:
-    """Accepted records go to ``sink``, rejected ones with their reason to ``rejects``."""
+    """Accepted records go to ``sink``, rejected ones with their reason to ``rejects``.
+
+    A micro-batch is numbered (``progress.numbered``) and written to folders of its own, named by the
+    checkpoint and the batch; its time is the one in the stream's log. A replay replaces these folders with equal rows."""
     requests = read_json_stream(spark, source, _progress_schema())
-    _run(progress_stream(requests).writeStream.format("parquet").option("path", sink).partitionBy("dt")
-         .outputMode("append"), checkpoint)
+    placed = requests.select("*", *[F.col(f"_metadata.{c}").alias(c) for c in progress.ARRIVED])
+    writer = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        progress.write_batch(progress.numbered(batch, batch_id), sink, f"{writer}-{batch_id}")
+
+    _run(progress_stream(placed).writeStream.foreachBatch(write), checkpoint)
     if rejects:
         _reject(spark, requests, validate.check_progress_requests(requests), rejects, f"{checkpoint}-rejects")
 

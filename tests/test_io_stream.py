@@ -205,3 +205,29 @@ def test_streams_return_accepted_and_rejected(spark):
     rejected = spark.read.json(bad)
     assert rejected.count() > 0 and rejected.where("error_kind is null").count() == 0
     assert spark.read.parquet(sink).count() + rejected.count() == requests.count()
+
+
+def test_progress_stream_numbers_arrivals_and_replays_alike(spark):
+    import shutil
+    from urllib.parse import urlparse
+
+    from cohortlens.operators import progress
+    from cohortlens.session import scratch_path
+    from cohortlens.streaming import streams
+    src, sink, ck = (scratch_path(spark, n) for n in ("arrivals", "arrivals-log", "arrivals-ck"))
+    made = lambda a: spark.createDataFrame([("S1", float(i), 50.0, "Low Risk") for i in a],
+                                           "student_id string, attendance double, average_score double, risk_level string")
+    made(range(40)).coalesce(1).write.mode("append").json(src)
+    streams.run_progress_stream(spark, src, sink, ck)
+    made(range(40, 50)).coalesce(1).write.mode("append").json(src)
+    streams.run_progress_stream(spark, src, sink, ck)
+    first = sorted(spark.read.parquet(sink).select("seq", "attendance", "timestamp").collect())
+    assert [r["attendance"] for r in first] == [float(i) for i in range(50)]
+    assert len({r["seq"] for r in first}) == 50 and None not in {r["seq"] for r in first}
+    assert [r["attendance"] for r in progress.history(spark.read.parquet(sink), "S1").collect()] == [float(i) for i in range(50)]
+    # the commit of the last batch is lost: it runs again
+    base = urlparse(ck).path
+    for name in ("1", ".1.crc"):
+        shutil.move(f"{base}/commits/{name}", f"{base}/lost-{name}")
+    streams.run_progress_stream(spark, src, sink, ck)
+    assert sorted(spark.read.parquet(sink).select("seq", "attendance", "timestamp").collect()) == first

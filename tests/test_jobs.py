@@ -110,3 +110,22 @@ def test_export_and_accounts_jobs(spark):
     assert spark.read.option("header", True).csv(out).count() == snap.where("risk_level = 'High Risk'").count() > 0
     jobs.main(["accounts", "--store", store, "--out", acc], spark)
     assert spark.read.parquet(acc).count() == rows + 3
+
+
+def test_history_is_for_those_who_may_read_it(spark):
+    import pytest
+
+    log = scratch_path(spark, "history-log")
+    preq = scratch_path(spark, "history-req")
+    files.write_json(progress_requests(spark, SF001).drop("seq"), preq)
+    jobs.main(["progress", "--log", log, "--requests", preq], spark)
+    who = spark.read.parquet(log).first()["student_id"]
+    for role, own, allowed in (("student", who, True), ("student", "another", False), ("student", None, False), ("faculty", None, True), ("guest", None, False)):
+        out = scratch_path(spark, "history-out")
+        args = ["history", "--log", log, "--student-id", who, "--out", out, "--role", role] + (["--own-id", own] if own else [])
+        if allowed:
+            jobs.main(args, spark)
+            assert {r["student_id"] for r in spark.read.json(out).collect()} == {who}
+        else:
+            with pytest.raises(PermissionError):
+                jobs.main(args, spark)
