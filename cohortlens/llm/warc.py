@@ -10,18 +10,22 @@ SPAN = 4096                                   # time units of one capture-time b
 # Header fields that describe the body sent along, so a 304 must not change them.
 BODY_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
 
+# Header fields that only concern one connection; so do those that "connection" lists.
+HOP_HEADERS = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
+
 TRACKING = r"(?i)(^|&)(?:(?:utm_[a-z]+|ref|sessionid)=[^&]*(?:&|$))+"   # whole parameters of a query
 
 
 def canonical_url(url: Column) -> Column:
-    """Without scheme, ``www.``, fragment, tracking parameters and a path's trailing slashes, the
+    """Without scheme, its default port, ``www.``, fragment, tracking parameters and a path's trailing slashes, the
     host in lower case. Paths and parameters keep their case: servers tell them apart."""
     bare = F.regexp_replace(F.regexp_replace(url, "(?s)#.*$", ""), r"(?i)^https?://(www\.)?", "")
     path = F.regexp_extract(bare, r"(?s)^[^?]*", 0)
     host = F.regexp_extract(path, r"(?s)^[^/]*", 0)
+    port = F.when(url.rlike("(?i)^https:"), ":443$").when(url.rlike("(?i)^http:"), ":80$").otherwise(":(80|443)$")
     query = F.regexp_extract(bare, r"(?s)^[^?]*\?(.*)$", 1)
     query = F.regexp_replace(F.regexp_replace(query, TRACKING, "$1"), r"[?&]+$", "")
-    page = F.concat(F.lower(host), path.substr(F.char_length(host) + 1, F.char_length(path)))
+    page = F.concat(F.regexp_replace(F.lower(host), port, F.lit("")), path.substr(F.char_length(host) + 1, F.char_length(path)))
     return F.when(query == "", F.regexp_replace(page, r"/+$", "")).otherwise(F.concat(page, F.lit("?"), query))
 
 
@@ -35,8 +39,9 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     ``validator_mismatch`` (both have an etag and they differ, or, where one has none, both
     have a last_modified and they differ, or no validator is common to both);
     ``no_earlier_response``, also for a null URL or null ts. Resolved headers are the
-    response's, with the revisit's in place of or beside them, but for BODY_HEADERS; others have
-    the revisit's own (null headers: an empty map). Repeated records resolve alike; further columns
+    response's, with the revisit's in place of or beside them, but for BODY_HEADERS, HOP_HEADERS and what its
+    ``connection`` lists; others have the revisit's own (null headers: an empty map). Entity tags
+    are compared as a 304 is: weakly, without ``W/``. Repeated records resolve alike; further columns
     are not read.
 
     Records of one URL are searched in buckets of ``span`` time units, so that a URL with a third
@@ -49,6 +54,10 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     own = F.struct(F.col("ts").alias("ts"), F.col("record_id").alias("id"), "etag", "last_modified",
                    F.map_entries("headers").alias("headers"))
     response = F.when((F.col("kind") == "response") & F.col("ts").isNotNull() & F.col("url_key").isNotNull(), own)
+    # what can't be searched for is no key of a window or a join
+    placed = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    lost = rows.where(~placed & (F.col("kind") == "revisit"))
+    rows = rows.where(placed)
     before = Window.partitionBy("url_key", "bucket").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("near", F.last(response, ignorenulls=True).over(before)).where("kind = 'revisit'")
     last = rows.where("kind = 'response' and ts is not null and url_key is not null").groupBy("url_key", "bucket").agg(F.max(own).alias("r"))
@@ -59,11 +68,14 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     carried = both.withColumn("far", F.last("r", ignorenulls=True).over(earlier)).where("asked = 1 and far is not null").select(
         F.col("url_key").alias("k"), F.col("bucket").alias("b"), "far")
     found = inside.join(carried, (F.col("url_key") == F.col("k")) & (F.col("bucket") == F.col("b")), "left").withColumn("r", F.coalesce("near", "far"))
-    etags, dates = F.col("etag") == F.col("r.etag"), F.col("last_modified") == F.col("r.last_modified")
+    found = found.select(*rows.columns, "r").union(lost.select(*rows.columns, F.lit(None).cast(found.schema["r"].dataType)))
+    tag = lambda c: F.regexp_replace(F.col(c), "^W/", "")
+    etags, dates = tag("etag") == tag("r.etag"), F.col("last_modified") == F.col("r.last_modified")
     same = F.coalesce(etags, dates, F.lit(False))
     status = (F.when(F.col("r").isNull() | F.col("url_key").isNull(), "no_earlier_response")
               .when(same, "resolved").otherwise("validator_mismatch"))
-    permitted = F.map_filter("headers", lambda k, _: ~k.isin(*BODY_HEADERS))
+    listed = F.split(F.lower(F.regexp_replace(F.coalesce(F.get(F.map_values(F.map_filter("headers", lambda k, _: k == "connection")), F.lit(0)), F.lit("")), r"\s", "")), ",")
+    permitted = F.map_filter("headers", lambda k, _: ~(k.isin(*BODY_HEADERS, *HOP_HEADERS) | F.array_contains(listed, k)))
     kept = F.map_filter(F.map_from_entries("r.headers"), lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(permitted), k), F.lit(False)))
     return found.withColumn("status", status).select(
         "record_id", "url_key", "ts", "status", F.when(F.col("status") != "no_earlier_response", F.col("r.id")).alias("response_id"),

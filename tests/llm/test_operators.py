@@ -392,6 +392,27 @@ def test_licenses_of_the_common_families(spark):
     assert "bsd-3-clause-names" in got["bsd-3-clause"] and "bsd-3-clause-names" not in got["bsd-2-clause"]
 
 
+def test_ids_that_need_more_bits_are_refused(tmp_path):
+    for wide in (False, True):
+        w = token_files.Writer(f"file://{tmp_path}/{wide}", 0, 4, wide)
+        w.add([1], np.array([65535, 65536, 2], np.int64), np.array([0, 3]))
+        if wide:
+            w.close()
+        else:
+            with pytest.raises(ValueError):
+                w.close()
+
+
+def test_revisit_validators_hops_and_ports(spark):
+    rows = [(1, "http://a.org:80/x", 1, "response", "\"v\"", None, {"server": "s", "x": "1"}),
+            (2, "https://a.org:443/x", 2, "revisit", "W/\"v\"", None, {"connection": "Keep-Alive, X-Hop", "keep-alive": "5", "x-hop": "h", "x": "2"}),
+            (3, "http://a.org:443/x", 3, "revisit", "\"v\"", None, {}), (4, "a.org:8080/x", 4, "revisit", "\"v\"", None, {}), (5, None, 5, "revisit", "\"v\"", None, {"x": "3"})]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified long, headers map<string,string>")
+    got = {r["record_id"]: r for r in warc.resolve(df).collect()}
+    assert (got[2]["status"], got[2]["response_id"], got[2]["headers"]) == ("resolved", 1, {"server": "s", "x": "2"})
+    assert {got[i]["status"] for i in (3, 4, 5)} == {"no_earlier_response"} and got[5]["headers"] == {"x": "3"}
+
+
 # 6 ------------------------------------------------------------------ revisits
 def test_revisits(spark):
     head = {"content-length": "9", "etag": "a"}
