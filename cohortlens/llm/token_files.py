@@ -68,6 +68,8 @@ class Writer:
 
     def _put(self, ids: np.ndarray, size: int) -> None:
         kind = np.uint32 if self.wide else np.uint16
+        if len(ids) and int(ids.max()) > np.iinfo(kind).max:
+            raise ValueError(f"id {ids.max()} doesn't fit into 16 bits; write wide files")
         flat, mask = np.zeros(size, kind), np.zeros(size, bool)
         flat[:len(ids)], mask[:len(ids)] = ids, True
         self.files[0].write_batch(pa.RecordBatch.from_arrays(
@@ -93,7 +95,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", doc_
     Null and empty texts have the single id 2. Rows with one doc_id follow each
     other in the order of their texts' hashes; repeated rows are all kept; a null
     doc_id comes first. Other columns are not read. An empty table has no files.
-    ``wide``: 32-bit ids, for vocabularies of more than 65,536. One range shuffle
+    ``wide``: 32-bit ids, for vocabularies of more than 65,536; a larger id ends a run without it. One range shuffle
     of the texts; ties are split over partitions by row number, and a task holds
     one record batch and one Arrow batch.
     """
