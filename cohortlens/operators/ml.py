@@ -200,15 +200,21 @@ def pair_counts(pairs: DataFrame, label: str = "label", pred: str = "prediction"
 
 
 def confusion_matrix(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """All k x k cells, zeros included (label grid of k labels, broadcast)."""
+    """All k x k cells, zeros included, of the labels that occur or of ``labels``.
+
+    The grid is made from the counts (k labels in one row, dealt out twice) and joined to them. A NULL label or
+    prediction is a class of its own, which is shown as NULL."""
     counts = pair_counts(pairs)
-    spark = pairs.sparkSession
     if labels is None:
-        labels = sorted({r[0] for r in counts.select("label").union(counts.select("prediction"))
-                         .distinct().collect()})
-    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], "label string, prediction string")
-    return (F.broadcast(grid).join(counts, ["label", "prediction"], "left")
-            .select("label", "prediction", F.coalesce("n", F.lit(0).cast("long")).alias("count")))
+        names = counts.select(F.explode(F.array(F.struct(F.col("label").alias("c")), F.struct(F.col("prediction").alias("c")))).alias("x")).distinct()
+        every = names.agg(F.collect_list("x").alias("a"))
+    else:
+        every = pairs.sparkSession.range(1).select(F.array(*[F.struct(F.lit(x).cast("string").alias("c")) for x in labels]).alias("a"))
+    grid = every.select("a", F.explode("a").alias("row")).select("row", F.explode("a").alias("column")).select(
+        F.col("row.c").alias("of_label"), F.col("column.c").alias("of_prediction"))
+    met = grid["of_label"].eqNullSafe(counts["label"]) & grid["of_prediction"].eqNullSafe(counts["prediction"])
+    return grid.join(counts, met, "left").select(F.col("of_label").alias("label"), F.col("of_prediction").alias("prediction"),
+                                                 F.coalesce("n", F.lit(0).cast("long")).alias("count"))
 
 
 def _report_counts(pairs: DataFrame) -> DataFrame:

@@ -103,3 +103,11 @@ def test_a_failed_save_leaves_the_pair_in_use(spark, monkeypatch):
     r.metrics["accuracy"] = 0.25
     assert ml.save(r, path) == 2
     assert ml.load_metrics(spark, path).first()["accuracy"] == 0.25 != ml.load_metrics(spark, path, 1).first()["accuracy"]
+
+
+def test_confusion_matrix_with_null_and_given_labels(spark):
+    pairs = spark.createDataFrame([("A", "A"), (None, "B"), (None, "B"), ("A", None)], "label string, prediction string")
+    got = {(r["label"], r["prediction"]): r["count"] for r in ml.confusion_matrix(pairs).collect()}
+    assert len(got) == 9 and (got["A", "A"], got[None, "B"], got["A", None], got["B", "A"]) == (1, 2, 1, 0)
+    assert {(r["label"], r["prediction"]): r["count"] for r in ml.confusion_matrix(pairs, ["A", "C"]).collect()} == {
+        ("A", "A"): 1, ("A", "C"): 0, ("C", "A"): 0, ("C", "C"): 0}
