@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,11 @@ class Group(NamedTuple):
         return (x - (self.lo + self.hi) / 2) / (half or 1.0)
 
 
+def _rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """A table of a few rows as literals of the plan."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[c.alias(n) for n, c in r.items()]) for r in rows])))
+
+
 def _groups_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(group number, x, c, sy) of each batch's groups, by x."""
     for batch in batches:
@@ -71,7 +76,7 @@ def _bounds(rows: DataFrame, groups: list[Group]) -> tuple[np.ndarray, np.ndarra
     A part's rows lie no nearer to a grid point than its nearer end (least or largest x) and no farther than
     the other one. The parts in the order of their farthest rows hold k within the upper bound; in
     the order of their nearest ones, not before the lower. Parts of one x each leave no gap."""
-    numbers = rows.sparkSession.createDataFrame([(i, g.lo, g.hi) for i, g in enumerate(groups)], "of int, lo double, hi double")
+    numbers = _rows(rows.sparkSession, [{"of": F.lit(i), "lo": F.lit(g.lo), "hi": F.lit(g.hi)} for i, g in enumerate(groups)])
     share = F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
     parts = rows.join(F.broadcast(numbers), F.col("g") == F.col("of")).groupBy(
         "g", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(
@@ -157,8 +162,7 @@ def lines(values: DataFrame, by: str, points: int, frac: float) -> DataFrame:
     places = [r["lo"] + (r["hi"] - r["lo"]) / (points - 1) * np.arange(points) for r in found]
     groups = [Group(r["lo"], r["hi"], int(r["k"]), np.zeros(0)) for r in found]
     groups = [g._replace(grid=g.scaled(p)) for g, p in zip(groups, places, strict=True)]
-    numbers = spark.createDataFrame([(n, i) for i, n in enumerate(names)], T.StructType([
-        T.StructField("of_group", group_type), T.StructField("g", T.IntegerType())]))
+    numbers = _rows(spark, [{"of_group": F.lit(n).cast(group_type), "g": F.lit(i)} for i, n in enumerate(names)])
     rows = values.join(F.broadcast(numbers), values[by].eqNullSafe(numbers["of_group"])).select("g", "x", F.col("c").cast("double").alias("c"), "sy")
     h = kth_distances(rows, groups)
     sums = weighted_sums(rows, groups, h)
