@@ -11,8 +11,6 @@ of the lengths and the segment's number allow. What is found is verified by edit
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +19,6 @@ from cohortlens.llm.common import staged
 # (least length of the shorter line, edits): about a tenth of it, up to a word with its space
 MAX_EDITS = ((20, 2), (40, 4), (100, 6), (200, 8))
 NEAR_CHARS = 20                               # shorter lines only count as copies when equal
-NO_DOC = Decimal(-(1 << 63) - 1)              # stands for a null doc_id
 SLOTS = 48                                    # places of word pairs are told apart modulo this
 LENGTHS = 50                                  # word pairs only meet in lines of one class of so many lengths, or the next
 FOUND, LOOKED_UP = 1, 2                       # what a key is for
@@ -129,18 +126,6 @@ def _common_start(x: Column, y: Column) -> Column:
     return F.aggregate(F.filter(bits, lambda b: b <= least), F.lit(0), lambda at, b: F.when(at + b <= least, longer(at, b)).otherwise(at))
 
 
-def _place(doc_id: Column, pos: Column) -> Column:
-    """Order of a line in the corpus as one number; lines of a null doc_id come first."""
-    return (F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(NO_DOC).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)")
-            + pos.cast("decimal(11,0)")).cast("decimal(38,0)")
-
-
-def _unplace(place: Column) -> list[Column]:
-    pos = F.pmod(place, F.lit(1 << 31).cast("decimal(11,0)"))
-    doc = ((place - pos) / F.lit(1 << 31).cast("decimal(11,0)")).cast("decimal(20,0)")
-    return [F.when(doc != F.lit(NO_DOC).cast("decimal(20,0)"), doc.cast("long")).alias("d"), pos.cast("int").alias("pos")]
-
-
 def links(lines: DataFrame, texts, bands: list[tuple[int, int]]) -> DataFrame:
     """(a, b): ids of distinct lines within the edits that their lengths allow; ``lines``: id, n,
     sig and keys; ``texts``: from a table of ids to (id, line)."""
@@ -174,32 +159,34 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_edit
     Of equal lines only the first stays, in the order of doc_id and line number; a line of
     ``near_chars`` or more that is within ``max_edits`` characters of an earlier one goes
     too (a number, or the number by the shorter one's length, see MAX_EDITS). Blank lines stay. A text that loses all lines stays as an empty one; a null text
-    stays null. Rows with one doc_id (null counts as one) are one document: they lose
-    the same lines. Other columns pass through; an empty table stays empty.
-    ``counts``: add a struct column of this name with the numbers of lines, of exact and
+    stays null. Rows with one doc_id and different texts are documents of their own, in the order
+    of their texts' hashes; null doc_ids come first. Rows equal in doc_id and text are one
+    document and keep the same lines. Other columns pass through, whatever their names; an empty table stays empty.
+    ``counts``: add (or replace) a struct column of this name with the numbers of lines, of exact and
     of near copies removed, and of links of the first lines found here.
     """
     bands = _bands(max_edits, near_chars)
     if any(not 0 <= k < min(least, 16) for least, k in bands) or [k for _, k in bands] != sorted(k for _, k in bands):
         raise ValueError("max_edits must be less than the lengths and than 16, and not fall with the length")
-    cols = docs.columns
-    lines_of = F.split(F.coalesce(docs[text].cast("string"), F.lit("")), "\n")
-    body = docs.select(docs[doc_id].cast("long").alias("d"), lines_of.alias("ls"))
-    occ = body.select("d", F.posexplode("ls").alias("pos", "line")).where(F.trim("line") != "").select(
-        "d", "pos", "line", F.char_length("line").alias("n"))
+    # the columns of docs stand in one struct, so no name of theirs meets one used here
+    value = F.coalesce(docs[text].cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].cast("long").alias("d"),
+                       F.xxhash64(value).alias("h"), F.split(value, "\n").alias("ls"))
+    body = rows.select("d", "h", "ls")
+    occ = body.select("d", "h", F.posexplode("ls").alias("pos", "line")).where(F.trim("line") != "").withColumn("n", F.char_length("line"))
     near_line = F.col("n") >= bands[0][0]
-    occ = occ.select(_place(F.col("d"), F.col("pos")).alias("place"), "n", F.xxhash64("line").alias("id"),
+    occ = occ.select(F.struct("d", "h", "pos").alias("place"), "n", F.xxhash64("line").alias("id"),
                      F.xxhash64(F.lit(7), "line").alias("id2"), F.when(near_line, signature(F.col("line"))).alias("sig"),
                      F.when(near_line, keys(F.col("line"), F.col("n"), bands)).alias("key"))
     distinct = staged(occ.groupBy("id", "id2").agg(F.min("place").alias("first"), F.any_value("n").alias("n"),
                                                    F.any_value("sig").alias("sig"), F.any_value("key").alias("key")), "lines")
-    place = distinct.select("id", "id2", "first", *_unplace(F.col("first")))
+    place = distinct.select("id", "id2", "first", "first.*")
 
     def texts(ids: DataFrame) -> DataFrame:
         """The candidates' lines, cut out of the documents that have them first."""
-        wanted = (ids.join(place, "id").groupBy("d")
-                  .agg(F.collect_set(F.struct("pos", "id", "id2")).alias("at")).withColumnRenamed("d", "wd"))
-        found = body.join(wanted, body["d"].eqNullSafe(wanted["wd"])).select(
+        wanted = ids.join(place, "id").groupBy(F.col("d").alias("wd"), F.col("h").alias("wh")).agg(
+            F.collect_set(F.struct("pos", "id", "id2")).alias("at"))
+        found = body.join(wanted, body["d"].eqNullSafe(wanted["wd"]) & (body["h"] == wanted["wh"])).select(
             F.explode(F.transform("at", lambda a: F.struct(a["id"].alias("id"), a["id2"].alias("id2"),
                                                           F.get("ls", a["pos"]).alias("line")))).alias("x")).select("x.*")
         return found.where((F.xxhash64("line") == F.col("id")) & (F.xxhash64(F.lit(7), "line") == F.col("id2"))).select("id", "line").distinct()
@@ -212,22 +199,19 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_edit
         F.struct(F.col("a").alias("id"), (F.col("fa") > F.col("fb")).cast("int").alias("late")),
         F.struct(F.col("b").alias("id"), (F.col("fb") > F.col("fa")).cast("int").alias("late")))).alias("x")).select("x.*")
     linked = later.groupBy("id").agg(F.max("late").alias("late"), F.count("*").alias("n"))
-    kept = place.join(linked, "id", "left").groupBy(F.col("d").alias("kd")).agg(
+    kept = place.join(linked, "id", "left").groupBy(F.col("d").alias("kd"), F.col("h").alias("kh")).agg(
         F.collect_set(F.when(F.coalesce("late", F.lit(0)) == 0, F.col("pos"))).alias("kp"),
         F.sum(F.coalesce("late", F.lit(0))).alias("kn"), F.sum(F.coalesce("n", F.lit(0))).alias("kl"))
-    out = docs.join(kept, docs[doc_id].eqNullSafe(kept["kd"]), "left")
     # positions of blank lines and of the lines that stay, in order
-    blank = F.filter(F.transform(lines_of, lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
-    out = out.withColumn("__ls", lines_of).withColumn(
-        "__at", F.array_sort(F.array_distinct(F.concat(F.coalesce("kp", F.array().cast("array<int>")), blank))))
-    # get() past the end is null, and nulls are left out: rows that share a doc_id can differ in length
-    picked = F.transform("__at", lambda i: F.get("__ls", i))
-    new = F.when(docs[text].isNotNull(), F.array_join(picked, "\n"))
-    result = [new.alias(text) if c == text else docs[c] for c in cols]
-    if counts:
-        n_lines = F.size(F.filter("__ls", lambda x: F.trim(x) != ""))
-        n_kept = F.size(F.coalesce("kp", F.array().cast("array<int>")))
-        near = F.coalesce("kn", F.lit(0)).cast("long")
-        result.append(F.struct(n_lines.cast("long").alias("lines"), (n_lines - n_kept - near).cast("long").alias("exact"),
-                               near.alias("near"), F.coalesce("kl", F.lit(0)).cast("long").alias("links")).alias(counts))
-    return out.select(*result)
+    blank = F.filter(F.transform("ls", lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
+    out = rows.join(kept, rows["d"].eqNullSafe(kept["kd"]) & (rows["h"] == kept["kh"]), "left").withColumn(
+        "at", F.array_sort(F.array_distinct(F.concat(F.coalesce("kp", F.array().cast("array<int>")), blank))))
+    picked = F.array_join(F.transform("at", lambda i: F.get("ls", i)), "\n")
+    n_lines = F.size(F.filter("ls", lambda x: F.trim(x) != ""))
+    n_kept = F.size(F.coalesce("kp", F.array().cast("array<int>")))
+    near = F.coalesce("kn", F.lit(0)).cast("long")
+    out = out.select("row", F.when(F.col("row").getField(text).isNotNull(), picked).alias("new"),
+                     F.struct(n_lines.cast("long").alias("lines"), (n_lines - n_kept - near).cast("long").alias("exact"),
+                              near.alias("near"), F.coalesce("kl", F.lit(0)).cast("long").alias("links")).alias("counts"))
+    result = [(out["new"] if c == text else out["row"].getField(c)).alias(c) for c in docs.columns if c != counts]
+    return out.select(*result, *[out["counts"].alias(c) for c in [counts] if c])
