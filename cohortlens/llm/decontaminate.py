@@ -19,7 +19,8 @@ PASSAGE_WORDS, STRIDE = 128, 64
 BLOCK_ITEMS = 16
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6                               # of the score that an item has against itself
-OVERLAP = 0.8                                 # of the shingles of question and answer
+OVERLAP = 0.8                                 # of the shingles of question and answer together
+PART = 0.5                                    # of those of either
 WORD = re.compile("[0-9A-Za-z_\x80-\U0010ffff]+")  # as in common.words
 SHARD_BYTES = 16 << 20                        # of item text in one index
 
@@ -171,9 +172,10 @@ def search(x: Index, h: np.ndarray, row: np.ndarray, threshold: float) -> dict[t
     return found
 
 
-def verify(x: Index, h: np.ndarray, row: np.ndarray, pairs: dict[tuple[int, int], float], least: float):
+def verify(x: Index, h: np.ndarray, row: np.ndarray, pairs: dict[tuple[int, int], float], least: float,
+           part: float):
     """(row, item, score, question, answer): the shares of question and answer shingles in the
-    text, of pairs whose question or answer, and whole item, overlap enough."""
+    text, of pairs in which ``least`` of the whole item and ``part`` of each of the two is there."""
     out = []
     for r in sorted({r for r, _ in pairs}):
         a, b = np.searchsorted(row, [r, r + 1])
@@ -184,7 +186,7 @@ def verify(x: Index, h: np.ndarray, row: np.ndarray, pairs: dict[tuple[int, int]
         for item in sorted(i for q, i in pairs if q == r):
             q, w = share[2 * item], share[2 * item + 1]
             nq, nw = x.part_size[2 * item], x.part_size[2 * item + 1]
-            if nq + nw and max(q / max(nq, 1), w / max(nw, 1)) >= least and q + w >= least * (nq + nw):
+            if nq + nw and q >= part * nq and w >= part * nw and q + w >= least * (nq + nw):
                 out.append((r, item, pairs[r, item], q / max(nq, 1), w / max(nw, 1)))
     return out
 
@@ -227,12 +229,13 @@ def indexes(benchmark: DataFrame, text: str = "text", item_id: str = "item_id")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", column: str = "hits",
-            threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
+            threshold: float = THRESHOLD, least: float = OVERLAP, part: float = PART) -> DataFrame:
     """``docs`` with ``column``: the test items that a text contains, as an array of
     (item_id, score, question, answer), by item.
 
     Every passage of PASSAGE_WORDS words (one begins every STRIDE words) is a query
-    against the whole index. A null or empty text has no hits; repeated rows have the
+    against the whole index. An item counts where the text has ``least`` of its shingles and ``part``
+    of those of its question and of its answer each (an empty part is always there). A null or empty text has no hits; repeated rows have the
     same ones; an empty benchmark gives none. Other columns pass through, and one
     named ``column`` is replaced. Documents are not shuffled; one pass over them
     for each index shard.
@@ -246,15 +249,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", column: s
     if not parts:
         return docs.withColumn(column, F.array().cast(kind))
     names = []
-    for k, part in enumerate(parts):
-        sent = spark.sparkContext.broadcast(part)
+    for k, index in enumerate(parts):
+        sent = spark.sparkContext.broadcast(index)
 
         def hits(batch: pa.RecordBatch, sent=sent) -> list[pa.Array]:
             x, texts, out = sent.value, text_array(batch.column(text)), []
             for a, b in row_blocks(texts):
                 h, row = words(texts[a:b])
                 own: list[list] = [[] for _ in range(b - a)]
-                for r, i, s, q, w in verify(x, h, row, search(x, h, row, threshold), least):
+                for r, i, s, q, w in verify(x, h, row, search(x, h, row, threshold), least, part):
                     own[r].append({"item_id": int(x.item_id[i]), "score": s, "question": float(q), "answer": float(w)})
                 out += own
             return [pa.array(out, HIT)]
