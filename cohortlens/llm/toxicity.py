@@ -88,11 +88,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     The sample is the labelled ids with the smallest hashes: the same rows at every
     run, spread over all of the table; it is the whole of a smaller table. Its ids
-    (8 bytes each, so 160 kB) are broadcast to the documents, which are not
-    shuffled. Their features are made where the rows are; the passes over them, which
+    (8 bytes each, so 160 kB) are broadcast to the documents; of the rows of one labelled id,
+    the text with the least hash is learned from, taken before the shuffle, so that at most ``max_rows`` texts go on
+    however often an id is repeated. The passes over their features, which
     follow one another, run in one task, whose size the bound limits. Null labels and labels of unknown documents are
     not used; a repeated label row counts once, a document with different labels as
-    its largest; a repeated document is learned from as often as it occurs. Without
+    its largest. Without
     any labelled row the model is empty, and every score is one half.
     """
     importable(docs.sparkSession)
@@ -100,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
              .groupBy(labels[doc_id].cast("long").alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
              .orderBy(F.xxhash64("k"), "k").limit(max_rows))
     rows = (docs.select(docs[doc_id].cast("long").alias("k"), docs[text].cast("string").alias("t"))
-            .join(F.broadcast(known), "k"))
+            .join(F.broadcast(known), "k").groupBy("k").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m"))
+            .select("k", "y", "m.t"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
