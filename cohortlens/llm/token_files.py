@@ -127,6 +127,39 @@ def write(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", doc_
     return staged(ordered.select("doc_id", "text").mapInArrow(run, MANIFEST), "token-manifest")
 
 
+class Sequences:
+    """Random access to the sequences of files in order (the manifest's paths): ``reader[i]`` is (ids, mask).
+
+    A file is opened when first asked for; a local one is mapped, and ids and mask are views of it. Of
+    another file the one record batch is read. Sequence numbers count over all files; each file's last
+    sequence may be padded (mask false), since files are written apart."""
+
+    def __init__(self, paths: list[str], sizes: list[int]):
+        """``sizes``: the manifest's n_ids."""
+        self.paths, self.files = paths, {}
+        self.length = self._file(0).schema.field("ids").type.list_size if paths else 1
+        self.first = np.cumsum([0] + [-(-n // self.length) for n in sizes])
+
+    def __len__(self) -> int:
+        return int(self.first[-1])
+
+    def _file(self, k: int):
+        if k not in self.files:
+            from pyarrow import fs
+            store, local = fs.FileSystem.from_uri(f"{self.paths[k]}.arrow")
+            self.files[k] = pa.ipc.open_file(pa.memory_map(local) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(local))
+        return self.files[k]
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        k = int(np.searchsorted(self.first, i, side="right")) - 1
+        batch, at = divmod(i - int(self.first[k]), SEQUENCES)
+        rows = self._file(k).get_batch(batch)
+        ids, mask = (rows.column(c).flatten().slice(at * self.length, self.length) for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
+
+
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """One row per document from the files alone: its id, the number of ids before it in
     all files, its own number of ids and their crc32 (little-endian, 32 bits each).
