@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cohortlens.session import scratch_path
+from cohortlens.sources.snapshot import file_system
 
 BLOCK_BYTES = 1 << 20
 SHINGLE_WORDS = 5
@@ -53,6 +54,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the folder of a ``staged`` table. Only for one that no later plan reads: whatever was
+    derived from it must be staged itself, so that nothing is computed from it again."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        fs, path, _ = file_system(df.sparkSession, folder)
+        fs.delete(path, True)
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField],
                    fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """Every row of ``df`` plus the columns that ``fn`` computes per Arrow batch."""

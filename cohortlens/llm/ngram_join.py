@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.collocations import Words
-from cohortlens.llm.common import give_back, importable, mix, row_blocks, shingles, staged, text_array
+from cohortlens.llm.common import give_back, importable, mix, release, row_blocks, shingles, staged, text_array
 from cohortlens.llm.graph import components
 
 PERCENT = 85                                  # least similarity
@@ -281,7 +281,9 @@ def linked(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good)], names=["a", "b", "good"])
         give_back()
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, good boolean").where("good").select("a", "b")
+    good = staged(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, good boolean").where("good").select("a", "b"), "linked-pairs")
+    release(texts)
+    return good
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, n_words: int = WORDS) -> DataFrame:
@@ -302,11 +304,13 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
     rows = docs.where(docs[doc_id].isNotNull()).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     order = spark.sparkContext.broadcast(frequencies(rows.select("text"), n_words))
     every = staged(indexed(rows, order, n_words, percent), "ngram-sets")
-    one = every.groupBy("doc_id").agg(F.min(F.struct("c1", "c2", "n")).alias("m")).select("doc_id", "m.*")
+    one = staged(every.groupBy("doc_id").agg(F.min(F.struct("c1", "c2", "n")).alias("m")).select("doc_id", "m.*"), "set-of-document")
     sets = staged(every.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "n", "n_short", "keys", "bits")).alias("m"))
                   .select("c1", "c2", "m.*"), "distinct-sets")
+    release(every)
     member = staged(shared_keys(sets), "ngram-keys")
     shared = staged(member.join(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "shared-keys")
+    release(member)
     company = shared.groupBy("rep").agg(F.sum("size").alias("company"))
     centre = shared.join(company, "rep").groupBy("key").agg(F.min(F.struct(-F.col("company"), "rep", "n")).alias("m")).select(
         "key", F.col("m.rep").alias("a"), F.col("m.n").alias("n_a"))
@@ -318,6 +322,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
     classed = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     mixed = classed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     open_rows = staged(classed.join(mixed, "key", "left_semi").select("key", "rep", "n", "short", "c"), "open-keys")
+    release(shared)
     light = open_rows.where("short").select(*[F.col(c).alias(f"l_{c}") for c in open_rows.columns])
     meet = ((F.col("key") == F.col("l_key")) & (F.col("c") != F.col("l_c")) & (100 * F.col("l_n") >= percent * F.col("n"))
             & ((F.col("l_n") < F.col("n")) | ((F.col("l_n") == F.col("n")) & (F.col("l_rep") < F.col("rep")))))
