@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import give_back, importable, mix, row_blocks, shingles, staged, text_array, words
+from cohortlens.llm.common import give_back, importable, mix, release, row_blocks, shingles, staged, text_array, words
 from cohortlens.llm.graph import components
 
 BANDS, ROWS = 16, 4                           # a pair at 0.8 meets with probability 0.9998
@@ -216,7 +216,9 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, least: float) -
         give_back()
 
     scored = both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, similarity double")
-    return scored.where(F.col("similarity") >= least)
+    scored = staged(scored.where(F.col("similarity") >= least), "verified-pairs")
+    release(texts)
+    return scored
 
 
 def named_classes(bucketed: DataFrame, found: DataFrame) -> DataFrame:
@@ -282,7 +284,8 @@ def rest(open_rows: DataFrame, texts: DataFrame, idf: Broadcast, least: float) -
     rare = staged(rare, "rare-shingles")
     met = (rare.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("apart").alias("apart"))
            .where("lo < hi and apart").select("shingle"))
-    rare = staged(rare.join(met, "shingle", "left_semi"), "shared-shingles")
+    every, rare = rare, staged(rare.join(met, "shingle", "left_semi"), "shared-shingles")
+    release(every)
     light = rare.where("short").select(*[F.col(c).alias(f"l_{c}") for c in rare.columns])
     differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"l_m{i}"))) for i in range(1, BITS)),
                  F.bit_count(F.col("m0").bitwiseXOR(F.col("l_m0"))))
@@ -313,8 +316,10 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
                                                        docs[text].cast("string").alias("text"))
     idf = spark.sparkContext.broadcast(document_frequency(rows.select("text")))
     sketch = staged(sketches(rows, idf), "sketches")
+    one = staged(sketch.groupBy("doc_id").agg(F.min(F.struct("c1", "c2")).alias("c")).select("doc_id", "c.c1", "c.c2"), "sketch-of-document")
     groups = staged(sketch.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "bands", "s0", "s1", "s2", "s3")).alias("m"))
                     .select("c1", "c2", "m.*"), "sketch-groups")
+    release(sketch)
     member = groups.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), "s0", "s1", "s2", "s3")
     shared = staged(member.join(member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared-buckets")
     # a bucket's centre is its member with the most company in all bands: in a group of copies, the original
@@ -323,6 +328,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
               .agg(F.min(F.struct(-F.col("company"), "rep", "s0", "s1", "s2", "s3")).alias("m"))
               .select("key", F.col("m.rep").alias("a"), *[F.col(f"m.s{i}").alias(f"as{i}") for i in range(4)]))
     bucketed = staged(shared.drop("n").join(centre, "key"), "buckets")
+    release(shared)
     stars = staged(bucketed.where((F.col("a") != F.col("rep")) & similar_enough("a", ""))
                    .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
     found = components(verified(stars, rows, idf, least).select("a", "b"))
@@ -331,10 +337,10 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     mixed = named.where("c <> ca").select("key").distinct()
     open_rows = named.join(mixed, "key", "left_semi")
     pairs = staged(rest(open_rows, rows, idf, least).join(stars, ["a", "b"], "left_anti"), "pairs")
+    release(bucketed)
     more = verified(pairs, rows, idf, least).select("a", "b")
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of_group = groups.select("c1", "c2", F.col("doc_id").alias("representative")).join(
         found, F.col("representative") == F.col("node"), "left").select(
         "c1", "c2", "representative", F.coalesce("component", "representative").alias("class_id"))
-    one = sketch.groupBy("doc_id").agg(F.min(F.struct("c1", "c2")).alias("c")).select("doc_id", "c.c1", "c.c2")
     return one.join(of_group, ["c1", "c2"]).select("doc_id", "class_id", "representative")
