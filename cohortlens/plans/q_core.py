@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlens import schema as S
 from cohortlens.functions.exact import exact_mean
 from cohortlens.operators import features, risk
 from cohortlens.plans import inputs
@@ -35,6 +36,17 @@ def ingest_features(spark, sf_dir):
     return inputs.students(spark, sf_dir)
 
 
+_DERIVED = ["average_score", "attendance_ratio", "performance_drop", "score_variance", "risk_level"]
+
+
+@register("ingest_default_class", with_students(
+    f"SELECT student_id, '{S.DEFAULT_FACULTY}' AS faculty_id, {', '.join(_DERIVED)} FROM students"))
+def ingest_default_class(spark, sf_dir):
+    """Derived columns of rows that come without a class: all get the default one."""
+    raw = inputs.students_raw(spark, sf_dir).drop("faculty_id")
+    return features.ingest_features(raw).select("student_id", "faculty_id", *_DERIVED)
+
+
 # Deterministic NULL injection on every row's key (no rows are removed): scores
 # go missing on different residues so one, two and three missing values occur.
 def _with_nulls(df):

@@ -188,6 +188,32 @@ def dedupe_last(spark, sf_dir):
     return validate.dedupe_last(inputs.progress(spark, sf_dir))
 
 
+def keyless(progress: DataFrame) -> DataFrame:
+    """Progress records of which every eleventh has lost its key."""
+    return progress.withColumn("student_id", F.when(F.col("seq") % 11 != 0, F.col("student_id")))
+
+
+_KEYLESS = """(SELECT seq, "timestamp", attendance, average_score, risk_level,
+       CASE WHEN seq % 11 <> 0 THEN student_id END AS student_id FROM progress)"""
+
+
+@register("key_checks_null", with_progress(f"""
+SELECT student_id, count(*) AS n_rows, student_id IS NULL AS null_key, count(*) > 1 AS duplicate
+FROM {_KEYLESS} GROUP BY student_id"""))
+def key_checks_null(spark, sf_dir):
+    """Rows by key where keys are missing: those without one are a group, marked as such."""
+    return validate.key_checks(keyless(inputs.progress(spark, sf_dir)))
+
+
+@register("dedupe_last_null", with_progress(f"""
+SELECT student_id, arg_max("timestamp", seq) AS "timestamp", arg_max(attendance, seq) AS attendance,
+       arg_max(average_score, seq) AS average_score, arg_max(risk_level, seq) AS risk_level, max(seq) AS seq
+FROM {_KEYLESS} WHERE student_id IS NOT NULL GROUP BY student_id"""))
+def dedupe_last_null(spark, sf_dir):
+    """The last record of each key; records without a key are refused."""
+    return validate.dedupe_last(keyless(inputs.progress(spark, sf_dir)))
+
+
 # ---------------------------------------------------------------- predictions write-back
 def prediction_updates(spark, sf_dir) -> DataFrame:
     """Prediction results keyed by student, one per progress record (many per id, and

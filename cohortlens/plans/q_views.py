@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cohortlens import schema as S
 from cohortlens.operators import features, updates, views
 from cohortlens.plans import inputs
@@ -107,6 +109,19 @@ def accounts_upsert(spark, sf_dir):
     return created
 
 
+@register("accounts_role_domain", _with_accounts("""
+SELECT username, role, linked_student_id, linked_faculty_id FROM accounts
+WHERE role = 'student' AND cast(substr(linked_student_id, 4) AS bigint) % 5 <> 0
+  AND cast(substr(linked_student_id, 4) AS bigint) % 7 <> 0"""))
+def accounts_role_domain(spark, sf_dir):
+    """Rows created from candidates of which some have an unknown role or none: those are refused."""
+    candidates = updates.student_accounts(inputs.students(spark, sf_dir))
+    number = F.substring("linked_student_id", 4, 8).cast("long")
+    role = F.when(number % 5 == 0, "guest").when(number % 7 != 0, F.col("role"))
+    _, created = updates.insert_if_absent(updates.default_accounts(spark), candidates.withColumn("role", role))
+    return created
+
+
 @register("scoped_counts", _with_accounts("""
 SELECT a.username, a.role,
        CASE WHEN a.role = 'admin' THEN (SELECT count(*) FROM students)
