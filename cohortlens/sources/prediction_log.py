@@ -8,7 +8,8 @@ checkpoint is another writer and touches no earlier batch). Readers fold the
 committed batches (those with ``_SUCCESS``) into the snapshot with one
 latest-per-key aggregate and one equi-join (merge on read). ``compact``
 publishes that view as a new snapshot version and records the exact batches
-it holds; a load records all batches so far, because it clears predictions.
+it holds; a load clears predictions, so all batches committed before it are done with,
+whether it was told of the log or not.
 """
 
 from __future__ import annotations
@@ -45,13 +46,15 @@ class PredictionLog:
         batch.withColumn("arrival", arrival.cast(ARRIVAL)).write.mode("overwrite").parquet(
             f"{self.base}/{writer}-{batch_id}")
 
-    def batches(self) -> list[str]:
-        """Names of the committed batches; a folder that is still being written is none."""
+    def _committed(self) -> dict[str, int]:
+        """Committed batches with the time of their commit; a folder that is still being written is none."""
         fs, p, jvm = file_system(self.spark, self.base)
-        if not fs.exists(p):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)
-                      if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+        marks = [jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS") for s in fs.listStatus(p)] if fs.exists(p) else []
+        return {m.getParent().getName(): fs.getFileStatus(m).getModificationTime() for m in marks if fs.exists(m)}
+
+    def batches(self) -> list[str]:
+        """Names of the committed batches."""
+        return sorted(self._committed())
 
     def next_batch(self, writer: str = "batch") -> int:
         """One more than the writer's greatest batch number, committed or not."""
@@ -73,13 +76,18 @@ class PredictionLog:
         self.spark.createDataFrame([(b,) for b in batches], "batch string").write.mode("overwrite").json(self._marker(version))
 
     def folded(self, store: SnapshotStore) -> frozenset[str]:
-        """Batches that the current version holds: its own marker, or that of the latest version before."""
-        fs, _, jvm = file_system(self.spark, self.base)
-        for v in reversed(store.versions()):
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(self._marker(v), "_SUCCESS")):
-                rows = self.spark.read.schema("batch string").json(self._marker(v)).collect()   # one per batch
-                return frozenset(r["batch"] for r in rows)
-        return frozenset()
+        """Batches that the current version holds or has cleared. A compaction and a load that knows the log
+        leave a marker; a version without one comes from a load, which clears what was committed before it."""
+        versions = store.versions()
+        if not versions:
+            return frozenset()
+        fs, mark, jvm = file_system(self.spark, self._marker(versions[-1]))
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(mark, "_SUCCESS")):
+            rows = self.spark.read.schema("batch string").json(self._marker(versions[-1])).collect()   # one per batch
+            return frozenset(r["batch"] for r in rows)
+        fs, done, _ = file_system(self.spark, f"{store.base}/v={versions[-1]}/_SUCCESS")
+        loaded = fs.getFileStatus(done).getModificationTime()
+        return frozenset(name for name, at in self._committed().items() if at <= loaded)
 
 
 def current(store: SnapshotStore, log: PredictionLog) -> DataFrame:

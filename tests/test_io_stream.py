@@ -194,6 +194,22 @@ def test_reload_clears_logged_predictions(spark):
     assert predicted(pl.current(store, log)) == {ids[1]: "High Risk"}
 
 
+def test_reload_without_the_log_clears_too(spark):
+    from cohortlens.operators import load
+    from cohortlens.sources import prediction_log as pl
+    store, log, ids, batch, predicted = _log_fixture(spark, "reload2")
+    log.append_batch(batch(0, "Low Risk"), 0)
+    pl.compact(store, log)
+    log.append_batch(batch(1, "High Risk"), 1)
+    assert len(predicted(pl.current(store, log))) == 2
+    load.load(store, inputs.students_raw(spark, SF001))                 # a load that isn't given the log
+    assert predicted(pl.current(store, log)) == {}
+    log.append_batch(batch(2, "Medium Risk"), 2)
+    assert predicted(pl.current(store, log)) == {ids[2]: "Medium Risk"}
+    pl.compact(store, log)
+    assert predicted(pl.current(store, log)) == {ids[2]: "Medium Risk"}
+
+
 def test_streams_return_accepted_and_rejected(spark):
     from cohortlens.plans.q_io import progress_requests
     from cohortlens.sources import files
