@@ -14,23 +14,16 @@ Only per-partition summaries (one row per partition) ever reach the driver.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cohortlens.session import ensure_checkpoint_dir, stored
+from cohortlens.session import ensure_checkpoint_dir, range_partitions, stored
 
 _LOW33 = (1 << 33) - 1
-_NULL_KEY = ("__null_key__",)   # stands for a NULL key inside the pandas pass
 
 
 def _num_partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return n or range_partitions(df)
 
 
 def sorted_checkpoint(df: DataFrame, order_cols: list[str], num_partitions: int | None = None) -> DataFrame:
@@ -96,81 +89,43 @@ def ordered_changes(df: DataFrame, key: str, order_cols: list[str], value_cols:
 
     Adds ``prev_<v>`` (NULL on a key's first row) and ``first_<v>``; ``order_cols``
     should end in a unique column (e.g. an arrival number) so that ties cannot
-    make the order, and the result, depend on the partitioning. Within a
-    partition the values come from a vectorised sequential pass over Arrow
-    batches (``mapInPandas``); a key that began in an earlier partition gets
-    its previous and first row from a carry computed on the driver out of
-    per-partition summaries (a few rows per partition, never per key).
+    make the order, and the result, depend on the partitioning. Rows of a NULL key are one group.
+
+    Windows over (partition, key) give the values inside a range partition, so a hot key is as many
+    windows as it has partitions. A key that began in an earlier partition gets its previous and first row
+    from a carry table, one row per partition, that is built and joined on the executors.
     """
-    spark = df.sparkSession
     ck = sorted_checkpoint(df.select(key, *order_cols, *value_cols), [key] + order_cols, num_partitions)
-    row = F.struct(key, *value_cols)
-    summary = sorted(ck.groupBy("_pid").agg(F.min_by(row, F.col("_idx")).alias("f"),
-                                            F.max_by(row, F.col("_idx")).alias("l")).collect(),
-                     key=lambda r: r["_pid"])
-    # First row of each partition's last key, where that key starts inside the partition.
-    pairs = [(r["_pid"], r["l"][key]) for r in summary if r["l"][key] != r["f"][key]]
-    last_key_first = {}
-    if pairs:
-        pdf = spark.createDataFrame(pairs, T.StructType([T.StructField("_pid", T.IntegerType()),
-                                                         ck.schema[key]]))
-        got = (ck.join(F.broadcast(pdf), ["_pid", key]).groupBy("_pid")
-                 .agg(F.min_by(row, F.col("_idx")).alias("lf")).collect())
-        last_key_first = {r["_pid"]: r["lf"].asDict() for r in got}
-    carry: dict[int, dict] = {}
-    prev_last, open_first = None, None
-    for r in summary:
-        pid, f, last = r["_pid"], r["f"].asDict(), r["l"].asDict()
-        if prev_last is not None and prev_last[key] == f[key]:
-            carry[pid] = {"key": f[key], "prev": prev_last, "first": open_first}
-            head_first = open_first
-        else:
-            head_first = f
-        open_first = head_first if last[key] == f[key] else last_key_first[pid]
-        prev_last = last
-
-    out_fields = list(ck.schema.fields) + [
-        T.StructField(f"{p}_{v}", ck.schema[v].dataType) for p in ("prev", "first") for v in value_cols]
-    names = [f.name for f in out_fields]
-    # at most one entry per partition; shipped once per executor, not with every task
-    carry_bc = spark.sparkContext.broadcast(carry)
-
-    def run(batches):
-        carry_map = carry_bc.value
-        state = None                         # (key, last row values, first values of that key)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if state is None:
-                c = carry_map.get(int(pdf["_pid"].iloc[0]))
-                state = (_NULL_KEY if c["key"] is None else c["key"], c["prev"], c["first"]) if c \
-                    else (None, None, None)
-            keys = pdf[key].astype(object).where(pdf[key].notna(), _NULL_KEY)   # NULL keys: one group
-            new_key = keys.ne(keys.shift(1))
-            cont = state[0] is not None and keys.iloc[0] == state[0]
-            new_key.iloc[0] = not cont
-            # position of each row's group start (NULL values count: no null skipping)
-            pos = np.arange(len(pdf))
-            start = pd.Series(np.where(new_key.to_numpy(), pos, -1)).replace(-1, np.nan).ffill()
-            carried = start.isna().to_numpy()          # rows continuing the carried key
-            start_idx = start.fillna(0).astype(int).to_numpy()
-            last_vals = {}
-            for v in value_cols:
-                vals = pdf[v].astype(object).where(pdf[v].notna(), None)
-                last_vals[v] = vals.iloc[-1]
-                prev = vals.shift(1)
-                if cont:
-                    prev.iloc[0] = state[1][v]
-                prev[new_key] = None
-                first = pd.Series(vals.to_numpy()[start_idx], index=pdf.index, dtype=object)
-                if cont:
-                    first[carried] = state[2][v]
-                pdf[f"prev_{v}"] = prev
-                pdf[f"first_{v}"] = first
-            tail = pdf.iloc[-1]
-            state = (keys.iloc[-1], last_vals, {v: tail[f"first_{v}"] for v in value_cols})
-            yield pdf[names]
-    return ck.mapInPandas(run, T.StructType(out_fields)).drop("_pid", "_idx")
+    inside = Window.partitionBy("_pid", key).orderBy("_idx")
+    local = stored(ck.withColumns({"_n": F.row_number().over(inside),
+                                   **{f"prev_{v}": F.lag(v).over(inside) for v in value_cols},
+                                   **{f"first_{v}": F.first(v).over(inside) for v in value_cols}}), "ordered-changes")
+    carry = _carries(local, key, value_cols).withColumnRenamed("_pid", "_of")
+    goes_on = F.col("_of").isNotNull() & F.col(key).eqNullSafe(F.col("_key"))
+    out = local.join(carry, local["_pid"] == carry["_of"], "left")
+    cols = {f"prev_{v}": F.when((F.col("_n") == 1) & goes_on, F.col("_prev").getField(v)).otherwise(F.col(f"prev_{v}"))
+            for v in value_cols}
+    cols |= {f"first_{v}": F.when(goes_on, F.col("_first").getField(v)).otherwise(F.col(f"first_{v}")) for v in value_cols}
+    return out.withColumns(cols).drop("_pid", "_idx", "_n", "_of", "_key", "_prev", "_first")
+
+
+def _carries(local: DataFrame, key: str, value_cols: list[str]) -> DataFrame:
+    """(_pid, _key, _prev, _first) of the partitions whose first key began in an earlier one: the key's
+    last row before the partition, and its first row.
+
+    Partitions lie in key order, so a key that goes on is the last key of every partition that it
+    has left: its first row is in the first of these, its latest row in the one before."""
+    values = F.struct(*value_cols)
+    firsts = F.struct(*[F.col(f"first_{v}").alias(v) for v in value_cols])
+    parts = stored(local.groupBy("_pid").agg(
+        F.min_by(F.struct(F.col(key).alias("k")), "_idx").alias("head"),
+        F.max_by(F.struct(F.col(key).alias("k"), values.alias("row"), firsts.alias("first")), "_idx").alias("tail")), "ordered-parts")
+    tails = parts.groupBy(F.col("tail.k").alias("_tail")).agg(
+        F.min("_pid").alias("from"), F.min_by("tail.first", "_pid").alias("_first"), F.max_by("tail.row", "_pid").alias("latest"))
+    before = F.lag("tail.row").over(Window.partitionBy("_run").orderBy("_pid"))       # one row per partition
+    heads = parts.withColumn("_run", F.col("tail.k")).select("_pid", F.col("head.k").alias("_key"), F.col("tail.k").eqNullSafe(F.col("head.k")).alias("whole"), before.alias("before"))
+    found = heads.join(tails, F.col("_key").eqNullSafe(F.col("_tail")) & (F.col("from") < F.col("_pid")))
+    return found.select("_pid", "_key", F.when(F.col("whole"), F.col("before")).otherwise(F.col("latest")).alias("_prev"), "_first")
 
 
 BINS = 4096                                   # parts that a range is cut into by a round of selection

@@ -68,29 +68,27 @@ def check_history(role: str, student_id: str, own_id: str | None) -> None:
         raise PermissionError(f"{role} may not read the history of {student_id}")
 
 
-_ALL = "\u0000all"   # key of the whole-table row (cannot collide with a class id)
+# grouping_id over (faculty_id, student_id): the bit of a column that a set leaves out is 1
+_CLASS, _OWN, _WHOLE = 1, 2, 3
 
 
 def scoped_counts(accounts: DataFrame, students: DataFrame) -> DataFrame:
-    """Rows each account may read, for every account at once, in one plan.
+    """Rows each account may read, for every account at once; the students are read once.
 
-    Students are pre-aggregated per class, and the whole-table total is one more
-    row of that small table under its own key, so admin and faculty accounts
-    both meet it by an equi-join (a class holding a third of all rows is one
-    partial-aggregated count, not a skewed join). Student accounts meet their
-    own row by an equi-join on the key (at most one row per key there).
+    One aggregate over grouping sets counts the students of every class, of every id and of the whole
+    table (combined map-side, so a class holding a third of all rows is no skew). Each account
+    meets the one count of its scope by an equi-join.
     """
-    per_class = students.groupBy("faculty_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = per_class.unionByName(
-        per_class.agg(F.sum("n").alias("n")).select(F.lit(_ALL).alias("faculty_id"), "n"))
-    staff = accounts.filter(F.col("role").isin("admin", "faculty")).withColumn(
-        "_scope", F.when(F.col("role") == "admin", F.lit(_ALL)).otherwise(F.col("linked_faculty_id")))
-    staff = staff.join(counts, F.col("_scope") == F.col("faculty_id"), "left")
-    own = students.select(F.col("student_id").alias("_sid")).withColumn("n", F.lit(1).cast("long"))
-    studs = (accounts.filter(F.col("role") == "student")
-             .join(own, F.col("linked_student_id") == F.col("_sid"), "left"))
-    cols = ["username", "role", F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n_visible")]
-    return staff.select(cols).unionByName(studs.select(cols))
+    sets = students.groupingSets([["faculty_id"], ["student_id"], []], "faculty_id", "student_id").agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"))
+    counts = sets.select("n", F.col("_set").alias("_of"), F.when(F.col("_set") == _WHOLE, F.lit("")).otherwise(
+        F.coalesce("faculty_id", "student_id")).alias("_id"))
+    wanted = accounts.where(F.col("role").isin("admin", "faculty", "student")).withColumns({
+        "_set": F.when(F.col("role") == "admin", _WHOLE).when(F.col("role") == "faculty", _CLASS).otherwise(_OWN),
+        "_scope": F.when(F.col("role") == "admin", F.lit("")).when(F.col("role") == "faculty", F.col("linked_faculty_id"))
+        .otherwise(F.col("linked_student_id"))})
+    both = wanted.join(counts, (F.col("_set") == F.col("_of")) & (F.col("_scope") == F.col("_id")), "left")
+    return both.select("username", "role", F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n_visible"))
 
 
 def high_risk(df: DataFrame) -> DataFrame:

@@ -68,6 +68,24 @@ def apply_scale_conf(spark: SparkSession, input_bytes: int, **kw) -> None:
         spark.conf.set(k, v)
 
 
+def source_bytes(df: DataFrame) -> int | None:
+    """Bytes of all sources that ``df`` is derived from, by the optimizer's statistics; None if one is unknown.
+
+    Sources are summed up: the estimate for a join is the product of its sides."""
+    unknown = df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes()
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(s >= unknown for s in sizes) else sum(sizes)
+
+
+def range_partitions(df: DataFrame, task_bytes: int = 64 << 20) -> int:
+    """Partitions for a range exchange of ``df``, whose number AQE doesn't change: one for each
+    ``task_bytes`` of source, and no fewer than the session's shuffle partitions."""
+    least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = source_bytes(df)
+    return least if size is None else max(least, -(-size // task_bytes))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering it with the context.
 

@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.session import range_partitions
+
 
 def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -73,12 +75,11 @@ class SnapshotStore:
         staging = f"{self.base}/staging-{uuid.uuid4().hex}"
         out = df if "created_at" in df.columns else df.withColumn("created_at", F.current_timestamp())
         if cluster_by:
-            n = num_files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             # written plainly first: the range sample then reads this copy, not the input again
             raw = f"{staging}-raw"
             out.write.parquet(raw)
             out = self.spark.read.schema(out.schema).parquet(raw)
-            out = out.repartitionByRange(n, *cluster_by).sortWithinPartitions(*cluster_by)
+            out = out.repartitionByRange(num_files or range_partitions(out), *cluster_by).sortWithinPartitions(*cluster_by)
         counted = Observation()
         out.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(staging)
         fs, _, jvm = file_system(self.spark, self.base)

@@ -56,17 +56,15 @@ def test_ordered_changes_with_null_values_and_keys(spark):
     assert sorted(got.select(cols).collect(), key=str) == sorted(want.select(cols).collect(), key=str)
 
 
-def test_ordered_changes_across_tiny_arrow_batches(spark):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "7")
-    try:
-        df = _data(spark, 900)
-        got = ordered_changes(df, "k", ["t", "seq"], ["a"], num_partitions=5)
-        w = Window.partitionBy("k").orderBy("t", "seq")
-        want = df.select("k", "t", "seq", "a", F.lag("a").over(w).alias("prev_a"),
-                         F.first("a").over(w).alias("first_a"))
-        cols = ["k", "t", "seq", "a", "prev_a", "first_a"]
-        assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
-    finally:
-        spark.conf.set(key, old)
+@pytest.mark.parametrize("parts", [3, 40])
+def test_ordered_changes_when_keys_begin_and_end_inside_partitions(spark, parts):
+    """One key over almost all partitions, none that fills one, and partitions without rows."""
+    rows = [("b", i, i, None if i % 4 == 0 else float(i)) for i in range(200)] + \
+           [(k, i, 1000 + i, float(i)) for k in ("a", "c", None) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, t long, seq long, a double")
+    w = Window.partitionBy("k").orderBy("t", "seq")
+    cols = ["k", "t", "seq", "a", "prev_a", "first_a"]
+    for part in (df, df.where("k = 'b'"), df.where("k <> 'b'"), df.limit(0)):
+        got = ordered_changes(part, "k", ["t", "seq"], ["a"], num_partitions=parts)
+        want = part.select("k", "t", "seq", "a", F.lag("a").over(w).alias("prev_a"), F.first("a").over(w).alias("first_a"))
+        assert sorted(got.select(cols).collect(), key=str) == sorted(want.select(cols).collect(), key=str)

@@ -40,14 +40,15 @@ def test_lookup_filter_is_pushed_down(spark):
     assert "EqualTo(user_id,1)" in plan
 
 
-_ALLOWED_WINDOW_KEYS = ({"_pid"}, {"risk_level", "gi"})
+_ALLOWED_WINDOW_KEYS = ({"_pid"}, {"risk_level", "gi"}, {"_run"})
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_windows_never_partition_by_a_hot_key(spark, name):
     """A Window puts each partition key's rows in one task. The only windows allowed are over
     one balanced range partition (``_pid``) or the (risk level, grid point) cells of the trend
-    bandwidth, whose size is bounded by the distinct x values of a group."""
+    bandwidth, whose size is bounded by the distinct x values of a group, or over a table with one
+    row per range partition (``_run``)."""
     import re
     plan = _plan(registry.QUERIES[name](spark, SF001))
     for line in plan.splitlines():
@@ -56,3 +57,30 @@ def test_windows_never_partition_by_a_hot_key(spark, name):
         m = re.search(r"\], \[([^\]]*)\], \[", line)
         keys = {k.split("#")[0].strip() for k in m.group(1).split(",")} if m and m.group(1) else set()
         assert keys in _ALLOWED_WINDOW_KEYS, f"{name}: window partitioned by {keys}"
+
+
+def test_trend_over_time_has_no_python(spark):
+    plan = _plan(registry.QUERIES["progress_trend"](spark, SF001))
+    assert "InPandas" not in plan and "InArrow" not in plan
+
+
+def test_scoped_counts_reads_the_students_twice_at_most(spark):
+    """Once for the accounts, once for the counts."""
+    plan = _plan(registry.QUERIES["scoped_counts"](spark, SF001))
+    assert sum("FileScan" in ln and "lineitem" in ln for ln in plan.splitlines()) <= 2
+
+
+def test_range_partitions_follow_the_sources_size(spark):
+    from cohortlens.session import range_partitions, source_bytes
+    small, large = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("nation", "lineitem"))
+    sizes = [source_bytes(d) for d in (small, large)]
+    assert 0 < sizes[0] < sizes[1]
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    task = sizes[0] + 1
+    assert [range_partitions(d, task) for d in (small, large)] == [least, max(least, -(-sizes[1] // task))]
+    assert range_partitions(large, sizes[1] // (4 * least)) >= 4 * least
+    # a join is as large as both its sides, not as their product; rows made in Python have no known size
+    both = small.join(large.select("l_orderkey"), small["n_nationkey"] == large["l_orderkey"])
+    assert source_bytes(both) == sum(sizes)
+    assert source_bytes(spark.createDataFrame([(1,)], "a int")) is None
+    assert range_partitions(spark.createDataFrame([(1,)], "a int")) == least
