@@ -1,12 +1,12 @@
-"""Line deduplication: exact copies by hash, near copies by an edit join on word pairs and segments.
+"""Line deduplication: exact copies by hash, near copies by a segment-partition edit join.
 
 DataFrame functions only. How many edits k a near copy may have follows the length of the
-shorter line. One edit touches at most two neighbouring words, so at most three neighbouring
-word pairs. In one order of all word pairs, a line's first ones that no k edits can touch all
-are its keys: of two lines within k edits, one's keys hold a pair that is a key of the other
-too. Where both have too few words for that, segments serve: every line of length t is cut
-into k + 1, and a line within k edits of it holds one unchanged, at a place that the difference
-of the lengths and the segment's number allow. What is found is verified by edit distance.
+shorter line. Lines of one class of lengths are cut into k + 1 segments of one size at the same
+places. Of two lines within k edits, the longer one holds a segment of the shorter one unchanged, moved
+by no more than the edits before and after it allow: segment i by i to the right, by the lesser of i and
+k - i to the left. So every line looks up those substrings in the index of its class, and in the next
+lower class if that is within its edits. Substrings that no line has as a segment are dropped by a bitmap of the index
+before anything is shuffled. What meets is verified by bit-parallel edit distance in a band of 2k + 1 diagonals.
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import staged
+from cohortlens.llm.common import release, staged
 
 # (least length of the shorter line, edits): about a tenth of it, up to a word with its space
 MAX_EDITS = ((20, 2), (40, 4), (100, 6), (200, 8))
 NEAR_CHARS = 20                               # shorter lines only count as copies when equal
-SLOTS = 48                                    # places of word pairs are told apart modulo this
-LENGTHS = 50                                  # word pairs only meet in lines of one class of so many lengths, or the next
-FOUND, LOOKED_UP = 1, 2                       # what a key is for
+CLASS = 8                                     # a class holds this many lengths for each edit
+TAIL = 6                                      # low bits of a line's id that hold its length
+BUCKET = 15                                   # bits of a cell number within one row of a bitmap
+MAX_CELLS = 30                                # a bitmap has 2^30 cells at most: 128 MB
 
 
 def _bands(max_edits, near_chars: int) -> list[tuple[int, int]]:
@@ -30,6 +31,11 @@ def _bands(max_edits, near_chars: int) -> list[tuple[int, int]]:
         {max(least, near_chars): k for least, k in sorted(max_edits)}.items())
 
 
+def _once(value: Column, fn) -> Column:
+    """``fn(value)``; a lambda's argument is computed once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _edits(n: Column, bands: list[tuple[int, int]]) -> Column:
     """Edits that a line of n characters may differ by from a longer one; -1 below the first band."""
     out = F.lit(-1)
@@ -38,52 +44,79 @@ def _edits(n: Column, bands: list[tuple[int, int]]) -> Column:
     return out
 
 
-def _segment(t: Column, i: int, k: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line of t characters: even parts, longer ones last."""
-    short = F.floor(t / (k + 1)).cast("int")
-    extra = t % (k + 1)
-    return i * short + F.greatest(F.lit(0), i - (k + 1 - extra)), short + F.when(F.lit(i) >= k + 1 - extra, 1).otherwise(0)
+def _class(n: Column, bands: list[tuple[int, int]]) -> Column:
+    """The least length of n's class."""
+    out = F.lit(0)
+    for least, k in bands:
+        width = max(CLASS * k, 1)
+        out = F.when(n >= least, least + F.floor((n - least) / width).cast("int") * width).otherwise(out)
+    return out
 
 
-def _key(line: Column, t: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), t, F.substring(line, start + 1, size))
+def _places(k: int, what: str) -> list[int]:
+    """Segment i moved by d, as 64 i + d + 32: the segments themselves, all that a longer line looks up, or those that moved."""
+    moves = {"own": lambda i: [0], "all": lambda i: range(-min(i, k - i), i + 1)}
+    moves["moved"] = lambda i: [d for d in moves["all"](i) if d]
+    return [64 * i + d + 32 for i in range(k + 1) for d in moves[what](i)] if k else []
 
 
-def _once(value: Column, fn) -> Column:
-    """``fn(value)``; a lambda's argument is computed once."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
+def _by_edits(k: Column, bands: list[tuple[int, int]], what: str) -> Column:
+    out = F.array().cast("array<int>")
+    for each in sorted({k for _, k in bands}):
+        out = F.when(k == each, F.array(*[F.lit(x) for x in _places(each, what)]).cast("array<int>")).otherwise(out)
+    return out
 
 
-def _word_pairs(line: Column, k: Column) -> Column:
-    """(pairs, poor): a line's first word pairs, as longs in one order (longer ones, which are
-    rarer, first), that k edits can't all touch; or all of them. ``poor``: k edits can touch all.
+def _key(line: Column, base: Column, k: Column, place: Column) -> Column:
+    """Key of the substring that ``place`` names, in the class that begins at ``base``."""
+    size = F.floor(base / (k + 1)).cast("int")
+    i, move = F.floor(place / 64).cast("int"), place % 64 - 32
+    return F.xxhash64(base, i, F.substring(line, i * size + move + 1, size))
 
-    Pairs three or more places apart need an edit each, so k + 1 such are enough. Places are
-    compared modulo SLOTS, by which at most some more pairs are taken.
-    """
-    low, none = 63, F.array().cast("array<bigint>")                    # the low bits hold the place
-    rank = lambda x, y: F.shiftleft(127 - F.least(F.lit(127), F.char_length(x) + F.char_length(y)).cast("long"), 56).bitwiseOR(
-        F.shiftrightunsigned(F.xxhash64(x, y), 8)).bitwiseAND(F.lit(~low))
-    pair = lambda w, i: rank(F.get(w, i), F.get(w, i + 1)).bitwiseOR(i % SLOTS)
-    pairs = _once(F.split(line, " "), lambda w: F.when(F.size(w) > 1, F.sort_array(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: pair(w, i)))).otherwise(none))
-    bit = F.array(*[F.lit(1 << i).cast("long") for i in range(SLOTS)])
-    near = F.array(*[F.lit(sum(1 << (i + j) % SLOTS for j in range(-2, 3))).cast("long") for i in range(SLOTS)])
-    taken = lambda s: F.bit_count(s.bitwiseAND(F.lit((1 << SLOTS) - 1)))
-
-    # the state: the places taken, and above them the number of pairs looked at
-    def step(s: Column, x: Column) -> Column:
-        at = x.bitwiseAND(F.lit(low)).cast("int")
-        new = F.when(s.bitwiseAND(F.get(near, at)) == 0, F.get(bit, at)).otherwise(F.lit(0).cast("long"))
-        return F.when(taken(s) > k, s).otherwise(s + F.lit(1 << SLOTS) + new)
-
-    def cut(xs: Column) -> Column:
-        state = F.aggregate(F.slice(xs, 1, 64), F.lit(0).cast("long"), step)
-        first = lambda s: F.when(taken(s) > k, F.slice(xs, 1, F.shiftright(s, SLOTS).cast("int"))).otherwise(xs)
-        return _once(state, lambda s: F.struct(F.array_distinct(F.transform(first(s), lambda x: x.bitwiseAND(F.lit(~low)))).alias("pairs"),
-                                               (F.size(xs) <= 3 * k).alias("poor")))
-
-    return _once(pairs, cut)
+
+def own_keys(line: Column, n: Column, bands: list[tuple[int, int]]) -> Column:
+    """Keys of a line's segments."""
+    k = _edits(n, bands)
+    return _once(F.struct(_class(n, bands).alias("base"), k.alias("k")), lambda c: F.transform(
+        _by_edits(k, bands, "own"), lambda p: _key(line, c["base"], c["k"], p)))
+
+
+def probes(lines: DataFrame, bands: list[tuple[int, int]]) -> DataFrame:
+    """(key, id) of all moved substrings of ``lines`` (id, line, n) in their class, and all in the class below within reach."""
+    n = F.col("n")
+    own = lines.withColumns({"k": _edits(n, bands), "base": _class(n, bands)})
+    last = F.col("base") - 1                                           # the longest line of the class below
+    below = own.withColumns({"k": _edits(last, bands), "base": _class(last, bands), "gap": n - last}).where(
+        (F.col("k") > 0) & (F.col("gap") <= F.col("k"))).drop("gap")
+    both = [d.select("id", "line", "base", "k", F.explode(_by_edits(F.col("k"), bands, what)).alias("place"))
+            for d, what in ((own, "moved"), (below, "all"))]
+    rows = both[0].unionByName(both[1])
+    return rows.select(_key(F.col("line"), F.col("base"), F.col("k"), F.col("place")).alias("key"), "id")
+
+
+def bitmap(keys: DataFrame, cells: int) -> DataFrame:
+    """(bucket, words): which of 2^cells cells a key (column ``key``) falls into, 2^BUCKET cells a row. Its size
+    is bounded by ``cells``, whatever the number of keys."""
+    cell = F.col("key").bitwiseAND(F.lit((1 << cells) - 1))
+    rows = keys.groupBy(F.shiftright(cell, BUCKET).cast("int").alias("bucket")).agg(
+        F.bitmap_construct_agg(cell.bitwiseAND(F.lit((1 << BUCKET) - 1))).alias("bits"))
+    # eight bytes make a word, the first one highest
+    word = lambda i: F.conv(F.hex(F.substring("bits", i * 8 + 1, 8)), 16, -10).cast("long")
+    return rows.select("bucket", F.transform(F.sequence(F.lit(0), F.lit((1 << BUCKET) // 64 - 1)), word).alias("words"))
+
+
+def in_bitmap(rows: DataFrame, bits: DataFrame, cells: int) -> DataFrame:
+    """The rows whose ``key`` falls into a cell of ``bits``: all with a key that was counted there, and some others."""
+    cell = F.col("key").bitwiseAND(F.lit((1 << cells) - 1))
+    at = cell.bitwiseAND(F.lit((1 << BUCKET) - 1)).cast("int")
+    joined = rows.join(F.broadcast(bits.withColumnRenamed("bucket", "__bucket")), F.shiftright(cell, BUCKET).cast("int") == F.col("__bucket"))
+    shift = 8 * (7 - F.floor(at / 8).cast("int") % 8) + at % 8
+    return joined.where(F.call_function("getbit", F.get("words", F.floor(at / 64).cast("int")), shift) == 1).drop("__bucket", "words")
+
+
+def _cells(n_keys: int, least: int = 20) -> int:
+    """Cells for so many keys, as a power of 2: 16 to 32 a key up to MAX_CELLS."""
+    return min(MAX_CELLS, max(least, (16 * n_keys).bit_length()))
 
 
 def signature(line: Column) -> Column:
@@ -126,30 +159,77 @@ def _common_start(x: Column, y: Column) -> Column:
     return F.aggregate(F.filter(bits, lambda b: b <= least), F.lit(0), lambda at, b: F.when(at + b <= least, longer(at, b)).otherwise(at))
 
 
-def links(lines: DataFrame, texts, bands: list[tuple[int, int]]) -> DataFrame:
-    """(a, b): ids of distinct lines within the edits that their lengths allow; ``lines``: id, n,
-    sig and keys; ``texts``: from a table of ids to (id, line)."""
-    role = lambda c, r: F.transform(c, lambda x: F.struct(x.alias("key"), F.lit(r).alias("role")))
-    rows = lines.select(F.explode(F.concat(role("both", FOUND | LOOKED_UP), role("own", FOUND), role("probe", LOOKED_UP))).alias("x"),
-                        "id", "n", "sig")
-
-    # both sides are dealt out alike, so that it is done once
-    def side(c: str) -> DataFrame:
-        return rows.select(F.col("x.key").alias(f"key{c}"), F.col("id").alias(c), F.col("n").alias(f"n{c}"),
-                           F.col("sig").alias(f"s{c}"), F.col("x.role").alias(f"r{c}"))
-
-    k = _edits(F.col("na"), bands)
-    roles = (F.col("ra") + 4 * F.col("rb")).isin([a + 4 * b for a in (1, 3) for b in (2, 3)])
-    meet = ((F.col("keya") == F.col("keyb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & roles
-            & (F.col("nb") - F.col("na") <= k) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 3 * k))
-    found = staged(side("a").join(side("b"), meet).select("a", "b", k.alias("k")).distinct(), "line-pairs")
-    line = staged(texts(found.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "line-texts")
-    both = (found.join(line.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
-            .join(line.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b"))
+def within(x: Column, y: Column, k: int) -> Column:
+    """Whether x, the shorter text, and y are within k edits. Bit-parallel: one long holds the vertical differences of
+    the 2k + 1 rows around the diagonal, and a character of y moves it on by one row. x has more than k characters."""
+    width = 2 * k + 1
+    mask = F.lit((1 << width) - 1)
+    right = lambda v, by: F.shiftrightunsigned(v, by)
+    bit = lambda v, at: F.call_function("shiftrightunsigned", v, at).bitwiseAND(F.lit(1))
+    out = lambda v: F.bitwise_not(v).bitwiseAND(mask)
+
+    def run(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        start = F.struct(F.lit(((1 << width) - 1) & ~((1 << k) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(k).cast("long").alias("n"))
+
+        def step(s: Column, i: Column) -> Column:
+            equal = lambda c: sum((F.when(F.get(a, i + (j - k)) == c, F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j in range(width)),
+                                  F.lit(0).cast("long"))
+
+            def moved(eq: Column) -> Column:
+                return ((eq.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(eq).bitwiseOR(s["vn"]).bitwiseAND(mask)
+
+            def following(d0: Column) -> Column:
+                h = F.struct(s["vn"].bitwiseOR(out(d0.bitwiseOR(s["vp"]))).alias("hp"), d0.bitwiseAND(s["vp"]).alias("hn"))
+                past = i - (F.size(a) - k)                              # rows that the band's lower edge is past x's end
+                row = F.greatest(F.lit(0), F.lit(width - 2) - past)
+                n = lambda g: F.when(past < 0, s["n"] + 1 - bit(d0, F.lit(width - 1))).otherwise(s["n"] + bit(g["hp"], row) - bit(g["hn"], row))
+                return _once(h, lambda g: F.struct(
+                    g["hn"].bitwiseOR(out(right(d0, 1).bitwiseOR(g["hp"]))).alias("vp"), right(d0, 1).bitwiseAND(g["hp"]).alias("vn"), n(g).alias("n")))
+
+            return _once(_once(_once(F.get(b, i), equal), moved), following)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, step, lambda s: s["n"] <= k)
+
+    return _once(F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b")), run)
+
+
+def links(index: DataFrame, looked_up: DataFrame, texts, bands: list[tuple[int, int]]) -> DataFrame:
+    """(a, b): ids of distinct lines within the edits that their lengths allow. ``index``: (key, id) of the segments,
+    ``looked_up``: of the other substrings; ``texts``: from a table of ids to (id, line)."""
+    most = max(k for _, k in bands)
+    length = lambda c: F.col(c).bitwiseAND(F.lit((1 << TAIL) - 1))
+    longer = lambda x, y: (length(y) - length(x)).bitwiseAND(F.lit((1 << TAIL) - 1)) <= most
+    a, b = (index.select(F.col("key").alias(f"k{c}"), F.col("id").alias(c)) for c in "ab")
+    moved = looked_up.distinct().select(F.col("key").alias("kb"), F.col("id").alias("b"))
+    meet = F.col("ka") == F.col("kb")
+    in_place = a.join(b, meet & (F.col("a") < F.col("b")) & (longer("a", "b") | longer("b", "a")))
+    apart = a.join(moved, meet & (F.col("a") != F.col("b")) & longer("a", "b"))
+    found = staged(in_place.select("a", "b").unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+                   .distinct(), "line-pairs")
+    line = texts(found.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    line = staged(line.withColumns({"n": F.char_length("line"), "sig": signature(F.col("line"))}), "line-texts")
+    side = lambda c: line.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    k = _edits(F.least("na", "nb"), bands)
+    possible = found.join(side("a"), "a").join(side("b"), "b").withColumn("k", k).where(
+        (F.abs(F.col("na") - F.col("nb")) <= F.col("k")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 3 * F.col("k")))
+    # the shorter line first
+    swap = F.col("na") > F.col("nb")
+    possible = staged(possible.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "k"),
+                      "line-candidates")
+    text = lambda c: line.select(F.col("id").alias(c), F.col("line").alias(f"l{c}"))
+    both = possible.join(text("a"), "a").join(text("b"), "b")
+    # what both begin with is left out, but for as many characters as the band needs
+    same = F.greatest(F.lit(0), F.least(_common_start(F.col("la"), F.col("lb")), F.char_length("la") - F.col("k") - 1))
     tail = lambda c: F.col(c).substr(F.col("same") + 1, F.char_length(c))
-    # what both begin with is left out
-    cut = both.withColumn("same", _common_start(F.col("la"), F.col("lb"))).select("a", "b", "k", tail("la").alias("la"), tail("lb").alias("lb"))
-    return cut.where(F.call_function("levenshtein", F.col("la"), F.col("lb"), F.col("k")) >= 0).select("a", "b")
+    cut = both.withColumn("same", same).select("a", "b", "k", tail("la").alias("la"), tail("lb").alias("lb"))
+    near = F.lit(False)
+    for each in sorted({k for _, k in bands if k}):
+        near = F.when(F.col("k") == each, within(F.col("la"), F.col("lb"), each)).otherwise(near)
+    result = staged(cut.where(near).select("a", "b"), "line-links")
+    for done in (found, line, possible):
+        release(done)
+    return result
 
 
 def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_edits: int | tuple = MAX_EDITS,
@@ -174,25 +254,30 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_edit
                        F.xxhash64(value).alias("h"), F.split(value, "\n").alias("ls"))
     body = rows.select("d", "h", "ls")
     occ = body.select("d", "h", F.posexplode("ls").alias("pos", "line")).where(F.trim("line") != "").withColumn("n", F.char_length("line"))
+    # lengths meet modulo 64, which is more than two lines within reach can be apart
+    tail = (1 << TAIL) - 1
+    occ = occ.withColumn("id", F.xxhash64("line").bitwiseAND(F.lit(~tail)).bitwiseOR(F.col("n").cast("long").bitwiseAND(F.lit(tail))))
     near_line = F.col("n") >= bands[0][0]
-    occ = occ.select(F.struct("d", "h", "pos").alias("place"), "n", F.xxhash64("line").alias("id"),
-                     F.xxhash64(F.lit(7), "line").alias("id2"), F.when(near_line, signature(F.col("line"))).alias("sig"),
-                     F.when(near_line, keys(F.col("line"), F.col("n"), bands)).alias("key"))
-    distinct = staged(occ.groupBy("id", "id2").agg(F.min("place").alias("first"), F.any_value("n").alias("n"),
-                                                   F.any_value("sig").alias("sig"), F.any_value("key").alias("key")), "lines")
+    distinct = staged(occ.select(F.struct("d", "h", "pos").alias("place"), "id", F.xxhash64(F.lit(7), "line").alias("id2"),
+                                 F.when(near_line, own_keys(F.col("line"), F.col("n"), bands)).alias("own"))
+                      .groupBy("id", "id2").agg(F.min("place").alias("first"), F.any_value("own").alias("own")), "lines")
     place = distinct.select("id", "id2", "first", "first.*")
 
     def texts(ids: DataFrame) -> DataFrame:
         """The candidates' lines, cut out of the documents that have them first."""
-        wanted = ids.join(place, "id").groupBy(F.col("d").alias("wd"), F.col("h").alias("wh")).agg(
-            F.collect_set(F.struct("pos", "id", "id2")).alias("at"))
-        found = body.join(wanted, body["d"].eqNullSafe(wanted["wd"]) & (body["h"] == wanted["wh"])).select(
+        wanted = staged(ids.join(place, "id").groupBy(F.col("d").alias("wd"), F.col("h").alias("wh")).agg(
+            F.collect_set(F.struct("pos", "id", "id2")).alias("at")), "line-places")
+        cells = _cells(wanted.count())
+        some = in_bitmap(body.withColumn("key", F.col("h")), bitmap(wanted.select(F.col("wh").alias("key")), cells), cells)
+        found = some.join(wanted, some["d"].eqNullSafe(wanted["wd"]) & (some["h"] == wanted["wh"])).select(
             F.explode(F.transform("at", lambda a: F.struct(a["id"].alias("id"), a["id2"].alias("id2"),
                                                           F.get("ls", a["pos"]).alias("line")))).alias("x")).select("x.*")
-        return found.where((F.xxhash64("line") == F.col("id")) & (F.xxhash64(F.lit(7), "line") == F.col("id2"))).select("id", "line").distinct()
+        return found.where(F.xxhash64(F.lit(7), "line") == F.col("id2")).select("id", "line").distinct()
 
-    long_lines = distinct.where(near_line).select("id", "n", "sig", "key.both", "key.own", "key.probe")
-    pairs = staged(links(long_lines, texts, bands), "line-links")
+    index = distinct.select(F.explode("own").alias("key"), "id")
+    cells = _cells(distinct.agg(F.sum(F.greatest(F.lit(0), F.coalesce(F.size("own"), F.lit(0))))).first()[0] or 0)
+    looked_up = in_bitmap(probes(occ.where(near_line).select("id", "line", "n"), bands), bitmap(index, cells), cells)
+    pairs = links(index, looked_up, texts, bands)
     ordered = (pairs.join(distinct.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a")
                .join(distinct.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b"))
     later = ordered.select(F.explode(F.array(
