@@ -53,45 +53,40 @@ def _class(n: Column, bands: list[tuple[int, int]]) -> Column:
     return out
 
 
-def _places(k: int, what: str) -> list[int]:
-    """Segment i moved by d, as 64 i + d + 32: the segments themselves, all that a longer line looks up, or those that moved."""
-    moves = {"own": lambda i: [0], "all": lambda i: range(-min(i, k - i), i + 1)}
-    moves["moved"] = lambda i: [d for d in moves["all"](i) if d]
-    return [64 * i + d + 32 for i in range(k + 1) for d in moves[what](i)] if k else []
-
-
-def _by_edits(k: Column, bands: list[tuple[int, int]], what: str) -> Column:
+def _by_edits(k: Column, bands: list[tuple[int, int]], value) -> Column:
+    """The array ``value(k)``, a list of numbers; none where no edit is allowed."""
     out = F.array().cast("array<int>")
-    for each in sorted({k for _, k in bands}):
-        out = F.when(k == each, F.array(*[F.lit(x) for x in _places(each, what)]).cast("array<int>")).otherwise(out)
+    for each in sorted({k for _, k in bands if k}):
+        out = F.when(k == each, F.array(*[F.lit(x) for x in value(each)]).cast("array<int>")).otherwise(out)
     return out
 
 
-def _key(line: Column, base: Column, k: Column, place: Column) -> Column:
-    """Key of the substring that ``place`` names, in the class that begins at ``base``."""
-    size = F.floor(base / (k + 1)).cast("int")
-    i, move = F.floor(place / 64).cast("int"), place % 64 - 32
-    return F.xxhash64(base, i, F.substring(line, i * size + move + 1, size))
+def _size(base: Column, k: Column) -> Column:
+    return F.floor(base / (k + 1)).cast("int")
 
 
 def own_keys(line: Column, n: Column, bands: list[tuple[int, int]]) -> Column:
     """Keys of a line's segments."""
-    k = _edits(n, bands)
-    return _once(F.struct(_class(n, bands).alias("base"), k.alias("k")), lambda c: F.transform(
-        _by_edits(k, bands, "own"), lambda p: _key(line, c["base"], c["k"], p)))
+    k, base = _edits(n, bands), _class(n, bands)
+    return _once(F.struct(base.alias("base"), _size(base, k).alias("size")), lambda c: F.transform(
+        _by_edits(k, bands, lambda k: range(k + 1)), lambda i: F.xxhash64(c["base"], i, F.substring(line, i * c["size"] + 1, c["size"]))))
 
 
 def probes(lines: DataFrame, bands: list[tuple[int, int]]) -> DataFrame:
     """(key, id) of all moved substrings of ``lines`` (id, line, n) in their class, and all in the class below within reach."""
     n = F.col("n")
-    own = lines.withColumns({"k": _edits(n, bands), "base": _class(n, bands)})
+    own = lines.withColumns({"k": _edits(n, bands), "base": _class(n, bands), "moved": F.lit(True)})
     last = F.col("base") - 1                                           # the longest line of the class below
-    below = own.withColumns({"k": _edits(last, bands), "base": _class(last, bands), "gap": n - last}).where(
+    below = own.withColumns({"k": _edits(last, bands), "base": _class(last, bands), "gap": n - last, "moved": F.lit(False)}).where(
         (F.col("k") > 0) & (F.col("gap") <= F.col("k"))).drop("gap")
-    both = [d.select("id", "line", "base", "k", F.explode(_by_edits(F.col("k"), bands, what)).alias("place"))
-            for d, what in ((own, "moved"), (below, "all"))]
-    rows = both[0].unionByName(both[1])
-    return rows.select(_key(F.col("line"), F.col("base"), F.col("k"), F.col("place")).alias("key"), "id")
+    i, left, size = F.col("i"), F.col("left"), F.col("size")
+    rows = own.unionByName(below).withColumn("size", _size(F.col("base"), F.col("k"))).select(
+        "id", "line", "base", "k", "size", "moved", F.explode(_by_edits(F.col("k"), bands, lambda k: range(k + 1))).alias("i"))
+    # what segment i may have moved over is cut out once
+    over = rows.withColumn("left", F.least(i, F.col("k") - i)).select(
+        "id", "base", "i", "size", "left", "moved", F.substring("line", i * size - left + 1, size + left + i).alias("over"))
+    moves = over.select("*", F.explode(F.sequence(F.lit(0), left + i)).alias("at")).where((F.col("at") != left) | ~F.col("moved"))
+    return moves.select(F.xxhash64("base", "i", F.substring("over", F.col("at") + 1, size)).alias("key"), "id")
 
 
 def bitmap(keys: DataFrame, cells: int) -> DataFrame:
@@ -110,8 +105,9 @@ def in_bitmap(rows: DataFrame, bits: DataFrame, cells: int) -> DataFrame:
     cell = F.col("key").bitwiseAND(F.lit((1 << cells) - 1))
     at = cell.bitwiseAND(F.lit((1 << BUCKET) - 1)).cast("int")
     joined = rows.join(F.broadcast(bits.withColumnRenamed("bucket", "__bucket")), F.shiftright(cell, BUCKET).cast("int") == F.col("__bucket"))
-    shift = 8 * (7 - F.floor(at / 8).cast("int") % 8) + at % 8
-    return joined.where(F.call_function("getbit", F.get("words", F.floor(at / 64).cast("int")), shift) == 1).drop("__bucket", "words")
+    # within a word: the byte from the highest down, the bit from the lowest up
+    shift = at.bitwiseAND(F.lit(63)).bitwiseXOR(F.lit(56))
+    return joined.where(F.call_function("getbit", F.get("words", F.shiftright(at, 6)), shift) == 1).drop("__bucket", "words")
 
 
 def _cells(n_keys: int, least: int = 20) -> int:
@@ -159,6 +155,13 @@ def _common_start(x: Column, y: Column) -> Column:
     return F.aggregate(F.filter(bits, lambda b: b <= least), F.lit(0), lambda at, b: F.when(at + b <= least, longer(at, b)).otherwise(at))
 
 
+def _without_start(t: Column, k: Column) -> Column:
+    """x and y of ``t``, backwards, without what both begin with; k + 1 characters of x stay for the band."""
+    cut = lambda c, n: F.reverse(c.substr(n + 1, F.char_length(c)))
+    same = F.greatest(F.lit(0), F.least(_common_start(t["x"], t["y"]), F.char_length(t["x"]) - k - 1))
+    return _once(same, lambda n: F.struct(cut(t["x"], n).alias("x"), cut(t["y"], n).alias("y")))
+
+
 def within(x: Column, y: Column, k: int) -> Column:
     """Whether x, the shorter text, and y are within k edits. Bit-parallel: one long holds the vertical differences of
     the 2k + 1 rows around the diagonal, and a character of y moves it on by one row. x has more than k characters."""
@@ -187,11 +190,14 @@ def within(x: Column, y: Column, k: int) -> Column:
                 return _once(h, lambda g: F.struct(
                     g["hn"].bitwiseOR(out(right(d0, 1).bitwiseOR(g["hp"]))).alias("vp"), right(d0, 1).bitwiseAND(g["hp"]).alias("vn"), n(g).alias("n")))
 
-            return _once(_once(_once(F.get(b, i), equal), moved), following)
+            # what is over k by more than the last k + |y| - |x| steps can take off stays over it
+            lost = s["n"] > 2 * k + F.size(b) - F.size(a)
+            return F.when(lost, s).otherwise(_once(_once(_once(F.get(b, i), equal), moved), following))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, step, lambda s: s["n"] <= k)
 
-    return _once(F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b")), run)
+    points = lambda t: F.transform(F.split(t, ""), lambda c: F.ascii(c))
+    return _once(F.struct(points(x).alias("a"), points(y).alias("b")), run)
 
 
 def links(index: DataFrame, looked_up: DataFrame, texts, bands: list[tuple[int, int]]) -> DataFrame:
@@ -219,14 +225,18 @@ def links(index: DataFrame, looked_up: DataFrame, texts, bands: list[tuple[int,
                       "line-candidates")
     text = lambda c: line.select(F.col("id").alias(c), F.col("line").alias(f"l{c}"))
     both = possible.join(text("a"), "a").join(text("b"), "b")
-    # what both begin with is left out, but for as many characters as the band needs
-    same = F.greatest(F.lit(0), F.least(_common_start(F.col("la"), F.col("lb")), F.char_length("la") - F.col("k") - 1))
-    tail = lambda c: F.col(c).substr(F.col("same") + 1, F.char_length(c))
-    cut = both.withColumn("same", same).select("a", "b", "k", tail("la").alias("la"), tail("lb").alias("lb"))
-    near = F.lit(False)
-    for each in sorted({k for _, k in bands if k}):
-        near = F.when(F.col("k") == each, within(F.col("la"), F.col("lb"), each)).otherwise(near)
-    result = staged(cut.where(near).select("a", "b"), "line-links")
+    pair = F.struct(F.col("la").alias("x"), F.col("lb").alias("y"))
+
+    def near(t: Column) -> Column:
+        out = F.lit(False)
+        for each in sorted({k for _, k in bands if k}):
+            out = F.when(F.col("k") == each, within(t["x"], t["y"], each)).otherwise(out)
+        return out
+
+    # what both begin and end with is left out
+    shorter = lambda t: _without_start(t, F.col("k"))
+    verified = both.where(_once(_once(_once(pair, shorter), shorter), near))
+    result = staged(verified.select("a", "b"), "line-links")
     for done in (found, line, possible):
         release(done)
     return result
