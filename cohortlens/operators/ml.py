@@ -147,9 +147,19 @@ class TrainingSet:
         return self.rows.where(F.col("is_test") if fold is None else F.col("fold") == fold)
 
 
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many equal partitions as the executors run tasks, each in the order of all its columns.
+
+    Every level of every fit is a pass over these. Left as it comes, a table that was coalesced by its bytes is one or
+    two partitions, however many trees grow on each row. Deal and order are the same in a run that is repeated, so the
+    forest's draws, which go by partition and place, are, too."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions(*rows.columns)
+
+
 def training_set(assigned: DataFrame) -> TrainingSet:
     """The rows of ``assigned`` that have a label, stored once: label, features with defaults, part and fold."""
-    rows = stored(with_feature_defaults(assigned).select("risk_level", *S.FEATURE_COLS, "is_test", "fold"), "training-set")
+    own = with_feature_defaults(assigned).select("risk_level", *S.FEATURE_COLS, "is_test", "fold")
+    rows = stored(dealt_out(own), "training-set")
     # a model has each class in it, so the classes are few
     counts = {(r["risk_level"], r["is_test"], r["fold"]): r["n"]
               for r in rows.groupBy("risk_level", "is_test", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}

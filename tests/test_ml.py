@@ -111,3 +111,21 @@ def test_confusion_matrix_with_null_and_given_labels(spark):
     assert len(got) == 9 and (got["A", "A"], got[None, "B"], got["A", None], got["B", "A"]) == (1, 2, 1, 0)
     assert {(r["label"], r["prediction"]): r["count"] for r in ml.confusion_matrix(pairs, ["A", "C"]).collect()} == {
         ("A", "A"): 1, ("A", "C"): 0, ("C", "A"): 0, ("C", "C"): 0}
+
+
+def test_training_rows_are_dealt_out_evenly_and_alike(spark):
+    """A fit's passes run on all cores, also on a table that came as one partition, and a repeated run deals alike."""
+    rows = spark.range(4000).select(
+        F.concat(F.lit("S"), F.col("id").cast("string")).alias("student_id"),
+        F.element_at(F.array(F.lit("High Risk"), F.lit("Low Risk")), (F.col("id") % 2 + 1).cast("int")).alias("risk_level"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 101).cast("double").alias("attendance"),
+        (F.col("id") % 3 == 0).alias("is_test"), (F.col("id") % 5).cast("int").alias("fold")).coalesce(1)
+    n = spark.sparkContext.defaultParallelism
+    deals = []
+    for _ in range(2):
+        data = ml.training_set(rows)
+        at = data.rows.withColumn("_p", F.spark_partition_id())
+        deals.append([tuple(r) for r in at.collect()])
+        sizes = [r["count"] for r in at.groupBy("_p").count().collect()]
+        assert len(sizes) == n and max(sizes) - min(sizes) <= 1 and sum(sizes) == 4000
+    assert deals[0] == deals[1]
