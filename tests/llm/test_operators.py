@@ -179,6 +179,33 @@ def test_a_labelled_id_of_many_rows_is_learned_from_once(spark):
     assert len(once.index) and np.array_equal(once.index, often.index) and np.array_equal(once.weight, often.weight)
 
 
+def test_a_piece_is_looked_up_once_a_block_however_often_it_occurs():
+    import public_tokenizers
+
+    from cohortlens.llm.tokens import WordEncoder
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            Counted.asked += 1
+            return super().__getitem__(k)
+
+    texts = ["the cat, sat. on\nthe mat " * 2000, "", "a\0b c", " ", "\n", ",", "x", "the  cat ,. sat", "mat,\n\nmat.", "é ü. \u2003z"] * 2
+    for file in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = WordEncoder(public_tokenizers.path(file))
+        e.number = Counted()
+        Counted.asked = 0
+        for ids, bounds in e.encode(pa.array(texts)):
+            own = [ids[bounds[i]:bounds[i + 1]].tolist() for i in range(len(bounds) - 1)]
+            assert own == [e.library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert Counted.asked < 200                       # of some 30,000 pieces
+
+
 # 4 ------------------------------------------------------------------ decontamination
 def test_decontamination_finds_what_overlaps(spark, docs):
     items = [(i, prose(30, 1000 + i) + ". " + prose(8, 2000 + i)) for i in range(40)]
