@@ -21,7 +21,7 @@ from cohortlens.llm.common import _powers, give_back, importable, joined_bytes,
 
 THRESHOLD = 10                                # least number of occurrences
 MAX_WORDS = 3
-PART_BYTES = 16 << 20                         # text for each hash partition of the summaries
+PART_BYTES = 8 << 20                          # text for each hash partition of the summaries
 SLACK = 4                                     # a capacity so many times mass / threshold: counts are at most threshold / SLACK too low
 MAP_BITS = 28                                 # of the bitmap of survivors: 32 MB
 TASK_PHRASES = 1 << 21                        # occurrences that a task holds before it hands counts on
@@ -124,10 +124,21 @@ class Summary:
         return (self.entries & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)
 
     def add(self, blocks: list[np.ndarray]) -> None:
-        self.entries = np.sort(np.concatenate([self.entries, *blocks]))
-        h, n = self.entries >> np.uint64(COUNT_BITS), self.counts()
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        h, n = h[first], np.add.reduceat(n, first) if len(h) else n
+        """Takes the entries of ``blocks``, which is left empty: as many tasks do this at a time as a worker has
+        cores, so none of them holds its entries twice."""
+        blocks.append(self.entries)
+        self.entries = np.zeros(0, np.uint64)
+        merged = np.concatenate(blocks)
+        blocks.clear()
+        merged.sort()
+        counts = np.uint64((1 << COUNT_BITS) - 1)
+        new = np.ones(len(merged), bool)
+        np.greater(merged[1:] ^ merged[:-1], counts, out=new[1:])
+        first = np.flatnonzero(new)
+        h = merged[first] >> np.uint64(COUNT_BITS)
+        merged &= counts
+        n = (np.add.reduceat(merged, first) if len(first) else merged).view(np.int64)
+        del merged, first, new
         if len(h) > self.capacity:
             # what the largest one that can't stay has is taken from all: from more than capacity counts
             less = int(np.partition(n, -self.capacity - 1)[-self.capacity - 1])
@@ -188,7 +199,6 @@ def survivors(rows: DataFrame, threshold: int, max_words: int, parts: int) -> np
                 held.append(unpacked(c.as_py()))
                 if sum(map(len, held)) > max(summary.capacity, 1 << 18):
                     summary.add(held)
-                    held = []
         summary.add(held)
         frequent = (summary.entries >> np.uint64(COUNT_BITS))[summary.counts() + summary.error >= threshold]
         marks = np.zeros(1 << max(bits - 3, 0), np.uint8)

@@ -74,6 +74,21 @@ def test_summaries_keep_what_is_frequent():
             assert n - summary.error <= left.get(h, 0) <= n
 
 
+def test_a_summary_does_not_hold_its_entries_many_times():
+    import tracemalloc
+    gen = np.random.default_rng(2)
+    summary, n = C.Summary(1 << 19), 1 << 19
+    one = lambda: np.sort(gen.integers(0, 1 << 36, n).astype(np.uint64)) << np.uint64(C.COUNT_BITS) | np.uint64(1)
+    summary.add([one()])
+    tracemalloc.start()
+    blocks = [one()]
+    tracemalloc.reset_peak()
+    summary.add(blocks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * 8 * n                              # of 2 n entries that were merged
+
+
 def test_scores_pass_64_bits(spark):
     a = 10 ** 13 + 7
     row = spark.createDataFrame([(a, a + 5, a + 11)], "a long, l long, r long").select(C.score("a", "l", "r")).first()
