@@ -131,6 +131,13 @@ def test_bins_of_a_class_have_its_count():
     assert sum(r[2] for r in left) == 1365 and all(r[2] & (r[2] - 1) == 0 for r in left)
 
 
+def test_waiting_pieces_hold_their_own_ids_only():
+    p = packing.Packer(0)
+    list(p.add(1, np.arange(4096 * 50 + 1365, dtype=np.int32)))
+    waiting = [piece[3] for pieces in p.open.values() for piece in pieces]
+    assert [len(w) for w in waiting] == [1365] and all(w.base is None for w in waiting)
+
+
 # 5 ------------------------------------------------------------------ toxicity
 def test_toxicity_learns_on_training_rows_only(spark):
     rows = [(i, prose(40, i) + (" grumble" if i % 3 == 0 else "")) for i in range(900)]
