@@ -10,7 +10,9 @@ verified on the sets themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.collocations import Words
-from cohortlens.llm.common import give_back, importable, mix, release, row_blocks, shingles, staged, text_array
+from cohortlens.llm.common import give_back, importable, mix, parities, release, row_blocks, shingles, staged, text_array
 from cohortlens.llm.graph import components
 
 PERCENT = 85                                  # least similarity
@@ -30,6 +32,7 @@ CLASS_FROM = (64, 4096)                       # documents from which on tokens a
 SMALL = 64                                    # sets below this size are indexed by single tokens
 MEET_BITS = 28                                # cells of the sketch of keys that more than one set has
 BITS = 16                                     # longs of a set's bitmap
+FOLDED = 4                                    # longs of the one that goes with its keys
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -161,14 +164,12 @@ def indexed(docs: DataFrame, order: Broadcast, n_words: int, percent: int) -> Da
                 m = b - a
                 n = np.bincount(row, minlength=m)
                 hashed = np.zeros((2, m), np.uint64)
-                bits = np.zeros((m, BITS * 64), np.uint8)
                 keys = [np.zeros(0, np.uint64)] * m
                 n_short = np.zeros(m, np.int32)
                 if len(h):
                     starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                     rows = row[starts]
                     hashed[0, rows], hashed[1, rows] = np.add.reduceat(mix(h), starts), np.add.reduceat(mix(h + np.uint64(9)), starts)
-                    bits[row, (mix(h) & np.uint64(BITS * 64 - 1)).astype(np.int64)] = 1
                     at = cell(h)
                     by = np.lexsort((h, by_cell.count[at], row))
                     ordered, together = h[by], by_cell.together[at[by]]
@@ -176,7 +177,7 @@ def indexed(docs: DataFrame, order: Broadcast, n_words: int, percent: int) -> Da
                         keys[r], n_short[r] = signatures(ordered[s:e], together[s:e], percent)
                 sizes = np.cumsum([0] + [len(k) for k in keys])
                 flat = np.concatenate(keys).view(np.int64)
-                packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                packed = parities(h, row, m, BITS)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, m), pa.array(n.astype(np.int32)), pa.array(hashed[0].view(np.int64)), pa.array(hashed[1].view(np.int64)),
                      pa.array(n_short), pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(flat)),
@@ -244,14 +245,24 @@ def shared_keys(sets: DataFrame) -> DataFrame:
     return sets.select("keys", "doc_id", "n", "n_short").mapInArrow(run, "key long, rep long, n int, short boolean")
 
 
+def may_link(a: str, b: str, names: list[str], percent: int) -> F.Column:
+    """Whether sizes ``n`` and bitmaps, in the columns ``names``, allow the similarity: as many bits as differ, as many tokens differ at least."""
+    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+    differ = reduce(add, (F.bit_count(F.col(f"{a}{m}").bitwiseXOR(F.col(f"{b}{m}"))) for m in names))
+    return ((100 + percent) * differ <= (100 - percent) * (n_a.cast("long") + n_b)) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+
+
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose bitmaps allow the similarity: as many bits as differ, as many tokens differ at least."""
-    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}"))
-    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(1, BITS)),
-                 F.bit_count(F.get("bits_a", F.lit(0)).bitwiseXOR(F.get("bits_b", F.lit(0)))))
-    total = F.col("n_a").cast("long") + F.col("n_b")
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(
-        ((100 + percent) * differ <= (100 - percent) * total) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b")
+    """Those of ``pairs`` (a, b) that may link by their whole bitmaps."""
+    names = [f"m{i}" for i in range(BITS)]
+    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), *[F.get("bits", F.lit(i)).alias(f"{c}_m{i}") for i in range(BITS)])
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(may_link("a_", "b_", names, percent)).select("a", "b")
+
+
+def folded(sets: DataFrame) -> DataFrame:
+    """(rep, f0, ...): bitmaps of FOLDED longs. Parities add up, so these are the parities of that many cells."""
+    return sets.select(F.col("doc_id").alias("rep"), *[
+        reduce(lambda x, y: x.bitwiseXOR(y), (F.get("bits", F.lit(i)) for i in range(j, BITS, FOLDED))).alias(f"f{j}") for j in range(FOLDED)])
 
 
 def linked(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -291,7 +302,8 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
 
     Equal sets are one node. In the bucket of a key, each member is first compared with one centre (the member
     with the most company in all buckets); then only members in different components of what that found
-    are compared with each other, so a group of near copies gives as many pairs as members. Pairs
+    are compared with each other, so a group of near copies gives as many pairs as members; a small bitmap
+    goes with each of their keys, and what it tells apart never becomes a pair. Pairs
     are left out by exact bounds only (prefixes, sizes, bitmaps), so no link between components is lost.
     A null text has no words, and without words a document is linked with nothing. Rows with
     one doc_id are one document, whose least set hash stands for it; null doc_ids have no row. An
@@ -321,13 +333,15 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
     found = components(linked(stars, rows, n_words, percent))
     classed = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     mixed = classed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_rows = staged(classed.join(mixed, "key", "left_semi").select("key", "rep", "n", "short", "c"), "open-keys")
+    open_rows = staged(classed.join(mixed, "key", "left_semi").select("key", "rep", "n", "short", "c").join(folded(sets), "rep"), "open-keys")
     release(shared)
     light = open_rows.where("short").select(*[F.col(c).alias(f"l_{c}") for c in open_rows.columns])
-    meet = ((F.col("key") == F.col("l_key")) & (F.col("c") != F.col("l_c")) & (100 * F.col("l_n") >= percent * F.col("n"))
+    # the bounds are part of the join, so that only what may link becomes a pair
+    meet = ((F.col("key") == F.col("l_key")) & (F.col("c") != F.col("l_c")) & may_link("", "l_", [f"f{i}" for i in range(FOLDED)], percent)
             & ((F.col("l_n") < F.col("n")) | ((F.col("l_n") == F.col("n")) & (F.col("l_rep") < F.col("rep")))))
     pairs = open_rows.join(light, meet).select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
     pairs = staged(possible(pairs, sets, percent).join(stars, ["a", "b"], "left_anti"), "ngram-pairs")
+    release(open_rows)
     more = linked(pairs, rows, n_words, percent)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of_set = sets.select("c1", "c2", F.col("doc_id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select(

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from cohortlens.llm import common as C
 from cohortlens.llm import ngram_join as J
 from cohortlens.llm import queries
 
@@ -98,3 +99,28 @@ def test_empty_table_and_whole_query(spark):
     names = sorted(found.columns)
     assert sorted(duckdb.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLE['op13_ngram_join']})").fetchall()) == \
         sorted(tuple(r[c] for c in names) for r in found.collect())
+
+
+def test_bitmaps_tell_large_sets_apart():
+    """Two sets of 3000 hashes with most in common differ in no more bits than hashes; nor are the bits full."""
+    gen = np.random.default_rng(3)
+    both = gen.integers(0, 1 << 63, 2600).astype(np.uint64)
+    own = gen.integers(0, 1 << 63, (2, 400)).astype(np.uint64)
+    h = np.concatenate([both, own[0], both, own[1], both])
+    maps = C.parities(h, np.repeat([0, 1, 3], [3000, 3000, 2600]), 4, J.BITS)
+    differ = lambda i, j: int(np.bitwise_count((maps[i] ^ maps[j]).view(np.uint64)).sum())
+    assert maps.shape == (4, J.BITS) and not maps[2].any()
+    assert 300 < differ(0, 1) <= 800 and 0 < differ(0, 3) <= 400 and differ(1, 1) == 0
+
+
+def test_unlike_members_of_a_bucket_are_no_pairs(spark, monkeypatch):
+    """Long texts with a shared passage, of a similarity of about 0.7, meet in keys but are not compared in full."""
+    gen = np.random.default_rng(5)
+    prose = lambda n: " ".join(f"w{i}" for i in gen.integers(0, 100_000, n))
+    passage = prose(1000)
+    rows = [(i, f"{passage} {prose(210)}") for i in range(40)]
+    met, plain = [], J.linked
+    monkeypatch.setattr(J, "linked", lambda pairs, *a: (met.append(pairs.count()), plain(pairs, *a))[1])
+    got = J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == set(range(40))
+    assert sum(met) <= 40
