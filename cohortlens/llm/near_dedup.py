@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import give_back, importable, mix, release, row_blocks, shingles, staged, text_array, words
+from cohortlens.llm.common import give_back, importable, mix, parities, release, row_blocks, shingles, staged, text_array, words
 from cohortlens.llm.graph import components
 
 BANDS, ROWS = 16, 4                           # a pair at 0.8 meets with probability 0.9998
@@ -253,9 +253,7 @@ def rarest(texts: DataFrame, idf: Broadcast, least: float) -> DataFrame:
                 total = np.bincount(row, w, minlength=b - a)
                 onward = (np.cumsum(total)[row] - np.cumsum(w) + w) / total[row] + 1e-9
                 rows = np.unique(row)
-                bits = np.zeros((b - a, BITS * 64), np.uint8)
-                bits[row, (mix(h) & np.uint64(BITS * 64 - 1)).astype(np.int64)] = 1
-                bits = np.packbits(bits[rows], axis=1, bitorder="little").view(np.int64)
+                bits = parities(h, row, b - a, BITS)[rows]
                 keep = onward >= least
                 sizes = np.bincount(row[keep], minlength=b - a)[rows]
                 rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
@@ -329,16 +327,20 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
               .select("key", F.col("m.rep").alias("a"), *[F.col(f"m.s{i}").alias(f"as{i}") for i in range(4)]))
     bucketed = staged(shared.drop("n").join(centre, "key"), "buckets")
     release(shared)
+    # all that is compared below is in a bucket: the texts of the table are moved once
+    of_bucket = rows.join(bucketed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = staged(of_bucket, "bucket-texts")
     stars = staged(bucketed.where((F.col("a") != F.col("rep")) & similar_enough("a", ""))
                    .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
-    found = components(verified(stars, rows, idf, least).select("a", "b"))
+    found = components(verified(stars, texts, idf, least).select("a", "b"))
     named = named_classes(bucketed, found)
     # members of buckets that more than one class meets in
     mixed = named.where("c <> ca").select("key").distinct()
     open_rows = named.join(mixed, "key", "left_semi")
-    pairs = staged(rest(open_rows, rows, idf, least).join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = staged(rest(open_rows, texts, idf, least).join(stars, ["a", "b"], "left_anti"), "pairs")
     release(bucketed)
-    more = verified(pairs, rows, idf, least).select("a", "b")
+    more = verified(pairs, texts, idf, least).select("a", "b")
+    release(texts)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of_group = groups.select("c1", "c2", F.col("doc_id").alias("representative")).join(
         found, F.col("representative") == F.col("node"), "left").select(
