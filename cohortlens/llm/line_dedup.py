@@ -11,6 +11,9 @@ before anything is shuffled. What meets is verified by bit-parallel edit distanc
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ NEAR_CHARS = 20                               # shorter lines only count as copi
 CLASS = 8                                     # a class holds this many lengths for each edit
 TAIL = 6                                      # low bits of a line's id that hold its length
 BUCKET = 15                                   # bits of a cell number within one row of a bitmap
+LANES = [*"abcdefghijklmnopqrstuvwxyz", "01", "23", "45", "67", "89", " "]   # characters that a line's signature counts
 MAX_CELLS = 30                                # a bitmap has 2^30 cells at most: 128 MB
 
 
@@ -121,6 +125,24 @@ def signature(line: Column) -> Column:
     return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
 
 
+def letters(line: Column) -> list[Column]:
+    """Longs with eight bits for each of LANES: how many of its characters the line has, modulo 16, in a code of which one
+    bit changes from each number to the next (and from 15 to 0). So as many bits as differ, that many characters at least two
+    lines don't have in common; an edit takes one and gives one at most, and one of them only if it changes the length."""
+    code = F.array(*[F.lit((1 << t) - 1 if t <= 8 else 0xFF & ~((1 << t - 8) - 1)).cast("long") for t in range(16)])
+    out = []
+    for at in range(0, len(LANES), 8):
+        long = F.lit(0).cast("long")
+        for i, lane in enumerate(LANES[at:at + 8]):
+            without = line
+            for c in lane:
+                without = F.replace(without, F.lit(c), F.lit(""))
+            n = (F.char_length(line) - F.char_length(without)).bitwiseAND(F.lit(15))
+            long = long.bitwiseOR(F.shiftleft(F.get(code, n), 8 * i))
+        out.append(long)
+    return out
+
+
 def keys(line: Column, n: Column, bands: list[tuple[int, int]]) -> Column:
     """(both, own, probe), all longs: what a line of n characters is found by (both, own), and looks
     up to find lines that are as long or shorter (both, probe)."""
@@ -202,27 +224,30 @@ def within(x: Column, y: Column, k: int) -> Column:
 
 def links(index: DataFrame, looked_up: DataFrame, texts, bands: list[tuple[int, int]]) -> DataFrame:
     """(a, b): ids of distinct lines within the edits that their lengths allow. ``index``: (key, id) of the segments,
-    ``looked_up``: of the other substrings; ``texts``: from a table of ids to (id, line)."""
-    most = max(k for _, k in bands)
-    length = lambda c: F.col(c).bitwiseAND(F.lit((1 << TAIL) - 1))
-    longer = lambda x, y: (length(y) - length(x)).bitwiseAND(F.lit((1 << TAIL) - 1)) <= most
-    a, b = (index.select(F.col("key").alias(f"k{c}"), F.col("id").alias(c)) for c in "ab")
-    moved = looked_up.distinct().select(F.col("key").alias("kb"), F.col("id").alias("b"))
-    meet = F.col("ka") == F.col("kb")
-    in_place = a.join(b, meet & (F.col("a") < F.col("b")) & (longer("a", "b") | longer("b", "a")))
-    apart = a.join(moved, meet & (F.col("a") != F.col("b")) & longer("a", "b"))
-    found = staged(in_place.select("a", "b").unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-                   .distinct(), "line-pairs")
-    line = texts(found.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    line = staged(line.withColumns({"n": F.char_length("line"), "sig": signature(F.col("line"))}), "line-texts")
-    side = lambda c: line.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    k = _edits(F.least("na", "nb"), bands)
-    possible = found.join(side("a"), "a").join(side("b"), "b").withColumn("k", k).where(
-        (F.abs(F.col("na") - F.col("nb")) <= F.col("k")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 3 * F.col("k")))
+    ``looked_up``: of the other substrings; ``texts``: from a table of ids to (id, line).
+
+    Only rows of keys that two lines meet in go on. Their lines' lengths and signatures go with them, and the exact
+    bounds are part of the join, so that what a bound tells apart never becomes a pair, however many lines share a segment."""
+    rows = index.withColumn("own", F.lit(True)).unionByName(looked_up.select("key", "id", F.lit(False).alias("own")))
+    # one move by key serves all: a substring in its own place is the segment, so it needn't be looked up, too
+    rows = rows.repartition("key")
+    keyed = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("own").alias("any")).where("any and lo < hi").select("key")
+    met = staged(rows.join(keyed.hint("shuffle_hash"), "key").groupBy("key", "id").agg(F.max("own").alias("own")), "line-keys")
+    line = texts(met.select("id").distinct())
+    line = line.select("id", "line", F.char_length("line").alias("n"), signature(F.col("line")).alias("sig"),
+                       *[x.alias(f"c{i}") for i, x in enumerate(letters(F.col("line")))])
+    line = staged(line, "line-texts")
+    sided = met.join(line.drop("line"), "id")
+    a, b = (sided.select(*[F.col(x).alias(f"{x}_{c}") for x in sided.columns]) for c in "ab")
+    k = _edits(F.least("n_a", "n_b"), bands)
+    bits = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    counts = reduce(add, (bits(c) for c in line.columns if c[0] == "c"))
+    longer = F.col("n_b") - F.col("n_a")
     # the shorter line first
-    swap = F.col("na") > F.col("nb")
-    possible = staged(possible.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "k"),
-                      "line-candidates")
+    first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    meet = ((F.col("key_a") == F.col("key_b")) & first & (F.col("own_a") | F.col("own_b")) & (longer <= k)
+            & (counts <= 2 * k - longer) & (bits("sig") <= 3 * k))
+    possible = staged(a.join(b, meet).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), k.alias("k")).distinct(), "line-candidates")
     text = lambda c: line.select(F.col("id").alias(c), F.col("line").alias(f"l{c}"))
     both = possible.join(text("a"), "a").join(text("b"), "b")
     pair = F.struct(F.col("la").alias("x"), F.col("lb").alias("y"))
@@ -237,7 +262,7 @@ def links(index: DataFrame, looked_up: DataFrame, texts, bands: list[tuple[int,
     shorter = lambda t: _without_start(t, F.col("k"))
     verified = both.where(_once(_once(_once(pair, shorter), shorter), near))
     result = staged(verified.select("a", "b"), "line-links")
-    for done in (found, line, possible):
+    for done in (met, line, possible):
         release(done)
     return result
 

@@ -1,6 +1,7 @@
 """Operators on small fixtures against brute force: nulls, empty and long texts, ties, repeated
 rows, empty tables and extra columns."""
 
+import random
 import re
 import zlib
 
@@ -474,6 +475,43 @@ def test_near_lines_by_length_match_brute_force(spark):
     assert got == [x if x in want else "" for x in lines]
 
 
+def test_lines_that_share_a_segment_make_no_pairs(spark, monkeypatch):
+    rng, made = random.Random(31), {}
+    start = "these words begin every single one of the lines here "
+    lines = [start + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(120)]
+    lines += [lines[0][:80] + "#" + lines[0][81:]]
+    write = line_dedup.staged
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "staged", counted)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n"] for r in line_dedup.dedupe(docs, counts="n").collect()}
+    assert [i for i, n in got.items() if n["near"]] == [120] and sum(n["links"] for n in got.values()) == 2
+    # each of them has six segments and looks up some substrings; before, all 7,260 pairs were written
+    assert max(made.values()) < 15 * len(lines)
+
+
+def test_letters_bound_edits(spark):
+    rng, rows = random.Random(32), []
+    for _ in range(300):
+        x = "".join(rng.choices("ab cdeé1789Z", k=rng.randint(30, 60)))
+        y, d = list(x), rng.randint(0, 8)
+        for _ in range(d):
+            at = rng.randrange(len(y))
+            kind = rng.random()
+            y[at:at + 1] = [rng.choice("ab zé13Q")] if kind < .5 else [] if kind < .75 else [y[at], rng.choice("abz 7")]
+        rows.append((x, "".join(y), d))
+    pairs = spark.createDataFrame(rows, "x string, y string, d int").select(
+        "x", "y", "d", F.array(*line_dedup.letters(F.col("x"))).alias("a"), F.array(*line_dedup.letters(F.col("y"))).alias("b"))
+    for r in pairs.collect():
+        differ = sum(bin((a ^ b) & (1 << 64) - 1).count("1") for a, b in zip(r["a"], r["b"], strict=True))
+        assert differ <= 2 * r["d"] - abs(len(r["x"]) - len(r["y"]))
+
+
 def test_lines_of_null_and_repeated_ids(spark):
     old, new = "the same old line of text here", "new words that stay in the text"
     rows = [(None, old), (1, f"{old}\n{new}"), (1, f"{old}\n{new}")]
