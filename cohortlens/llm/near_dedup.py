@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -229,6 +231,7 @@ def named_classes(bucketed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 BITS = 16                                     # longs of a document's bitmap of shingles
+FOLDED = 4                                    # longs of the one that goes with its shared shingles; parities add up
 RARE = T.StructType([T.StructField("rep", T.LongType()), T.StructField("weight", T.DoubleType())] +
                     [T.StructField(f"m{i}", T.LongType()) for i in range(BITS)] +
                     [T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("n_short", T.IntegerType())])
@@ -276,23 +279,31 @@ def rest(open_rows: DataFrame, texts: DataFrame, idf: Broadcast, least: float) -
     at most."""
     docs = staged(open_rows.groupBy("rep").agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("ca")).alias("apart"),
                                                *[F.first(f"s{i}").alias(f"s{i}") for i in range(4)]), "open-documents")
-    rare = rarest(texts.join(docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text"), idf, least)
-    rare = (rare.select("*", F.posexplode("rare").alias("at", "shingle"))
-            .withColumn("short", F.col("at") < F.col("n_short")).drop("rare", "n_short", "at").join(docs, "rep"))
-    rare = staged(rare, "rare-shingles")
-    met = (rare.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("apart").alias("apart"))
+    picked = staged(rarest(texts.join(docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text"), idf, least),
+                    "rare-shingles")
+    of_document = picked.join(docs, "rep")
+    # the rows of all shingles are narrow; what the bounds need goes with those of shared ones, the bitmaps folded
+    narrow = (of_document.select("rep", "c", "apart", "n_short", F.posexplode("rare").alias("at", "shingle"))
+              .select("shingle", "rep", "c", "apart", (F.col("at") < F.col("n_short")).alias("short")))
+    met = (narrow.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("apart").alias("apart"))
            .where("lo < hi and apart").select("shingle"))
-    every, rare = rare, staged(rare.join(met, "shingle", "left_semi"), "shared-shingles")
-    release(every)
+    folds = [reduce(lambda x, y: x.bitwiseXOR(y), (F.col(f"m{i}") for i in range(j, BITS, FOLDED))).alias(f"f{j}") for j in range(FOLDED)]
+    side = of_document.select("rep", "weight", *[f"s{i}" for i in range(4)], *folds)
+    rare = staged(narrow.join(met, "shingle", "left_semi").join(side, "rep"), "shared-shingles")
     light = rare.where("short").select(*[F.col(c).alias(f"l_{c}") for c in rare.columns])
-    differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"l_m{i}"))) for i in range(1, BITS)),
-                 F.bit_count(F.col("m0").bitwiseXOR(F.col("l_m0"))))
+
+    def may_meet(a: str, b: str, name: str, n: int) -> F.Column:
+        differ = reduce(add, (F.bit_count(F.col(f"{a}{name}{i}").bitwiseXOR(F.col(f"{b}{name}{i}"))) for i in range(n)))
+        return differ <= (F.col(f"{a}weight") + F.col(f"{b}weight")) * ((1 - least) / (1 + least) + 1e-6)
+
     both = ((F.col("shingle") == F.col("l_shingle")) & (F.col("c") != F.col("l_c")) & (F.col("apart") | F.col("l_apart"))
             & ((F.col("l_weight") < F.col("weight")) | ((F.col("l_weight") == F.col("weight")) & (F.col("l_rep") < F.col("rep"))))
             & (F.col("l_weight") >= F.col("weight") * (least - 1e-6))
-            & (differ <= (F.col("weight") + F.col("l_weight")) * ((1 - least) / (1 + least) + 1e-6))
-            & similar_enough("", "l_"))
-    return rare.join(light, both).select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
+            & may_meet("", "l_", "f", FOLDED) & similar_enough("", "l_"))
+    pairs = staged(rare.join(light, both).select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct(), "rare-pairs")
+    release(rare)
+    of = lambda c: picked.select(F.col("rep").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("weight", *(f"m{i}" for i in range(BITS)))])
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(may_meet("a_", "b_", "m", BITS)).select("a", "b")
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:

@@ -386,6 +386,28 @@ def test_components(spark):
     assert got == {n: root(n) for a, b in edges if a != b for n in (a, b)}
 
 
+def test_rare_shingle_rows_are_narrow(spark, monkeypatch):
+    made, write = {}, near_dedup.staged
+
+    def seen(df, name):
+        made[name] = write(df, name)
+        return made[name]
+
+    monkeypatch.setattr(near_dedup, "staged", seen)
+    monkeypatch.setattr(near_dedup, "release", lambda df: None)
+    own = [prose(200, 300 + i).split() for i in range(8)]
+    texts = [(10 * i + j, " ".join(w[:100] + ["changed", str(j)] + w[100:])) for i, w in enumerate(own) for j in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    idf = spark.sparkContext.broadcast(near_dedup.document_frequency(docs.select("text")))
+    open_rows = docs.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("c"), F.lit(-1).cast("long").alias("ca"),
+                            *[F.lit(0).cast("long").alias(f"s{i}") for i in range(4)])
+    got = {(r["a"], r["b"]) for r in near_dedup.rest(open_rows, docs, idf, 0.8).collect()}
+    assert got == {(10 * i + a, 10 * i + b) for i in range(8) for a, b in ((0, 1), (0, 2), (1, 2))}
+    # one row a document with its bitmap; a shingle's row has a folded one. Before, each shingle's row had the whole
+    assert made["rare-shingles"].count() == len(texts)
+    assert len(made["shared-shingles"].columns) <= 6 + 4 + near_dedup.FOLDED
+
+
 # 9 ------------------------------------------------------------------ lines
 def distance(a, b):
     row = list(range(len(b) + 1))
