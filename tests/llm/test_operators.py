@@ -386,6 +386,17 @@ def test_components(spark):
     assert got == {n: root(n) for a, b in edges if a != b for n in (a, b)}
 
 
+def test_edges_of_pieces():
+    from cohortlens.llm import tokens
+    rng = random.Random(33)
+    pieces = ["", " ", "\n", ",", ".", " .", "a", " a", "é", " é", "\x1c", " \x85x", "x\u3000", "\u00a0", "²", " x,", "  y"]
+    pieces += ["".join(rng.choices(" \n\t\x1f,.aZ0é²\u2009\u3000中", k=rng.randint(0, 4))) for _ in range(2000)]
+    bare = [p[1:] if p[:1] == " " else p for p in pieces]
+    want = [[p == "\n" or q != "" and not q[0].isspace() and not q[-1].isspace() for p, q in zip(pieces, bare, strict=True)],
+            [p[-1:].isalnum() for p in pieces], [p in (",", ".") for p in pieces], [p in ("\n", "") for p in pieces]]
+    assert [x.tolist() for x in tokens._edges(pieces)] == want
+
+
 def test_rare_shingle_rows_are_narrow(spark, monkeypatch):
     made, write = {}, near_dedup.staged
 
