@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ PART_BYTES = 8 << 20                          # text for each hash partition of
 SLACK = 4                                     # a capacity so many times mass / threshold: counts are at most threshold / SLACK too low
 MAP_BITS = 28                                 # of the bitmap of survivors: 32 MB
 TASK_PHRASES = 1 << 21                        # occurrences that a task holds before it hands counts on
-LOW_BITS, COUNT_BITS = 36, 28                 # of a summary's entries; phrases that share the bits of their hash survive together
+# of a summary's entries. Phrases that share the bits of their hash survive together; these are 32 and the partition's, and differences
+# between the hashes of one block take three bytes up to some 256 partitions
+LOW_BITS, COUNT_BITS = 32, 28
 MOST = (1 << COUNT_BITS - 1) - 1
 
 _PIECE_END = np.zeros(256, bool)
@@ -115,10 +118,11 @@ def unpacked(raw: bytes) -> np.ndarray:
 class Summary:
     """A Misra-Gries summary: hashes with counts in their low bits, ascending. Counts are at most ``error``
     too low, and ``error`` is less than mass / capacity, however the counts are dealt out over what
-    is added. A count from MOST on stays there; that is far above any threshold."""
+    is added. A count from MOST on stays there; that is far above any threshold. ``most``: what ``error`` may
+    come to; past that nothing is taken, and the entries may be more than ``capacity``."""
 
-    def __init__(self, capacity: int):
-        self.capacity, self.error, self.entries = capacity, 0, np.zeros(0, np.uint64)
+    def __init__(self, capacity: int, most: int = MOST):
+        self.capacity, self.most, self.error, self.entries = capacity, most, 0, np.zeros(0, np.uint64)
 
     def counts(self) -> np.ndarray:
         return (self.entries & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)
@@ -141,7 +145,7 @@ class Summary:
         del merged, first, new
         if len(h) > self.capacity:
             # what the largest one that can't stay has is taken from all: from more than capacity counts
-            less = int(np.partition(n, -self.capacity - 1)[-self.capacity - 1])
+            less = min(int(np.partition(n, -self.capacity - 1)[-self.capacity - 1]), self.most - self.error)
             self.error += less
             h, n = h[n > less], n[n > less] - less
         self.entries = h << np.uint64(COUNT_BITS) | np.minimum(n, MOST).astype(np.uint64)
@@ -152,12 +156,16 @@ def _text_rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
                        F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"))
 
 
-def survivors(rows: DataFrame, threshold: int, max_words: int, parts: int) -> np.ndarray:
-    """Bitmap by the top MAP_BITS of a hash: set for every phrase that occurs ``threshold`` times."""
+def survivors(rows: DataFrame, threshold: int, max_words: int, parts: int, size: int) -> np.ndarray:
+    """Bitmap by the top MAP_BITS of a hash: set for every phrase that occurs ``threshold`` times.
+
+    Counts go once, from the tasks that make them to those that merge them. With each goes the number of bytes of text
+    that it is of: a partition's mass so far tells by these and the table's ``size`` what it will come to. A
+    capacity by that only bounds memory: errors stay below the threshold whatever the estimate is."""
     shift = 64 - parts.bit_length() + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, n_held, n_bytes = [], 0, 0
 
         def handed() -> pa.RecordBatch:
             h, n = counted(np.concatenate(held))
@@ -170,7 +178,8 @@ def survivors(rows: DataFrame, threshold: int, max_words: int, parts: int) -> np
                 first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
                 out.append(packed(low[first], np.add.reduceat(at, first)))
                 mass.append(int(at.sum()))
-            return pa.RecordBatch.from_pydict({"part": pa.array(own, pa.int32()), "mass": pa.array(mass, pa.int64()), "counts": pa.array(out, pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array(own, pa.int32()), "mass": pa.array(mass, pa.int64()),
+                                               "bytes": pa.array([n_bytes] * len(own), pa.int64()), "counts": pa.array(out, pa.binary())})
 
         for batch in batches:
             texts = text_array(batch.column(0))
@@ -178,24 +187,24 @@ def survivors(rows: DataFrame, threshold: int, max_words: int, parts: int) -> np
             for a, b in row_blocks(texts):
                 for _, h in Words(texts[a:b]).phrases(langs[a:b], max_words):
                     held.append(h)
-                    size += len(h)
-                if size > TASK_PHRASES:
+                    n_held += len(h)
+                n_bytes += pc.sum(pc.binary_length(texts[a:b])).as_py()
+                if n_held > TASK_PHRASES:
                     yield handed()
-                    held, size = [], 0
-        if size:
+                    held, n_held, n_bytes = [], 0, 0
+        if n_held:
             yield handed()
         give_back()
 
-    blocks = staged(rows.mapInArrow(count, "part int, mass long, counts binary"), "phrase-counts")
-    masses = blocks.groupBy("part").agg(F.sum("mass").alias("total"))
+    blocks = rows.mapInArrow(count, "part int, mass long, bytes long, counts binary")
     bits = MAP_BITS - parts.bit_length() + 1
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary, held = None, []
+        summary, held, mass, seen = Summary(0, threshold - 1), [], 0, 0
         for batch in batches:
-            if summary is None:
-                summary = Summary(SLACK * batch.column("total")[0].as_py() // threshold + 1)
-            for c in batch.column("counts"):
+            for m, n_bytes, c in zip(batch.column("mass").to_pylist(), batch.column("bytes").to_pylist(), batch.column("counts"), strict=True):
+                mass, seen = mass + m, seen + n_bytes
+                summary.capacity = SLACK * (mass * max(size, seen) // seen) // threshold + 1
                 held.append(unpacked(c.as_py()))
                 if sum(map(len, held)) > max(summary.capacity, 1 << 18):
                     summary.add(held)
@@ -207,7 +216,7 @@ def survivors(rows: DataFrame, threshold: int, max_words: int, parts: int) -> np
         yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([marks.tobytes()], pa.binary())})
         give_back()
 
-    found = blocks.join(F.broadcast(masses), "part").groupBy("part").applyInArrow(merge, "part int, marks binary")
+    found = blocks.groupBy("part").applyInArrow(merge, "part int, marks binary")
     out = np.zeros((parts, 1 << max(bits - 3, 0)), np.uint8)
     for r in found.collect():                                     # 32 MB at any size of the corpus
         out[r["part"]] = np.frombuffer(r["marks"], np.uint8)
@@ -224,7 +233,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", thres
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # partitions grow in size, too, so that a task's counts for one don't become single entries
     parts = 1 << max(4, (size // max(part_bytes, 16 * math.isqrt(size))).bit_length())
-    marks = spark.sparkContext.broadcast(survivors(rows, threshold, max_words, parts))
+    marks = spark.sparkContext.broadcast(survivors(rows, threshold, max_words, parts, size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_map = marks.value
@@ -290,11 +299,14 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = 200
     phrases = counts.where("words > 1")
     parts = F.split("phrase", " ", -1)
     part = lambda a, n: F.array_join(F.slice(F.col("w"), a, n), " ")
+    # the two parts of a cut tell its phrase and k: these needn't be moved, too
     cuts = phrases.withColumn("w", parts).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1))).select(
-        "lang", "phrase", F.col("f").alias("a"), "k", part(F.lit(1), F.col("k")).alias("left"),
+        "lang", F.col("f").alias("a"), part(F.lit(1), F.col("k")).alias("left"),
         part(F.col("k") + 1, F.col("words") - F.col("k")).alias("right"))
     of = lambda c, f: counts.select("lang", F.col("phrase").alias(c), F.col("f").alias(f))
-    scored = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"]).withColumn("score", score("a", "l", "r"))
+    scored = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"]).select(
+        "lang", F.concat_ws(" ", "left", "right").alias("phrase"), score("a", "l", "r").alias("score"),
+        F.size(F.split("left", " ", -1)).alias("k"), "a", "l", "r")
     best = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("m")).select("lang", "phrase", "m.*")
     # every shorter run of words of a longer phrase, with the most that such a phrase occurs
     inside = phrases.where("words > 2").withColumn("w", parts).select(

@@ -89,6 +89,27 @@ def test_a_summary_does_not_hold_its_entries_many_times():
     assert peak < 10 * 8 * n                              # of 2 n entries that were merged
 
 
+def test_a_summary_that_is_too_small_still_keeps_what_is_frequent():
+    """Its capacity is an estimate; what the estimate is must not matter to phrases at the threshold."""
+    gen = np.random.default_rng(3)
+    items = np.concatenate([gen.integers(0, 1 << 30, 20000), np.repeat(gen.integers(0, 1 << 30, 50), 10)]).astype(np.uint64)
+    gen.shuffle(items)
+    summary = C.Summary(3, most=9)
+    for block in np.array_split(items, 40):
+        summary.add([C.unpacked(C.packed(*C.counted(block)))])
+    left = dict(zip((summary.entries >> np.uint64(C.COUNT_BITS)).tolist(), summary.counts().tolist()))
+    assert summary.error <= 9 and all(left[h] + summary.error >= 10 for h, n in zip(*(x.tolist() for x in C.counted(items))) if n >= 10)
+
+
+def test_counts_of_phrases_are_moved_once_and_narrow(spark, monkeypatch):
+    names, kept = [], C.staged
+    monkeypatch.setattr(C, "staged", lambda df, name: names.append(name) or kept(df, name))
+    assert C.mine(spark.createDataFrame(made(5, 20), "text string, lang string")).count() > 0
+    assert names == ["phrases"]
+    low = np.unique(np.random.default_rng(6).integers(0, 1 << C.LOW_BITS, C.TASK_PHRASES // 64).astype(np.uint64))
+    assert len(C.packed(low, np.ones(len(low), np.int64))) < 3.2 * len(low)          # a block's share of one of 64 partitions
+
+
 def test_scores_pass_64_bits(spark):
     a = 10 ** 13 + 7
     row = spark.createDataFrame([(a, a + 5, a + 11)], "a long, l long, r long").select(C.score("a", "l", "r")).first()
