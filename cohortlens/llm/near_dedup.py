@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import add
+from operator import add, or_
 from typing import NamedTuple
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from cohortlens.llm.common import give_back, importable, mix, parities, release, row_blocks, shingles, staged, text_array, words
 from cohortlens.llm.graph import components
+from cohortlens.llm.line_dedup import _cells as cells_for, bitmap, in_bitmap
 
 BANDS, ROWS = 16, 4                           # a pair at 0.8 meets with probability 0.9998
 SAMPLES = BANDS * ROWS
@@ -231,6 +232,7 @@ def named_classes(bucketed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 BITS = 16                                     # longs of a document's bitmap of shingles
+EARLIER = 3                                   # rare shingles before it that go with a shared one
 FOLDED = 4                                    # longs of the one that goes with its shared shingles; parities add up
 RARE = T.StructType([T.StructField("rep", T.LongType()), T.StructField("weight", T.DoubleType())] +
                     [T.StructField(f"m{i}", T.LongType()) for i in range(BITS)] +
@@ -271,6 +273,27 @@ def rarest(texts: DataFrame, idf: Broadcast, least: float) -> DataFrame:
     return texts.mapInArrow(pick, RARE)
 
 
+def may_meet(a: str, b: str, name: str, n: int, least: float) -> F.Column:
+    """Whether bitmaps and total weights leave it possible that two texts are ``least`` similar."""
+    differ = reduce(add, (F.bit_count(F.col(f"{a}{name}{i}").bitwiseXOR(F.col(f"{b}{name}{i}"))) for i in range(n)))
+    return differ <= (F.col(f"{a}weight") + F.col(f"{b}weight")) * ((1 - least) / (1 + least) + 1e-6)
+
+
+def meetings(rare: DataFrame, least: float) -> DataFrame:
+    """(a, b) of documents that have a rare shingle in common, the lighter one among its ``short`` ones, are in different
+    classes, and may be similar. Two documents mostly share runs of shingles; where one of the EARLIER shingles
+    before this one (e1 and on) is in both, they have met there, so here they don't: a pair comes
+    once for each run, and at its first shingle in any case."""
+    light = rare.where("short").select(*[F.col(c).alias(f"l_{c}") for c in rare.columns])
+    numbers = range(1, EARLIER + 1)
+    met_before = F.coalesce(reduce(or_, (F.col(f"e{i}") == F.col(f"l_e{j}") for i in numbers for j in numbers)), F.lit(False))
+    both = ((F.col("shingle") == F.col("l_shingle")) & (F.col("c") != F.col("l_c")) & (F.col("apart") | F.col("l_apart"))
+            & ((F.col("l_weight") < F.col("weight")) | ((F.col("l_weight") == F.col("weight")) & (F.col("l_rep") < F.col("rep"))))
+            & (F.col("l_weight") >= F.col("weight") * (least - 1e-6)) & ~met_before
+            & may_meet("", "l_", "f", FOLDED, least) & similar_enough("", "l_"))
+    return rare.join(light, both).select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b"))
+
+
 def rest(open_rows: DataFrame, texts: DataFrame, idf: Broadcast, least: float) -> DataFrame:
     """Pairs (a, b) in different classes that may be similar, of the documents of ``open_rows``: one of
     them is not in its bucket's centre's class, and both have a rare shingle in common. No pair at
@@ -282,28 +305,20 @@ def rest(open_rows: DataFrame, texts: DataFrame, idf: Broadcast, least: float) -
     picked = staged(rarest(texts.join(docs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text"), idf, least),
                     "rare-shingles")
     of_document = picked.join(docs, "rep")
-    # the rows of all shingles are narrow; what the bounds need goes with those of shared ones, the bitmaps folded
-    narrow = (of_document.select("rep", "c", "apart", "n_short", F.posexplode("rare").alias("at", "shingle"))
-              .select("shingle", "rep", "c", "apart", (F.col("at") < F.col("n_short")).alias("short")))
+    # the rows of all shingles are narrow; what the bounds need goes with those of shared ones, the bitmaps folded, and the shingles before
+    narrow = of_document.select("rep", "c", "apart", F.posexplode("rare").alias("at", "shingle"))
     met = (narrow.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("apart").alias("apart"))
            .where("lo < hi and apart").select("shingle"))
     folds = [reduce(lambda x, y: x.bitwiseXOR(y), (F.col(f"m{i}") for i in range(j, BITS, FOLDED))).alias(f"f{j}") for j in range(FOLDED)]
-    side = of_document.select("rep", "weight", *[f"s{i}" for i in range(4)], *folds)
-    rare = staged(narrow.join(met, "shingle", "left_semi").join(side, "rep"), "shared-shingles")
-    light = rare.where("short").select(*[F.col(c).alias(f"l_{c}") for c in rare.columns])
-
-    def may_meet(a: str, b: str, name: str, n: int) -> F.Column:
-        differ = reduce(add, (F.bit_count(F.col(f"{a}{name}{i}").bitwiseXOR(F.col(f"{b}{name}{i}"))) for i in range(n)))
-        return differ <= (F.col(f"{a}weight") + F.col(f"{b}weight")) * ((1 - least) / (1 + least) + 1e-6)
-
-    both = ((F.col("shingle") == F.col("l_shingle")) & (F.col("c") != F.col("l_c")) & (F.col("apart") | F.col("l_apart"))
-            & ((F.col("l_weight") < F.col("weight")) | ((F.col("l_weight") == F.col("weight")) & (F.col("l_rep") < F.col("rep"))))
-            & (F.col("l_weight") >= F.col("weight") * (least - 1e-6))
-            & may_meet("", "l_", "f", FOLDED) & similar_enough("", "l_"))
-    pairs = staged(rare.join(light, both).select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct(), "rare-pairs")
+    side = of_document.select("rep", "weight", "n_short", "rare", *[f"s{i}" for i in range(4)], *folds)
+    earlier = [F.get("rare", F.col("at") - i).alias(f"e{i}") for i in range(1, EARLIER + 1)]
+    rare = staged(narrow.join(met, "shingle", "left_semi").join(side, "rep").select(
+        "shingle", "rep", "c", "apart", (F.col("at") < F.col("n_short")).alias("short"), *earlier, *[c for c in side.columns if c not in ("rep", "n_short", "rare")]),
+        "shared-shingles")
+    pairs = staged(meetings(rare, least).distinct(), "rare-pairs")
     release(rare)
     of = lambda c: picked.select(F.col("rep").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("weight", *(f"m{i}" for i in range(BITS)))])
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(may_meet("a_", "b_", "m", BITS)).select("a", "b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(may_meet("a_", "b_", "m", BITS, least)).select("a", "b")
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
@@ -338,9 +353,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
               .select("key", F.col("m.rep").alias("a"), *[F.col(f"m.s{i}").alias(f"as{i}") for i in range(4)]))
     bucketed = staged(shared.drop("n").join(centre, "key"), "buckets")
     release(shared)
-    # all that is compared below is in a bucket: the texts of the table are moved once
-    of_bucket = rows.join(bucketed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = staged(of_bucket, "bucket-texts")
+    # all that is compared below is in a bucket: these texts are moved once, and those that a bitmap leaves out not at all
+    wanted = staged(bucketed.select(F.col("rep").alias("doc_id")).distinct(), "bucket-members")
+    cells = cells_for(wanted.count())
+    some = in_bitmap(rows.withColumn("key", F.xxhash64("doc_id")), bitmap(wanted.select(F.xxhash64("doc_id").alias("key")), cells), cells)
+    texts = staged(some.drop("key").join(wanted, "doc_id", "left_semi"), "bucket-texts")
+    release(wanted)
     stars = staged(bucketed.where((F.col("a") != F.col("rep")) & similar_enough("a", ""))
                    .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
     found = components(verified(stars, texts, idf, least).select("a", "b"))
