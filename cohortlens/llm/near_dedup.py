@@ -233,6 +233,7 @@ def named_classes(bucketed: DataFrame, found: DataFrame) -> DataFrame:
 
 BITS = 16                                     # longs of a document's bitmap of shingles
 EARLIER = 3                                   # rare shingles before it that go with a shared one
+SHORT, APART = 1, 2                           # marks of a shared shingle: among the first n_short; its document is not in its centre's class
 FOLDED = 4                                    # longs of the one that goes with its shared shingles; parities add up
 RARE = T.StructType([T.StructField("rep", T.LongType()), T.StructField("weight", T.DoubleType())] +
                     [T.StructField(f"m{i}", T.LongType()) for i in range(BITS)] +
@@ -280,14 +281,14 @@ def may_meet(a: str, b: str, name: str, n: int, least: float) -> F.Column:
 
 
 def meetings(rare: DataFrame, least: float) -> DataFrame:
-    """(a, b) of documents that have a rare shingle in common, the lighter one among its ``short`` ones, are in different
+    """(a, b) of documents that have a rare shingle in common, the lighter one among its short ones, are in different
     classes, and may be similar. Two documents mostly share runs of shingles; where one of the EARLIER shingles
-    before this one (e1 and on) is in both, they have met there, so here they don't: a pair comes
+    before this one (``earlier``) is in both, they have met there, so here they don't: a pair comes
     once for each run, and at its first shingle in any case."""
-    light = rare.where("short").select(*[F.col(c).alias(f"l_{c}") for c in rare.columns])
-    numbers = range(1, EARLIER + 1)
-    met_before = F.coalesce(reduce(or_, (F.col(f"e{i}") == F.col(f"l_e{j}") for i in numbers for j in numbers)), F.lit(False))
-    both = ((F.col("shingle") == F.col("l_shingle")) & (F.col("c") != F.col("l_c")) & (F.col("apart") | F.col("l_apart"))
+    light = rare.where(F.col("marks").bitwiseAND(F.lit(SHORT)) > 0).select(*[F.col(c).alias(f"l_{c}") for c in rare.columns])
+    met_before = F.coalesce(reduce(or_, (F.get("earlier", F.lit(i)) == F.get("l_earlier", F.lit(j))
+                                         for i in range(EARLIER) for j in range(EARLIER))), F.lit(False))
+    both = ((F.col("shingle") == F.col("l_shingle")) & (F.col("c") != F.col("l_c")) & (F.col("marks").bitwiseOR(F.col("l_marks")) >= APART)
             & ((F.col("l_weight") < F.col("weight")) | ((F.col("l_weight") == F.col("weight")) & (F.col("l_rep") < F.col("rep"))))
             & (F.col("l_weight") >= F.col("weight") * (least - 1e-6)) & ~met_before
             & may_meet("", "l_", "f", FOLDED, least) & similar_enough("", "l_"))
@@ -311,9 +312,10 @@ def rest(open_rows: DataFrame, texts: DataFrame, idf: Broadcast, least: float) -
            .where("lo < hi and apart").select("shingle"))
     folds = [reduce(lambda x, y: x.bitwiseXOR(y), (F.col(f"m{i}") for i in range(j, BITS, FOLDED))).alias(f"f{j}") for j in range(FOLDED)]
     side = of_document.select("rep", "weight", "n_short", "rare", *[f"s{i}" for i in range(4)], *folds)
-    earlier = [F.get("rare", F.col("at") - i).alias(f"e{i}") for i in range(1, EARLIER + 1)]
+    marks = F.when(F.col("at") < F.col("n_short"), SHORT).otherwise(0) + F.when(F.col("apart"), APART).otherwise(0)
+    earlier = F.array(*[F.get("rare", F.col("at") - i) for i in range(1, EARLIER + 1)])
     rare = staged(narrow.join(met, "shingle", "left_semi").join(side, "rep").select(
-        "shingle", "rep", "c", "apart", (F.col("at") < F.col("n_short")).alias("short"), *earlier, *[c for c in side.columns if c not in ("rep", "n_short", "rare")]),
+        "shingle", "rep", "c", marks.alias("marks"), earlier.alias("earlier"), *[c for c in side.columns if c not in ("rep", "n_short", "rare")]),
         "shared-shingles")
     pairs = staged(meetings(rare, least).distinct(), "rare-pairs")
     release(rare)

@@ -10,11 +10,11 @@ def test_pairs_meet_once_a_run_and_none_is_lost(spark):
     base = np.arange(60)
     lists = [sorted({*base[gen.random(60) < 0.8].tolist(), *gen.integers(1000 * i, 1000 * i + 900, 6).tolist()}) for i in range(1, 25)]
     lists += [[5], [7, 5000000], [5000000, 6000000], []]
-    rows = [(x, i, i, True, True, *[own[at - k] if at >= k else None for k in range(1, N.EARLIER + 1)], 100.0, 0, 0, 0, 0, 0, 0, 0, 0)
+    rows = [(x, i, i, N.SHORT + N.APART, [own[at - k] if at >= k else None for k in range(1, N.EARLIER + 1)], 100.0, 0, 0, 0, 0, 0, 0, 0, 0)
             for i, own in enumerate(lists) for at, x in enumerate(own)]
-    names = ["shingle", "rep", "c", "apart", "short", *[f"e{k}" for k in range(1, N.EARLIER + 1)], "weight", *[f"s{i}" for i in range(4)],
+    names = ["shingle", "rep", "c", "marks", "earlier", "weight", *[f"s{i}" for i in range(4)],
              *[f"f{i}" for i in range(N.FOLDED)]]
-    kind = {"apart": "boolean", "short": "boolean", "weight": "double"}
+    kind = {"marks": "int", "earlier": "array<long>", "weight": "double"}
     rare = spark.createDataFrame(rows, ", ".join(f"{n} {kind.get(n, 'long')}" for n in names))
     found = [tuple(r) for r in N.meetings(rare, 0.8).collect()]
     shared = {(i, j): len({*a} & {*b}) for i, a in enumerate(lists) for j, b in enumerate(lists) if i < j and {*a} & {*b}}
