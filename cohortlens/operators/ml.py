@@ -1,7 +1,6 @@
 """Risk model: training, scoring and evaluation with Spark ML.
 
-The random forest is Spark's (level-wise, distributed over the training
-partitions). Splits and folds are stratified and exact, and they depend only
+The random forest is Spark's model, grown level-wise by ``operators/forest`` over the training rows. Splits and folds are stratified and exact, and they depend only
 on (label, seeded hash of the id, id), so they are the same on any
 partitioning; the per-stratum ranks come from ``ordering.rank_in_group``
 instead of a window over the label (three labels would mean three tasks). A training run stores its
@@ -17,7 +16,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -27,6 +26,7 @@ from pyspark.sql import types as T
 
 from cohortlens import schema as S
 from cohortlens.functions import rules
+from cohortlens.operators import forest
 from cohortlens.operators.features import generator_features
 from cohortlens.operators.ordering import join_group, rank_in_group
 from cohortlens.session import stored
@@ -84,10 +84,7 @@ def stratified_assign(df: DataFrame, label: str = "risk_level", key: str = "stud
 
 
 def _forest(p: ForestParams) -> RandomForestClassifier:
-    # cacheNodeIds keeps each row's current tree node between levels instead of
-    # re-walking every tree from the root (about 2x faster at depth 10); with a
-    # checkpoint folder set, that cache is checkpointed every 10 levels, which
-    # cuts the lineage of long fits.
+    # cacheNodeIds and checkpointInterval are Spark's loop's; ``forest`` keeps nothing from level to level
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=p.num_trees,
                                 maxDepth=p.max_depth, minInstancesPerNode=p.min_instances_per_node,
                                 seed=p.seed, featureSubsetStrategy="sqrt", cacheNodeIds=True,
@@ -97,11 +94,11 @@ def _forest(p: ForestParams) -> RandomForestClassifier:
     return rf
 
 
-def make_pipeline(p: ForestParams, labels: list[str]) -> Pipeline:
+def stages(p: ForestParams, labels: list[str]) -> tuple[StringIndexerModel, VectorAssembler, RandomForestClassifier]:
     """``labels``: all classes, in the order of their indexes."""
     indexer = StringIndexerModel.from_labels(labels, inputCol="risk_level", outputCol="label", handleInvalid="error")
     assembler = VectorAssembler(inputCols=S.FEATURE_COLS, outputCol="features")
-    return Pipeline(stages=[indexer, assembler, _forest(p)])
+    return indexer, assembler, _forest(p)
 
 
 def fit(train: DataFrame, p: ForestParams = ForestParams()) -> PipelineModel:
@@ -126,22 +123,26 @@ class TrainingSet:
 
     def weights(self, fold: int | None = None) -> dict[str, float]:
         """Balanced weights n / (k n_c) of the classes that the rows of a fit have."""
+        own = self.sizes(fold)
+        total = sum(own.values())
+        return {label: total / (len(own) * n) for label, n in own.items()}
+
+    def sizes(self, fold: int | None = None) -> dict[str, int]:
+        """How many rows of each class a fit has."""
         own: dict[str, int] = {}
         for (label, test, k), n in self.counts.items():
             if self.chosen(fold)(test, k):
                 own[label] = own.get(label, 0) + n
-        total = sum(own.values())
-        return {label: total / (len(own) * n) for label, n in sorted(own.items())}
+        return dict(sorted(own.items()))
 
-    def fit(self, p: ForestParams, fold: int | None = None) -> PipelineModel:
+    def grown(self, p: ForestParams, fold: int | None = None) -> forest.Forest:
         weights = self.weights(fold)
         rows = self.rows.where(~F.col("is_test") if fold is None else F.col("fold") != fold)
-        if p.balanced:
-            each = F.lit(None).cast("double")
-            for label, w in weights.items():
-                each = F.when(F.col("risk_level") == label, F.lit(w)).otherwise(each)
-            rows = rows.withColumn("weight", each)
-        return make_pipeline(p, list(weights)).fit(rows)
+        return forest.fit(rows, S.FEATURE_COLS, "risk_level", self.sizes(fold), weights if p.balanced else dict.fromkeys(weights, 1.0), _forest(p))
+
+    def fit(self, p: ForestParams, fold: int | None = None) -> PipelineModel:
+        indexer, assembler, estimator = stages(p, list(self.sizes(fold)))
+        return PipelineModel([indexer, assembler, forest.as_model(self.rows.sparkSession, self.grown(p, fold), estimator)])
 
     def held_out(self, fold: int | None = None) -> DataFrame:
         return self.rows.where(F.col("is_test") if fold is None else F.col("fold") == fold)
