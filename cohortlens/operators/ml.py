@@ -1,6 +1,7 @@
 """Risk model: training, scoring and evaluation with Spark ML.
 
-The random forest is Spark's model, grown level-wise by ``operators/forest`` over the training rows. Splits and folds are stratified and exact, and they depend only
+The random forest is Spark's model, grown level-wise by ``operators/forest`` over the training rows, which also
+scores with it. Splits and folds are stratified and exact, and they depend only
 on (label, seeded hash of the id, id), so they are the same on any
 partitioning; the per-stratum ranks come from ``ordering.rank_in_group``
 instead of a window over the label (three labels would mean three tasks). A training run stores its
@@ -19,7 +20,6 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,19 +172,26 @@ def labels_of(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
 
+def _label_of(labels: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds predicted label, confidence (max probability, 4 digits) and the
     label -> probability map (4 digits); the model is applied set-wise."""
     labels = labels_of(model)
     lab_arr = F.array(*[F.lit(x) for x in labels])
-    scored = model.transform(with_feature_defaults(df).drop("label"))
-    probs = vector_to_array(F.col("probability"))
+    rows = with_feature_defaults(df).drop("label")
+    # the label's index comes after the trees, so that it is left out where nobody reads it
+    scored = model.stages[0].transform(forest.scored(forest.forest_of(model.stages[-1]), rows, S.FEATURE_COLS))
+    probs = F.col("probability")
     return (scored
-            .withColumn("predicted_risk", F.element_at(lab_arr, F.col("prediction").cast("int") + 1))
+            .select(*[c for c in scored.columns if c != "prediction"], "prediction")
+            .withColumn("predicted_risk", _label_of(labels))
             .withColumn("confidence", F.round(F.array_max(probs), 4))
             .withColumn("class_probabilities",
                         F.map_from_arrays(lab_arr, F.transform(probs, lambda x: F.round(x, 4))))
-            .drop("features", "rawPrediction", "probability"))
+            .drop("probability"))
 
 
 def prediction_record(df: DataFrame) -> Column:
@@ -275,9 +282,10 @@ class TrainResult:
     data: TrainingSet | None = None
 
 
-def _pairs(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return predict(model, df).select(F.col("risk_level").alias("label"),
-                                     F.col("predicted_risk").alias("prediction"))
+def _pairs(grown: forest.Forest, labels: list[str], df: DataFrame) -> DataFrame:
+    """(label, prediction) of rows that have a label."""
+    rows = with_feature_defaults(df).select("risk_level", *S.FEATURE_COLS)
+    return forest.scored(grown, rows, S.FEATURE_COLS).select(F.col("risk_level").alias("label"), _label_of(labels).alias("prediction"))
 
 
 def train_and_evaluate(df: DataFrame, p: ForestParams = ForestParams(), with_cv: bool = True,
@@ -286,7 +294,7 @@ def train_and_evaluate(df: DataFrame, p: ForestParams = ForestParams(), with_cv:
     Rows without a label take no part; ``data.unlabelled`` says how many there were."""
     data = training_set(stratified_assign(df, "risk_level", key, p.seed, p.test_fraction, p.folds))
     model = data.fit(p)
-    test_pairs = stored(_pairs(model, data.held_out()), "test-pairs")
+    test_pairs = stored(_pairs(forest.forest_of(model.stages[-1]), labels_of(model), data.held_out()), "test-pairs")
     m = eval_metrics(test_pairs).first().asDict()
     m["classes"] = labels_of(model)
     m["feature_names"] = list(S.FEATURE_COLS)
@@ -300,7 +308,7 @@ def cross_validate(data: TrainingSet, p: ForestParams = ForestParams()) -> list[
     """Accuracy of each stratified fold (fold = rank in class mod k), trained on the rest.
     ``p.parallelism`` folds are fitted at a time; a fold's result does not depend on the others."""
     def one(k: int) -> float:
-        return eval_metrics(_pairs(data.fit(p, k), data.held_out(k))).first()["accuracy"]
+        return eval_metrics(_pairs(forest.forest_of(data.fit(p, k).stages[-1]), list(data.sizes(k)), data.held_out(k))).first()["accuracy"]
 
     with ThreadPoolExecutor(max_workers=max(1, min(p.parallelism, p.folds))) as pool:
         return list(pool.map(one, range(p.folds)))

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cohortlens import schema as S
@@ -65,6 +66,20 @@ def test_one_tree_of_all_rows_and_features_is_sparks_decision_tree(spark, monkey
         assert np.isclose(g["gain"], w["gain"])
 
 
+def test_scores_are_those_of_sparks_model(spark):
+    df = _rows(spark, 2500)
+    rf = RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=15, maxDepth=9, maxBins=300, seed=3)
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    model = rf.fit(assembler.transform(df))
+    want = model.transform(assembler.transform(df)).select("id", "prediction", vector_to_array("probability").alias("probability"))
+    plan = forest.scored(forest.forest_of(model), df, FEATURES)
+    assert "UDF(features" not in plan._jdf.queryExecution().executedPlan().toString()     # Spark's walk, row by row
+    got = plan.select("id", "prediction", "probability")
+    assert got.count() == 2500 and want.exceptAll(got).isEmpty()
+    with pytest.raises(ValueError, match="prediction"):
+        forest.scored(forest.forest_of(model), df.withColumn("prediction", F.lit(1.0)), FEATURES)
+
+
 def test_copies_are_poisson_and_the_same_in_every_pass():
     w = forest.copies(42, 7, 3 << 32, 400_000)
     assert (w == forest.copies(42, 7, 3 << 32, 400_000)).all() and len(forest.copies(42, 7, 3, 5)) == 5
