@@ -308,7 +308,7 @@ def cross_validate(data: TrainingSet, p: ForestParams = ForestParams()) -> list[
     """Accuracy of each stratified fold (fold = rank in class mod k), trained on the rest.
     ``p.parallelism`` folds are fitted at a time; a fold's result does not depend on the others."""
     def one(k: int) -> float:
-        return eval_metrics(_pairs(forest.forest_of(data.fit(p, k).stages[-1]), list(data.sizes(k)), data.held_out(k))).first()["accuracy"]
+        return eval_metrics(_pairs(data.grown(p, k), list(data.sizes(k)), data.held_out(k))).first()["accuracy"]
 
     with ThreadPoolExecutor(max_workers=max(1, min(p.parallelism, p.folds))) as pool:
         return list(pool.map(one, range(p.folds)))
