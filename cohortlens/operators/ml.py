@@ -151,8 +151,8 @@ class TrainingSet:
 def dealt_out(rows: DataFrame) -> DataFrame:
     """``rows`` in as many equal partitions as the executors run tasks, each in the order of all its columns.
 
-    Every level of every fit is a pass over these. Left as it comes, a table that was coalesced by its bytes is one or
-    two partitions, however many trees grow on each row. Deal and order are the same in a run that is repeated, so the
+    Every fit reads and bins these. Left as it comes, a table that was coalesced by its bytes is one or
+    two partitions. Deal and order are the same in a run that is repeated, so the
     forest's draws, which go by partition and place, are, too."""
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions(*rows.columns)
 
